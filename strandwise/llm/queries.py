@@ -26,5 +26,21 @@ def op2_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_binary_pieces, op2_kneser_ney_scores)}
+def op3_avi_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandwise.llm.media import read_media, store_media
+
+    read = read_media(store_media(C.table(spark, sf_dir, "documents")))
+    clips = F.array_join(F.transform("clips", lambda c: F.concat_ws("-", c["start_ms"], c["end_ms"])), ",")
+    feature = F.concat(F.lit("frames="), "frames", F.lit(";shots="), F.size("clips"), F.lit(";ms="), clips, F.lit(";luma="), F.array_join(F.transform("clips", lambda c: c["mean_luma"].cast("string")), ","))
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+def op5_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandwise.llm.simhash import near_duplicates
+
+    found = near_duplicates(C.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_pack_binary_pieces, op2_kneser_ney_scores, op3_avi_shots, op5_simhash_balls)}
 ORACLES: dict[str, str] = {}
