@@ -46,7 +46,7 @@ def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.insert(C.token_hashes(low, starts, ends), at[1:], END), at + np.arange(len(at))
 
 
-class _Runs:
+class Runs:
     """Sums keys in memory and cuts them into one sorted run for each bucket."""
 
     def __init__(self, bits: int, columns: int = 1, by_id: bool = False):
@@ -88,7 +88,7 @@ def _cuts(keys: np.ndarray, bits: int, by_id: bool) -> list[tuple[int, int]]:
     return list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
 
 
-def _merged(rows: pa.Table, columns: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def merged(rows: pa.Table, columns: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """The sum of a bucket's runs."""
     keys, counts = [np.zeros(0, U64)], [np.zeros((0, columns), np.int64)]
     for n, k, c in zip(rows["n"].to_pylist(), rows["keys"], rows["counts"], strict=True):
@@ -154,7 +154,7 @@ def _discounts(n: list[int]) -> list[float]:
     return [min(max(d, 0.01), k + 1 - 0.01) for k, d in enumerate(raw)]
 
 
-def _group(df: DataFrame, merge, schema: str) -> DataFrame:
+def by_bucket(df: DataFrame, merge, schema: str) -> DataFrame:
     return df.groupBy("bucket").applyInArrow(merge, schema)
 
 
@@ -174,7 +174,7 @@ class KneserNey:
         bits = max(2, int(size / 6 / tokens_a_bucket).bit_length())
 
         def count_tokens(batches):
-            held = _Runs(bits)
+            held = Runs(bits)
             for batch in batches:
                 for *_, data, offs in C.text_blocks(batch):
                     hashes, _ = _tokens(data, offs)
@@ -182,13 +182,13 @@ class KneserNey:
             yield from held.close()
 
         def write_tokens(rows: pa.Table) -> pa.Table:
-            keys, counts = _merged(rows)
+            keys, counts = merged(rows)
             b, to = rows["bucket"][0].as_py(), C.SharedFolder(uri)
             to.write(f"token-{b}", keys)
             to.write(f"count-{b}", counts[:, 0])
             return pa.table({"bucket": pa.array([b], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "tokens": pa.array([int(counts.sum())], pa.int64())})
 
-        made = _group(train.mapInArrow(count_tokens, RUN), write_tokens, "bucket int, n long, tokens long").collect()  # a row for each bucket
+        made = by_bucket(train.mapInArrow(count_tokens, RUN), write_tokens, "bucket int, n long, tokens long").collect()  # a row for each bucket
         sizes = [0] * (1 << bits)
         for r in made:
             sizes[r.bucket] = r.n
@@ -198,7 +198,7 @@ class KneserNey:
             raise ValueError("more than 2**32 - 2 distinct tokens")
 
         def count_bigrams(batches):
-            held = _Runs(bits)
+            held = Runs(bits)
             for batch in batches:
                 for *_, data, offs in C.text_blocks(batch):
                     hashes, at = _tokens(data, offs)
@@ -211,13 +211,13 @@ class KneserNey:
         span = max(12, (max(start, 1) >> bits).bit_length())  # ids in a range, as bits
 
         def write_bigrams(rows: pa.Table) -> pa.Table:
-            keys, counts = _merged(rows)
+            keys, counts = merged(rows)
             counts = counts[:, 0]
             b, to = rows["bucket"][0].as_py(), C.SharedFolder(uri)
             to.write(f"bigram-{b}", keys)
             to.write(f"times-{b}", counts.astype(np.uint32) if counts.max(initial=0) < 2**32 else counts)
             pairs = C.unmix(keys)
-            held = _Runs(span, 5, True)
+            held = Runs(span, 5, True)
             one = np.zeros((len(pairs), 5), np.int64)
             one[np.arange(len(pairs)), np.minimum(counts, 3) - 1] = 1
             one[:, 4] = counts
@@ -238,7 +238,7 @@ class KneserNey:
                 notes = [json.loads(x.as_py()) for x in rows["keys"]]
                 note = [sum(x[k] for x in notes) for k in (1, 2, 3, 4)]
             else:
-                keys, counts = _merged(rows, 5)
+                keys, counts = merged(rows, 5)
                 dense = np.zeros((1 << span, 5), np.int64)
                 dense[(keys - (U64(b) << U64(span))).astype(np.int64)] = counts
                 for k, name in enumerate(("one", "two", "more", "before", "all")):
@@ -247,7 +247,7 @@ class KneserNey:
                 note = [*(int((n == k).sum()) for k in (1, 2, 3, 4)), int((n >= 3).sum()), int(n.sum())]
             return pa.table({"bucket": pa.array([b], pa.int32()), "note": pa.array([json.dumps(note)])})
 
-        found = {r.bucket: json.loads(r.note) for r in _group(_group(train.mapInArrow(count_bigrams, RUN), write_bigrams, RUN), write_contexts, "bucket int, note string").collect()}
+        found = {r.bucket: json.loads(r.note) for r in by_bucket(by_bucket(train.mapInArrow(count_bigrams, RUN), write_bigrams, RUN), write_contexts, "bucket int, note string").collect()}
         lower = [sum(v[k] for b, v in found.items() if b >= 0) for k in range(6)]
         return cls(uri, {"bits": bits, "span": span, "sizes": sizes, "tokens": total, "ranges": [b for b in found if b >= 0], "discounts": _discounts(found.get(-1, [0] * 4)), "lower": _discounts(lower[:4]), "seen": [lower[0], lower[1], lower[4]], "pairs": lower[5]})
 

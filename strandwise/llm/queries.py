@@ -42,5 +42,20 @@ def op5_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_binary_pieces, op2_kneser_ney_scores, op3_avi_shots, op5_simhash_balls)}
+def op4_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandwise.llm.toxicity import ToxicPassages
+
+    docs, fold = C.table(spark, sf_dir, "documents"), C.id_mod("doc_id", 5)
+    model = ToxicPassages.fit(docs, C.table(spark, sf_dir, "labels"), fold != 0)
+    return model.score(docs, flag=fold == 0)
+
+
+def op7_output_code_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandwise.llm.langid import OutputCodes
+
+    docs, fold = C.table(spark, sf_dir, "documents"), C.id_mod("doc_id", 3)
+    return OutputCodes.fit(docs, fold != 1).identify(docs, flag=fold == 1)
+
+
+QUERIES = {f.__name__: f for f in (op1_pack_binary_pieces, op2_kneser_ney_scores, op3_avi_shots, op4_toxic_segments, op5_simhash_balls, op7_output_code_languages)}
 ORACLES: dict[str, str] = {}
