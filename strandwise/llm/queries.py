@@ -57,5 +57,49 @@ def op7_output_code_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return OutputCodes.fit(docs, fold != 1).identify(docs, flag=fold == 1)
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_binary_pieces, op2_kneser_ney_scores, op3_avi_shots, op4_toxic_segments, op5_simhash_balls, op7_output_code_languages)}
-ORACLES: dict[str, str] = {}
+def op6_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandwise.llm.mixing import calibrated
+
+    return calibrated(C.table(spark, sf_dir, "documents")).withColumn("prob", F.round("prob", 9))
+
+
+def op8_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandwise.llm.licenses import LicenseScanner
+
+    return LicenseScanner().scan(C.table(spark, sf_dir, "documents"))
+
+
+def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandwise.llm.sharding import shard_rows
+
+    rows = shard_rows(C.table(spark, sf_dir, "documents"), 40, "rows")
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+
+
+def op10_uniform_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandwise.llm.topk import exact_top_k, integers
+
+    return exact_top_k(integers(C.table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
+
+
+TOP_K_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as c from embeddings
+           where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+     s as (select q.vec_id as query_id, x.vec_id, cast(list_sum(list_transform(range(1, len(q.c) + 1), lambda i: q.c[i] * x.c[i])) as bigint) as score
+           from v q join v x on q.vec_id <> x.vec_id where q.vec_id % 50 = 0),
+     r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5
+"""
+
+
+def _oracles() -> dict[str, str]:
+    from strandwise.llm.mixing import oracle
+
+    return {"op6_raked_mixture": oracle(), "op10_uniform_threshold": TOP_K_SQL}
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_pack_binary_pieces, op2_kneser_ney_scores, op3_avi_shots, op4_toxic_segments, op5_simhash_balls, op6_raked_mixture, op7_output_code_languages, op8_license_windows, op9_hilbert_shards, op10_uniform_threshold)
+}
+ORACLES: dict[str, str] = _oracles()

@@ -179,3 +179,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(least, "root").select(F.col("fp").alias("of"), "component_id")
     return prints.join(classes, prints["fp"] == classes["of"]).select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each component, that with the smallest id; all columns as they were.
+
+    Rows without an id come behind all ids below 2**62, in the order of their texts' hashes. Rows that
+    repeat both id and text are one.
+    """
+    content = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    keyed = docs.withColumn("__key", F.coalesce(F.col(doc_id).cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(content, 2)))
+    found = C.cut(near_duplicates(keyed, "__key", text).select(F.col("doc_id").alias("__key"), "component_id"))
+    gone = found.filter(F.col("__key") != F.col("component_id")).select("__key").distinct()
+    kept = keyed.join(gone, "__key", "left_anti")
+    if found.groupBy("__key").count().filter("count > 1").limit(1).count():  # ids that aren't unique
+        kept = kept.withColumn("__content", content).dropDuplicates(["__key", "__content"])
+    return kept.select(*docs.columns)
