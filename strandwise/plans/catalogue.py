@@ -1,6 +1,6 @@
-"""The named queries and their SQL twins."""
+"""All named queries of the reference's operators, and their SQL twins."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from strandwise.plans import outcomes, panel  # noqa: F401
+from strandwise.plans.base import ORACLES, QUERIES  # noqa: F401
