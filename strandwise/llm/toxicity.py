@@ -168,7 +168,7 @@ class ToxicPassages:
             return pa.table({"key": pa.array([0], pa.int64()), "value": pa.array([float(c[:, 0].sum())]), "rest": pa.array([float(c[:, 1].sum())])})
 
         ones, zeros = by_bucket(total, totals, WEIGHTS + ", rest double").agg(F.coalesce(F.sum("value"), F.lit(0.0)), F.coalesce(F.sum("rest"), F.lit(0.0))).first()
-        share = min(max((ones + 0.5) / (ones + zeros + 1), 1e-6), 1 - 1e-6)
+        share = min(max((ones + 0.5) / (ones + zeros + 5), 1e-6), 1 - 1e-6)
         centre = np.log(share / (1 - share))
         odds = LogOdds(0.0, [])
         for level in range(3):
