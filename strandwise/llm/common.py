@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 U64 = np.uint64
 
 SPACE = np.zeros(256, bool)
