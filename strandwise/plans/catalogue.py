@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from strandwise.plans import outcomes, panel  # noqa: F401
+from strandwise.plans import external, outcomes, panel  # noqa: F401
 from strandwise.plans.base import ORACLES, QUERIES  # noqa: F401

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -313,26 +314,50 @@ def ridge_coefficients(spark, d) -> DataFrame:
     return w.select((F.floor(F.col("feature") / 21) + 1).cast("int").alias("position"), F.substring(F.lit(S.ALPHABET), F.col("feature") % 21 + 1, F.lit(1)).alias("symbol"), F.round("w_gcgr", 6).alias("w_gcgr"), F.round("w_glp1r", 6).alias("w_glp1r"))
 
 
-@query()
-def loco_alpha(spark, d) -> DataFrame:
-    """Mean held-out squared error over components for each alpha: one task for each, from moments alone."""
-    m = _moments(spark, d).withColumn("alpha", F.explode(F.array(*map(F.lit, R.ALPHAS))))
+def held_out_errors(m: DataFrame, component: str, block: int = 1024) -> DataFrame:
+    """alpha, components and score: mean absolute error over the rows and targets of a held-out component, averaged over components.
 
-    def score(part: pa.Table) -> pa.Table:
+    Weights for each alpha and held-out component come from the other components' moments. Rows go to
+    them in blocks dealt by hashes, so that no component is one task.
+    """
+    moments = R.component_moments(m, component).withColumn("alpha", F.explode(F.array(*map(F.lit, R.ALPHAS))))
+
+    def fit(part: pa.Table) -> pa.Table:
         held: dict = {}
         for c, raw in zip(part["component"].to_pylist(), part["moments"], strict=True):
             x = R.Moments.read(raw.as_py())
             held[c] = held[c] + x if c in held else x
-        alpha = part["alpha"][0].as_py()
-        names = sorted(held)
-        errors = []
-        for out in names:
-            b, _ = R.solve(R.balanced([held[c] for c in names if c != out])[0], alpha)
-            n, sx, sy, xx, xy = held[out].parts
-            errors.append(float((b * (xx @ b - 2 * xy)).sum() / n[0]))  # up to a term that no alpha changes
-        return pa.table({"alpha": [alpha], "components": pa.array([len(names)], pa.int64()), "score": [sum(errors) / len(errors)]})
-
-    return m.groupBy("alpha").applyInArrow(score, "alpha double, components long, score double").withColumn("score", F.round("score", 6))
+        alpha, names, out = part["alpha"][0].as_py(), sorted(held), []
+        for name in names if len(names) > 1 else []:
+            b, c = R.solve(R.balanced([held[k] for k in names if k != name])[0], alpha)
+            out.append({"component": name, "alpha": alpha, "w": b.ravel().tolist(), "c": c.tolist()})
+        return pa.Table.from_pylist(out, pa.schema([("component", pa.string()), ("alpha", pa.float64()), ("w", pa.list_(pa.float64())), ("c", pa.list_(pa.float64()))]))
+
+    w = G.cut(moments.groupBy("alpha").applyInArrow(fit, "component string, alpha double, w array<double>, c array<double>"))
+    rows = m.select(F.col(component).cast("string").alias("component"), "aligned", "y1", "y2", F.xxhash64("doc_id").alias("h"))
+    groups = max(1, -(-rows.count() // block))
+    dealt = rows.groupBy("component", F.pmod("h", F.lit(groups)).alias("g")).agg(F.collect_list(F.struct("aligned", "y1", "y2")).alias("rows"))  # about a block at most
+
+    def measure(batches):
+        for batch in batches:
+            sums, counts = [], []
+            for k in range(batch.num_rows):
+                x = batch.column(2)[k].values
+                y = np.stack([x.field(c).to_numpy(zero_copy_only=False) for c in ("y1", "y2")], 1)
+                b, c = batch.column(3)[k].values.to_numpy().reshape(-1, 2), batch.column(4)[k].values.to_numpy()
+                sums.append(float(np.abs(R.encode(x.field("aligned").to_pylist()) @ b + c - y).sum()))
+                counts.append(y.size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums), pa.array(counts, pa.int64())], ["component", "alpha", "s", "n"])
+
+    found = dealt.join(w, "component").select("component", "alpha", "rows", "w", "c").mapInArrow(measure, "component string, alpha double, s double, n long")
+    each = found.groupBy("component", "alpha").agg((F.sum("s") / F.sum("n")).alias("e"))
+    return each.groupBy("alpha").agg(F.count("*").alias("components"), F.avg("e").alias("score"))
+
+
+@query()
+def loco_alpha(spark, d) -> DataFrame:
+    """Held-out error of each alpha, leaving one component out at a time."""
+    return held_out_errors(G.cut(T.measured(spark, d)), "source").withColumn("score", F.round("score", 6))
 
 
 @query()
