@@ -64,6 +64,13 @@ def numbered(clusters: DataFrame, prefix: str = "SC") -> DataFrame:
     return global_rank(clusters, [F.desc("size"), F.asc("root")], "__rank").withColumn("cluster_id", F.format_string(prefix + "%03d", "__rank")).drop("__rank")
 
 
+def violations(derived: DataFrame, protocol: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Ids whose groups aren't those of the protocol, or that only one side has: none if the contract holds."""
+    x, y = (df.select(F.col(key).alias(f"{p}k"), F.struct(*(F.col(c).cast("string").alias(c) for c in columns)).alias(f"{p}v")) for df, p in ((derived, "d"), (protocol, "p")))
+    both = x.join(y, F.col("dk") == F.col("pk"), "full_outer").filter(~F.col("dv").eqNullSafe(F.col("pv")))
+    return both.select(F.coalesce("dk", "pk").alias(key), F.col("dv").alias("derived"), F.col("pv").alias("protocol"))
+
+
 def greedy_folds(clusters: DataFrame, folds: int = 3) -> DataFrame:
     """cluster_id, size and fold: largest cluster first, always to the fold with the fewest rows (lowest number on ties).
 

@@ -133,6 +133,12 @@ def threshold_audit(spark, d) -> DataFrame:
     return out
 
 
+@query()
+def selected_threshold(spark, d) -> DataFrame:
+    """The lowest eligible threshold; no row if none is."""
+    return threshold_audit(spark, d).filter("eligible").orderBy("threshold").limit(1)
+
+
 @query("select source, count(distinct doc_id % 3 + 1) as folds from documents group by source having count(distinct doc_id % 3 + 1) > 1")
 def leak_check(spark, d) -> DataFrame:
     return T.panel(spark, d).groupBy("source").agg(F.countDistinct("fold").alias("folds")).filter("folds > 1")

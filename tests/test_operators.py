@@ -137,3 +137,12 @@ def test_metrics_of_constants_are_null(spark):
     r = metrics.point_metrics(df, ["k"]).first()
     assert r.r2 is None and r.pearson is None and math.isclose(r.mae, 1.5)
     assert metrics.spearman(df, ["k"]).first().spearman is None
+
+
+def test_contract_violations(spark):
+    from strandwise.operators import graph
+
+    a = spark.createDataFrame([("p1", "EC1"), ("p2", "EC1"), ("p3", None)], "id string, g string")
+    assert graph.violations(a, a, "id", ["g"]).count() == 0
+    b = spark.createDataFrame([("p1", "EC1"), ("p2", "EC2"), ("p4", "EC3")], "id string, g string")
+    assert sorted(r.id for r in graph.violations(a, b, "id", ["g"]).collect()) == ["p2", "p3", "p4"]
