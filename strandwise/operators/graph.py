@@ -71,33 +71,46 @@ def violations(derived: DataFrame, protocol: DataFrame, key: str, columns: list[
     return both.select(F.coalesce("dk", "pk").alias(key), F.col("dv").alias("derived"), F.col("pv").alias("protocol"))
 
 
+def _fold_plan(histogram: list[tuple[int, int]], folds: int) -> list[tuple[int, int, list[tuple[int, list[int]]]]]:
+    """(size, clusters before it, segments) by falling size, for the greedy rule on clusters of equal size.
+
+    With loads base + q * size + r (0 <= r < size), a fold's next places have the levels q, q + 1, ...; a level
+    is filled in the order of (r, fold) by the folds that have reached it. A segment is a run of levels
+    that the same folds fill: the number of its first place and those folds in order.
+    """
+    loads, plan, before = [0] * folds, [], 0
+    for size, n in sorted(histogram, reverse=True):
+        base = min(loads)
+        levels = [(load - base) // size for load in loads]
+        turn = sorted(range(folds), key=lambda f: ((loads[f] - base) % size, f))
+        borders, segments, first = sorted(set(levels)), [], 0
+        for low, high in zip(borders, [*borders[1:], None], strict=True):
+            here = [f for f in turn if levels[f] <= low]
+            segments.append((first, [f + 1 for f in here]))
+            room = n - first if high is None else min((high - low) * len(here), n - first)
+            rounds, rest = divmod(room, len(here))
+            for k, f in enumerate(here):
+                loads[f] += size * (rounds + (k < rest))
+            first += room
+            if first == n:
+                break
+        plan.append((size, before, segments))
+        before += n
+    return plan
+
+
 def greedy_folds(clusters: DataFrame, folds: int = 3) -> DataFrame:
-    """cluster_id, size and fold: largest cluster first, always to the fold with the fewest rows (lowest number on ties).
+    """root, size and fold: largest cluster first (then by root), always to the fold with the fewest rows (lowest number on ties).
 
-    The rule is sequential. Singletons at the end need no loop: they fill the lowest fold in turn,
-    so only clusters of two and more are folded in one aggregate, as many as there are.
+    The rule is sequential in the sizes alone: which fold the k-th cluster of a size gets follows from the loads
+    before that size. So the driver walks over the distinct sizes (N rows have at most sqrt(2 N) of them),
+    and clusters find their fold by their rank and a broadcast row of their size.
     """
-    start = F.struct(F.array(*[F.lit(0).cast("long")] * folds).alias("load"), F.array().cast("array<struct<root:string,size:long,fold:int>>").alias("out"))
-
-    def step(acc, x):
-        at = F.array_position(acc["load"], F.array_min(acc["load"])).cast("int")
-        return F.struct(F.transform(acc["load"], lambda v, i: v + F.when(i == at - 1, x["size"]).otherwise(F.lit(0).cast("long"))).alias("load"), F.concat(acc["out"], F.array(F.struct(x["root"].alias("root"), x["size"].alias("size"), at.alias("fold")))).alias("out"))
-
-    ordered = F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("rank"), F.col("root"), F.col("size"))))
-    large = clusters.filter("size > 1").agg(F.aggregate(ordered, start, step).alias("s"))
-    load = F.coalesce(F.col("s.load"), F.array(*[F.lit(0).cast("long")] * folds))
-    single = global_rank(clusters.filter("size = 1"), [F.asc("root")], "rn")
-    # loads by now; the k-th singleton takes the k-th free place, level by level
-    have = large.select(load.alias("load")).first()[0]
-    height = sorted(have)
-    # places below the tallest fold are uneven, above it they go round
-    fills = sum(height[-1] - h for h in height)
-    uneven = [(rank, fold) for rank, (_, fold) in enumerate(sorted((h, f) for f, v in enumerate(have, 1) for h in range(v, height[-1])), 1)] if fills <= 1_000_000 else None
-    session = clusters.sparkSession
-    if uneven is None:
-        places = session.createDataFrame([(f, v) for f, v in enumerate(have, 1)], "fold int, have long").select("fold", F.explode(F.sequence(F.col("have"), F.lit(height[-1] - 1))).alias("h"))
-        early = global_rank(places, [F.asc("h"), F.asc("fold")], "rn").select("rn", "fold")
-    else:
-        early = session.createDataFrame(uneven, "rn long, fold int")
-    placed = single.join(early, "rn", "left").withColumn("fold", F.coalesce("fold", ((F.col("rn") - fills - 1) % folds + 1).cast("int"))).select("root", F.col("size").cast("long"), "fold")
-    return large.select(F.explode("s.out").alias("x")).select("x.root", "x.size", "x.fold").unionByName(placed)
+    clusters = cut(clusters.select("root", F.col("size").cast("long").alias("size")))
+    histogram = [tuple(r) for r in clusters.groupBy("size").count().collect()]
+    plan = clusters.sparkSession.createDataFrame(_fold_plan(histogram, folds), "__size long, __before long, __segments array<struct<first:long,turn:array<int>>>")
+    ranked = global_rank(clusters, [F.desc("size"), F.asc("root")], "__rank").join(F.broadcast(plan), F.col("size") == F.col("__size"))
+    placed = ranked.withColumn("__k", F.col("__rank") - F.col("__before") - 1)
+    placed = placed.withColumn("__s", F.element_at(F.filter("__segments", lambda s: s["first"] <= F.col("__k")), -1))
+    at = F.pmod(F.col("__k") - F.col("__s.first"), F.size("__s.turn")).cast("int")
+    return placed.select("root", "size", F.get(F.col("__s.turn"), at).alias("fold"))

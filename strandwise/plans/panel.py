@@ -101,12 +101,26 @@ def component_numbering(spark, d) -> DataFrame:
     return G.numbered(_rooted(spark, d).groupBy("root").agg(F.sum("n").alias("size"))).select("cluster_id", "root", "size")
 
 
-@query()
+def _walk(partition: str = "") -> str:
+    """The greedy rule one cluster after the other, for each value of a column or once."""
+    key = f"{partition}, " if partition else ""
+    first = f"select distinct {key}" if partition else "select "
+    return f""",
+turn as materialized (select {key}root, size, row_number() over ({f'partition by {partition} ' if partition else ''}order by size desc, root) as k from sizes),
+walk as ({first}cast(0 as bigint) as k, '' as root, cast(0 as bigint) as size, 0 as fold, cast(0 as bigint) as l1, cast(0 as bigint) as l2, cast(0 as bigint) as l3{' from sizes' if partition else ''}
+  union all select {f'w.{partition}, ' if partition else ''}turn.k, turn.root, turn.size, f, l1 + if(f = 1, turn.size, 0), l2 + if(f = 2, turn.size, 0), l3 + if(f = 3, turn.size, 0)
+  from (select *, case when l1 <= l2 and l1 <= l3 then 1 when l2 <= l3 then 2 else 3 end as f from walk) w join turn on turn.k = w.k + 1{f' and turn.{partition} = w.{partition}' if partition else ''})"""
+
+
+FOLDED = COMPONENTS + _walk()
+
+
+@query(f"with recursive {FOLDED} select root, size, fold from walk where k > 0")
 def greedy_folds(spark, d) -> DataFrame:
     return G.greedy_folds(_rooted(spark, d).groupBy("root").agg(F.sum("n").alias("size")))
 
 
-@query()
+@query(f"with recursive {FOLDED} select peptide_id, cluster_id, named.size as cluster_size, walk.fold as outer_fold, sha256(aligned) as aligned_sha256 from member join named using (root) join walk using (root)")
 def split_rows(spark, d) -> DataFrame:
     """Peptide, cluster, size, fold and checksum: clusters stay whole."""
     rooted = G.cut(_rooted(spark, d))
@@ -117,7 +131,20 @@ def split_rows(spark, d) -> DataFrame:
     return member.join(named, "root").select("peptide_id", "cluster_id", F.col("size").alias("cluster_size"), "outer_fold", F.sha2("aligned", 256).alias("aligned_sha256"))
 
 
-@query()
+AUDIT = EDGES + f""",
+th as materialized (select cast(unnest({THRESHOLDS}) as double) as t),
+e as materialized (select t, a as x, b as y from pairs, th where identity + 1e-12 >= t union all select t, b, a from pairs, th where identity + 1e-12 >= t),
+reach as (select t, rep as x, rep as y from cls, th union select r.t, r.x, e.y from reach r join e on r.t = e.t and r.y = e.x),
+roots as materialized (select t, x as rep, min(y) as root from reach group by t, x),
+sizes as materialized (select t, root, cast(sum(n) as bigint) as size from roots join cls using (rep) group by t, root)""" + _walk("t") + """,
+fold_sizes as (select t, fold, sum(size) as f from walk where k > 0 group by t, fold),
+spread as (select t, min(f) as smallest, max(f) as largest_fold from fold_sizes group by t),
+about as (select t, count(*) as components, count(*) filter (size = 1) as singletons, max(size) as largest, sum(size) as members from sizes group by t),
+audit as (select t as threshold, (select count(*) from e where e.t = about.t) // 2 as edges, components, singletons, largest, round(largest / members, 9) as largest_fraction, round(largest_fold / smallest, 9) as fold_ratio, components >= 3 and largest_fold / smallest <= 1.5 as eligible
+  from about join spread using (t))"""
+
+
+@query(f"with recursive {AUDIT} select * from audit")
 def threshold_audit(spark, d) -> DataFrame:
     """Edges, components, fold sizes and eligibility at each threshold; edges are scored once, at the lowest."""
     distinct = G.cut(I.classes(T.panel(spark, d)))
@@ -133,7 +160,7 @@ def threshold_audit(spark, d) -> DataFrame:
     return out
 
 
-@query()
+@query(f"with recursive {AUDIT} select * from audit where eligible order by threshold limit 1")
 def selected_threshold(spark, d) -> DataFrame:
     """The lowest eligible threshold; no row if none is."""
     return threshold_audit(spark, d).filter("eligible").orderBy("threshold").limit(1)
@@ -315,7 +342,20 @@ def structure_entity_match(spark, d) -> DataFrame:
     return both.groupBy("n_nationkey").agg(F.sum(F.when(F.col("name") == F.col("nation"), F.col("n")).otherwise(0)).alias("exact"), F.sum(F.when(F.contains("name", F.substring("nation", 1, 2)), F.col("n")).otherwise(0)).alias("partial"))
 
 
-@query()
+ALIGNED = PANEL + """,
+refs as materialized (select distinct rpad(substr(regexp_replace(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '[BJOUXZ]', '', 'g'), 1, 30), 30, '-') as r from (select text from benchmark order by item_id limit 25)),
+raws as materialized (select distinct replace(aligned, '-', '') as raw from panel where aligned <> repeat('-', 30)),
+grow as (select raw, '' as s, 0 as i from raws where length(raw) >= 26
+  union select raw, s || if(take, substr(raw, i + 1, 1), '-'), i + take::int from grow, (select unnest([true, false]) as take) where length(s) < 30 and if(take, i < length(raw), length(s) - i < 30 - length(raw))),
+costs as (select raw, s, min(hamming(s, r)) as h from grow, refs where length(s) = 30 and r <> repeat('-', 30) group by raw, s),
+least as (select raw, min(h) as h from costs group by raw),
+hits as (select raw, count(*) as hits, min(s) as s from costs join least using (raw, h) group by raw),
+gaps as (select raw, r, hits, s, hamming(s, r) as h, len(list_filter(range(1, 31), lambda k: s[k] = '-' and r[k] = '-')) as blank from hits, refs where r <> repeat('-', 30)),
+near as (select raw, any_value(hits) as hits, any_value(s) as s, max((30 - h - blank) / (30 - blank)::double) as identity from gaps group by raw),
+fate as (select raw, s, case when length(raw) < 26 then 'invalid' when hits > 1 then 'ambiguous' when hits is null or identity < 0.85 then 'too_far' when length(raw) = 30 then 'direct' else 'mapped_unambiguously' end as status from raws left join near using (raw))"""
+
+
+@query(f"with recursive {ALIGNED} select peptide_id, raw, case when status in ('direct', 'mapped_unambiguously') then s end as aligned, status from (select peptide_id, replace(aligned, '-', '') as raw from panel where aligned <> repeat('-', 30)) join fate using (raw)")
 def raw_alignment(spark, d) -> DataFrame:
     """Raw sequences of 26 to 30 residues projected on the benchmark's references (a bounded panel of its first 25 ids)."""
     import pandas as pd

@@ -89,6 +89,26 @@ def test_greedy_folds_rule(spark):
     assert got == want and sorted(load, reverse=True) == [42, 42, 41]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 20), max_size=8), st.integers(2, 5))
+def test_fold_plan_is_the_sequential_rule(histogram, folds):
+    load, want, got = [0] * folds, [], []
+    for size in sorted(histogram, reverse=True):
+        for _ in range(histogram[size]):
+            k = load.index(min(load))
+            load[k] += size
+            want.append(k + 1)
+    for size, _, segments in graph._fold_plan(list(histogram.items()), folds):
+        for k in range(histogram[size]):
+            first, turn = [s for s in segments if s[0] <= k][-1]
+            got.append(turn[(k - first) % len(turn)])
+    assert got == want
+
+
+def test_folds_of_nothing(spark):
+    assert graph.greedy_folds(spark.createDataFrame([], "root string, size long")).count() == 0
+
+
 def test_components_of_nothing(spark):
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
