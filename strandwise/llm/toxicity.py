@@ -11,9 +11,10 @@ logistic curve, fitted on labelled rows that the counts didn't see, makes it a p
 
 The model learns from at most `rows` labelled rows, those with the smallest hashes of the id; label
 rows of one id count as one, toxic if any is. Labels null or of no document are ignored. Null or empty
-texts have no passages and the score of such. Texts of any length are scanned whole; copies and ties
-score alike; with an empty table or labels of one kind alone all scores are the prior's. Only id and
-text are read, whatever other columns there are.
+texts have no passages and the score of such. Texts of any length are scanned whole; a
+word that repeats the one before it counts for nothing, so that runs of one odd word are no passage.
+Copies and ties score alike; with an empty table or labels of one kind alone all scores are the
+prior's. Only id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -46,6 +47,14 @@ def words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return starts, ends, C.per_row(starts, offs), *hashes, C.token_hashes(low, starts, ends)
 
 
+def repeats(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a word is the one before it in its row."""
+    out = np.zeros(len(words), bool)
+    out[1:] = words[1:] == words[:-1]
+    out[at[:-1][at[:-1] < len(words)]] = False
+    return out
+
+
 class LogOdds:
     """Log-odds by hash, from the most to the least specific."""
 
@@ -105,6 +114,7 @@ class ToxicPassages:
         """For each row the number of words and its maximal segments (bytes from, bytes to, score)."""
         starts, ends, at, *hashes = words_of(data, offs)
         s = self.odds.of(hashes) - self.drift
+        s[repeats(hashes[-1], at)] = 0.0
         # words below zero cost what they score; cumulated, so that a gap's cost is a difference
         cost = np.concatenate(([0.0], np.cumsum(np.where(s > 0, 0.0, -s))))
         hits = np.flatnonzero(s > 0)

@@ -165,6 +165,13 @@ def test_toxicity(spark, docs, empty):
     some = next(r for r in got.values() if r["predicted"])
     text = dict(rows)[some["doc_id"]]
     assert any("nast" in text[p["start"] : p["end"]] or "vile" in text[p["start"] : p["end"]] for p in some["passages"])
+    once, often, apart = (np.frombuffer(x, np.uint8) for x in (b"river nastyword cloud", b"river" + b" nastyword" * 30 + b" cloud", b"nastyword"))
+    joined = np.concatenate([apart, apart])  # two rows of that word alone
+    assert model.statistics(once, np.array([0, len(once)]))[0] > 0
+    assert list(toxicity.repeats(np.array([5, 5, 5, 7, 7]), np.array([0, 1, 4, 4, 5]))) == [False, False, True, False, False]
+    assert len({float(x) for x in model.statistics(joined, np.array([0, len(apart), len(joined)]))[0]}) == 1
+    highest = [max(s for *_, s in found) for data in (once, often) for _, found in model.scan(data, np.array([0, len(data)]))]
+    assert highest[0] == pytest.approx(highest[1])
     assert model.score(docs).count() == docs.count() and model.score(empty).count() == 0
     assert set(model.keep_clean(docs).columns) == set(docs.columns)
     nothing = toxicity.ToxicPassages.fit(empty, lab.limit(0), F.lit(True))
