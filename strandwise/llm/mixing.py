@@ -2,17 +2,22 @@
 
 Documents are counted into cells of source, language and topic by their tokens. The cells' shares are
 raked to the three target marginals in turn, and a document's inclusion probability is that of its
-cell: min(1, s * raked share / share), with s such that the expected tokens meet the budget. Whether
+cell: min(1, s * raked share / share), with s such that the expected tokens meet the budget. Cells that
+reach 1 then pull the drawn marginals back to the corpus, so sample() holds the targets instead: it
+rakes with the bound and, where the budget can't be met so, draws less and warns. Beyond `bound` cells
+it takes the largest s that leaves all cells below 1, which has the same marginals and may draw less. Whether
 a document is taken depends on its id alone (an md5 draw), so a run again takes the same ones.
 
 Null source, language or topic is a value of its own (empty text); null text is empty and has its end
 token alone. Repeated rows of an id are drawn alike. An empty table gives an empty one. Up to `bound`
-cells are raked on the driver, more by joins in Spark, with the same result. Only the named columns
+cells are raked on the driver, more by joins in Spark, with the same result for calibrated(). Only the named columns
 are read; all others stay with the row in sample(), whatever their names.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +70,48 @@ def fill(tokens: np.ndarray, ratio: np.ndarray, budget: float) -> np.ndarray:
     return np.minimum(1, s[fits[0]] * ratio) if len(fits) else np.ones(len(t))
 
 
+def hold(codes: list[np.ndarray], tokens: np.ndarray, targets: list[np.ndarray], ratio: np.ndarray, keep: float, rounds: int) -> np.ndarray:
+    """Probabilities whose expected tokens have the target marginals, for the largest budget up to keep that allows it.
+
+    Each step scales the cells of one value until min(1, it) gives that value's part of the budget. Scaling the raked
+    ratios by one factor has their marginals too, but stops at the first cell that is whole: it is the least budget tried.
+    """
+    total = tokens.sum()
+    even = ratio * min(keep, 1 / ratio.max())
+    groups = [[(np.flatnonzero(code == k), goal) for k, goal in enumerate(target) if goal > 0] for code, target in zip(codes, targets, strict=True)]
+
+    def bounded(budget: float) -> np.ndarray | None:
+        m = ratio.copy()
+        for _ in range(4 * rounds):
+            for parts in groups:
+                for at, goal in parts:
+                    found = fill(tokens[at], m[at], goal * budget)
+                    part = found < 1
+                    if not part.any() or not m[at][part].max() > 0:
+                        return None
+                    m[at] *= (found[part] / np.where(m[at][part] > 0, m[at][part], np.inf)).max()
+            p = np.minimum(1, m)
+            if all(np.abs(np.bincount(c, tokens * p, len(g)) / budget - g).max() < 1e-6 for c, g in zip(codes, targets, strict=True)):
+                return p
+        return None
+
+    low = (even * tokens).sum()
+    high = min([keep * total, *((np.bincount(c, tokens, len(g))[g > 0] / g[g > 0]).min() * (1 - 1e-9) for c, g in zip(codes, targets, strict=True))])
+    best, budget = even, high
+    for _ in range(12):
+        found = bounded(budget) if budget > low else None
+        low, high, best = (low, budget, best) if found is None else (budget, high, found)
+        if high - low < 1e-3 * total:
+            break
+        budget = (low + high) / 2
+    return best
+
+
+def _report(drawn: float, keep: float) -> None:
+    if drawn < keep * (1 - 1e-6):
+        warnings.warn(f"the targets allow {drawn:.4f} of the tokens, not {keep}", stacklevel=3)
+
+
 class Mixture:
     """The calibrated probability of each cell, as a table (source, lang, topic, prob)."""
 
@@ -72,12 +119,12 @@ class Mixture:
         self.cells, self.small = cells, small
 
     @classmethod
-    def calibrate(cls, keyed: DataFrame, exponent: float = 0.7, keep: float = 0.8, rounds: int = 25, targets: dict[str, dict[str, float]] | None = None, bound: int = 500_000) -> Mixture:
-        """keyed: __source, __lang, __topic, __tokens. targets: shares of a dimension's values; tempered shares where none are given."""
+    def calibrate(cls, keyed: DataFrame, exponent: float = 0.7, keep: float = 0.8, rounds: int = 25, targets: dict[str, dict[str, float]] | None = None, bound: int = 500_000, hold_targets: bool = False) -> Mixture:
+        """keyed: __source, __lang, __topic, __tokens. targets: shares of a dimension's values; tempered shares where none are given. With hold_targets the drawn tokens keep the raked marginals and keep is the most that is drawn; without, keep is met and cells that are whole give up theirs."""
         spark = keyed.sparkSession
         cells = C.cut(keyed.groupBy(*(f"__{d}" for d in DIMS)).agg(F.sum("__tokens").cast("double").alias("t")))
         if cells.count() > bound:
-            return cls._in_spark(cells, exponent, keep, rounds, targets or {})
+            return cls._in_spark(cells, exponent, keep, rounds, targets or {}, hold_targets)
         rows = cells.collect()  # at most `bound`
         tokens = np.array([r.t for r in rows], float)
         codes, goals = [], []
@@ -89,12 +136,17 @@ class Mixture:
                 goal = goal / max(goal.sum(), 1e-300)
             codes.append(code)
             goals.append(goal)
-        prob = fill(tokens, rake(codes, tokens, goals, rounds) * tokens.sum() / tokens, keep * tokens.sum()) if rows else np.zeros(0)
+        ratio = rake(codes, tokens, goals, rounds) * tokens.sum() / tokens if rows else np.zeros(0)
+        if rows and hold_targets:
+            prob = hold(codes, tokens, goals, ratio, keep, rounds)
+            _report(float((prob * tokens).sum() / tokens.sum()), keep)
+        else:
+            prob = fill(tokens, ratio, keep * tokens.sum()) if rows else np.zeros(0)
         made = [(*(r[f"__{d}"] for d in DIMS), float(p)) for r, p in zip(rows, prob, strict=True)]
         return cls(spark.createDataFrame(made, ", ".join(f"cell_{d} string" for d in DIMS) + ", prob double"), True)
 
     @classmethod
-    def _in_spark(cls, cells: DataFrame, exponent: float, keep: float, rounds: int, targets: dict) -> Mixture:
+    def _in_spark(cls, cells: DataFrame, exponent: float, keep: float, rounds: int, targets: dict, hold_targets: bool) -> Mixture:
         total = cells.agg(F.sum("t")).first()[0]
         now = cells.withColumn("share", F.col("t") / total)
         goals = []
@@ -109,6 +161,11 @@ class Mixture:
                 now = now.join(have, now[f"__{d}"] == have["k"]).withColumn("share", F.col("share") * F.col("by")).drop("k", "by")
             now = C.cut(now)
         ratio = now.withColumn("ratio", F.col("share") * total / F.col("t"))
+        if hold_targets:
+            most, drawn = ratio.agg(F.max("ratio"), F.sum(F.col("t") * F.col("ratio")) / total).first()
+            s = min(keep, 1 / most)
+            _report(s * drawn, keep)
+            return cls(ratio.select(*(F.col(f"__{d}").alias(f"cell_{d}") for d in DIMS), F.least(F.lit(1.0), F.col("ratio") * s).alias("prob")), False)
         low, high = 0.0, 1.0
         tokens = lambda s: ratio.agg(F.sum(F.col("t") * F.least(F.lit(1.0), F.col("ratio") * s))).first()[0]
         while tokens(high) < keep * total and high < 2**60:
@@ -139,9 +196,9 @@ def calibrated(docs: DataFrame, **how) -> DataFrame:
 
 
 def sample(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that are drawn, with all their columns."""
+    """The rows of docs that are drawn, with all their columns; the drawn tokens have the target marginals."""
     rows = keyed(docs)
-    mixture = Mixture.calibrate(rows, **how)
+    mixture = Mixture.calibrate(rows, **{"hold_targets": True} | how)
     names = docs.columns
     cells = mixture.cells.withColumnRenamed("prob", "__prob")
     return Mixture(cells, mixture.small).join(rows).filter(draw(F.col("doc_id")) < F.col("__prob")).select(*names)

@@ -256,6 +256,34 @@ def test_raking_meets_the_marginals(docs, empty):
     assert mixing.calibrated(empty).count() == 0 and mixing.sample(docs).columns == docs.columns
 
 
+def test_drawn_tokens_have_the_target_marginals(spark):
+    rows = [(s, l, t, n) for s, a in (("x", 1), ("y", 9)) for l, b in (("en", 8), ("de", 2)) for t, c in (("prose", 50), ("legal", 1)) for n in [a * b * c + (s == "x") * 3]]
+    df = spark.createDataFrame(rows, "__source string, __lang string, __topic string, __tokens long")
+    goals = {"source": {"x": 0.5, "y": 0.5}, "lang": {"en": 0.6, "de": 0.4}, "topic": {"prose": 0.8, "legal": 0.2}}
+    drawn = []
+    for bound in (500_000, 1):
+        with pytest.warns(UserWarning, match="targets allow"):
+            mixture = mixing.Mixture.calibrate(df, targets=goals, rounds=6, bound=bound, hold_targets=True)
+        got = rows_of(mixture.join(df))
+        total = sum(r["prob"] * r["__tokens"] for r in got)
+        for d, goal in goals.items():
+            for value, share in goal.items():
+                assert abs(sum(r["prob"] * r["__tokens"] for r in got if r[f"__{d}"] == value) / total - share) < 1e-4
+        assert max(r["prob"] for r in got) <= 1
+        drawn.append(total)
+    assert drawn[0] >= drawn[1] * (1 - 1e-6)
+
+
+def test_sample_draws_the_target_marginals(spark):
+    rows = [(i, ("licence " if i % 20 == 0 else "") + "w " * (10 + i % 7), "en", f"s{i % 2}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = rows_of(mixing.keyed(mixing.sample(df)).groupBy("__topic").agg(F.sum("__tokens").alias("t")))
+    whole = rows_of(mixing.keyed(df).groupBy("__topic").agg(F.sum("__tokens").alias("t")).orderBy("__topic"))
+    goal = dict(zip([r["__topic"] for r in whole], mixing.tempered(np.array([r["t"] for r in whole], float), 0.7)))
+    total = sum(r["t"] for r in kept)
+    assert all(abs(r["t"] / total - goal[r["__topic"]]) < 0.01 for r in kept)
+
+
 def test_languages(spark, docs, empty):
     rng = np.random.default_rng(4)
     stems = {"aa": ["thing", "with", "the"], "bb": ["keit", "und", "sch"], "cc": ["ción", "que", "los"]}
