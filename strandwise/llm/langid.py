@@ -89,6 +89,7 @@ def _has_letter(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 class OutputCodes:
     def __init__(self, languages: list[str], code: np.ndarray, weights: np.ndarray, trust: np.ndarray, bits: int, gain: float, ambiguous: float):
         self.languages, self.code, self.weights, self.trust, self.bits, self.gain, self.ambiguous = languages, code, weights, trust, bits, gain, ambiguous
+        self.limit = np.inf
 
     @classmethod
     def fit(cls, docs: DataFrame, train: Column, bits: int = 13, smoothing: float = 0.5, gain: float = 12.0, ambiguous: float = 0.2) -> OutputCodes:
@@ -128,23 +129,50 @@ class OutputCodes:
                 trust[b] = max((code[:, b] * (p @ weights[:, b])).min(), 0.01)
         return cls(languages, code, weights.astype(np.float32), trust / trust.mean(), bits, gain, ambiguous)
 
-    def predict(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Position of the language (-1: und), score, and whether it is ambiguous, for each row of a block."""
+    def predict(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Position of the language (-1: und), score, whether it is ambiguous, and the loss of its codeword, for each row of a block."""
         rows = len(offs) - 1
-        at, score, unsure = np.full(rows, -1), np.zeros(rows), np.ones(rows, bool)
+        at, score, unsure, least = np.full(rows, -1), np.zeros(rows), np.ones(rows, bool), np.full(rows, np.inf)
         if not self.languages:
-            return at, score, unsure
+            return at, score, unsure, least
         for i, j, counts in counts_by_row(data, offs, self.bits):
             n = np.maximum(counts.sum(1, keepdims=True), 1)
             margin = self.gain * (counts.astype(np.float32) @ self.weights).astype(float) / n
             loss = np.logaddexp(0, -margin[:, None, :] * self.code[None, :, :]) @ self.trust
+            least[i:j] = loss.min(1)
             p = np.exp(loss.min(1, keepdims=True) - loss)
             p /= p.sum(1, keepdims=True)
             ordered = np.sort(p, axis=1)
             at[i:j], score[i:j] = p.argmax(1), ordered[:, -1]
             unsure[i:j] = ordered[:, -1] - ordered[:, -2] < self.ambiguous if len(self.languages) > 1 else False
         letters = _has_letter(data, offs)
-        return np.where(letters, at, -1), np.where(letters, score, 0.0), unsure | ~letters
+        return np.where(letters, at, -1), np.where(letters, score, 0.0), unsure | ~letters, least
+
+    def measure(self, docs: DataFrame, held_out: Column) -> OutputCodes:
+        """Sets how far the nearest codeword may be, from the held-out documents that decode to their own language.
+
+        The limit is the geometric mean of the greatest loss of these and the loss of a text without any evidence, as
+        losses fall off with the exponent of the margin; it is never above the latter. Without such documents, or with
+        fewer than two languages, there is no limit.
+        """
+        if len(self.languages) < 2:
+            return self
+        model, chosen = self, docs.filter(held_out & F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+
+        def losses(batches):
+            names, most = np.array([*model.languages, UND], object), -1.0
+            for batch in batches:
+                langs = np.array(batch.column(1).to_pylist(), object)
+                for i, j, data, offs in C.text_blocks(batch):
+                    at, _, unsure, least = model.predict(data, offs)
+                    most = max(most, least[(names[at] == langs[i:j]) & ~unsure].max(initial=-1.0))
+            yield pa.RecordBatch.from_arrays([pa.array([most])], ["most"])
+
+        most = chosen.mapInArrow(losses, "most double").agg(F.max("most")).first()[0]
+        if most is not None and most >= 0:
+            blank = float(np.log(2) * self.trust.sum())
+            self.limit = min((most * blank) ** 0.5, blank)
+        return self
 
     def identify(self, docs: DataFrame, flag: Column | None = None) -> DataFrame:
         """doc_id, the flag, lang_pred, score and ambiguous of every row."""
@@ -154,21 +182,24 @@ class OutputCodes:
             names = np.array([*model.languages, UND], object)
             for batch in batches:
                 for i, j, data, offs in C.text_blocks(batch):
-                    at, score, unsure = model.predict(data, offs)
+                    at, score, unsure, _ = model.predict(data, offs)
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(names[at], pa.string()), pa.array(score), pa.array(unsure)], ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
         chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lit(False) if flag is None else F.coalesce(flag, F.lit(False))).alias("held_out"), F.col("text").cast("string").alias("text"))
         return chosen.mapInArrow(scored, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
     def keep_known(self, docs: DataFrame) -> DataFrame:
-        """docs without the rows that have no language; all columns as they were."""
+        """docs without the rows that have no language; all columns as they were. After measure(), those that are ambiguous or too far from all codewords have none."""
         model, column = self, docs.columns.index("text")
 
         def kept(batches):
             for batch in batches:
                 texts = pa.RecordBatch.from_arrays([batch.column(column)], ["text"])
-                at = [model.predict(data, offs)[0] for *_, data, offs in C.text_blocks(texts)]
-                if at:
-                    yield batch.filter(pa.array(np.concatenate(at) >= 0))
+                known = []
+                for *_, data, offs in C.text_blocks(texts):
+                    at, _, unsure, least = model.predict(data, offs)
+                    known.append((at >= 0) & (~unsure & (least <= model.limit) if np.isfinite(model.limit) else True))
+                if known:
+                    yield batch.filter(pa.array(np.concatenate(known)))
 
         return docs.mapInArrow(kept, docs.schema)

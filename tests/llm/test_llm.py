@@ -302,6 +302,18 @@ def test_languages(spark, docs, empty):
         assert len({tuple(x) for x in code}) == k
 
 
+def test_language_stage_rejects_junk_with_letters(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(9)
+    stems = {"aa": ["thing", "with", "the", "and", "stone", "water"], "bb": ["keit", "und", "sch", "heit", "ge", "ein"], "cc": ["ción", "que", "los", "para", "una", "del"]}
+    clean = [(i, " ".join(rng.choice(stems[l], 12 + i % 20)), l) for i in range(600) for l in [list(stems)[i % 3]]]
+    junk = [(1000, "".join(rng.choice(list("bcdfghjklmnpqrtvwxz"), 300)), None), (1001, "Это русский текст о погоде " * 5, None), (1002, "QZX123+/" * 40, None), (1003, "日本語のテキスト" * 10, None)]
+    df = spark.createDataFrame([*clean, *junk, (1004, "12 34", "aa")], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in rows_of(corpus_pipeline.language_id(spark, df, ""))}
+    assert kept == set(range(600))
+
+
 def test_licenses(spark, docs, empty):
     scanner = licenses.LicenseScanner()
     rows, want = [], {}
