@@ -6,7 +6,8 @@ of s extra bits a code of 9 - s bits, so every sample takes exactly nine bits an
 array operations; frames of other encoders, with any Huffman table, size or predictor, go through
 the scalar decoder. Reading walks the RIFF chunks, follows the index, decodes each intra frame, and
 cuts shots where the histogram difference of neighbouring frames exceeds an adaptive threshold: the
-mean of the shot's last differences and a multiple of their deviation.
+mean of the shot's last small differences and a multiple of their deviation, or `least` where that is
+more or the shot has none yet.
 
 Null text is empty, and an empty text is one frame of bytes 255. Repeated rows give equal values. Long
 texts are long videos, encoded in blocks of frames. An empty table gives an empty one. Bytes that
@@ -222,12 +223,12 @@ def shots(frames: list[np.ndarray], bins: int = 16, window: int = 8, factor: flo
     diffs = np.abs(np.diff(hist, axis=0)).sum(1) / 2
     cuts, recent = [0], []
     for k, d in enumerate(diffs.tolist(), 1):
-        mean = sum(recent) / len(recent) if recent else d
+        mean = sum(recent) / len(recent) if recent else 0.0
         spread = (sum((x - mean) ** 2 for x in recent) / len(recent)) ** 0.5 if recent else 0.0
-        if recent and d > max(least, mean + factor * spread):
+        if d > max(least, mean + factor * spread):
             cuts.append(k)
             recent = []
-        else:
+        elif d <= least:  # larger ones would hide the cuts behind them
             recent = [*recent[1 - window :], d] if window > 1 else [d]
     return list(zip(cuts, [*cuts[1:], len(frames)], strict=True)), diffs
 

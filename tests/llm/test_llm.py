@@ -127,6 +127,16 @@ def test_foreign_frames_and_broken_files(spark):
     assert all(r["error"] for r in rows_of(media.read_media(df)))
 
 
+def test_shots_near_each_other_are_cut():
+    dark, light = np.full((24, 24), 10, np.uint8), np.full((24, 24), 200, np.uint8)
+    plain = [np.full((24, 24), 16 * k, np.uint8) for k in range(12)]
+    cuts = lambda frames: [a for a, _ in media.shots(frames)[0]]
+    assert cuts([dark, light]) == [0, 1] and cuts([dark] * 9) == [0]
+    assert cuts([dark] + [light] * 5 + [dark] * 5 + [light] * 5) == [0, 1, 6, 11]
+    assert cuts(plain) == list(range(12))
+    assert cuts([dark] * 3 + [light] * 2 + [dark] * 6) == [0, 3, 5]
+
+
 def brute_segments(s):
     """Maximal segments by definition: recursively the best (shortest, then first) segment."""
     if not s or max(s) <= 0:
