@@ -184,14 +184,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, that with the smallest id; all columns as they were.
 
-    Rows without an id come behind all ids below 2**62, in the order of their texts' hashes. Rows that
-    repeat both id and text are one.
+    Of different texts under that id one stays, that with the smallest hash, and a text's place is its own, whatever
+    other texts have its id. Rows without an id come behind all ids below 2**62, in the order of their texts' hashes.
+    Rows that repeat both id and text are one.
     """
     content = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    keyed = docs.withColumn("__key", F.coalesce(F.col(doc_id).cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(content, 2)))
-    found = C.cut(near_duplicates(keyed, "__key", text).select(F.col("doc_id").alias("__key"), "component_id"))
-    gone = found.filter(F.col("__key") != F.col("component_id")).select("__key").distinct()
-    kept = keyed.join(gone, "__key", "left_anti")
-    if found.groupBy("__key").count().filter("count > 1").limit(1).count():  # ids that aren't unique
-        kept = kept.withColumn("__content", content).dropDuplicates(["__key", "__content"])
+    keyed = docs.withColumns({"__content": content, "__key": F.coalesce(F.col(doc_id).cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(content, 2))})
+    rows = C.cut(keyed.groupBy("__key", "__content").agg(F.count("*").alias("n")))
+    found = near_duplicates(keyed, "__content", text).groupBy(F.col("doc_id").alias("of")).agg(F.min("component_id").alias("component_id"))
+    least = rows.groupBy("__content").agg(F.min("__key").alias("__key"))
+    first = least.join(found, least["__content"] == found["of"]).groupBy("component_id").agg(F.min(F.struct("__key", "__content")).alias("first"))
+    first = C.cut(first.select("first.*"))
+    kept = keyed.join(first, ["__key", "__content"], "left_semi")
+    if rows.filter("n > 1").limit(1).count():  # rows that repeat id and text
+        kept = kept.dropDuplicates(["__key", "__content"])
     return kept.select(*docs.columns)

@@ -210,6 +210,17 @@ def test_fingerprints_and_components(docs, empty):
     assert len(kept) == len(set(kept))
 
 
+def test_one_row_stays_of_each_component_when_ids_repeat(spark):
+    rng = np.random.default_rng(12)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 10**6, 200))
+    a, b, c, d = text(), text(), text(), text()
+    near = lambda t: t.upper()
+    rows = [(5, a), (5, b), (3, near(b)), (5, c), (5, near(c)), (2, d), (2, near(d)), (2, d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text.lower()) for r in simhash.keep_one(df).collect()]
+    assert sorted(kept) == sorted([(5, a), (3, b), (5, c), (2, d)])
+
+
 def check_components(prints, component):
     ids = list(prints)
     for i in ids:  # flood fill
