@@ -6,15 +6,20 @@ the number or length of the rows of an Arrow batch (one text longer than a block
 
 from __future__ import annotations
 
+import atexit
+import mmap
 import os
 import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,9 +46,11 @@ def id_mod(column: str, modulus: int) -> Column:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; an own one is set only where none is (tests)."""
+    """The folder that driver and executors share. An own one is set only where none is and all tasks run on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="strandwise-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
@@ -56,6 +63,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries that run within go when each of them ends."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 class SharedFolder:
     """A folder of raw arrays below the shared root, written by tasks and mapped by workers."""
 
@@ -64,9 +83,11 @@ class SharedFolder:
 
     @classmethod
     def create(cls, spark: SparkSession, name: str) -> SharedFolder:
+        """A new folder; if drop() isn't called before, it goes when the driver ends."""
         folder = cls(f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}")
         fs, path = folder._fs()
         fs.create_dir(path, recursive=True)
+        _created.append(folder)
         return folder
 
     def _fs(self):
@@ -76,33 +97,45 @@ class SharedFolder:
             return fs.LocalFileSystem(), urlparse(self.uri).path
         return fs.FileSystem.from_uri(self.uri)
 
-    def write(self, name: str, array: np.ndarray) -> None:
-        """Atomic, so that a task that is run again or twice leaves a whole file."""
+    def write(self, name: str, *arrays: np.ndarray) -> None:
+        """One array behind the other. Atomic, so that a task that is run again or twice leaves a whole file."""
         fs, path = self._fs()
         part = f"{path}/.{name}.{uuid.uuid4().hex}"
         with fs.open_output_stream(part) as out:
-            out.write(np.ascontiguousarray(array).tobytes() if array.size else b"")
+            for array in arrays:
+                if array.size:
+                    out.write(np.ascontiguousarray(array).view(np.uint8).data)
         fs.move(part, f"{path}/{name}")
 
-    def map(self, name: str, dtype) -> np.ndarray:
-        """Memory-maps an array. A store that can't be mapped is copied to an unlinked local file first."""
+    def map(self, name: str) -> np.ndarray:
+        """A file's bytes, memory-mapped; those of a store that can't be mapped are read into memory. Empty if there is none."""
         from pyarrow import fs as pafs
 
         fs, path = self._fs()
-        size = fs.get_file_info(f"{path}/{name}").size
-        if not size:
-            return np.zeros(0, dtype)
-        if isinstance(fs, pafs.LocalFileSystem):
-            return np.memmap(f"{path}/{name}", dtype, "r")
-        with tempfile.TemporaryFile() as local, fs.open_input_stream(f"{path}/{name}") as source:
-            while block := source.read(8 << 20):
-                local.write(block)
-            local.flush()
-            return np.memmap(local, dtype, "r")
+        try:
+            if isinstance(fs, pafs.LocalFileSystem):
+                with open(f"{path}/{name}", "rb") as f:
+                    if not os.fstat(f.fileno()).st_size:
+                        return np.zeros(0, np.uint8)
+                    return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), np.uint8)
+            with fs.open_input_stream(f"{path}/{name}") as source:
+                return np.frombuffer(source.readall(), np.uint8)
+        except FileNotFoundError:
+            return np.zeros(0, np.uint8)
 
     def drop(self) -> None:
         fs, path = self._fs()
-        fs.delete_dir(path)
+        if fs.get_file_info(path).type.name == "Directory":
+            fs.delete_dir(path)
+
+
+_created: list[SharedFolder] = []
+
+
+@atexit.register
+def _drop_created() -> None:
+    for folder in _created:
+        folder.drop()
 
 
 # ------------------------------------------------------------------ text as bytes
@@ -145,21 +178,6 @@ def per_row(starts: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.searchsorted(starts, offs)
 
 
-_RNG = np.random.Generator(np.random.PCG64(20260101))
-BYTE_VALUES = _RNG.integers(1, 1 << 63, 256, dtype=np.int64).view(U64) | U64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power_table(base: int, n: int) -> np.ndarray:
-    if base not in _powers or len(_powers[base]) < n:
-        steps = np.full(max(n, BLOCK_BYTES + 1), U64(base))
-        steps[0] = U64(1)
-        _powers[base] = np.multiply.accumulate(steps)
-    return _powers[base][:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection of 64-bit words."""
     h = h ^ (h >> U64(30))
@@ -169,23 +187,40 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-_UNMIX = U64(pow(0x94D049BB133111EB, -1, 1 << 64)), U64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], U64)
+_LONG = 32  # bytes; longer ranges are hashed whole
 
 
-def unmix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> U64(31)) ^ (h >> U64(62))
-    h = h * _UNMIX[0]
-    h = h ^ (h >> U64(27)) ^ (h >> U64(54))
-    h = h * _UNMIX[1]
-    return h ^ (h >> U64(30)) ^ (h >> U64(60))
+def heads(data: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The first eight bytes of ranges of n bytes as little-endian words; what a shorter range lacks is 0."""
+    if not len(starts):
+        return np.zeros(0, U64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    at_any_byte = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    return at_any_byte[starts] & _HEAD[np.minimum(n, 8)]
 
 
 def token_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges: a polynomial in a random base over random byte values, finalised."""
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(BYTE_VALUES[data] * _power_table(_BASE, len(data)), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _power_table(_INVERSE, len(data) + 1)[starts]
-    return mix(h + (ends - starts).astype(U64))
+    """64-bit hashes of byte ranges.
+
+    Ranges of up to seven bytes have distinct ones: their bytes and length under a bijection. Up to 32
+    bytes are mixed word by word, each step a bijection of the next word; longer ones are XXH3's.
+    Chance collisions of longer ranges remain: n(n-1) / 2**65 pairs are expected among n of them.
+    """
+    n = ends - starts
+    h = heads(data, starts, n)
+    h = mix(h | np.where(n < 8, n, 8).astype(U64) << U64(56)) if (n < 8).all() else mix(np.where(n < 8, h | np.minimum(n, 8).astype(U64) << U64(56), h ^ U64(0xD6E8FEB86659FD93)))
+    for k in (8, 16, 24):
+        more = np.flatnonzero((n > k) & (n <= _LONG))
+        if not len(more):
+            break
+        left = n[more] - k
+        h[more] = mix((h[more] ^ heads(data, starts[more] + k, left)) * U64(0x9E3779B97F4A7C15) + np.minimum(left, 8).astype(U64))
+    whole = np.flatnonzero(n > _LONG)
+    if len(whole):
+        raw, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_64_intdigest
+        h[whole] = [digest(raw[a:b]) for a, b in zip(starts[whole].tolist(), ends[whole].tolist(), strict=True)]
+    return h
 
 
 def hash_word(word: bytes) -> int:
@@ -229,16 +264,6 @@ def unpack_sorted(blob: bytes, n: int) -> np.ndarray:
     return np.cumsum(unpack(blob, n, U64), dtype=U64)
 
 
-def sum_by_key(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct sorted keys with their summed counts (counts: one or more columns)."""
-    if not len(keys):
-        return keys, counts
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(counts, first, axis=0)
-
-
 def count_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys = np.sort(keys)
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
@@ -262,9 +287,104 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[new], at[new], inverse
 
 
+def sum_by_key(keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys with their summed columns (a row of sums for each column; whole numbers are exact below 2**53)."""
+    kinds, _, inverse = distinct(keys)
+    out = np.empty((len(sums), len(kinds)), sums.dtype)
+    for x, column in zip(out, sums, strict=True):
+        x[:] = np.bincount(inverse, column, len(kinds))
+    return kinds, out
+
+
 def find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Positions of keys in a sorted array, or -1."""
     if not len(sorted_keys):
         return np.full(len(keys), -1, np.int64)
     at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
     return np.where(np.asarray(sorted_keys[at]) == keys, at, -1)
+
+
+# ------------------------------------------------------------------ sorted hash arrays in a shared folder
+
+
+def parts_of(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(part, start, end) of each part that sorted keys have something of; a part is the keys with the same leading bits."""
+    if not len(keys):
+        return []
+    part = keys >> U64(64 - bits) if bits else np.zeros(len(keys), U64)
+    first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    return list(zip(part[first].tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True))
+
+
+class HashArrays:
+    """Sorted 64-bit keys with columns of values: one raw file for each part, written by the task that has it and mapped by workers.
+
+    A column is "count" (whole numbers from 0: a byte each, and a sorted list of those above 254) or
+    "value" (doubles). Only parts that keys fall into are opened, the last `OPEN` of them stay open.
+    """
+
+    OPEN = 4096
+
+    def __init__(self, folder: str, name: str, bits: int, columns: tuple[str, ...]):
+        self.folder, self.name, self.bits, self.columns = folder, name, bits, columns
+        self.open: OrderedDict[int, tuple] = OrderedDict()
+
+    def __reduce__(self):  # maps are opened anew in each worker
+        return type(self), (self.folder, self.name, self.bits, self.columns)
+
+    def write(self, part: int, keys: np.ndarray, columns: list[np.ndarray]) -> None:
+        head, wide, plain = [len(keys)], [], []
+        for kind, x in zip(self.columns, columns, strict=True):
+            if kind == "value":
+                wide.append(x.astype("<f8"))
+                head.append(0)
+            else:
+                x = np.asarray(x, np.int64)
+                big = np.flatnonzero(x > 254)
+                wide += [big.astype("<i8"), x[big].astype("<i8")]
+                plain.append(np.minimum(x, 255).astype(np.uint8))
+                head.append(len(big))
+        SharedFolder(self.folder).write(f"{self.name}-{part}", np.array(head, "<i8"), keys.astype("<u8"), *wide, *plain)
+
+    def part(self, part: int) -> tuple:
+        if part in self.open:
+            self.open.move_to_end(part)
+            return self.open[part]
+        raw = SharedFolder(self.folder).map(f"{self.name}-{part}")
+        if not len(raw):
+            found = np.zeros(0, U64), [(np.zeros(0), None, None) for _ in self.columns]
+        else:
+            at = 8 * (1 + len(self.columns))
+            n, *big = raw[:at].view("<i8").tolist()
+
+            def take(count: int, kind: str) -> np.ndarray:
+                nonlocal at
+                size = count * np.dtype(kind).itemsize
+                at += size
+                return raw[at - size : at].view(kind)
+
+            keys = take(n, "<u8")
+            wide = [(take(n, "<f8"), None) if kind == "value" else (take(m, "<i8"), take(m, "<i8")) for kind, m in zip(self.columns, big, strict=True)]
+            found = keys, [(w[0], None, None) if kind == "value" else (take(n, "u1"), *w) for kind, w in zip(self.columns, wide, strict=True)]
+        self.open[part] = found
+        if len(self.open) > self.OPEN:
+            self.open.popitem(last=False)
+        return found
+
+    def look(self, keys: np.ndarray, which: tuple[int, ...] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Whether each of the sorted keys is held, and its values (0 where not) in the columns asked for."""
+        which = tuple(range(len(self.columns))) if which is None else which
+        held = np.zeros(len(keys), bool)
+        out = [np.zeros(len(keys), float if self.columns[k] == "value" else np.int64) for k in which]
+        for part, i, j in parts_of(keys, self.bits):
+            own, columns = self.part(part)
+            at = find(own, keys[i:j])
+            hit = np.flatnonzero(at >= 0)
+            held[i + hit] = True
+            for x, k in zip(out, which, strict=True):
+                values, big, those = columns[k]
+                x[i + hit] = values[at[hit]]
+                if big is not None and len(big):
+                    full = i + hit[values[at[hit]] == 255]
+                    x[full] = those[np.searchsorted(big, at[full - i])]
+        return held, out

@@ -1,18 +1,20 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark.
+"""Interpolated modified Kneser-Ney n-gram model (order 3 unless asked otherwise), counted in Spark.
 
-Counting takes three shuffles, all of sorted, delta-coded runs that tasks have already summed:
-tokens (64-bit hashes) to a vocabulary sorted by hash, whose positions are the token ids; bigrams
-(two 32-bit ids, mixed by a bijection) to sorted hash arrays with counts; and what each bigram
-array says about its contexts and its second tokens to arrays indexed by id. A hot token is no
-hot key: bigrams are dealt by the hash of both tokens. Every array is a raw file in the shared
-folder, which scoring workers memory-map; neither driver nor workers hold the model in memory.
+Every level n = order, ..., 1 is one scan of the text and one shuffle of sorted, delta-coded runs that
+tasks have already summed. The highest level counts n-grams c(g). A lower one maps the level above and
+lets every occurrence of an (n+1)-gram with count c add 1/c to what is counted once for each distinct
+one: to the number of distinct words before its n-gram (the adjusted count a), and to the totals and
+the counts of counts of its context. So no n-gram is ever shuffled with its words, only by its hash,
+and a hot word or context is no hot key. A level is sorted hash arrays, a file for each part, that
+workers memory-map; neither driver nor workers hold a model in memory.
 
-    p(w|u) = max(c(uw) - D(c(uw)), 0) / c(u) + g(u) p(w)
-    p(w)   = max(n(w) - D'(n(w)), 0) / n + g' / (V + 1)
+    p_n(w|u) = max(a(uw) - D_n(a(uw)), 0) / t(u) + (D_n(1) n1(u) + D_n(2) n2(u) + D_n(3) n3(u)) / t(u) * p_n-1(w|u')
+    p_1(w)   = max(a(w) - D_1(a(w)), 0) / t + g / (V + 1)
 
-where n(w) counts the distinct tokens before w, and D, D' are the modified discounts estimated from
-the counts of counts. The probabilities of the V tokens and of the unknown one sum to 1. A text's
-first token follows a start symbol; an unknown context leaves p(w).
+a is c at the highest level; D are the modified discounts, from the counts of counts of each level. The
+probabilities of the V tokens and of the unknown one sum to 1. order - 1 start symbols stand before a
+text; an unknown context leaves the lower level's probability. N-grams are told apart by 64-bit
+hashes: of n distinct ones n(n-1) / 2**65 pairs are expected to collide and be counted as one.
 
 Null text is empty and has its end alone; repeated rows count as often as they occur; an empty table
 has no score rows. With no training row, every token is unknown and has probability 1. Texts of any
@@ -21,10 +23,6 @@ length are scanned whole. Columns other than the id, the text and the flag are i
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from functools import cached_property
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,117 +30,33 @@ from pyspark.sql import functions as F
 
 from strandwise.llm import common as C
 from strandwise.llm.common import U64
-
-END = U64(C.hash_word(b"\nend"))  # no word holds white space, so no word has these bytes
-RUN = "bucket int, n long, keys binary, counts binary"
-PENDING = 3 << 20  # keys that a task holds before it sums them; sums beyond this go out as a run
-
-
-def _tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of each row with an end behind, and the rows' offsets among them."""
-    low = C.LOWER[data]
-    starts, ends = C.runs(~C.SPACE[low], offs)
-    at = C.per_row(starts, offs)
-    return np.insert(C.token_hashes(low, starts, ends), at[1:], END), at + np.arange(len(at))
-
-
-class Runs:
-    """Sums keys in memory and cuts them into one sorted run for each bucket."""
-
-    def __init__(self, bits: int, columns: int = 1, by_id: bool = False):
-        self.bits, self.columns, self.by_id = bits, columns, by_id
-        self.held, self.size = [], 0
-
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.held.append((keys, counts.astype(np.int64).reshape(len(keys), self.columns)))
-        self.size += len(keys)
-        if self.size > PENDING:
-            keys, counts = self._sum()
-            if len(keys) > PENDING // 2:
-                yield from self._out(keys, counts)
-            else:
-                self.held, self.size = [(keys, counts)], len(keys)
-
-    def _sum(self):
-        keys = np.concatenate([k for k, _ in self.held] or [np.zeros(0, U64)])
-        counts = np.concatenate([c for _, c in self.held] or [np.zeros((0, self.columns), np.int64)])
-        self.held, self.size = [], 0
-        return C.sum_by_key(keys, counts)
-
-    def _out(self, keys, counts) -> Iterator[pa.RecordBatch]:
-        for b, (i, j) in enumerate(_cuts(keys, self.bits, self.by_id)):
-            if j > i:
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([j - i], pa.int64()), pa.array([C.pack_sorted(keys[i:j])], pa.binary()), pa.array([C.pack(counts[i:j].ravel())], pa.binary())], ["bucket", "n", "keys", "counts"])
-
-    def close(self) -> Iterator[pa.RecordBatch]:
-        yield from self._out(*self._sum())
-
-
-def _cuts(keys: np.ndarray, bits: int, by_id: bool) -> list[tuple[int, int]]:
-    """Hashes are dealt by their highest bits, ids by those above `bits` low ones."""
-    if by_id:
-        last = int(keys[-1] >> U64(bits)) + 1 if len(keys) else 0
-        at = np.searchsorted(keys, np.arange(last + 1, dtype=U64) << U64(bits))
-    else:
-        at = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=U64) << U64(64 - bits)) if bits else [0], len(keys))
-    return list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
-
-
-def merged(rows: pa.Table, columns: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """The sum of a bucket's runs."""
-    keys, counts = [np.zeros(0, U64)], [np.zeros((0, columns), np.int64)]
-    for n, k, c in zip(rows["n"].to_pylist(), rows["keys"], rows["counts"], strict=True):
-        keys.append(C.unpack_sorted(k.as_py(), n))
-        counts.append(C.unpack(c.as_py(), n * columns, np.int64).reshape(n, columns))
-    return C.sum_by_key(np.concatenate(keys), np.concatenate(counts))
-
-
-class Vocabulary:
-    """Maps token hashes to ids: positions in the sorted hash arrays of all buckets."""
-
-    def __init__(self, folder: str, bits: int, sizes: list[int]):
-        self.folder, self.bits, self.sizes = folder, bits, sizes
-
-    def __reduce__(self):  # maps are opened anew in each worker
-        return type(self), (self.folder, self.bits, self.sizes)
-
-    @cached_property
-    def base(self) -> np.ndarray:
-        return np.concatenate(([0], np.cumsum(self.sizes, dtype=np.int64)))
-
-    @cached_property
-    def arrays(self) -> list[np.ndarray]:
-        return [C.SharedFolder(self.folder).map(f"token-{b}", U64) if n else np.zeros(0, U64) for b, n in enumerate(self.sizes)]
-
-    @cached_property
-    def counts(self) -> list[np.ndarray]:
-        return [C.SharedFolder(self.folder).map(f"count-{b}", np.int64) if n else np.zeros(0, np.int64) for b, n in enumerate(self.sizes)]
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        """hashes: sorted. -1 where unknown."""
-        out = np.full(len(hashes), -1, np.int64)
-        for b, (i, j) in enumerate(_cuts(hashes, self.bits, False)):
-            if j > i:
-                at = C.find(self.arrays[b], hashes[i:j])
-                out[i:j] = np.where(at >= 0, at + self.base[b], -1)
-        return out
-
-    def count(self, ids: np.ndarray) -> np.ndarray:
-        """ids: sorted, but for any -1 in front or between."""
-        out = np.zeros(len(ids), np.int64)
-        bucket = np.searchsorted(self.base, ids, "right") - 1
-        for b in np.unique(bucket[ids >= 0]):
-            here = (bucket == b) & (ids >= 0)
-            out[here] = self.counts[b][ids[here] - self.base[b]]
-        return out
-
-
-def _bigrams(ids: np.ndarray, at: np.ndarray, start: int) -> np.ndarray:
-    """Context ids of all tokens: the one before, or the start symbol."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[at[:-1][at[:-1] < len(ids)]] = start
-    return before
+from strandwise.llm.counting import RUN, Runs, bits_for, by_part, merged
+
+END, START = (U64(C.hash_word(x)) for x in (b"\nend", b"\nstart"))  # no word holds white space, so no word has these bytes
+#: What a lower level keeps of a key: c and a as an n-gram; t, n1, n2 and n3 as a context.
+LOWER = ("count",) * 6
+NOTE = "part long, kinds long, tokens long, adjusted long, ones long, twos long, threes long, fours long, more long"
+
+
+class Grams:
+    """Hashes of all n-grams of a block of rows: order - 1 start symbols, the words and one end for each."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray, order: int):
+        low = C.LOWER[data]
+        starts, ends = C.runs(~C.SPACE[low], offs)
+        at = C.per_row(starts, offs)
+        words = np.insert(C.token_hashes(low, starts, ends), at[1:], END)
+        self.n = np.diff(at) + 1
+        rows, pad = len(self.n), order - 1
+        first = np.cumsum(self.n) - self.n + pad * np.arange(1, rows + 1)
+        self.real = C.ragged(first, self.n)  # places of words and ends
+        tokens = np.full(len(words) + pad * rows, START)
+        tokens[self.real] = words
+        self.levels = [tokens]
+        for _ in range(order - 1):  # a window that begins before its row is of no real place
+            longer = np.zeros(len(tokens), U64)
+            longer[1:] = C.mix((self.levels[-1][:-1] ^ U64(0xA0761D6478BD642F)) * U64(0xE7037ED1A0B428DB) + tokens[1:])
+            self.levels.append(longer)
 
 
 def _discounts(n: list[int]) -> list[float]:
@@ -154,202 +68,136 @@ def _discounts(n: list[int]) -> list[float]:
     return [min(max(d, 0.01), k + 1 - 0.01) for k, d in enumerate(raw)]
 
 
-def by_bucket(df: DataFrame, merge, schema: str) -> DataFrame:
-    return df.groupBy("bucket").applyInArrow(merge, schema)
-
-
 class KneserNey:
     """A counted model in a shared folder; drop() removes it."""
 
-    def __init__(self, folder: str, about: dict):
-        self.folder, self.about = folder, about
+    def __init__(self, folder: str, levels: list[C.HashArrays], about: dict):
+        self.folder, self.levels, self.about = folder, levels, about
 
     @classmethod
-    def count(cls, train: DataFrame, text: str = "text", tokens_a_bucket: int = 4 << 20) -> KneserNey:
-        """Counts all rows of train. Buckets grow in number with the corpus, not in size."""
-        folder = C.SharedFolder.create(train.sparkSession, "kneser-ney")
-        uri = folder.uri
-        train = train.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-        size = train.agg(F.sum(F.octet_length("text") + 6)).first()[0] or 0
-        bits = max(2, int(size / 6 / tokens_a_bucket).bit_length())
-
-        def count_tokens(batches):
-            held = Runs(bits)
-            for batch in batches:
-                for *_, data, offs in C.text_blocks(batch):
-                    hashes, _ = _tokens(data, offs)
-                    yield from held.add(*C.count_keys(hashes))
-            yield from held.close()
-
-        def write_tokens(rows: pa.Table) -> pa.Table:
-            keys, counts = merged(rows)
-            b, to = rows["bucket"][0].as_py(), C.SharedFolder(uri)
-            to.write(f"token-{b}", keys)
-            to.write(f"count-{b}", counts[:, 0])
-            return pa.table({"bucket": pa.array([b], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "tokens": pa.array([int(counts.sum())], pa.int64())})
-
-        made = by_bucket(train.mapInArrow(count_tokens, RUN), write_tokens, "bucket int, n long, tokens long").collect()  # a row for each bucket
-        sizes = [0] * (1 << bits)
-        for r in made:
-            sizes[r.bucket] = r.n
-        vocabulary = Vocabulary(uri, bits, sizes)
-        total, start = sum(r.tokens for r in made), sum(sizes)
-        if start >= 2**32 - 1:
-            raise ValueError("more than 2**32 - 2 distinct tokens")
-
-        def count_bigrams(batches):
-            held = Runs(bits)
-            for batch in batches:
-                for *_, data, offs in C.text_blocks(batch):
-                    hashes, at = _tokens(data, offs)
-                    known, _, inverse = C.distinct(hashes)
-                    ids = vocabulary.ids(known)[inverse]
-                    pairs = (_bigrams(ids, at, start).astype(U64) << U64(32)) | ids.astype(U64)
-                    yield from held.add(*C.count_keys(C.mix(pairs)))
-            yield from held.close()
-
-        span = max(12, (max(start, 1) >> bits).bit_length())  # ids in a range, as bits
-
-        def write_bigrams(rows: pa.Table) -> pa.Table:
-            keys, counts = merged(rows)
-            counts = counts[:, 0]
-            b, to = rows["bucket"][0].as_py(), C.SharedFolder(uri)
-            to.write(f"bigram-{b}", keys)
-            to.write(f"times-{b}", counts.astype(np.uint32) if counts.max(initial=0) < 2**32 else counts)
-            pairs = C.unmix(keys)
-            held = Runs(span, 5, True)
-            one = np.zeros((len(pairs), 5), np.int64)
-            one[np.arange(len(pairs)), np.minimum(counts, 3) - 1] = 1
-            one[:, 4] = counts
-            after = np.zeros((len(pairs), 5), np.int64)
-            after[:, 3] = 1
-            u, of_u = C.sum_by_key(pairs >> U64(32), one)
-            w, of_w = C.sum_by_key(pairs & U64(0xFFFFFFFF), after)
-            held.held = [(u, of_u), (w, of_w)]
-            out = [x for x in held.close()]
-            seen = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-            note = pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([json.dumps([b, *seen]).encode()], pa.binary()), pa.array([b""], pa.binary())], ["bucket", "n", "keys", "counts"])
-            return pa.Table.from_batches([note, *out])
-
-        def write_contexts(rows: pa.Table) -> pa.Table:
-            b, to = rows["bucket"][0].as_py(), C.SharedFolder(uri)
-            notes = []
-            if b < 0:  # how often bigrams occur 1 to 4 times: a line for each bucket
-                notes = [json.loads(x.as_py()) for x in rows["keys"]]
-                note = [sum(x[k] for x in notes) for k in (1, 2, 3, 4)]
-            else:
-                keys, counts = merged(rows, 5)
-                dense = np.zeros((1 << span, 5), np.int64)
-                dense[(keys - (U64(b) << U64(span))).astype(np.int64)] = counts
-                for k, name in enumerate(("one", "two", "more", "before", "all")):
-                    to.write(f"{name}-{b}", dense[:, k])
-                n = dense[:, 3]
-                note = [*(int((n == k).sum()) for k in (1, 2, 3, 4)), int((n >= 3).sum()), int(n.sum())]
-            return pa.table({"bucket": pa.array([b], pa.int32()), "note": pa.array([json.dumps(note)])})
-
-        found = {r.bucket: json.loads(r.note) for r in by_bucket(by_bucket(train.mapInArrow(count_bigrams, RUN), write_bigrams, RUN), write_contexts, "bucket int, note string").collect()}
-        lower = [sum(v[k] for b, v in found.items() if b >= 0) for k in range(6)]
-        return cls(uri, {"bits": bits, "span": span, "sizes": sizes, "tokens": total, "ranges": [b for b in found if b >= 0], "discounts": _discounts(found.get(-1, [0] * 4)), "lower": _discounts(lower[:4]), "seen": [lower[0], lower[1], lower[4]], "pairs": lower[5]})
+    def count(cls, train: DataFrame, text: str = "text", order: int = 3, keys_a_part: int = 3 << 20) -> KneserNey:
+        """Counts all rows of train. Parts grow in number with the corpus, not in size: a task holds one of keys_a_part n-grams, or a third of that on lower levels."""
+        assert order > 1
+        spark = train.sparkSession
+        folder = C.SharedFolder.create(spark, "kneser-ney")
+        try:
+            return cls._count(train.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), folder.uri, order, keys_a_part)
+        except BaseException:
+            folder.drop()
+            raise
+
+    @classmethod
+    def _count(cls, train: DataFrame, folder: str, order: int, keys_a_part: int) -> KneserNey:
+        tokens = (train.agg(F.sum(F.octet_length("text") + 6)).first()[0] or 0) // 6
+        above, notes = None, []
+        with C.shuffles_removed(train.sparkSession):
+            for level in range(order, 0, -1):
+                bits = bits_for(tokens, keys_a_part if above is None else keys_a_part // 3)
+                columns = 1 if above is None else len(LOWER)
+                arrays = C.HashArrays(folder, f"level-{level}", bits, LOWER[:columns])
+                seen = by_part(train.mapInArrow(_counter(order, level, above, bits), RUN), bits, _writer(arrays, columns), NOTE)
+                # a row for each part
+                total = seen.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("kinds", "tokens", "adjusted", "ones", "twos", "threes", "fours", "more"))).first()
+                notes.append({"discounts": _discounts([total.ones, total.twos, total.threes, total.fours]), **total.asDict()})
+                above, kept = arrays, [arrays, *(kept if above is not None else [])]
+        return cls(folder, kept, {"order": order, "levels": notes[::-1]})
 
     def score(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", flag: Column | None = None) -> DataFrame:
         """For each row: its id, the flag, and over its tokens and end the number of all and of known ones, the base and the model's log10 probability."""
-        folder, about = self.folder, self.about
+        model = self
         chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.lit(False) if flag is None else F.coalesce(flag, F.lit(False))).alias("held_out"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
         def scored(batches):
-            model = _Scorer(folder, about)
             for batch in batches:
                 parts = []
                 for *_, data, offs in C.text_blocks(batch):
-                    hashes, at = _tokens(data, offs)
-                    known, base, logp = model.tokens(hashes, at)
-                    parts.append((np.diff(at), *(np.add.reduceat(x, at[:-1]) for x in (known.astype(np.int64), base, logp))))
+                    n, known, base, logp = model.tokens(data, offs)
+                    first = np.cumsum(n) - n
+                    parts.append((n, *(np.add.reduceat(x, first) for x in (known.astype(np.int64), base, logp))))
                 if parts:
                     n, known, base, logp = (np.concatenate(x) for x in zip(*parts, strict=True))
                     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), about["tokens"]), pa.int64()), pa.array(base), pa.array(logp)], names)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), model.about["levels"][0]["tokens"]), pa.int64()), pa.array(base), pa.array(logp)], names)
 
         return chosen.mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
+    def tokens(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of each row; of each token whether it is known, its base and its log10 probability."""
+        grams, about = Grams(data, offs, self.about["order"]), self.about["levels"]
+        real, low = grams.real, about[0]
+        kinds = low["kinds"]
+        c, a, *context = _spread(self.levels[0], grams.levels[0], (0, 1, 2, 3, 4, 5))
+        base = np.log10((c[real] + 1) / (low["tokens"] + (kinds + 1)))
+        free = low["discounts"][0] * low["ones"] + low["discounts"][1] * low["twos"] + low["discounts"][2] * low["more"]
+        share = _less(a[real], low["discounts"]) / max(low["adjusted"], 1)
+        p = share + (free / low["adjusted"] if low["adjusted"] else 1.0) / (kinds + 1)
+        for k, level in enumerate(self.levels[1:], 1):
+            d, of = about[k]["discounts"], real - 1
+            total = np.maximum(context[0][of], 1)
+            rest = np.where(context[0][of] > 0, (d[0] * context[1][of] + d[1] * context[2][of] + d[2] * context[3][of]) / total, 1.0)
+            if len(level.columns) > 1:
+                a, *context = _spread(level, grams.levels[k], (1, 2, 3, 4, 5))
+                a = a[real]
+            else:
+                (a,) = _spread(level, grams.levels[k][real], (0,))
+            p = _less(a, d) / total + rest * p
+        return grams.n, c[real] > 0, base, np.log10(p)
+
     def drop(self) -> None:
         C.SharedFolder(self.folder).drop()
 
 
-class _Scorer:
-    def __init__(self, folder: str, about: dict):
-        self.about, self.folder = about, C.SharedFolder(folder)
-        self.vocabulary = Vocabulary(folder, about["bits"], about["sizes"])
-        self.n_known = sum(about["sizes"])
-        self.maps: dict = {}
-
-    def map(self, name: str, dtype) -> np.ndarray:
-        if name not in self.maps:
-            try:
-                self.maps[name] = self.folder.map(name, dtype)
-            except FileNotFoundError:  # a bucket that got nothing
-                self.maps[name] = np.zeros(0, dtype)
-        return self.maps[name]
-
-    def by_id(self, names: tuple[str, ...], ids: np.ndarray) -> list[np.ndarray]:
-        """Values of known ids (sorted)."""
-        span, out = self.about["span"], [np.zeros(len(ids), np.int64) for _ in names]
-        ranges = ids >> span
-        for r in np.unique(ranges[ids >= 0]):
-            here = np.flatnonzero(ranges == r)
-            for x, name in zip(out, names, strict=True):
-                values = self.map(f"{name}-{r}", np.int64)
-                if len(values):
-                    x[here] = values[ids[here] - (int(r) << span)]
-        return out
-
-    def times(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted mixed bigrams."""
-        out = np.zeros(len(keys), np.int64)
-        for b, (i, j) in enumerate(_cuts(keys, self.about["bits"], False)):
-            if j > i:
-                held, times = self.map(f"bigram-{b}", U64), self.map(f"times-{b}", np.uint32)
-                if len(held):
-                    times = times if len(times) == len(held) else times.view(np.int64)  # wide counts
-                    at = C.find(held, keys[i:j])
-                    out[i:j] = np.where(at >= 0, times[np.maximum(at, 0)], 0)
-        return out
-
-    def tokens(self, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, v = self.about, self.n_known
-        types, _, inverse = C.distinct(hashes)
-        type_ids = self.vocabulary.ids(types)
-        count = self.vocabulary.count(type_ids)
-        base = np.log10((count + 1) / (a["tokens"] + (v + 1)))
-        # the lower order
-        order = np.argsort(type_ids)
-        (before,) = self.by_id(("before",), type_ids[order])
-        before = before[np.argsort(order)]
-        d = np.array([0.0, *a["lower"]])
-        rest = float(np.dot(a["lower"], a["seen"])) / a["pairs"] if a["pairs"] else 1.0
-        low = (np.maximum(before - d[np.minimum(before, 3)], 0) / a["pairs"] if a["pairs"] else 0.0) + rest / (v + 1)
-        low = np.broadcast_to(low, len(types))[inverse]
-        # contexts
-        ids = type_ids[inverse]
-        context = _bigrams(ids, at, v)
-        seen, back = np.unique(context, return_inverse=True) if len(context) < 1000 else _unique_ids(context)
-        one, two, more, total = self.by_id(("one", "two", "more", "all"), seen)
-        d = np.array([0.0, *a["discounts"]])
-        total_f = np.maximum(total, 1)
-        free = np.where(total > 0, (d[1] * one + d[2] * two + d[3] * more) / total_f, 1.0)
-        keys = C.mix((np.maximum(context, 0).astype(U64) << U64(32)) | np.maximum(ids, 0).astype(U64))
-        pairs, _, of = C.distinct(keys)
-        times = np.where((ids >= 0) & (context >= 0), self.times(pairs)[of], 0)
-        high = np.maximum(times - d[np.minimum(times, 3)], 0) / total_f[back]
-        return count[inverse] > 0, base[inverse], np.log10(high + free[back] * low)
-
-
-def _unique_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """np.unique with inverse for ids of -1 and up: sorts ids with positions in the low bits."""
-    low = U64((1 << len(ids).bit_length()) - 1)
-    shift = U64(len(ids).bit_length())
-    packed = np.sort(((ids + 1).astype(U64) << shift) | np.arange(len(ids), dtype=U64))
-    at, ordered = (packed & low).astype(np.int64), (packed >> shift).astype(np.int64) - 1
-    new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-    inverse = np.empty(len(ids), np.int64)
-    inverse[at] = np.cumsum(new) - 1
-    return ordered[new], inverse
+def _spread(level: C.HashArrays, keys: np.ndarray, which: tuple[int, ...]) -> list[np.ndarray]:
+    """Columns of a level for keys in any order."""
+    kinds, _, inverse = C.distinct(keys)
+    return [x[inverse] for x in level.look(kinds, which)[1]]
+
+
+def _less(a: np.ndarray, discounts: list[float]) -> np.ndarray:
+    return np.maximum(a - np.array([0.0, *discounts])[np.minimum(a, 3)], 0)
+
+
+def _counter(order: int, level: int, above: C.HashArrays | None, bits: int):
+    """Runs of a level's keys from batches of texts."""
+
+    def highest(grams: Grams):
+        return C.count_keys(grams.levels[level - 1][grams.real])
+
+    def lower(grams: Grams):
+        kinds, _, longer = C.distinct(grams.levels[level][grams.real])
+        held, columns = above.look(kinds, (0, 1)[: len(above.columns)])
+        if not held.all():
+            raise RuntimeError("an n-gram was not counted: the text is not the one that the level above has seen")
+        once, a = (1 / columns[0])[longer], columns[-1]
+        keys, _, place = C.distinct(grams.levels[level - 1])
+        own, context = place[grams.real], place[grams.real - 1]
+        kind = np.minimum(a, 3)[longer]
+        sums = [np.bincount(own, minlength=len(keys)), np.bincount(own, once, len(keys)), np.bincount(context, once * a[longer], len(keys))]
+        for k in (1, 2, 3):
+            here = kind == k
+            sums.append(np.bincount(context[here], once[here], len(keys)))
+        return keys, np.stack(sums)
+
+    def count(batches):
+        held = Runs(bits) if above is None else Runs(bits, len(LOWER), np.float64)
+        for batch in batches:
+            for *_, data, offs in C.text_blocks(batch):
+                yield from held.add(*(highest if above is None else lower)(Grams(data, offs, order)))
+        yield from held.close()
+
+    return count
+
+
+def _writer(arrays: C.HashArrays, columns: int):
+    """Writes a part and notes its counts of counts."""
+
+    def write(rows: pa.Table) -> pa.Table:
+        keys, sums = merged(rows, columns, np.int64 if columns == 1 else np.float64)
+        sums = np.rint(sums).astype(np.int64)  # sums of 1/c over all c occurrences
+        part = rows["part"][0].as_py()
+        arrays.write(part, keys, list(sums))
+        c, a = sums[0], sums[min(1, columns - 1)]
+        note = [part, int((c > 0).sum()), int(c.sum()), int(a.sum()), *(int((a == k).sum()) for k in (1, 2, 3, 4)), int((a >= 3).sum())]
+        return pa.Table.from_arrays([pa.array([x], pa.int64()) for x in note], [x.split()[0] for x in NOTE.split(", ")])
+
+    return write

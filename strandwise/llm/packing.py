@@ -38,7 +38,8 @@ class WordEncoder:
     White space never lies inside a pre-token, and in words of ASCII and precomposed Latin-1 letters
     without apostrophes neither do the borders between letters, digits and punctuation. Any other
     word is encoded as a whole, and a text that may hold a special token's string goes to the
-    tokenizer whole.
+    tokenizer whole. Every piece is compared with the cached one byte by byte: rows of a block in which
+    two pieces share a hash go to the tokenizer whole, too.
     """
 
     MOST = 1 << 20  # cached pieces; beyond, the cache starts anew
@@ -56,6 +57,9 @@ class WordEncoder:
     def _clear(self) -> None:
         self.keys, self.at, self.n = np.zeros(0, C.U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
+        # the bytes of what is cached: the first eight, the length, and the place of all of them
+        self.head, self.size, self.byte_at = np.zeros(0, C.U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.bytes = np.zeros(0, np.uint8)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -89,7 +93,12 @@ class WordEncoder:
         starts, ends = starts[keep], ends[keep]
         return starts, ends, None if single is None else single[starts]
 
-    def _learn(self, keys: np.ndarray, texts: list[str], single: np.ndarray) -> None:
+    def _learn(self, keys: np.ndarray, texts: list[bytes], single: np.ndarray) -> None:
+        raw, size = np.frombuffer(b"".join(texts), np.uint8), np.array([len(x) for x in texts], np.int64)
+        begin = np.cumsum(size) - size
+        head, byte_at = C.heads(raw, begin, size), len(self.bytes) + begin
+        self.bytes = np.concatenate([self.bytes, raw])
+        texts = [x.decode("utf-8", "replace") for x in texts]
         n, pool = np.zeros(len(keys), np.int64), np.zeros(0, np.uint32)
         alone = np.flatnonzero(single)
         at = np.zeros(len(keys), np.int64)
@@ -111,12 +120,23 @@ class WordEncoder:
         self.pool = np.concatenate([self.pool, pool])
         where = np.searchsorted(self.keys, keys)
         self.keys, self.at, self.n = np.insert(self.keys, where, keys), np.insert(self.at, where, at), np.insert(self.n, where, n)
+        self.head, self.size, self.byte_at = np.insert(self.head, where, head), np.insert(self.size, where, size), np.insert(self.byte_at, where, byte_at)
+
+    def _same_bytes(self, low: np.ndarray, starts: np.ndarray, n: np.ndarray, at: np.ndarray) -> bool:
+        """Whether all pieces are, byte by byte, the cached ones that their hashes led to."""
+        if not (np.array_equal(self.size[at], n) and np.array_equal(self.head[at], C.heads(low, starts, n))):
+            return False
+        long = np.flatnonzero(n > 8)
+        return np.array_equal(low[C.ragged(starts[long] + 8, n[long] - 8)], self.bytes[C.ragged(self.byte_at[at[long]] + 8, n[long] - 8)])
+
+    def _rows(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows = [self.whole(data[a:b].tobytes().decode("utf-8", "replace")) for a, b in zip(offs[:-1], offs[1:], strict=True)]
+        return np.concatenate([*rows, np.zeros(0, np.uint32)]), np.concatenate(([0], np.cumsum([len(x) for x in rows], dtype=np.int64)))
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows and their offsets."""
         if self._special(data):
-            rows = [self.whole(data[a:b].tobytes().decode("utf-8", "replace")) for a, b in zip(offs[:-1], offs[1:], strict=True)]
-            return np.concatenate([*rows, np.zeros(0, np.uint32)]), np.concatenate(([0], np.cumsum([len(x) for x in rows], dtype=np.int64)))
+            return self._rows(data, offs)
         low = C.LOWER[data]
         starts, ends, single = self._pieces(low, offs)
         keys, first, inverse = C.distinct(C.token_hashes(low, starts, ends))
@@ -127,8 +147,10 @@ class WordEncoder:
                 new = np.arange(len(keys))
             raw = low.tobytes()
             alone = np.ones(len(new), bool) if single is None else single[first[new]]
-            self._learn(keys[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)], alone)
+            self._learn(keys[new], [raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)], alone)
             at = C.find(self.keys, keys)
+        if not self._same_bytes(low, starts, ends - starts, at[inverse]):  # two pieces with one hash
+            return self._rows(data, offs)
         n = self.n[at][inverse]
         ids = self.pool[C.ragged(self.at[at][inverse], n)]
         ends_of = np.concatenate(([0], np.cumsum(n)))

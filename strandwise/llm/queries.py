@@ -21,9 +21,10 @@ def op2_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents")
     held_out = C.id_mod("doc_id", 7) == 2
     model = KneserNey.count(docs.filter(~held_out))
-    scored = C.cut(model.score(docs, flag=held_out))
-    model.drop()
-    return scored
+    try:
+        return C.cut(model.score(docs, flag=held_out))
+    finally:
+        model.drop()
 
 
 def op3_avi_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +48,10 @@ def op4_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, fold = C.table(spark, sf_dir, "documents"), C.id_mod("doc_id", 5)
     model = ToxicPassages.fit(docs, C.table(spark, sf_dir, "labels"), fold != 0)
-    return model.score(docs, flag=fold == 0)
+    try:
+        return C.cut(model.score(docs, flag=fold == 0))
+    finally:
+        model.drop()
 
 
 def op7_output_code_languages(spark: SparkSession, sf_dir: str) -> DataFrame:

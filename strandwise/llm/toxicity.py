@@ -11,9 +11,9 @@ logistic curve, fitted on labelled rows that the counts didn't see, makes it a p
 
 The model learns from at most `rows` labelled rows, those with the smallest hashes of the id; label
 rows of one id count as one, toxic if any is. Labels null or of no document are ignored. Null or empty
-texts have no passages and the score of such. Texts of any length are scanned whole; a
-word that repeats the one before it counts for nothing, so that runs of one odd word are no passage.
-Copies and ties score alike; with an empty table or labels of one kind alone all scores are the
+texts have no passages and the score of such. Texts of any length are scanned whole, every word of them.
+All learned features count, however many: they are sorted hash arrays in the shared folder, mapped by
+workers, until drop(). Copies and ties score alike; with an empty table or labels of one kind alone all scores are the
 prior's. Only id and text are read, whatever other columns there are.
 """
 
@@ -28,12 +28,11 @@ from pyspark.sql import functions as F
 
 from strandwise.llm import common as C
 from strandwise.llm.common import U64
-from strandwise.llm.lm import RUN, Runs, by_bucket, merged
+from strandwise.llm.counting import RUN, Runs, bits_for, by_part, merged
 
 _WORD = np.zeros(256, bool)
 _WORD[0x41:0x5B] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 PREFIXES = (4, 5)
-WEIGHTS = "key long, value double"
 
 
 def words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -47,48 +46,43 @@ def words_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return starts, ends, C.per_row(starts, offs), *hashes, C.token_hashes(low, starts, ends)
 
 
-def repeats(words: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether a word is the one before it in its row."""
-    out = np.zeros(len(words), bool)
-    out[1:] = words[1:] == words[:-1]
-    out[at[:-1][at[:-1] < len(words)]] = False
-    return out
-
-
 class LogOdds:
-    """Log-odds by hash, from the most to the least specific."""
+    """Log-odds by hash, from the most to the least specific: 4-prefixes, 5-prefixes, words."""
 
-    def __init__(self, base: float, levels: list[tuple[np.ndarray, np.ndarray]]):
-        self.base, self.levels = base, levels  # 4-prefixes, 5-prefixes, words: sorted keys with values
+    def __init__(self, levels: list[C.HashArrays]):
+        self.levels = levels
 
     def of(self, hashes: list[np.ndarray], upto: int | None = None) -> np.ndarray:
-        out = np.full(len(hashes[0]), self.base)
-        for (keys, values), h in zip(self.levels[:upto], hashes, strict=False):
-            types, _, inverse = C.distinct(h)
-            at = C.find(keys, types)
-            found = np.where(at >= 0, values[np.maximum(at, 0)] if len(values) else 0.0, np.nan)[inverse]
-            out = np.where(np.isnan(found), out, found)
+        out = np.zeros(len(hashes[0]))
+        for arrays, h in zip(self.levels[:upto], hashes, strict=False):
+            kinds, _, inverse = C.distinct(h)
+            held, (value,) = arrays.look(kinds)
+            out = np.where(held[inverse], value[inverse], out)
         return out
 
 
 def maximal_segments(scores: list[float], starts: list[int], ends: list[int], gap: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments of positive items between which every position costs `gap`: (start, end, score)."""
-    out: list[list] = []  # start, end, cumulative score before and behind
+    """All maximal scoring segments of positive items between which every position costs `gap`: (start, end, score).
+
+    A segment keeps its nearest predecessor of a lower left sum, so a search goes past those in between
+    without looking at them again, and the time is linear.
+    """
+    start, end, left, right, lower = [], [], [], [], []
     total, at = 0.0, 0
     for s, i, j in zip(scores, starts, ends, strict=True):
         total -= gap * (i - at)
-        new = [i, j, total, total + s]
-        total, at = total + s, j
+        a, x, y = i, total, total + s
+        total, at = y, j
+        k = len(start) - 1
         while True:
-            k = len(out) - 1
-            while k >= 0 and out[k][2] >= new[2]:
-                k -= 1
-            if k < 0 or out[k][3] >= new[3]:
-                out.append(new)
+            while k >= 0 and left[k] >= x:
+                k = lower[k]
+            if k < 0 or right[k] >= y:
                 break
-            new = [out[k][0], new[1], out[k][2], new[3]]
-            del out[k:]
-    return [(i, j, r - left) for i, j, left, r in out]
+            a, x, above, k = start[k], left[k], k, lower[k]
+            del start[above:], end[above:], left[above:], right[above:], lower[above:]
+        start.append(a), end.append(j), left.append(x), right.append(y), lower.append(k)
+    return [(i, j, r - x) for i, j, x, r in zip(start, end, left, right, strict=True)]
 
 
 def _solve_lambda(values: np.ndarray, p: np.ndarray) -> float:
@@ -105,8 +99,12 @@ def _solve_lambda(values: np.ndarray, p: np.ndarray) -> float:
 
 
 class ToxicPassages:
-    def __init__(self, odds: LogOdds, drift: float, scale: float, constant: float, curve: tuple[float, float]):
-        self.odds, self.drift, self.scale, self.constant, self.curve = odds, drift, scale, constant, curve
+    def __init__(self, folder: C.SharedFolder, odds: LogOdds, drift: float, scale: float, constant: float, curve: tuple[float, float]):
+        self.folder, self.odds, self.drift, self.scale, self.constant, self.curve = folder, odds, drift, scale, constant, curve
+
+    def drop(self) -> None:
+        """Removes the features; what was scored must have been written before."""
+        self.folder.drop()
 
     # -------------------------------------------------------------- scanning
 
@@ -114,7 +112,6 @@ class ToxicPassages:
         """For each row the number of words and its maximal segments (bytes from, bytes to, score)."""
         starts, ends, at, *hashes = words_of(data, offs)
         s = self.odds.of(hashes) - self.drift
-        s[repeats(hashes[-1], at)] = 0.0
         # words below zero cost what they score; cumulated, so that a gap's cost is a difference
         cost = np.concatenate(([0.0], np.cumsum(np.where(s > 0, 0.0, -s))))
         hits = np.flatnonzero(s > 0)
@@ -145,15 +142,16 @@ class ToxicPassages:
     # -------------------------------------------------------------- Spark side
 
     @classmethod
-    def fit(cls, docs: DataFrame, labels: DataFrame, train: Column, rows: int = 30_000, prior: float = 20.0, drift: float = 1.5, most_features: int = 200_000) -> ToxicPassages:
-        """train: over labels (doc_id, toxic), which rows may be learned from. rows and most_features bound the fit."""
+    def fit(cls, docs: DataFrame, labels: DataFrame, train: Column, rows: int = 30_000, prior: float = 20.0, drift: float = 1.5) -> ToxicPassages:
+        """train: over labels (doc_id, toxic), which rows may be learned from. rows bounds the fit."""
         chosen = labels.filter(train & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("labelled_id")).agg(F.max(F.col("toxic").cast("int")).alias("is_toxic")).orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(rows)
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
         # at most `rows` ids are broadcast
         sample = C.cut(texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id")).select("text", "is_toxic", (F.pmod(F.xxhash64("labelled_id"), F.lit(5)) == 4).alias("held")))
         counted = sample.filter(~F.col("held")).select("text", "is_toxic")
         size = counted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        bits = max(2, int(size / 64e6).bit_length())
+        bits = bits_for(size // 6, 1 << 20)
+        folder = C.SharedFolder.create(docs.sparkSession, "toxic-features")
 
         def counts_of(level: int, odds: LogOdds | None):
             def count(batches):
@@ -164,9 +162,9 @@ class ToxicPassages:
                         _, _, at, *hashes = words_of(data, offs)
                         label = np.repeat(toxic[i:j], np.diff(at)).astype(np.int64)
                         parent = np.zeros(len(label)) if odds is None else odds.of(hashes, level)
-                        columns = np.stack([label, 1 - label, np.round(1000 * parent).astype(np.int64)], 1)
+                        columns = np.stack([label, 1 - label, np.round(1000 * parent).astype(np.int64)])
                         keep = hashes[level] != 0
-                        yield from held.add(*C.sum_by_key(hashes[level][keep], columns[keep]))
+                        yield from held.add(*C.sum_by_key(hashes[level][keep], columns[:, keep]))
                 yield from held.close()
 
             return count
@@ -175,29 +173,29 @@ class ToxicPassages:
 
         def totals(found: pa.Table) -> pa.Table:
             _, c = merged(found, 3)
-            return pa.table({"key": pa.array([0], pa.int64()), "value": pa.array([float(c[:, 0].sum())]), "rest": pa.array([float(c[:, 1].sum())])})
+            return pa.table({"toxic": pa.array([float(c[0].sum())]), "clean": pa.array([float(c[1].sum())])})
 
-        ones, zeros = by_bucket(total, totals, WEIGHTS + ", rest double").agg(F.coalesce(F.sum("value"), F.lit(0.0)), F.coalesce(F.sum("rest"), F.lit(0.0))).first()
+        ones, zeros = by_part(total, bits, totals, "toxic double, clean double").agg(F.coalesce(F.sum("toxic"), F.lit(0.0)), F.coalesce(F.sum("clean"), F.lit(0.0))).first()
         share = min(max((ones + 0.5) / (ones + zeros + 5), 1e-6), 1 - 1e-6)
         centre = np.log(share / (1 - share))
-        odds = LogOdds(0.0, [])
+        odds = LogOdds([])
         for level in range(3):
+            arrays = C.HashArrays(folder.uri, f"level-{level}", bits, ("value",))
 
             def weigh(found: pa.Table) -> pa.Table:
                 keys, c = merged(found, 3)
-                n = c[:, 0] + c[:, 1]
-                parent = c[:, 2] / 1000 / np.maximum(n, 1)
+                n = c[0] + c[1]
+                parent = c[2] / 1000 / np.maximum(n, 1)
                 p = 1 / (1 + np.exp(-np.clip(parent + centre, -30, 30)))
-                q = (c[:, 0] + prior * p) / (n + prior)
+                q = (c[0] + prior * p) / (n + prior)
                 value = np.log(q / (1 - q)) - centre
                 keep = np.abs(value - parent) > 0.5
-                return pa.table({"key": keys[keep].view(np.int64), "value": value[keep]})
+                arrays.write(found["part"][0].as_py(), keys[keep], [value[keep]])
+                return pa.table({"n": pa.array([int(keep.sum())], pa.int64())})
 
-            kept = by_bucket(counted.mapInArrow(counts_of(level, odds), RUN), weigh, WEIGHTS).orderBy(F.abs("value").desc(), "key").limit(most_features).toArrow()
-            keys = kept["key"].to_numpy().view(U64)
-            order = np.argsort(keys)
-            odds.levels.append((keys[order], kept["value"].to_numpy()[order]))
-        model = cls(odds, drift, 1.0, 1.0, (0.0, 1.0))
+            by_part(counted.mapInArrow(counts_of(level, odds), RUN), bits, weigh, "n long").agg(F.sum("n")).first()
+            odds = LogOdds([*odds.levels, arrays])
+        model = cls(folder, odds, drift, 1.0, 1.0, (0.0, 1.0))
         # what clean documents score by chance, then the curve
         held = sample.filter("held").select("text", "is_toxic")
         step = 4

@@ -61,40 +61,50 @@ def test_packing(docs, empty):
     assert packing.pack_pieces(empty, TOKENS).count() == 0
 
 
-def test_kneser_ney_probabilities(spark, docs, empty):
-    model = lm.KneserNey.count(docs.filter("doc_id % 4 <> 1"))
-    train = [["<s>", *words_of(r.text), "</s>"] for r in docs.filter("doc_id % 4 <> 1").collect()]
-    uni = Counter(w for t in train for w in t[1:])
-    bi = Counter(p for t in train for p in zip(t, t[1:]))
-    total, v = sum(uni.values()), len(uni)
-    before = Counter(w for _, w in bi)
-    d = lambda counts: lm._discounts([sum(c == k for c in counts) for k in (1, 2, 3, 4)])
-    d2, d1 = d(bi.values()), d(before.values())
-    ctx, kinds = Counter(), {}
-    for (u, _), c in bi.items():
-        ctx[u] += c
-        kinds.setdefault(u, [0, 0, 0])[min(c, 3) - 1] += 1
-    low_kinds = [sum(c == 1 for c in before.values()), sum(c == 2 for c in before.values()), sum(c >= 3 for c in before.values())]
-    pairs = len(bi)
-
-    def low(w):
-        n = before[w]
-        return (max(n - d1[min(n, 3) - 1], 0) / pairs if n else 0) + np.dot(d1, low_kinds) / pairs / (v + 1)
-
-    def p(u, w):
-        if u not in ctx:
-            return low(w)
-        c = bi[u, w]
-        return (max(c - d2[min(c, 3) - 1], 0) if c else 0) / ctx[u] + np.dot(d2, kinds[u]) / ctx[u] * low(w)
-
-    for u in ("<s>", "alpha", "never-seen"):
-        assert abs(sum(p(u, w) for w in uni) + p(u, "unknown-word") - 1) < 1e-9
+def brute_kneser_ney(texts, order):
+    """(probability of a word after a context, the words seen, tokens): by sets of n-grams."""
+    counts = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        padded = ["<s>"] * (order - 1) + [*words_of(t), "</s>"]
+        for i in range(order - 1, len(padded)):
+            for n in range(1, order + 1):
+                counts[n][tuple(padded[i - n + 1 : i + 1])] += 1
+    adjusted = {order: counts[order]} | {n: Counter(g[1:] for g in counts[n + 1]) for n in range(1, order)}
+    discounts = {n: [0.0, *lm._discounts([sum(c == k for c in adjusted[n].values()) for k in (1, 2, 3, 4)])] for n in adjusted}
+    contexts = {n: {} for n in adjusted}
+    for n in adjusted:
+        for g, c in adjusted[n].items():
+            contexts[n].setdefault(g[:-1], []).append(c)
+    v = len(counts[1])
+
+    def p(context, w, n):
+        """context: order - 1 words."""
+        u = tuple(context[order - n :])
+        lower = 1 / (v + 1) if n == 1 else p(context, w, n - 1)
+        if u not in contexts[n]:
+            return lower
+        c, seen = adjusted[n][(*u, w)], contexts[n][u]
+        return (max(c - discounts[n][min(c, 3)], 0) + sum(discounts[n][min(x, 3)] for x in seen) * lower) / sum(seen)
+
+    return (lambda context, w: p(context, w, order)), counts[1], sum(counts[1].values())
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney_probabilities(monkeypatch, docs, empty, order):
+    train = docs.filter("doc_id % 4 <> 1")
+    model = lm.KneserNey.count(train, order=order, keys_a_part=64)
+    p, uni, total = brute_kneser_ney([r.text for r in train.collect()], order)
+    v = len(uni)
+    pad = ("<s>",) * (order - 1)
+    for context in (pad, (*pad[1:], "alpha"), ("beta", "alpha", "gamma,")[: order - 1], ("never-seen",) * (order - 1)):
+        assert abs(sum(p(context, w[0]) for w in uni) + p(context, "unknown-word") - 1) < 1e-9
     want = Counter()
     for r in docs.collect():
-        t = [*words_of(r.text), "</s>"]
-        base = sum(math.log10((uni[w] + 1) / (total + v + 1)) for w in t)
-        score = sum(math.log10(p(u, w)) for u, w in zip(["<s>", *t], t))
-        want[r.doc_id, len(t), sum(uni[w] > 0 for w in t), total, round(base, 5), round(score, 5)] += 1
+        t = [*pad, *words_of(r.text), "</s>"]
+        words = t[order - 1 :]
+        base = sum(math.log10((uni[(w,)] + 1) / (total + v + 1)) for w in words)
+        score = sum(math.log10(p(t[i - order + 1 : i], t[i])) for i in range(order - 1, len(t)))
+        want[r.doc_id, len(words), sum(uni[(w,)] > 0 for w in words), total, round(base, 5), round(score, 5)] += 1
     got = Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5), round(r["score"], 5)) for r in rows_of(model.score(docs)))
     assert got == want
     assert model.score(empty).count() == 0
@@ -103,6 +113,39 @@ def test_kneser_ney_probabilities(spark, docs, empty):
     assert {r["n_known"] for r in rows_of(none.score(docs))} == {0}
 
 
+def thue_morse(n, a, b):
+    return "".join((a, b)[i.bit_count() & 1] for i in range(n))
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    """Thue-Morse words and their complements have equal polynomial hashes modulo 2**64, whatever the base."""
+    for n in (8, 64, 1024, 4096):
+        assert C.hash_word(thue_morse(n, "a", "b").encode()) != C.hash_word(thue_morse(n, "b", "a").encode())
+    one, other = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    df = spark.createDataFrame([(1, one), (2, other), (3, f"{one} {other} {one}")], "doc_id long, text string").coalesce(1)
+    enc = packing.WordEncoder(TOKENS)
+    crc = {r["doc_id"]: zlib.crc32(np.array([*enc.whole(r["text"]), 2], "<u4").tobytes()) for r in rows_of(df)}
+    assert {r["doc_id"]: r["ids_crc32"] for r in rows_of(packing.pack_pieces(df, TOKENS, longest=1 << 20)) if r["length"] == r["doc_tokens"]}.items() <= crc.items()
+    pieces = packing.pack_pieces(df, TOKENS, with_ids=True).orderBy("doc_id", "start").collect()
+    for i, text in ((1, one), (2, other), (3, f"{one} {other} {one}")):
+        assert np.array_equal(np.frombuffer(b"".join(bytes(r.ids) for r in pieces if r.doc_id == i), "<u4"), [*enc.whole(text), 2])
+    model = lm.KneserNey.count(df.filter("doc_id = 1"))
+    assert {r["doc_id"]: r["n_known"] for r in rows_of(model.score(df))} == {1: 2, 2: 1, 3: 3}
+    scanner = licenses.LicenseScanner({"x": f"{one} a b c d e f"})
+    texts = spark.createDataFrame([(1, f"{one} a b c d e f"), (2, f"{other} a b c d e f")], "doc_id long, text string")
+    assert [(r["doc_id"], r["containment"]) for r in rows_of(scanner.scan(texts)) if r["containment"] == 1] == [(1, 1.0)]
+    *_, word = toxicity.words_of(np.frombuffer(f"{one} {other}".encode(), np.uint8), np.array([0, 2049]))
+    assert word[0] != word[1]
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(C, "token_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    enc = packing.WordEncoder(TOKENS)
+    data = np.frombuffer(b"alpha gamma delta extraordinary internationally unfortunately", np.uint8)
+    ids, at = enc.encode(data, np.array([0, 18, len(data)]))
+    assert ids[: at[1]].tolist() == enc.whole("alpha gamma delta ").tolist() and ids[at[1] :].tolist() == enc.whole("extraordinary internationally unfortunately").tolist()
+
+
 def test_media_round_trip(docs, empty):
     got = {r["doc_id"]: r for r in rows_of(media.read_media(media.store_media(docs)))}
     for r in docs.collect():
@@ -156,6 +199,18 @@ def test_segments_are_the_maximal_ones():
         assert [round(x[2], 6) for x in got] == [round(v, 6) for _, _, v in brute_segments(s)]
 
 
+def test_the_scan_of_segments_is_linear():
+    import time
+
+    def seconds(n):  # falling cumulative scores: every search could go back to the start
+        began = time.perf_counter()
+        assert len(toxicity.maximal_segments([1.0] * n, list(range(0, 3 * n, 3)), list(range(1, 3 * n, 3)), 1.0)) == n
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert min(seconds(200_000) for _ in range(2)) < 4 * min(seconds(100_000) for _ in range(3)) + 0.2
+
+
 def test_toxicity(spark, docs, empty):
     rng = np.random.default_rng(3)
     rows, labels = [], []
@@ -175,13 +230,6 @@ def test_toxicity(spark, docs, empty):
     some = next(r for r in got.values() if r["predicted"])
     text = dict(rows)[some["doc_id"]]
     assert any("nast" in text[p["start"] : p["end"]] or "vile" in text[p["start"] : p["end"]] for p in some["passages"])
-    once, often, apart = (np.frombuffer(x, np.uint8) for x in (b"river nastyword cloud", b"river" + b" nastyword" * 30 + b" cloud", b"nastyword"))
-    joined = np.concatenate([apart, apart])  # two rows of that word alone
-    assert model.statistics(once, np.array([0, len(once)]))[0] > 0
-    assert list(toxicity.repeats(np.array([5, 5, 5, 7, 7]), np.array([0, 1, 4, 4, 5]))) == [False, False, True, False, False]
-    assert len({float(x) for x in model.statistics(joined, np.array([0, len(apart), len(joined)]))[0]}) == 1
-    highest = [max(s for *_, s in found) for data in (once, often) for _, found in model.scan(data, np.array([0, len(data)]))]
-    assert highest[0] == pytest.approx(highest[1])
     assert model.score(docs).count() == docs.count() and model.score(empty).count() == 0
     assert set(model.keep_clean(docs).columns) == set(docs.columns)
     nothing = toxicity.ToxicPassages.fit(empty, lab.limit(0), F.lit(True))
