@@ -430,27 +430,56 @@ def test_hilbert_shards(docs, empty):
         assert sorted(h) == list(range(len(g))) and np.abs(np.diff(g[np.argsort(h)], axis=0)).sum(1).max() == 1
 
 
-def test_exact_top_k(spark, monkeypatch):
+def brute_top_k(rows, is_query, k=5):
+    """For each query row its k best (score, id), scores held within 64 bits."""
+    clip = lambda x: max(min(x, 2**63 - 1), 1 - 2**63)
+    out = Counter()
+    for q, v in rows:
+        if is_query(q):
+            ranked = sorted((-clip(sum(a * b for a, b in zip(v, w))), x) for x, w in rows if x != q)[:k]
+            out.update((q, n, x, -s) for n, (s, x) in enumerate(ranked, 1))
+    return out
+
+
+@pytest.mark.parametrize(("lists", "width"), [(2, 6), (3, 7), (2, 0)])
+def test_exact_top_k(spark, monkeypatch, lists, width):
     monkeypatch.setattr(topk, "BLOCK", 16)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "ROUND", 2)
     rng = np.random.default_rng(8)
-    vectors = [(i, [float(np.float32(x)) for x in rng.normal(size=6)]) for i in range(90)]
+    vectors = [(i, [float(np.float32(x)) for x in rng.normal(size=width)]) for i in range(90)]
     vectors += [(100 + i, vectors[4][1]) for i in range(30)]  # ties
-    bad = [(200, None), (210, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (220, [float("nan")] * 6), (230, [float("inf")] * 6)]
-    df = spark.createDataFrame(vectors + bad, "vec_id long, embedding array<float>")
-    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in rows_of(topk.exact_top_k(topk.integers(df), F.col("vec_id") % 10 == 0))}
-    want = {}
-    whole = {i: [math.floor(256 * x) for x in v] for i, v in vectors}
-    for q in whole:
-        if q % 10 == 0:
-            ranked = sorted((-sum(a * b for a, b in zip(whole[q], whole[x])), x) for x in whole if x != q)[:5]
-            want |= {(q, k): (x, -s) for k, (s, x) in enumerate(ranked, 1)}
-    assert got == want
+    vectors += [(40, [1.0, 0.0, 0.5]), (40, [0.0, 2.0]), (41, [3.0] * 9)]  # repeated ids, other lengths
+    bad = [(200, None), (210, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (220, [float("nan")] * 6), (230, [float("inf")] * 6), (None, [1.0])]
+    df = spark.createDataFrame(vectors + bad, "vec_id long, embedding array<float>").repartition(5)
+    got = Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows_of(topk.exact_top_k(topk.integers(df), F.col("vec_id") % 10 == 0, lists=lists)))
+    assert got == brute_top_k([(i, [math.floor(256 * x) for x in v]) for i, v in vectors], lambda q: q % 10 == 0)
     few = spark.createDataFrame(vectors[:3], "vec_id long, embedding array<float>")
     assert len(rows_of(topk.exact_top_k(topk.integers(few), F.col("vec_id") == 0))) == 2
+    assert topk.exact_top_k(topk.integers(few.limit(1)), F.lit(True)).count() == 0
     assert topk.exact_top_k(topk.integers(df.limit(0)), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_top_k_beyond_64_bits(spark):
+    rows = [(0, [3e15, 1.0]), (1, [1e15, -2.0]), (2, [-1e15, 5.0]), (3, [2.0, 1.0]), (4, [1e300, 0.0]), (5, [-1e300, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    hold = lambda x: max(min(math.floor(256 * x), 2**63 - 1), -(2**63))
+    got = Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows_of(topk.exact_top_k(topk.integers(df), F.lit(True))))
+    assert got == brute_top_k([(i, [hold(x) for x in v]) for i, v in rows], lambda q: True)
+
+
+def test_top_k_passes_over_what_norms_rule_out():
+    rng = np.random.default_rng(1)
+    q, x = rng.integers(-300, 300, (20, 8)), rng.integers(-3, 3, (50, 8))
+    pair = topk.Block(np.arange(20), q, np.arange(100, 150), x, 2)
+    i, _, _ = pair.reaching(np.full(20, 10**6))
+    assert not len(i)
+    whole = q @ x.T
+    low = np.sort(whole, axis=1)[:, -5]
+    i, j, s = pair.reaching(low)
+    assert {(a, b, c) for a, b, c in zip(i.tolist(), j.tolist(), s.tolist())} == {(a, b, int(whole[a, b])) for a in range(20) for b in range(50) if whole[a, b] >= low[a]}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
