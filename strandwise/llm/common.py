@@ -63,6 +63,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def as_struct(df: DataFrame, name: str) -> Column:
+    """All columns of a row in one, so that columns beside it can have any name."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns)).alias(name)
+
+
+def from_struct(df: DataFrame, name: str, like: DataFrame) -> DataFrame:
+    """The columns of `like` again."""
+    return df.select(*(F.col(name).getField(c).alias(c) for c in like.columns))
+
+
 @contextmanager
 def shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of the queries that run within go when each of them ends."""
@@ -317,74 +327,60 @@ def parts_of(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
 
 
 class HashArrays:
-    """Sorted 64-bit keys with columns of values: one raw file for each part, written by the task that has it and mapped by workers.
+    """Sorted 64-bit keys with a row of numbers each: one raw file for each part, written by the task that has it and mapped by workers.
 
-    A column is "count" (whole numbers from 0: a byte each, and a sorted list of those above 254) or
-    "value" (doubles). Only parts that keys fall into are opened, the last `OPEN` of them stay open.
+    Rows of numbers repeat, so a part has a table of the different ones and a code of one to four bytes for each key.
+    Only parts that keys fall into are opened, the last `OPEN` of them stay open.
     """
 
     OPEN = 4096
 
-    def __init__(self, folder: str, name: str, bits: int, columns: tuple[str, ...]):
+    def __init__(self, folder: str, name: str, bits: int, columns: int):
         self.folder, self.name, self.bits, self.columns = folder, name, bits, columns
         self.open: OrderedDict[int, tuple] = OrderedDict()
 
     def __reduce__(self):  # maps are opened anew in each worker
         return type(self), (self.folder, self.name, self.bits, self.columns)
 
-    def write(self, part: int, keys: np.ndarray, columns: list[np.ndarray]) -> None:
-        head, wide, plain = [len(keys)], [], []
-        for kind, x in zip(self.columns, columns, strict=True):
-            if kind == "value":
-                wide.append(x.astype("<f8"))
-                head.append(0)
-            else:
-                x = np.asarray(x, np.int64)
-                big = np.flatnonzero(x > 254)
-                wide += [big.astype("<i8"), x[big].astype("<i8")]
-                plain.append(np.minimum(x, 255).astype(np.uint8))
-                head.append(len(big))
-        SharedFolder(self.folder).write(f"{self.name}-{part}", np.array(head, "<i8"), keys.astype("<u8"), *wide, *plain)
-
-    def part(self, part: int) -> tuple:
+    def write(self, part: int, keys: np.ndarray, columns: np.ndarray) -> None:
+        """columns: a row of the array for each."""
+        columns = np.ascontiguousarray(columns, "<f8")
+        h = np.zeros(len(keys), U64)
+        for x in columns:
+            h = mix(h * U64(0x9E3779B97F4A7C15) + x.view(U64))
+        _, first, codes = distinct(h)
+        if not np.array_equal(columns[:, first][:, codes], columns):  # two rows of numbers with one hash
+            table, codes = np.unique(columns, axis=1, return_inverse=True)
+        else:
+            table = columns[:, first]
+        size = 1 if table.shape[1] <= 1 << 8 else 2 if table.shape[1] <= 1 << 16 else 4
+        SharedFolder(self.folder).write(f"{self.name}-{part}", np.array([len(keys), table.shape[1], size], "<i8"), keys.astype("<u8"), table.astype("<f8"), codes.ravel().astype(f"<u{size}"))
+
+    def part(self, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, table and codes."""
         if part in self.open:
             self.open.move_to_end(part)
             return self.open[part]
         raw = SharedFolder(self.folder).map(f"{self.name}-{part}")
         if not len(raw):
-            found = np.zeros(0, U64), [(np.zeros(0), None, None) for _ in self.columns]
+            found = np.zeros(0, U64), np.zeros((self.columns, 0)), np.zeros(0, np.uint8)
         else:
-            at = 8 * (1 + len(self.columns))
-            n, *big = raw[:at].view("<i8").tolist()
-
-            def take(count: int, kind: str) -> np.ndarray:
-                nonlocal at
-                size = count * np.dtype(kind).itemsize
-                at += size
-                return raw[at - size : at].view(kind)
-
-            keys = take(n, "<u8")
-            wide = [(take(n, "<f8"), None) if kind == "value" else (take(m, "<i8"), take(m, "<i8")) for kind, m in zip(self.columns, big, strict=True)]
-            found = keys, [(w[0], None, None) if kind == "value" else (take(n, "u1"), *w) for kind, w in zip(self.columns, wide, strict=True)]
+            n, k, size = raw[:24].view("<i8").tolist()
+            upto = 24 + 8 * n
+            end = upto + 8 * k * self.columns
+            found = raw[24:upto].view("<u8"), raw[upto:end].view("<f8").reshape(self.columns, k), raw[end:].view(f"<u{size}")
         self.open[part] = found
         if len(self.open) > self.OPEN:
             self.open.popitem(last=False)
         return found
 
-    def look(self, keys: np.ndarray, which: tuple[int, ...] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Whether each of the sorted keys is held, and its values (0 where not) in the columns asked for."""
-        which = tuple(range(len(self.columns))) if which is None else which
-        held = np.zeros(len(keys), bool)
-        out = [np.zeros(len(keys), float if self.columns[k] == "value" else np.int64) for k in which]
+    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each of the sorted keys is held, and its numbers (0 where not), a row for each column."""
+        held, out = np.zeros(len(keys), bool), np.zeros((self.columns, len(keys)))
         for part, i, j in parts_of(keys, self.bits):
-            own, columns = self.part(part)
+            own, table, codes = self.part(part)
             at = find(own, keys[i:j])
             hit = np.flatnonzero(at >= 0)
             held[i + hit] = True
-            for x, k in zip(out, which, strict=True):
-                values, big, those = columns[k]
-                x[i + hit] = values[at[hit]]
-                if big is not None and len(big):
-                    full = i + hit[values[at[hit]] == 255]
-                    x[full] = those[np.searchsorted(big, at[full - i])]
+            out[:, i + hit] = table[:, codes[at[hit]]]
         return held, out

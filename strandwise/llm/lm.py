@@ -34,7 +34,7 @@ from strandwise.llm.counting import RUN, Runs, bits_for, by_part, merged
 
 END, START = (U64(C.hash_word(x)) for x in (b"\nend", b"\nstart"))  # no word holds white space, so no word has these bytes
 #: What a lower level keeps of a key: c and a as an n-gram; t, n1, n2 and n3 as a context.
-LOWER = ("count",) * 6
+LOWER = 6
 NOTE = "part long, kinds long, tokens long, adjusted long, ones long, twos long, threes long, fours long, more long"
 
 
@@ -93,8 +93,8 @@ class KneserNey:
         with C.shuffles_removed(train.sparkSession):
             for level in range(order, 0, -1):
                 bits = bits_for(tokens, keys_a_part if above is None else keys_a_part // 3)
-                columns = 1 if above is None else len(LOWER)
-                arrays = C.HashArrays(folder, f"level-{level}", bits, LOWER[:columns])
+                columns = 1 if above is None else LOWER
+                arrays = C.HashArrays(folder, f"level-{level}", bits, columns)
                 seen = by_part(train.mapInArrow(_counter(order, level, above, bits), RUN), bits, _writer(arrays, columns), NOTE)
                 # a row for each part
                 total = seen.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("kinds", "tokens", "adjusted", "ones", "twos", "threes", "fours", "more"))).first()
@@ -126,7 +126,7 @@ class KneserNey:
         grams, about = Grams(data, offs, self.about["order"]), self.about["levels"]
         real, low = grams.real, about[0]
         kinds = low["kinds"]
-        c, a, *context = _spread(self.levels[0], grams.levels[0], (0, 1, 2, 3, 4, 5))
+        c, a, *context = _spread(self.levels[0], grams.levels[0])
         base = np.log10((c[real] + 1) / (low["tokens"] + (kinds + 1)))
         free = low["discounts"][0] * low["ones"] + low["discounts"][1] * low["twos"] + low["discounts"][2] * low["more"]
         share = _less(a[real], low["discounts"]) / max(low["adjusted"], 1)
@@ -135,11 +135,11 @@ class KneserNey:
             d, of = about[k]["discounts"], real - 1
             total = np.maximum(context[0][of], 1)
             rest = np.where(context[0][of] > 0, (d[0] * context[1][of] + d[1] * context[2][of] + d[2] * context[3][of]) / total, 1.0)
-            if len(level.columns) > 1:
-                a, *context = _spread(level, grams.levels[k], (1, 2, 3, 4, 5))
+            if level.columns > 1:
+                _, a, *context = _spread(level, grams.levels[k])
                 a = a[real]
             else:
-                (a,) = _spread(level, grams.levels[k][real], (0,))
+                (a,) = _spread(level, grams.levels[k][real])
             p = _less(a, d) / total + rest * p
         return grams.n, c[real] > 0, base, np.log10(p)
 
@@ -147,14 +147,14 @@ class KneserNey:
         C.SharedFolder(self.folder).drop()
 
 
-def _spread(level: C.HashArrays, keys: np.ndarray, which: tuple[int, ...]) -> list[np.ndarray]:
-    """Columns of a level for keys in any order."""
+def _spread(level: C.HashArrays, keys: np.ndarray) -> np.ndarray:
+    """Numbers of a level for keys in any order."""
     kinds, _, inverse = C.distinct(keys)
-    return [x[inverse] for x in level.look(kinds, which)[1]]
+    return level.look(kinds)[1][:, inverse]
 
 
 def _less(a: np.ndarray, discounts: list[float]) -> np.ndarray:
-    return np.maximum(a - np.array([0.0, *discounts])[np.minimum(a, 3)], 0)
+    return np.maximum(a - np.array([0.0, *discounts])[np.minimum(a, 3).astype(np.int64)], 0)
 
 
 def _counter(order: int, level: int, above: C.HashArrays | None, bits: int):
@@ -165,10 +165,10 @@ def _counter(order: int, level: int, above: C.HashArrays | None, bits: int):
 
     def lower(grams: Grams):
         kinds, _, longer = C.distinct(grams.levels[level][grams.real])
-        held, columns = above.look(kinds, (0, 1)[: len(above.columns)])
+        held, columns = above.look(kinds)
         if not held.all():
             raise RuntimeError("an n-gram was not counted: the text is not the one that the level above has seen")
-        once, a = (1 / columns[0])[longer], columns[-1]
+        once, a = (1 / columns[0])[longer], columns[min(1, above.columns - 1)]
         keys, _, place = C.distinct(grams.levels[level - 1])
         own, context = place[grams.real], place[grams.real - 1]
         kind = np.minimum(a, 3)[longer]
@@ -179,7 +179,7 @@ def _counter(order: int, level: int, above: C.HashArrays | None, bits: int):
         return keys, np.stack(sums)
 
     def count(batches):
-        held = Runs(bits) if above is None else Runs(bits, len(LOWER), np.float64)
+        held = Runs(bits) if above is None else Runs(bits, LOWER, np.float64)
         for batch in batches:
             for *_, data, offs in C.text_blocks(batch):
                 yield from held.add(*(highest if above is None else lower)(Grams(data, offs, order)))
@@ -193,9 +193,9 @@ def _writer(arrays: C.HashArrays, columns: int):
 
     def write(rows: pa.Table) -> pa.Table:
         keys, sums = merged(rows, columns, np.int64 if columns == 1 else np.float64)
-        sums = np.rint(sums).astype(np.int64)  # sums of 1/c over all c occurrences
+        sums = np.rint(sums)  # sums of 1/c over all c occurrences
         part = rows["part"][0].as_py()
-        arrays.write(part, keys, list(sums))
+        arrays.write(part, keys, sums)
         c, a = sums[0], sums[min(1, columns - 1)]
         note = [part, int((c > 0).sum()), int(c.sum()), int(a.sum()), *(int((a == k).sum()) for k in (1, 2, 3, 4)), int((a >= 3).sum())]
         return pa.Table.from_arrays([pa.array([x], pa.int64()) for x in note], [x.split()[0] for x in NOTE.split(", ")])

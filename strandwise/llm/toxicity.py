@@ -180,7 +180,7 @@ class ToxicPassages:
         centre = np.log(share / (1 - share))
         odds = LogOdds([])
         for level in range(3):
-            arrays = C.HashArrays(folder.uri, f"level-{level}", bits, ("value",))
+            arrays = C.HashArrays(folder.uri, f"level-{level}", bits, 1)
 
             def weigh(found: pa.Table) -> pa.Table:
                 keys, c = merged(found, 3)
@@ -190,7 +190,7 @@ class ToxicPassages:
                 q = (c[0] + prior * p) / (n + prior)
                 value = np.log(q / (1 - q)) - centre
                 keep = np.abs(value - parent) > 0.5
-                arrays.write(found["part"][0].as_py(), keys[keep], [value[keep]])
+                arrays.write(found["part"][0].as_py(), keys[keep], value[None, keep])
                 return pa.table({"n": pa.array([int(keep.sum())], pa.int64())})
 
             by_part(counted.mapInArrow(counts_of(level, odds), RUN), bits, weigh, "n long").agg(F.sum("n")).first()
