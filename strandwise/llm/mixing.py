@@ -1,17 +1,21 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents are counted into cells of source, language and topic by their tokens. The cells' shares are
-raked to the three target marginals in turn, and a document's inclusion probability is that of its
-cell: min(1, s * raked share / share), with s such that the expected tokens meet the budget. Cells that
-reach 1 then pull the drawn marginals back to the corpus, so sample() holds the targets instead: it
-rakes with the bound and, where the budget can't be met so, draws less and warns. Beyond `bound` cells
-it takes the largest s that leaves all cells below 1, which has the same marginals and may draw less. Whether
-a document is taken depends on its id alone (an md5 draw), so a run again takes the same ones.
+raked to the three target marginals in turn. Targets are given for the values named; what they leave of 1 is
+shared by the other values as their tokens tempered by an exponent. A document's inclusion probability
+is that of its cell, and the drawn tokens have the target marginals whatever the corpus has: no cell is
+just cut off at 1. `even` takes s * raked share / share with the largest s that leaves no cell above 1 (and no
+more than the budget); `bounded` rakes again with the bound inside and finds the largest budget for which
+that holds, so it draws at least as much. Both draw less than the budget where the targets don't allow it, with a
+warning. If no probabilities have the marginals within `tolerance` (a value's cells may be empty), it is
+an error that names the worst value, or a warning if not `strict`: then values keep what raking could
+give them. `report` lists targets and drawn shares. Whether a document is taken depends on its id alone
+(an md5 draw), so a run again takes the same ones.
 
 Null source, language or topic is a value of its own (empty text); null text is empty and has its end
 token alone. Repeated rows of an id are drawn alike. An empty table gives an empty one. Up to `bound`
-cells are raked on the driver, more by joins in Spark, with the same result for calibrated(). Only the named columns
-are read; all others stay with the row in sample(), whatever their names.
+cells are raked on the driver, more by joins in Spark (`even` there). Only the named columns are read;
+all others stay with the row in sample(), whatever their names.
 """
 
 from __future__ import annotations
@@ -44,6 +48,15 @@ def draw(doc_id: Column, seed: str = "mix") -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def goals_of(values: np.ndarray, totals: np.ndarray, exponent: float, named: dict[str, float]) -> np.ndarray:
+    """Target shares of a dimension's values."""
+    own = np.array([named.get(v, 0.0) for v in values], float)
+    rest = np.array([v not in named for v in values])
+    if rest.any():
+        own[rest] = max(1 - sum(named.values()), 0.0) * tempered(np.where(rest, totals, 0.0), exponent)[rest]
+    return own / own.sum() if own.sum() else tempered(totals, exponent)
+
+
 def tempered(totals: np.ndarray, exponent: float) -> np.ndarray:
     x = np.power(totals, exponent)
     return x / x.sum()
@@ -107,73 +120,76 @@ def hold(codes: list[np.ndarray], tokens: np.ndarray, targets: list[np.ndarray],
     return best
 
 
-def _report(drawn: float, keep: float) -> None:
+def _check(report: list[tuple[str, str, float, float]], drawn: float, keep: float, tolerance: float, strict: bool) -> None:
+    d, value, goal, have = max(report, key=lambda r: abs(r[3] - r[2]))
+    if not abs(have - goal) <= tolerance:
+        said = f"no probabilities have the target marginals: {d} {value!r} has {have:.4f} of the drawn tokens, its target is {goal:.4f}"
+        if strict:
+            raise ValueError(said)
+        warnings.warn(said, stacklevel=3)
     if drawn < keep * (1 - 1e-6):
         warnings.warn(f"the targets allow {drawn:.4f} of the tokens, not {keep}", stacklevel=3)
 
 
 class Mixture:
-    """The calibrated probability of each cell, as a table (source, lang, topic, prob)."""
+    """The calibrated probability of each cell, as a table (cell_source, cell_lang, cell_topic, prob)."""
 
-    def __init__(self, cells: DataFrame, small: bool):
-        self.cells, self.small = cells, small
+    def __init__(self, cells: DataFrame, small: bool, report: list[tuple[str, str, float, float]]):
+        self.cells, self.small, self.report = cells, small, report  # report: dimension, value, target and drawn share
 
     @classmethod
-    def calibrate(cls, keyed: DataFrame, exponent: float = 0.7, keep: float = 0.8, rounds: int = 25, targets: dict[str, dict[str, float]] | None = None, bound: int = 500_000, hold_targets: bool = False) -> Mixture:
-        """keyed: __source, __lang, __topic, __tokens. targets: shares of a dimension's values; tempered shares where none are given. With hold_targets the drawn tokens keep the raked marginals and keep is the most that is drawn; without, keep is met and cells that are whole give up theirs."""
-        spark = keyed.sparkSession
+    def calibrate(cls, keyed: DataFrame, exponent: float = 0.7, keep: float = 0.8, rounds: int = 25, targets: dict[str, dict[str, float]] | None = None, bound: int = 500_000, law: str = "even", tolerance: float = 0.01, strict: bool = True) -> Mixture:
+        """keyed: __source, __lang, __topic, __tokens. targets: shares of a dimension's values; keep is the most that is drawn of all tokens."""
+        assert law in ("even", "bounded")
+        spark, targets = keyed.sparkSession, targets or {}
         cells = C.cut(keyed.groupBy(*(f"__{d}" for d in DIMS)).agg(F.sum("__tokens").cast("double").alias("t")))
         if cells.count() > bound:
-            return cls._in_spark(cells, exponent, keep, rounds, targets or {}, hold_targets)
+            return cls._in_spark(cells, exponent, keep, rounds, targets, tolerance, strict)
         rows = cells.collect()  # at most `bound`
-        tokens = np.array([r.t for r in rows], float)
-        codes, goals = [], []
-        for d in DIMS:
-            values, code = np.unique(np.array([r[f"__{d}"] for r in rows], object), return_inverse=True) if rows else (np.zeros(0), np.zeros(0, int))
-            goal = tempered(np.bincount(code, tokens, len(values)), exponent) if len(values) else np.zeros(0)
-            if targets and d in targets:
-                goal = np.array([targets[d].get(v, 0.0) for v in values])
-                goal = goal / max(goal.sum(), 1e-300)
+        tokens, codes, goals, names = np.array([r.t for r in rows], float), [], [], []
+        for d in DIMS if rows else ():
+            values, code = np.unique(np.array([r[f"__{d}"] for r in rows], object), return_inverse=True)
             codes.append(code)
-            goals.append(goal)
-        ratio = rake(codes, tokens, goals, rounds) * tokens.sum() / tokens if rows else np.zeros(0)
-        if rows and hold_targets:
-            prob = hold(codes, tokens, goals, ratio, keep, rounds)
-            _report(float((prob * tokens).sum() / tokens.sum()), keep)
-        else:
-            prob = fill(tokens, ratio, keep * tokens.sum()) if rows else np.zeros(0)
+            names.append(values)
+            goals.append(goals_of(values, np.bincount(code, tokens, len(values)), exponent, targets.get(d, {})))
+        prob, report = np.zeros(0), []
+        if rows:
+            ratio = rake(codes, tokens, goals, rounds) * tokens.sum() / tokens
+            prob = hold(codes, tokens, goals, ratio, keep, rounds) if law == "bounded" else ratio * min(keep, 1 / ratio.max())
+            drawn = prob * tokens
+            for d, code, goal, values in zip(DIMS, codes, goals, names, strict=True):
+                report += zip([d] * len(values), values.tolist(), goal.tolist(), (np.bincount(code, drawn, len(values)) / drawn.sum()).tolist(), strict=True)
+            _check(report, float(drawn.sum() / tokens.sum()), keep, tolerance, strict)
         made = [(*(r[f"__{d}"] for d in DIMS), float(p)) for r, p in zip(rows, prob, strict=True)]
-        return cls(spark.createDataFrame(made, ", ".join(f"cell_{d} string" for d in DIMS) + ", prob double"), True)
+        return cls(spark.createDataFrame(made, ", ".join(f"cell_{d} string" for d in DIMS) + ", prob double"), True, report)
 
     @classmethod
-    def _in_spark(cls, cells: DataFrame, exponent: float, keep: float, rounds: int, targets: dict, hold_targets: bool) -> Mixture:
+    def _in_spark(cls, cells: DataFrame, exponent: float, keep: float, rounds: int, targets: dict, tolerance: float, strict: bool) -> Mixture:
         total = cells.agg(F.sum("t")).first()[0]
         now = cells.withColumn("share", F.col("t") / total)
         goals = []
         for d in DIMS:
-            own = cells.groupBy(f"__{d}").agg(F.pow(F.sum("t"), F.lit(exponent)).alias("x"))
-            if d in targets:
-                own = cells.sparkSession.createDataFrame(list(targets[d].items()), f"__{d} string, x double").join(own.select(f"__{d}"), f"__{d}")
-            goals.append(C.cut(own.crossJoin(own.agg(F.sum("x").alias("sum"))).select(F.col(f"__{d}").alias("k"), (F.col("x") / F.col("sum")).alias("goal"))))  # one row on the right
+            named = targets.get(d, {})
+            own = cells.groupBy(F.col(f"__{d}").alias("k")).agg(F.pow(F.sum("t"), F.lit(exponent)).alias("x")).withColumn("named", F.col("k").isin(list(named)) if named else F.lit(False))
+            rest = own.agg(F.sum(F.when(~F.col("named"), F.col("x")))).first()[0] or 1.0
+            given = F.lit(0.0)
+            for v, share in named.items():
+                given = F.when(F.col("k") == v, share).otherwise(given)
+            own = own.select("k", F.when(F.col("named"), given).otherwise(F.col("x") / rest * max(1 - sum(named.values()), 0.0)).alias("x"))
+            norm = own.agg(F.sum("x")).first()[0]
+            goals.append(C.cut(own.select("k", (F.col("x") / norm).alias("goal"))))
         for _ in range(rounds):
             for d, goal in zip(DIMS, goals, strict=True):
-                have = now.groupBy(F.col(f"__{d}").alias("k")).agg(F.sum("share").alias("have")).join(goal, "k", "left").select("k", (F.coalesce("goal", F.lit(0.0)) / F.col("have")).alias("by"))
-                now = now.join(have, now[f"__{d}"] == have["k"]).withColumn("share", F.col("share") * F.col("by")).drop("k", "by")
-            now = C.cut(now)
+                have = now.groupBy(F.col(f"__{d}").alias("k")).agg(F.sum("share").alias("have")).join(goal, "k").select("k", (F.col("goal") / F.col("have")).alias("by"))
+                now = C.cut(now.join(have, now[f"__{d}"] == have["k"]).withColumn("share", F.col("share") * F.coalesce("by", F.lit(0.0))).drop("k", "by"))
         ratio = now.withColumn("ratio", F.col("share") * total / F.col("t"))
-        if hold_targets:
-            most, drawn = ratio.agg(F.max("ratio"), F.sum(F.col("t") * F.col("ratio")) / total).first()
-            s = min(keep, 1 / most)
-            _report(s * drawn, keep)
-            return cls(ratio.select(*(F.col(f"__{d}").alias(f"cell_{d}") for d in DIMS), F.least(F.lit(1.0), F.col("ratio") * s).alias("prob")), False)
-        low, high = 0.0, 1.0
-        tokens = lambda s: ratio.agg(F.sum(F.col("t") * F.least(F.lit(1.0), F.col("ratio") * s))).first()[0]
-        while tokens(high) < keep * total and high < 2**60:
-            high *= 2
-        for _ in range(50):
-            mid = (low + high) / 2
-            low, high = (mid, high) if tokens(mid) < keep * total else (low, mid)
-        return cls(ratio.select(*(F.col(f"__{d}").alias(f"cell_{d}") for d in DIMS), F.least(F.lit(1.0), F.col("ratio") * high).alias("prob")), False)
+        most, drawn = ratio.agg(F.max("ratio"), F.sum(F.col("t") * F.col("ratio")) / total).first()
+        s, report = min(keep, 1 / most), []
+        for d, goal in zip(DIMS, goals, strict=True):  # the worst value of each dimension
+            off = now.groupBy(F.col(f"__{d}").alias("k")).agg(F.sum("share").alias("have")).join(goal, "k").orderBy(F.desc(F.abs(F.col("have") / drawn - F.col("goal")))).first()
+            report.append((d, off.k, off.goal, off.have / drawn))
+        _check(report, s * drawn, keep, tolerance, strict)
+        return cls(ratio.select(*(F.col(f"__{d}").alias(f"cell_{d}") for d in DIMS), F.least(F.lit(1.0), F.col("ratio") * s).alias("prob")), False, report)
 
     def join(self, keyed: DataFrame) -> DataFrame:
         cells = F.broadcast(self.cells) if self.small else self.cells
@@ -182,15 +198,15 @@ class Mixture:
 
 
 def keyed(docs: DataFrame, source: str = "source", lang: str = "lang", text: str = "text", topic: Column | None = None) -> DataFrame:
-    """docs with the cell and the tokens of each row, under names of two underscores."""
+    """`row`, a struct of all columns of docs, with the cell and the tokens of each row."""
     t = F.col(text).cast("string")
     at = {"source": F.col(source), "lang": F.col(lang), "topic": topic_of(t) if topic is None else topic}
-    return docs.withColumns({f"__{d}": F.coalesce(c.cast("string"), F.lit("")) for d, c in at.items()} | {"__tokens": tokens_of(t)})
+    return docs.select(C.as_struct(docs, "row"), *(F.coalesce(c.cast("string"), F.lit("")).alias(f"__{d}") for d, c in at.items()), tokens_of(t).alias("__tokens"))
 
 
 def calibrated(docs: DataFrame, **how) -> DataFrame:
     """doc_id, source, lang, topic, tokens, prob and sampled of every row."""
-    rows = C.cut(keyed(docs.select("doc_id", "source", "lang", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), *(f"__{d}" for d in DIMS), "__tokens"))
+    rows = C.cut(keyed(docs.select("doc_id", "source", "lang", "text")).select(F.col("row.doc_id").cast("long").alias("doc_id"), *(f"__{d}" for d in DIMS), "__tokens"))
     found = Mixture.calibrate(rows, **how).join(rows)
     return found.select("doc_id", *(F.col(f"__{d}").alias(d) for d in DIMS), F.col("__tokens").alias("tokens"), "prob", (draw(F.col("doc_id")) < F.col("prob")).alias("sampled"))
 
@@ -198,20 +214,27 @@ def calibrated(docs: DataFrame, **how) -> DataFrame:
 def sample(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs that are drawn, with all their columns; the drawn tokens have the target marginals."""
     rows = keyed(docs)
-    mixture = Mixture.calibrate(rows, **{"hold_targets": True} | how)
-    names = docs.columns
-    cells = mixture.cells.withColumnRenamed("prob", "__prob")
-    return Mixture(cells, mixture.small).join(rows).filter(draw(F.col("doc_id")) < F.col("__prob")).select(*names)
+    mixture = Mixture.calibrate(rows, **{"law": "bounded"} | how)
+    return C.from_struct(mixture.join(rows).filter(draw(F.col("row.doc_id")) < F.col("prob")), "row", docs)
 
 
-def oracle(exponent: float = 0.7, keep: float = 0.8, rounds: int = 25) -> str:
+def oracle(exponent: float = 0.7, keep: float = 0.8, rounds: int = 25, targets: dict[str, dict[str, float]] | None = None) -> str:
     """DuckDB SQL for calibrated(), with probabilities to nine places."""
+
+    def goal(d: str) -> str:
+        named = (targets or {}).get(d, {})
+        given = "case " + " ".join(f"when {d} = '{v}' then {x}" for v, x in named.items()) + " else {} end" if named else "{}"
+        listed = ", ".join(f"'{v}'" for v in named) or "null"
+        other = f"coalesce({d} not in ({listed}), true)"
+        rest = f"{max(1 - sum(named.values()), 0.0)} * pow(sum(t), {exponent}) / sum(case when {other} then pow(sum(t), {exponent}) end) over ()"
+        return f"g_{d} as materialized (select k, x / sum(x) over () as goal from (select {d} as k, {given.format(rest)} as x from c0 group by {d}))"
+
     steps = [
         """d as (select doc_id, coalesce(source, '') as source, coalesce(lang, '') as lang,
     case when contains(lower(coalesce(text, '')), 'licen') then 'legal' when contains(coalesce(text, ''), '@') then 'contact' when contains(coalesce(text, ''), '|') then 'table' else 'prose' end as topic,
     cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) + 1 as bigint) as tokens from documents)""",
         "c0 as materialized (select source, lang, topic, cast(sum(tokens) as double) as t, cast(sum(tokens) as double) / (select sum(tokens) from d) as w from d group by all)",
-        *(f"g_{d} as materialized (select {d} as k, pow(sum(t), {exponent}) / sum(pow(sum(t), {exponent})) over () as goal from c0 group by {d})" for d in DIMS),
+        *map(goal, DIMS),
     ]
     k = 0
     for _ in range(rounds):
@@ -219,9 +242,7 @@ def oracle(exponent: float = 0.7, keep: float = 0.8, rounds: int = 25) -> str:
             steps.append(f"c{k + 1} as materialized (select source, lang, topic, t, w * goal / sum(w) over (partition by {d}) as w from c{k} join g_{d} on {d} = k)")
             k += 1
     steps += [
-        f"r as materialized (select *, w * sum(t) over () / t as ratio, sum(t) over () as total from c{k})",
-        "o as (select *, sum(t) over (order by ratio desc, source, lang, topic) - t as whole, sum(t * ratio) over (order by ratio desc, source, lang, topic rows between current row and unbounded following) as rest from r)",
-        f"s as (select min_by(({keep} * total - whole) / rest, -ratio) as s from o where ({keep} * total - whole) / rest * ratio <= 1)",
-        "p as (select source, lang, topic, least(1.0, coalesce(s, 1e300) * ratio) as prob from r, s)",
+        f"r as materialized (select *, w * sum(t) over () / t as ratio from c{k})",
+        f"p as (select source, lang, topic, ratio * (select least({keep}, 1 / max(ratio)) from r) as prob from r)",
     ]
     return "with " + ",\n".join(steps) + "\nselect doc_id, d.source, d.lang, d.topic, tokens, round(prob, 9) as prob, cast('0x' || substr(md5('mix:' || doc_id), 1, 13) as bigint) / 4503599627370496.0 < prob as sampled from d join p using (source, lang, topic)"

@@ -189,13 +189,15 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     Rows that repeat both id and text are one.
     """
     content = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    keyed = docs.withColumns({"__content": content, "__key": F.coalesce(F.col(doc_id).cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(content, 2))})
-    rows = C.cut(keyed.groupBy("__key", "__content").agg(F.count("*").alias("n")))
-    found = near_duplicates(keyed, "__content", text).groupBy(F.col("doc_id").alias("of")).agg(F.min("component_id").alias("component_id"))
-    least = rows.groupBy("__content").agg(F.min("__key").alias("__key"))
-    first = least.join(found, least["__content"] == found["of"]).groupBy("component_id").agg(F.min(F.struct("__key", "__content")).alias("first"))
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(content, 2))
+    keyed = docs.select(C.as_struct(docs, "row"), F.col(text).cast("string").alias("words"), content.alias("content"), key.alias("key"))
+    rows = C.cut(keyed.groupBy("key", "content").agg(F.count("*").alias("n")))
+    found = near_duplicates(keyed, "content", "words").groupBy(F.col("doc_id").alias("of")).agg(F.min("component_id").alias("component_id"))
+    least = rows.groupBy("content").agg(F.min("key").alias("key"))
+    # a component of many texts has partial minima first
+    first = least.join(found, least["content"] == found["of"]).groupBy("component_id").agg(F.min(F.struct("key", "content")).alias("first"))
     first = C.cut(first.select("first.*"))
-    kept = keyed.join(first, ["__key", "__content"], "left_semi")
+    kept = keyed.join(first, ["key", "content"], "left_semi")
     if rows.filter("n > 1").limit(1).count():  # rows that repeat id and text
-        kept = kept.dropDuplicates(["__key", "__content"])
-    return kept.select(*docs.columns)
+        kept = kept.dropDuplicates(["key", "content"])
+    return C.from_struct(kept, "row", docs)

@@ -317,30 +317,56 @@ def test_raking_meets_the_marginals(docs, empty):
     share = mixing.rake(codes, tokens, goals, 300)
     for code, goal in zip(codes, goals):
         assert np.allclose(np.bincount(code, share, len(goal)), goal, atol=1e-6)
-    p = mixing.fill(tokens, share * tokens.sum() / tokens, 0.5 * tokens.sum())
-    assert abs((p * tokens).sum() - 0.5 * tokens.sum()) < 1e-6 * tokens.sum() and p.max() <= 1
-    a = {(r["doc_id"], round(r["prob"], 6), r["sampled"]) for r in rows_of(mixing.calibrated(docs, rounds=6))}
-    b = {(r["doc_id"], round(r["prob"], 6), r["sampled"]) for r in rows_of(mixing.calibrated(docs, rounds=6, bound=1))}
+    given = {"lang": {"en": 0.5}}
+    a = {(r["doc_id"], round(r["prob"], 9), r["sampled"]) for r in rows_of(mixing.calibrated(docs, targets=given, strict=False, rounds=4))}
+    b = {(r["doc_id"], round(r["prob"], 9), r["sampled"]) for r in rows_of(mixing.calibrated(docs, targets=given, bound=1, strict=False, rounds=4))}
     assert a == b and len(a) >= 60
-    assert mixing.calibrated(empty).count() == 0 and mixing.sample(docs).columns == docs.columns
+    assert mixing.calibrated(empty).count() == 0 and mixing.sample(docs, strict=False).columns == docs.columns
 
 
-def test_drawn_tokens_have_the_target_marginals(spark):
+def test_goals_share_what_is_not_named():
+    goal = mixing.goals_of(np.array(["a", "b", "c"], object), np.array([10.0, 10.0, 30.0]), 1.0, {"a": 0.6, "z": 0.2})
+    assert np.allclose(goal, np.array([0.6, 0.05, 0.15]) / 0.8)
+    assert np.allclose(mixing.goals_of(np.array(["a"], object), np.array([3.0]), 0.7, {"z": 1.0}), [1.0])
+
+
+@pytest.mark.parametrize("bound", [500_000, 1])
+def test_drawn_tokens_have_the_target_marginals(spark, bound):
     rows = [(s, l, t, n) for s, a in (("x", 1), ("y", 9)) for l, b in (("en", 8), ("de", 2)) for t, c in (("prose", 50), ("legal", 1)) for n in [a * b * c + (s == "x") * 3]]
     df = spark.createDataFrame(rows, "__source string, __lang string, __topic string, __tokens long")
     goals = {"source": {"x": 0.5, "y": 0.5}, "lang": {"en": 0.6, "de": 0.4}, "topic": {"prose": 0.8, "legal": 0.2}}
     drawn = []
-    for bound in (500_000, 1):
+    for law in ("even", "bounded"):
         with pytest.warns(UserWarning, match="targets allow"):
-            mixture = mixing.Mixture.calibrate(df, targets=goals, rounds=6, bound=bound, hold_targets=True)
+            mixture = mixing.Mixture.calibrate(df, targets=goals, rounds=6, bound=bound, law=law)
+        assert all(abs(goal - have) < 1e-4 for *_, goal, have in mixture.report)
         got = rows_of(mixture.join(df))
         total = sum(r["prob"] * r["__tokens"] for r in got)
         for d, goal in goals.items():
             for value, share in goal.items():
                 assert abs(sum(r["prob"] * r["__tokens"] for r in got if r[f"__{d}"] == value) / total - share) < 1e-4
-        assert max(r["prob"] for r in got) <= 1
+        assert max(r["prob"] for r in got) <= 1 + 1e-12
         drawn.append(total)
-    assert drawn[0] >= drawn[1] * (1 - 1e-6)
+    assert drawn[1] >= drawn[0] * (1 - 1e-6)
+
+
+@pytest.mark.parametrize("bound", [500_000, 1])
+def test_targets_that_no_probabilities_have_are_an_error(spark, bound):
+    df = spark.createDataFrame([("x", "en", "prose", 90), ("y", "de", "prose", 10)], "__source string, __lang string, __topic string, __tokens long")
+    with pytest.raises(ValueError, match="target is"):
+        mixing.Mixture.calibrate(df, targets={"source": {"x": 0.9, "y": 0.1}, "lang": {"en": 0.2, "de": 0.8}}, bound=bound, rounds=4)
+
+
+def test_columns_of_any_name_stay(spark, docs):
+    """Names that the operators use themselves, as columns of the documents."""
+    names = ["row", "prob", "cell_source", "cell_topic", "__source", "__tokens", "__prob", "__key", "__content", "n", "of", "fp", "component_id", "a.b", "lang_pred"]
+    odd = docs.select("*", *(F.concat(F.lit(f"{k}:"), F.col("doc_id").cast("string")).alias(c) for k, c in enumerate(names)))
+    whole = {tuple(r) for r in odd.collect()}
+    for kept in (mixing.sample(odd, strict=False), simhash.keep_one(odd)):
+        assert kept.columns == odd.columns
+        rows = [tuple(r) for r in kept.collect()]
+        assert rows and set(rows) <= whole
+    assert {r["doc_id"] for r in rows_of(simhash.keep_one(odd))} == {r["doc_id"] for r in rows_of(simhash.keep_one(docs))}
 
 
 def test_sample_draws_the_target_marginals(spark):
