@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from strandwise.functions import sequences as S
+from strandwise.operators.graph import cut
+
+LEAST = 26  # residues that can be aligned
+REFERENCES, RAWS = 1024, 256  # of a block
 
 
 def project(raw: str, reference: str, keep: int = 2) -> tuple[int, list[str]]:
@@ -57,3 +66,81 @@ def identity(a: str, b: str) -> float:
     if not used:
         raise ValueError("no comparable column")
     return sum(x == y for x, y in used) / len(used)
+
+
+def _codes(sequences: list[str], width: int) -> np.ndarray:
+    return np.frombuffer("".join(sequences).encode("ascii"), np.uint8).reshape(-1, width)
+
+
+def costs(raws: list[str], references: np.ndarray) -> np.ndarray:
+    """The least mismatches of each raw sequence (all of one length) with each reference (rows of codes), over all placements of gaps."""
+    x = _codes(raws, len(raws[0]))
+    gaps = S.LENGTH - x.shape[1]
+    far = np.int16(S.LENGTH + 1)
+    now = np.full((gaps + 1, len(x), len(references)), far, np.int16)  # by gaps placed so far
+    now[0] = 0
+    for j in range(S.LENGTH):
+        column, new = references[:, j], np.full_like(now, far)
+        for g in range(max(0, j + 1 - x.shape[1]), min(gaps, j + 1) + 1):
+            if j - g >= 0 and j - g < x.shape[1]:
+                new[g] = now[g] + (x[:, j - g][:, None] != column[None, :])
+            if g:
+                np.minimum(new[g], now[g - 1] + (column != ord(S.GAP)), out=new[g])
+        now = new
+    return now[gaps]
+
+
+def _block(raws: list[str], references: list[str]) -> list[tuple[int, list[str]]]:
+    """For each raw sequence against a block of references: the least mismatches, and up to two strings that reach it."""
+    out: list = [(S.LENGTH + 1, [])] * len(raws)
+    codes = _codes(references, S.LENGTH)
+    for size in sorted({len(r) for r in raws}):
+        at = [k for k, r in enumerate(raws) if len(r) == size]
+        cost = costs([raws[k] for k in at], codes)
+        for k, row in zip(at, cost, strict=True):
+            least, strings = int(row.min()), set()
+            for r in np.flatnonzero(row == least):
+                strings = set(sorted(strings | set(project(raws[k], references[r])[1]))[:2])
+                if len(strings) > 1:
+                    break  # two are as many as matter
+            out[k] = least, sorted(strings)
+    return out
+
+
+def prepared(raws: DataFrame, references: DataFrame) -> DataFrame:
+    """raw, aligned and status of distinct sequences: direct or mapped_unambiguously with the aligned string, or invalid, ambiguous or too_far."""
+    valid = (F.length("raw").between(LEAST, S.LENGTH)) & ~F.col("raw").rlike(f"[^{S.ALPHABET[1:]}]")
+    rows = raws.select("raw", valid.alias("valid"))
+    chosen, references = cut(rows.filter("valid").select("raw")), cut(references.select("aligned"))
+    groups, blocks = max(1, -(-chosen.count() // RAWS)), max(1, -(-references.count() // REFERENCES))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    qs = chosen.groupBy(deal("raw", groups).alias("g")).agg(F.sort_array(F.collect_list("raw")).alias("raws"))  # about a block each
+    rs = references.groupBy(deal("aligned", blocks).alias("r")).agg(F.sort_array(F.collect_list("aligned")).alias("refs"))
+    pairs = qs.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(rs, "r").select("raws", "refs")
+
+    def place(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = batch["raws"][row].as_py()
+                found = _block(own, batch["refs"][row].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.list_(pa.string()))], ["raw", "cost", "strings"])
+
+    each = cut(pairs.mapInArrow(place, "raw string, cost int, strings array<string>"))
+    least = each.groupBy(F.col("raw").alias("of")).agg(F.min("cost").alias("least"))
+    best = each.join(least, (F.col("raw") == F.col("of")) & (F.col("cost") == F.col("least"))).select("raw", F.explode("strings").alias("s")).groupBy("raw").agg(F.count_distinct("s").alias("n"), F.min("s").alias("aligned"))
+    single = best.filter("n = 1").groupBy(deal("aligned", groups).alias("g")).agg(F.sort_array(F.collect_set("aligned")).alias("xs"))
+    again = single.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(rs, "r").select("xs", "refs")
+
+    def near(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = batch["xs"][row].as_py()
+                x, r = _codes(own, S.LENGTH)[:, None, :], _codes(batch["refs"][row].as_py(), S.LENGTH)[None]
+                used = (x != ord(S.GAP)) | (r != ord(S.GAP))
+                top = (((x == r) & used).sum(2) / np.maximum(used.sum(2), 1)).max(1)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(top)], ["s", "identity"])
+
+    top = again.mapInArrow(near, "s string, identity double").groupBy("s").agg(F.max("identity").alias("identity"))
+    fate = best.join(top, F.col("aligned") == F.col("s"), "left").select(F.col("raw").alias("of"), "aligned", F.when(F.col("n") > 1, "ambiguous").when(F.coalesce("identity", F.lit(0.0)) < 0.85, "too_far").when(F.length("raw") == S.LENGTH, "direct").otherwise("mapped_unambiguously").alias("fate"))
+    status = F.when(~F.col("valid"), "invalid").otherwise(F.coalesce("fate", F.lit("too_far")))
+    return rows.join(fate, F.col("raw") == F.col("of"), "left").select("raw", status.alias("status"), "aligned").select("raw", F.when(F.col("status").isin("direct", "mapped_unambiguously"), F.col("aligned")).alias("aligned"), "status")

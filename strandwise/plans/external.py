@@ -1,6 +1,6 @@
 """Queries over held-out rows: dependency groups, locked predictions, prediction rows, receipts and JSON access.
 
-Development rows are the panel's with doc_id % 8 = 0, external ones those with doc_id % 8 = 1.
+Development rows are the panel's with doc_id % 8 = 0, all others are external.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from strandwise.sources import tables as T
 NEAR, SAME = 0.70, 0.85
 
 _EDGES = "select a as x, b as y from near where identity + 1e-12 >= 0.85 and {a} and {b} union all select b, a from near where identity + 1e-12 >= 0.85 and {a} and {b}"
-GROUPS = f"""with recursive {PANEL}, px as (select * from panel where doc_id % 8 in (0, 1) and aligned <> repeat('-', 30)),
-cls as materialized (select aligned, min(peptide_id) as rep, 30 - length(replace(aligned, '-', '')) as gaps, bool_or(doc_id % 8 = 1) as ext, bool_or(doc_id % 8 = 0) as dev from px group by aligned),
+GROUPS = f"""with recursive {PANEL}, px as (select * from panel where aligned <> repeat('-', 30)),
+cls as materialized (select aligned, min(peptide_id) as rep, 30 - length(replace(aligned, '-', '')) as gaps, bool_or(doc_id % 8 <> 0) as ext, bool_or(doc_id % 8 = 0) as dev from px group by aligned),
 scored as (select a.rep as a, b.rep as b, a.ext as ea, a.dev as da, b.ext as eb, b.dev as db, {IDENTITY.format(a='a', b='b')} as identity from cls a join cls b on a.rep < b.rep),
 near as materialized (select * from scored where identity + 1e-12 >= 0.70),
 ee as materialized ({_EDGES.format(a='ea', b='eb')}), de as materialized ({_EDGES.format(a='da', b='db')}),
@@ -36,15 +36,15 @@ link as materialized (select rep as x, 'EC:' || ec as y from ec union select rep
 sym as materialized (select x, y from link union select y, x from link),
 lr as (select rep as x, rep as y from ec union select lr.x, sym.y from lr join sym on lr.y = sym.x),
 lc as materialized (select x as rep, min(y) filter (y like 'seq_pep%') as lc from lr group by x),
-member as materialized (select p.doc_id, p.peptide_id, cls.rep, ec, lc from px p join cls on p.aligned = cls.aligned join ec on ec.rep = cls.rep join lc on lc.rep = cls.rep where p.doc_id % 8 = 1),
+member as materialized (select p.doc_id, p.peptide_id, cls.rep, ec, lc from px p join cls on p.aligned = cls.aligned join ec on ec.rep = cls.rep join lc on lc.rep = cls.rep where p.doc_id % 8 <> 0),
 en as materialized (select ec, count(*) as size, min(doc_id) as first, 'EC' || printf('%03d', row_number() over (order by min(doc_id))) as id from member group by ec),
 ln as materialized (select lc, 'LC' || printf('%03d', row_number() over (order by min(doc_id))) as id from member group by lc)"""
 
 
 def _classes(spark, d) -> DataFrame:
     """aligned, rep, and whether external or development rows have the sequence."""
-    p = T.panel(spark, d).filter((F.col("doc_id") % 8).isin(0, 1) & (F.col("aligned") != S.ALL_GAP))
-    return G.cut(p.groupBy("aligned").agg(F.min("peptide_id").alias("rep"), F.bool_or(F.col("doc_id") % 8 == 1).alias("ext"), F.bool_or(F.col("doc_id") % 8 == 0).alias("dev")))
+    p = T.panel(spark, d).filter(F.col("aligned") != S.ALL_GAP)
+    return G.cut(p.groupBy("aligned").agg(F.min("peptide_id").alias("rep"), F.bool_or(F.col("doc_id") % 8 != 0).alias("ext"), F.bool_or(F.col("doc_id") % 8 == 0).alias("dev")))
 
 
 def _members(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -63,7 +63,7 @@ def _members(spark, d) -> tuple[DataFrame, DataFrame]:
     linked = G.rooted(ec, links, "rep")
     first = linked.groupBy(F.col("root").alias("r")).agg(F.min("rep").alias("lc"))
     groups = G.cut(linked.join(first, F.col("root") == F.col("r")).select("rep", "ec", "lc"))
-    ext = T.panel(spark, d).filter("doc_id % 8 = 1").select("doc_id", "peptide_id", "aligned")
+    ext = T.panel(spark, d).filter("doc_id % 8 <> 0").select("doc_id", "peptide_id", "aligned")
     return G.cut(ext.join(cls.select("aligned", "rep"), "aligned").join(groups, "rep").select("doc_id", "peptide_id", "rep", "ec", "lc")), touch
 
 
@@ -90,11 +90,11 @@ def linked_components(spark, d) -> DataFrame:
 
 LOCKED = MEASURED + f""", dev as materialized (select * from m where doc_id % 8 = 0),
 dn as materialized (select aligned, gaps, count(*) as n, sum(y1) as s1, sum(y2) as s2 from dev group by all),
-q as materialized (select distinct aligned, 30 - length(replace(aligned, '-', '')) as gaps from panel where doc_id % 8 = 1 and aligned <> repeat('-', 30)),
+q as materialized (select distinct aligned, 30 - length(replace(aligned, '-', '')) as gaps from panel where doc_id % 8 <> 0 and aligned <> repeat('-', 30)),
 sc as materialized (select q.aligned, n, s1, s2, {IDENTITY.format(a='q', b='dn')} as identity from q, dn),
 top as (select aligned, max(identity) as best from sc group by aligned),
 nn as materialized (select sc.aligned, sum(s1) / sum(n) as a, sum(s2) / sum(n) as b from sc join top on sc.aligned = top.aligned and identity >= best - 1e-12 group by sc.aligned),
-c as (select avg(y1) as a, avg(y2) as b from dev group by source), g as (select peptide_id, aligned from panel where doc_id % 8 = 1 and aligned <> repeat('-', 30)),
+c as (select avg(y1) as a, avg(y2) as b from dev group by source), g as (select peptide_id, aligned from panel where doc_id % 8 <> 0 and aligned <> repeat('-', 30)),
 guess as (select peptide_id, 'nn' as model, a, b from g join nn on g.aligned = nn.aligned
   union all select peptide_id, 'median', (select median(y1) from dev), (select median(y2) from dev) from g union all select peptide_id, 'component_mean', (select avg(a) from c), (select avg(b) from c) from g)"""
 
@@ -108,7 +108,7 @@ def locked_baselines(spark, d) -> DataFrame:
     """External predictions of the tied nearest neighbours, the median and the component-balanced mean of development rows."""
     dev = _development(spark, d)
     donors = dev.groupBy("aligned").agg(F.min("peptide_id").alias("first_id"), F.count("*").alias("n"), F.sum("y1").alias("s1"), F.sum("y2").alias("s2")).withColumn("fold", F.lit(None).cast("int"))
-    ext = T.panel(spark, d).filter((F.col("doc_id") % 8 == 1) & (F.col("aligned") != S.ALL_GAP)).select("peptide_id", "aligned")
+    ext = T.panel(spark, d).filter((F.col("doc_id") % 8 != 0) & (F.col("aligned") != S.ALL_GAP)).select("peptide_id", "aligned")
     nn = I.nearest(ext.withColumn("fold", F.lit(None).cast("int")), donors).select("aligned", F.lit("nn").alias("model"), (F.col("s1") / F.col("ties")).alias("a"), (F.col("s2") / F.col("ties")).alias("b"))
     median = dev.agg(F.median("y1").alias("a"), F.median("y2").alias("b")).withColumn("model", F.lit("median"))
     mean = M.balanced_mean(dev, "source", ["y1", "y2"]).select(F.col("y1").alias("a"), F.col("y2").alias("b"), F.lit("component_mean").alias("model"))
@@ -135,7 +135,7 @@ def locked_ridge(spark, d) -> DataFrame:
         return pa.table({"alpha": part["alpha"][:1], "w1": [b[:, 0].tolist()], "w2": [b[:, 1].tolist()], "c1": [float(c[0])], "c2": [float(c[1])]})
 
     w = moments.groupBy("alpha").applyInArrow(fit, "alpha double, w1 array<double>, w2 array<double>, c1 double, c2 double")
-    ext = T.panel(spark, d).filter((F.col("doc_id") % 8 == 1) & (F.col("aligned") != S.ALL_GAP)).join(F.broadcast(w))  # one row
+    ext = T.panel(spark, d).filter((F.col("doc_id") % 8 != 0) & (F.col("aligned") != S.ALL_GAP)).join(F.broadcast(w))  # one row
     hot = S.one_hot(F.col("aligned"))
     guess = lambda k: F.col(f"c{k}") + F.aggregate(hot, F.lit(0.0), lambda acc, f: acc + F.element_at(f"w{k}", (f + 1).cast("int")))
     return ext.select("peptide_id", "alpha", F.round(guess(1), 6).alias("gcgr"), F.round(guess(2), 6).alias("glp1r"), F.round(guess(1) - guess(2), 6).alias("selectivity"))

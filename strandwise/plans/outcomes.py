@@ -100,11 +100,11 @@ def component_macro_mae(spark, d) -> DataFrame:
 # ------------------------------------------------------------------ replicates and censored outcomes
 
 REPS = """li as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as rn, count(*) over (partition by l_orderkey) as n from lineitem),
-rep as (select l_orderkey as id, case when rn <= 3 then 'gcgr' else 'glp1r' end as receptor, cast((rn - 1) % 3 + 1 as integer) as replicate, case when l_returnflag = 'R' then 'right_censored' else 'observed' end as status, cast(cast(l_extendedprice as decimal(18,2)) as double) as v from li where n >= 6 and rn <= 6),
+rep as (select l_orderkey as id, case when rn <= 3 then 'gcgr' else 'glp1r' end as receptor, cast((rn - 1) % 3 + 1 as integer) as replicate, case when l_returnflag = 'R' then 'right_censored' else 'observed' end as status, cast(cast(l_extendedprice as decimal(18,2)) as double) as v from li where rn <= 3 and n >= 3 or rn between 4 and 6 and n >= 6),
 agg as (select id, receptor, case when count(*) filter (status = 'right_censored') > 0 then 'lower_bound' else 'exact' end as status, log10(avg(v)) as value, count(*) filter (status = 'observed') as observed, count(*) filter (status = 'right_censored') as censored from rep group by all),
-wide as (select g.id, g.status as gs, g.value as gv, h.status as hs, h.value as hv from agg g join agg h on g.id = h.id and g.receptor = 'gcgr' and h.receptor = 'glp1r'),
-ep as (select id, 'gcgr' as endpoint, gs as status, gv as value from wide union all select id, 'glp1r', hs, hv from wide
-  union all select id, 'selectivity', case when gs = 'exact' and hs = 'exact' then 'exact' when gs = 'lower_bound' and hs = 'exact' then 'lower_bound' when gs = 'exact' then 'upper_bound' else 'uninformative' end, case when gs = 'exact' or hs = 'exact' then gv - hv end from wide)"""
+wide as (select g.id, g.status as gs, g.value as gv, h.status as hs, h.value as hv from (select * from agg where receptor = 'gcgr') g left join (select * from agg where receptor = 'glp1r') h on g.id = h.id),
+ep as (select id, 'gcgr' as endpoint, gs as status, gv as value from wide union all select id, 'glp1r', hs, hv from wide where hs is not null
+  union all select id, 'selectivity', case when gs = 'exact' and hs = 'exact' then 'exact' when gs = 'lower_bound' and hs = 'exact' then 'lower_bound' when gs = 'exact' then 'upper_bound' else 'uninformative' end, case when gs = 'exact' or hs = 'exact' then gv - hv end from wide where hs is not null)"""
 _MODELS = " union all ".join(f"select id, '{m}' as model, {b} + (id * {f} % {mod}) / cast({div} as double) as gcgr from ids" for m, (b, f, mod, div) in T.MODELS.items())
 LOSSES = REPS + f""",
 ids as (select distinct id from wide), pm as ({_MODELS}), p2 as (select *, gcgr + 0.3 + (id % 4) / 10.0 as glp1r from pm),
@@ -140,13 +140,14 @@ def exact_mean(spark, d) -> DataFrame:
 
 
 def _endpoints(spark, d) -> DataFrame:
-    """id, endpoint, status and value: two receptors and their difference, in one pass over the aggregate."""
+    """id, endpoint, status and value: the receptors it has and the difference of two, in one pass over the aggregate."""
     a = _aggregated(spark, d)
     of = lambda r, c: F.max(F.when(F.col("receptor") == r, F.col(c)))
     w = a.groupBy("id").agg(of("gcgr", "status").alias("gs"), of("gcgr", "value").alias("gv"), of("glp1r", "status").alias("hs"), of("glp1r", "value").alias("hv"))
     ge, he = F.col("gs") == "exact", F.col("hs") == "exact"
     w = w.withColumns({"ss": F.when(ge & he, "exact").when(he, "lower_bound").when(ge, "upper_bound").otherwise("uninformative"), "sv": F.when(ge | he, F.col("gv") - F.col("hv"))})
-    return w.selectExpr("id", "stack(3, 'gcgr', gs, gv, 'glp1r', hs, hv, 'selectivity', ss, sv) as (endpoint, status, value)")
+    w = w.withColumn("ss", F.when(F.col("hs").isNotNull(), F.col("ss")))
+    return w.selectExpr("id", "stack(3, 'gcgr', gs, gv, 'glp1r', hs, hv, 'selectivity', ss, sv) as (endpoint, status, value)").filter("status is not null")
 
 
 @query(f"with {REPS} select id, status, round(value, 6) as value from ep where endpoint = 'selectivity'")
@@ -279,18 +280,31 @@ def figure_source_union(spark, d) -> DataFrame:
 
 
 
-@query("""with recursive p as (select distinct l_orderkey as id, l_suppkey as donor from lineitem where l_returnflag = 'R' and l_quantity >= 50),
-f as (select donor, min(id) as hub from p group by donor), e as materialized (select distinct p.id as x, hub as y from p join f using (donor) union select distinct hub, p.id from p join f using (donor)),
-reach as (select distinct id as x, id as y from p union select r.x, e.y from reach r join e on r.y = e.x)
-select x as id, min(y) as parent from reach group by x""")
+@query("""with recursive p as materialized (select distinct l_orderkey as id, l_suppkey as donor from lineitem),
+e as materialized (select distinct a.donor as x, b.donor as y from p a join p b using (id)),
+reach as (select distinct donor as x, donor as y from p union select r.x, e.y from reach r join e on r.y = e.x),
+least as materialized (select x as donor, min(id) as parent from reach join (select donor, min(id) as id from p group by donor) f on y = f.donor group by x)
+select id, min(parent) as parent from p join least using (donor) group by id""")
 def parent_clusters(spark, d) -> DataFrame:
     """Rows that share a donor, directly or over others: donors link to their smallest row, never pairwise."""
-    p = T.table(spark, d, "lineitem").filter("l_returnflag = 'R' and l_quantity >= 50").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("donor")).distinct()
+    p = T.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("donor")).distinct()
     hub = p.groupBy(F.col("donor").alias("of")).agg(F.min("id").alias("hub"))
     links = p.join(hub, F.col("donor") == F.col("of")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
     return G.rooted(p.select("id").distinct(), links, "id").select("id", F.col("root").alias("parent"))
 
 
+@query(f"""with {LOSSES}, c as (select rep.id, rep.receptor, p2.model, status, case when status = 'observed' then abs(g - log10(v)) else greatest(0.0, log10(v) - g) end as loss from rep join (select id, model, 'gcgr' as receptor, gcgr as g from p2 union all select id, model, 'glp1r', glp1r from p2) p2 on rep.id = p2.id and rep.receptor = p2.receptor)
+select model, receptor, count(*) as cells, count(*) filter (status = 'observed') as observed, count(*) filter (status = 'right_censored') as censored, round(avg(loss), 6) as mean_loss, count(*) filter (status = 'right_censored' and loss = 0) as bounds_met from c group by all""")
+def replicate_cell_summary(spark, d) -> DataFrame:
+    """Cells, their kinds and mean losses of each model and receptor."""
+    r = _parsed(spark, d)
+    p = T.predictions(r.select("id").distinct()).selectExpr("id", "model", "stack(2, 'gcgr', gcgr, 'glp1r', glp1r) as (receptor, g)")
+    loss = S.censor_loss(F.col("status"), F.log10(F.coalesce("value_pm", "threshold_pm")), F.col("g"))
+    c = r.join(p, ["id", "receptor"]).select("model", "receptor", "status", loss.alias("loss"))
+    censored = F.col("status") == "right_censored"
+    return c.groupBy("model", "receptor").agg(F.count("*").alias("cells"), F.count_if(F.col("status") == "observed").alias("observed"), F.count_if(censored).alias("censored"), F.round(F.avg("loss"), 6).alias("mean_loss"), F.count_if(censored & (F.col("loss") == 0)).alias("bounds_met"))
+
+
 # ------------------------------------------------------------------ ridge
 
 

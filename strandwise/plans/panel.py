@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.functions import sequences as S
+from strandwise.operators import align as A
 from strandwise.operators import graph as G
 from strandwise.operators import identity as I
 from strandwise.plans.base import CLASSES, EDGES, IDENTITY, MEASURED, PANEL, query
@@ -343,7 +344,7 @@ def structure_entity_match(spark, d) -> DataFrame:
 
 
 ALIGNED = PANEL + """,
-refs as materialized (select distinct rpad(substr(regexp_replace(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '[BJOUXZ]', '', 'g'), 1, 30), 30, '-') as r from (select text from benchmark order by item_id limit 25)),
+refs as materialized (select distinct rpad(substr(regexp_replace(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '[BJOUXZ]', '', 'g'), 1, 30), 30, '-') as r from benchmark),
 raws as materialized (select distinct replace(aligned, '-', '') as raw from panel where aligned <> repeat('-', 30)),
 grow as (select raw, '' as s, 0 as i from raws where length(raw) >= 26
   union select raw, s || if(take, substr(raw, i + 1, 1), '-'), i + take::int from grow, (select unnest([true, false]) as take) where length(s) < 30 and if(take, i < length(raw), length(s) - i < 30 - length(raw))),
@@ -357,18 +358,7 @@ fate as (select raw, s, case when length(raw) < 26 then 'invalid' when hits > 1
 
 @query(f"with recursive {ALIGNED} select peptide_id, raw, case when status in ('direct', 'mapped_unambiguously') then s end as aligned, status from (select peptide_id, replace(aligned, '-', '') as raw from panel where aligned <> repeat('-', 30)) join fate using (raw)")
 def raw_alignment(spark, d) -> DataFrame:
-    """Raw sequences of 26 to 30 residues projected on the benchmark's references (a bounded panel of its first 25 ids)."""
-    import pandas as pd
-
-    from strandwise.operators import align
-
-    refs = [r.aligned for r in T.table(spark, d, "benchmark").orderBy("item_id").limit(25).select(S.aligned_from_text(F.col("text")).alias("aligned")).filter(F.col("aligned") != S.ALL_GAP).distinct().orderBy("aligned").collect()]
-
-    def run(batches):
-        for pdf in batches:
-            found = [align.prepare(x, refs) for x in pdf["raw"]]
-            yield pd.DataFrame({"raw": pdf["raw"], "aligned": [a for a, _ in found], "status": [s for _, s in found]})
-
+    """Raw sequences of 26 to 30 residues projected on all of the benchmark's references. Distinct sequences meet the distinct references in blocks; both are dealt by hashes."""
+    refs = T.table(spark, d, "benchmark").select(S.aligned_from_text(F.col("text")).alias("aligned")).filter(F.col("aligned") != S.ALL_GAP).distinct()
     raw = _valid(spark, d).select("peptide_id", F.replace("aligned", F.lit("-"), F.lit("")).alias("raw"))
-    distinct = raw.select("raw").distinct().mapInPandas(run, "raw string, aligned string, status string")
-    return raw.join(distinct, "raw").select("peptide_id", "raw", "aligned", "status")
+    return raw.join(A.prepared(raw.select("raw").distinct(), refs), "raw").select("peptide_id", "raw", "aligned", "status")

@@ -37,10 +37,10 @@ def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, receptor, replicate 1 to 3, cell and is_text: items 1 to 3 of an order are gcgr, 4 to 6 glp1r; orders of fewer have none."""
+    """id, receptor, replicate 1 to 3, cell and is_text: items 1 to 3 of an order are gcgr, 4 to 6 glp1r. A receptor has a full set or none: orders of under three items have no row, of under six no glp1r."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
     w = Window.partitionBy("l_orderkey")
-    li = li.withColumns({"rn": F.row_number().over(w.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")), "n": F.count("*").over(w)}).filter("n >= 6 and rn <= 6")
+    li = li.withColumns({"rn": F.row_number().over(w.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")), "n": F.count("*").over(w)}).filter("rn <= 3 and n >= 3 or rn between 4 and 6 and n >= 6")
     censored = F.col("l_returnflag") == "R"
     return li.select(F.col("l_orderkey").alias("id"), F.when(F.col("rn") <= 3, "gcgr").otherwise("glp1r").alias("receptor"), ((F.col("rn") - 1) % 3 + 1).cast("int").alias("replicate"), F.concat(F.when(censored, ">").otherwise(""), F.col("l_extendedprice").cast("decimal(18,2)").cast("string")).alias("cell"), censored.alias("is_text"))
 
