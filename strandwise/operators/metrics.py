@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,3 +69,36 @@ def leave_one_out(rows: DataFrame, by: list[str], group: str, value: str) -> Dat
     w = Window.partitionBy(*by)
     left = F.sum("n").over(w) - F.col("n")
     return own.select(*by, group, "n", F.when(left > 0, (F.sum("s").over(w) - F.col("s")) / left).alias("others_mean"))
+
+
+def drawn_means(sums: np.ndarray, sizes: np.ndarray, resamples: int, seed: int, at_once: int = 1 << 22) -> np.ndarray:
+    """Pooled means of resampled groups: as many draws of groups as there are, `resamples` times, from one seeded generator."""
+    k, rng, out = len(sums), np.random.default_rng(seed), []
+    step = max(1, at_once // k)
+    for a in range(0, resamples, step):
+        x = rng.integers(0, k, size=(min(step, resamples - a), k))
+        out.append(sums[x].sum(axis=1) / sizes[x].sum(axis=1))
+    return np.concatenate(out)
+
+
+def drawn_strata(strata: list[np.ndarray], resamples: int, seed: int) -> np.ndarray:
+    """Means of rows resampled within each stratum, as many as it has; strata in their order for each resample."""
+    rng, n = np.random.default_rng(seed), sum(map(len, strata))
+    return np.array([sum(float(x[rng.integers(0, len(x), size=len(x))].sum()) for x in strata) / n for _ in range(resamples)])
+
+
+def seeded_bootstrap(rows: DataFrame, by: list[str], group: str, value: str, resamples: int = 10_000, seed: int = 20260820, level: float = 0.95) -> DataFrame:
+    """by, groups, mean_delta, low and high: percentile intervals of the mean of value, resampling whole groups.
+
+    Rows are summed by group first; what a task of `by` has is a sum and a size for each group.
+    """
+    own = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(group).cast("string").alias("__g")).agg(F.sum(value).alias("__s"), F.count("*").alias("__n"))
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.select(*by).schema.fields)
+
+    def draw(part: pa.Table) -> pa.Table:
+        order = np.argsort(np.array(part["__g"].to_pylist(), object))
+        sums, sizes = part["__s"].to_numpy()[order], part["__n"].to_numpy()[order]
+        low, high = np.quantile(drawn_means(sums, sizes, resamples, seed), [(1 - level) / 2, (1 + level) / 2])
+        return pa.Table.from_arrays([*(part[b][:1] for b in by), pa.array([len(sums)], pa.int64()), pa.array([float(sums.sum() / sizes.sum())]), pa.array([float(low)]), pa.array([float(high)])], [*by, "groups", "mean_delta", "low", "high"])
+
+    return own.groupBy(*by).applyInArrow(draw, f"{kind}, groups long, mean_delta double, low double, high double")

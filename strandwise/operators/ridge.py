@@ -1,20 +1,29 @@
 """Component-weighted multi-output ridge over one-hot sequences.
 
 Rows are reduced to per-component moments (a Gram block of 631 x 631, sums with the targets) in the
-tasks that read them, and only moments move. Fits, leave-one-component-out selection of alpha and
-nested cross-validation are then small dense solves, spread by (fold, alpha).
+tasks that read them, and only moments move. In a fit every component weighs the same, so a fit
+without one component is the sum of all components' normalised moments less its own: the sum is added up by
+partitions, is one small file for each outer fold in the shared folder, and every task that has a
+component's moments makes that component's fits, for all alphas from one decomposition. No task has the
+moments of all components.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from strandwise.functions import sequences as S
+from strandwise.operators.graph import cut
 
 FEATURES = S.LENGTH * len(S.ALPHABET)
 ALPHAS = [10.0**k for k in range(-4, 6)]
+HELD = 32  # moments that a task holds before it gives them on
+ALL = 0  # the outer fold that no row is in: its fits are over all rows
 
 
 def encode(sequences: list[str]) -> np.ndarray:
@@ -86,31 +95,161 @@ def solve(m: Moments, alpha: float) -> tuple[np.ndarray, np.ndarray]:
     return b, my - mx @ b
 
 
+def solve_all(m: Moments, alphas: list[float]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+    """(alpha, weights, intercepts) of solve() for each alpha, from one decomposition."""
+    n, sx, sy, xx, xy = m.parts
+    mx, my = sx / n, sy / n
+    values, vectors = np.linalg.eigh(xx - np.outer(sx, mx))
+    right = vectors.T @ (xy - np.outer(sx, my))
+    for alpha in alphas:
+        b = vectors @ (right / (np.maximum(values, 0) + alpha)[:, None])
+        yield alpha, b, my - mx @ b
+
+
 def component_moments(rows: DataFrame, component: str, x: str = "aligned", y: tuple[str, str] = ("y1", "y2"), fold: str = "fold") -> DataFrame:
     """(component, fold, moments): summed in each task, then by component and fold."""
 
     def make(batches):
         held: dict[tuple, Moments] = {}
+
+        def out():
+            for (c, f), m in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.string()), pa.array([f], pa.int32()), pa.array([m.bytes()], pa.binary())], ["component", "fold", "moments"])
+            held.clear()
+
         for batch in batches:
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             features = encode(batch.column(2).to_pylist())
             targets = np.stack([batch.column(k).to_numpy() for k in (3, 4)], 1)
-            for key in set(keys):
+            for key in sorted(set(keys), key=str):
                 here = np.array([k == key for k in keys])
                 m = Moments(features[here], targets[here])
                 held[key] = held[key] + m if key in held else m
-        for (c, f), m in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.string()), pa.array([f], pa.int32()), pa.array([m.bytes()], pa.binary())], ["component", "fold", "moments"])
+                if len(held) > HELD:
+                    yield from out()
+        yield from out()
+
+    # rows of a component come together first, in parts, so that few sums of it are made
+    dealt = rows.select(F.col(component).cast("string").alias("component"), F.col(fold).cast("int").alias("fold"), x, *y)
+    return dealt.mapInArrow(make, MOMENTS).groupBy("component", "fold").applyInArrow(_added(["component", "fold"]), MOMENTS)
 
+
+MOMENTS = "component string, fold int, moments binary"
+
+
+def _sum(blobs) -> Moments:
+    total = None
+    for raw in blobs:
+        m = Moments.read(raw.as_py())
+        total = m if total is None else total + m
+    return total
+
+
+def _added(keys: list[str]):
     def add(part: pa.Table) -> pa.Table:
-        total = None
-        for raw in part["moments"]:
-            m = Moments.read(raw.as_py())
-            total = m if total is None else total + m
-        return pa.table({"component": part["component"][:1], "fold": part["fold"][:1], "moments": pa.array([total.bytes()], pa.binary())})
-
-    schema = "component string, fold int, moments binary"
-    return rows.select(component, fold, x, *y).mapInArrow(make, schema).groupBy("component", "fold").applyInArrow(add, schema)
+        return pa.Table.from_arrays([*(part[k][:1] for k in keys), pa.array([_sum(part["moments"]).bytes()], pa.binary())], [*keys, "moments"])
+
+    return add
+
+
+class Fits:
+    """Fits with and without components, for each outer fold and for all rows (fold ALL)."""
+
+    def __init__(self, rows: DataFrame, component: str, alphas: list[float] = ALPHAS, x: str = "aligned", y: tuple[str, str] = ("y1", "y2"), fold: str = "fold", outer: bool = True):
+        self.rows = cut(rows.select(F.col(component).cast("string").alias("component"), F.col(fold).cast("int").alias("fold"), F.col(x).alias("aligned"), F.col(y[0]).alias("y1"), F.col(y[1]).alias("y2")))
+        self.alphas = sorted(alphas)
+        assert self.alphas and self.alphas[0] > 0, "alphas must be positive"
+        folds = [ALL, *sorted(r.fold for r in self.rows.select("fold").distinct().collect())] if outer else [ALL]
+        moments = component_moments(self.rows, "component")
+        held = moments.withColumn("held", F.explode(F.array(*map(F.lit, folds)))).filter("held <> fold")
+        keys = ["held", "component"]
+        #: moments of each component without the held fold
+        self.moments = cut(held.groupBy(*keys).applyInArrow(_added(keys), "held int, component string, moments binary"))
+
+        def normalised(batches):
+            sums: dict[int, tuple[Moments, float, int]] = {}
+            for batch in batches:
+                for f, raw in zip(batch["held"].to_pylist(), batch["moments"], strict=True):
+                    m = Moments.read(raw.as_py())
+                    n = m.parts[0][0]
+                    m = Moments.of([p / n for p in m.parts])
+                    t, rows_, count = sums.get(f, (None, 0.0, 0))
+                    sums[f] = m if t is None else t + m, rows_ + n, count + 1
+            for f, (m, n, count) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([n]), pa.array([count], pa.int64()), pa.array([m.bytes()], pa.binary())], ["held", "n", "components", "moments"])
+
+        def total(part: pa.Table) -> pa.Table:
+            return pa.Table.from_arrays([part["held"][:1], pa.array([sum(part["n"].to_pylist())]), pa.array([sum(part["components"].to_pylist())], pa.int64()), pa.array([_sum(part["moments"]).bytes()], pa.binary())], ["held", "n", "components", "moments"])
+
+        schema = "held int, n double, components long, moments binary"
+        parts = self.moments.select("held", "moments").mapInArrow(normalised, schema)
+        salted = parts.withColumn("salt", F.spark_partition_id() % 16).groupBy("held", "salt").applyInArrow(total, schema)
+        #: one row for each outer fold: the sum of normalised moments, rows and components
+        self.totals = cut(salted.groupBy("held").applyInArrow(total, schema))
+
+    def scores(self) -> DataFrame:
+        """held, alpha, components and score: the mean absolute error over rows and targets of a left-out component, averaged over components."""
+        alphas = self.alphas
+
+        def fit(batches):
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    own, whole = (Moments.read(batch[c][row].as_py()) for c in ("moments", "total"))
+                    n, left = own.parts[0][0], batch["components"][row].as_py() - 1
+                    if not left:
+                        continue
+                    by = (batch["n"][row].as_py() - n) / left
+                    rest = Moments.of([(a - b / n) * by for a, b in zip(whole.parts, own.parts, strict=True)])
+                    made = list(solve_all(rest, alphas))
+                    k = len(made)
+                    yield pa.RecordBatch.from_arrays([pa.array([batch["held"][row].as_py()] * k, pa.int32()), pa.array([batch["component"][row].as_py()] * k, pa.string()), pa.array([a for a, *_ in made]), pa.array([b.ravel() for _, b, _ in made], pa.list_(pa.float64())), pa.array([c for *_, c in made], pa.list_(pa.float64()))], ["of", "component", "alpha", "w", "c"])
+
+        # one row for each outer fold is broadcast, of 3 MB
+        total = self.totals.select(F.col("held").alias("h"), "n", "components", F.col("moments").alias("total"))
+        weights = cut(self.moments.join(F.broadcast(total), F.col("held") == F.col("h")).mapInArrow(fit, "of int, component string, alpha double, w array<double>, c array<double>"))
+
+        def measure(batches):
+            for batch in batches:
+                sums, counts = [], []
+                for k in range(batch.num_rows):
+                    x = batch["rows"][k].values
+                    y = np.stack([x.field(c).to_numpy(zero_copy_only=False) for c in ("y1", "y2")], 1)
+                    b, c = batch["w"][k].values.to_numpy().reshape(-1, 2), batch["c"][k].values.to_numpy()
+                    sums.append(float(np.abs(encode(x.field("aligned").to_pylist()) @ b + c - y).sum()))
+                    counts.append(y.size)
+                yield pa.RecordBatch.from_arrays([batch["of"], batch["component"], batch["alpha"], pa.array(sums), pa.array(counts, pa.int64())], ["held", "component", "alpha", "s", "n"])
+
+        # rows go to their component's weights in blocks, so that no component is one task
+        groups = max(1, -(-self.rows.count() // 1024))
+        dealt = self.rows.withColumn("g", F.pmod(F.xxhash64("aligned", "y1", "y2"), F.lit(groups))).groupBy("component", "fold", "g").agg(F.collect_list(F.struct("aligned", "y1", "y2")).alias("rows"))
+        found = dealt.join(weights, "component").filter("of <> fold").select("of", "component", "alpha", "rows", "w", "c").mapInArrow(measure, "held int, component string, alpha double, s double, n long")
+        each = found.groupBy("held", "component", "alpha").agg((F.sum("s") / F.sum("n")).alias("e"))
+        return each.groupBy("held", "alpha").agg(F.count("*").alias("components"), F.avg("e").alias("score"))
+
+    def selected(self) -> DataFrame:
+        """held, alpha and score: the alpha with the least score, the smaller one on ties."""
+        return self.scores().groupBy("held").agg(F.min(F.struct("score", "alpha")).alias("m")).select("held", "m.alpha", "m.score")
+
+    def models(self, alphas: DataFrame) -> DataFrame:
+        """held, alpha, w1, w2, c1 and c2: fits over all components, one for each row (held, alpha)."""
+
+        def fit(batches):
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    by = batch["n"][row].as_py() / batch["components"][row].as_py()
+                    m = Moments.of([p * by for p in Moments.read(batch["moments"][row].as_py()).parts])
+                    b, c = solve(m, batch["alpha"][row].as_py())
+                    yield pa.RecordBatch.from_arrays([batch["held"].slice(row, 1), batch["alpha"].slice(row, 1), *(pa.array([b[:, k].tolist()], pa.list_(pa.float64())) for k in (0, 1)), *(pa.array([float(c[k])]) for k in (0, 1))], ["held", "alpha", "w1", "w2", "c1", "c2"])
+
+        return self.totals.join(F.broadcast(alphas.select("held", "alpha")), "held").select("held", "n", "components", "moments", "alpha").mapInArrow(fit, "held int, alpha double, w1 array<double>, w2 array<double>, c1 double, c2 double")
+
+
+def predicted(rows: DataFrame, models: DataFrame, on) -> DataFrame:
+    """rows joined with their model (few rows), with gcgr and glp1r of it."""
+    joined = rows.join(F.broadcast(models), on)
+    hot = S.one_hot(F.col("aligned"))
+    guess = lambda k: F.col(f"c{k}") + F.aggregate(hot, F.lit(0.0), lambda acc, f: acc + F.element_at(f"w{k}", (f + 1).cast("int")))
+    return joined.withColumns({"gcgr": guess(1), "glp1r": guess(2)}).drop("w1", "w2", "c1", "c2", "held")
 
 
 def leave_one_component_out(rows: list[tuple[str, np.ndarray, np.ndarray]], alphas: list[float] = ALPHAS) -> tuple[float, dict[float, float]]:

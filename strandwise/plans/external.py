@@ -5,7 +5,6 @@ Development rows are the panel's with doc_id % 8 = 0, all others are external.
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,25 +119,11 @@ def locked_baselines(spark, d) -> DataFrame:
 @query()
 def locked_ridge(spark, d) -> DataFrame:
     """External predictions of the ridge refitted on all development rows, at the alpha with the least held-out error."""
-    from strandwise.plans.outcomes import held_out_errors
-
-    dev = G.cut(_development(spark, d))
-    alpha = held_out_errors(dev, "source").agg(F.min(F.struct("score", "alpha")).alias("m")).select("m.alpha")
-    moments = R.component_moments(dev, "source").join(F.broadcast(alpha))  # one row
-
-    def fit(part: pa.Table) -> pa.Table:
-        held: dict = {}
-        for c, raw in zip(part["component"].to_pylist(), part["moments"], strict=True):
-            x = R.Moments.read(raw.as_py())
-            held[c] = held[c] + x if c in held else x
-        b, c = R.solve(R.balanced([held[k] for k in sorted(held)])[0], part["alpha"][0].as_py())
-        return pa.table({"alpha": part["alpha"][:1], "w1": [b[:, 0].tolist()], "w2": [b[:, 1].tolist()], "c1": [float(c[0])], "c2": [float(c[1])]})
-
-    w = moments.groupBy("alpha").applyInArrow(fit, "alpha double, w1 array<double>, w2 array<double>, c1 double, c2 double")
-    ext = T.panel(spark, d).filter((F.col("doc_id") % 8 != 0) & (F.col("aligned") != S.ALL_GAP)).join(F.broadcast(w))  # one row
-    hot = S.one_hot(F.col("aligned"))
-    guess = lambda k: F.col(f"c{k}") + F.aggregate(hot, F.lit(0.0), lambda acc, f: acc + F.element_at(f"w{k}", (f + 1).cast("int")))
-    return ext.select("peptide_id", "alpha", F.round(guess(1), 6).alias("gcgr"), F.round(guess(2), 6).alias("glp1r"), F.round(guess(1) - guess(2), 6).alias("selectivity"))
+    dev = _development(spark, d)
+    fits = R.Fits(dev, "source", outer=False)
+    ext = T.panel(spark, d).filter((F.col("doc_id") % 8 != 0) & (F.col("aligned") != S.ALL_GAP))
+    p = R.predicted(ext, fits.models(fits.selected()), F.lit(True))  # one model
+    return p.select("peptide_id", "alpha", F.round("gcgr", 6).alias("gcgr"), F.round("glp1r", 6).alias("glp1r"), F.round(F.col("gcgr") - F.col("glp1r"), 6).alias("selectivity"))
 
 
 PREDICTION = f"""with {P.BEST} {P.PREDICTED} select p.peptide_id, round(gcgr, 6) as gcgr, round(glp1r, 6) as glp1r, round(gcgr - glp1r, 6) as selectivity, {P.DIRECTION.format(s='round(gcgr - glp1r, 9)')} as direction, round(identity, 9) as identity, ties, nearest,

@@ -253,18 +253,38 @@ def component_bootstrap(spark, d) -> DataFrame:
     return t.groupBy(*by).agg(F.round(F.avg("delta"), 6).alias("mean_delta"), F.round(F.percentile("delta", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("delta", F.lit(0.975)), 6).alias("high"))
 
 
-@query(f"""with {DELTAS}, g as materialized (select *, row_number() over (partition by endpoint, baseline, design_group order by id) - 1 as slot, count(*) over (partition by endpoint, baseline, design_group) as k from delta where id % 50 = 0),
-draws as (select endpoint, baseline, design_group, r, (r * 7919 + j * 104729 + (r * j) % 97) % k as slot from (select distinct endpoint, baseline, design_group, k from g), (select unnest(range({RESAMPLES})) as r), lateral (select unnest(range(k)) as j)),
-t as (select d.endpoint, d.baseline, r, avg(delta) as delta from draws d join g on g.endpoint = d.endpoint and g.baseline = d.baseline and g.design_group = d.design_group and g.slot = d.slot group by all)
-select endpoint, baseline, round(avg(delta), 6) as mean_delta, round(quantile_cont(delta, 0.025), 6) as low, round(quantile_cont(delta, 0.975), 6) as high from t group by all""".replace(" where id % 50 = 0", ""))
+WEIGHTED = 200
+#: The distribution of Poisson counts with mean 1, up to 7.
+POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
+PRIME = 2147483647
+
+
+@query(f"""with {DELTAS}, x as (select endpoint, baseline, design_group, delta, id, r, (id * 48271 + r * 69621 + 12345) % {PRIME} as h from delta, (select unnest(range({WEIGHTED})) as r)),
+y as (select *, (h * h + 40692 * h + r) % {PRIME} as i from x), z as (select *, ((i * i + 16807 * r + h) % {PRIME}) / cast({PRIME} as double) as u from y),
+w as (select *, {" + ".join(f"(u >= {t})::int" for t in POISSON)} as w from z),
+s as (select endpoint, baseline, design_group, r, count(*) as n, sum(w) as sw, sum(w * delta) as sd from w group by all),
+t as (select endpoint, baseline, r, sum(n * sd / sw) / sum(n) as delta from s where sw > 0 group by all)
+select endpoint, baseline, round(avg(delta), 6) as mean_delta, round(quantile_cont(delta, 0.025), 6) as low, round(quantile_cont(delta, 0.975), 6) as high from t group by all""")
 def stratified_bootstrap(spark, d) -> DataFrame:
-    """Rows are drawn again within each design group, as many as it has."""
+    """Rows are resampled within each design group by Poisson weights, which each row draws from its own id: no task numbers or repeats rows."""
     by, strata = ["endpoint", "baseline"], ["endpoint", "baseline", "design_group"]
-    w = Window.partitionBy(*strata)
-    g = G.cut(_deltas(spark, d).withColumns({"slot": F.row_number().over(w.orderBy("id")).cast("long") - 1, "k": F.count("*").over(w)}))
-    draws = g.select(*strata, F.col("slot").alias("j"), "k").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(RESAMPLES - 1))))
-    draws = draws.groupBy(*strata, "r", ((F.col("r") * 7919 + F.col("j") * 104729 + (F.col("r") * F.col("j")) % 97) % F.col("k")).alias("slot")).agg(F.count("*").alias("times"))
-    t = draws.join(g.select(*strata, "slot", "delta"), [*strata, "slot"]).groupBy(*by, "r").agg((F.sum(F.col("times") * F.col("delta")) / F.sum("times")).alias("delta"))
+
+    def weigh(batches):
+        r = np.arange(WEIGHTED)
+        for batch in batches:
+            ids = batch["id"].to_numpy()[:, None]
+            h = (ids * 48271 + r * 69621 + 12345) % PRIME
+            i = (h * h + 40692 * h + r) % PRIME
+            w = np.searchsorted(POISSON, (i * i + 16807 * r + h) % PRIME / PRIME, "right").astype(float)
+            keys = list(zip(*(batch[c].to_pylist() for c in strata), strict=True))
+            delta = batch["delta"].to_numpy()
+            for key in sorted(set(keys)):
+                here = np.array([k == key for k in keys])
+                yield pa.RecordBatch.from_arrays([*(pa.array([x] * WEIGHTED) for x in key), pa.array(r), pa.array(np.full(WEIGHTED, here.sum())), pa.array(w[here].sum(0)), pa.array(delta[here] @ w[here])], [*strata, "r", "n", "sw", "sd"])
+
+    s = _deltas(spark, d).select(*strata, "id", "delta").mapInArrow(weigh, "endpoint string, baseline string, design_group string, r long, n long, sw double, sd double")
+    s = s.groupBy(*strata, "r").agg(F.sum("n").alias("n"), F.sum("sw").alias("sw"), F.sum("sd").alias("sd")).filter("sw > 0")
+    t = s.groupBy(*by, "r").agg((F.sum(F.col("n") * F.col("sd") / F.col("sw")) / F.sum("n")).alias("delta"))
     return t.groupBy(*by).agg(F.round(F.avg("delta"), 6).alias("mean_delta"), F.round(F.percentile("delta", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("delta", F.lit(0.975)), 6).alias("high"))
 
 
@@ -308,88 +328,46 @@ def replicate_cell_summary(spark, d) -> DataFrame:
 # ------------------------------------------------------------------ ridge
 
 
-def _moments(spark, d) -> DataFrame:
-    return R.component_moments(T.measured(spark, d), "source")
-
-
 @query()
 def ridge_coefficients(spark, d) -> DataFrame:
-    """Weights by position and symbol of the component-weighted ridge over all rows, alpha 10."""
-
-    def fit(part: pa.Table) -> pa.Table:
-        held: dict = {}
-        for c, raw in zip(part["component"].to_pylist(), part["moments"], strict=True):
-            m = R.Moments.read(raw.as_py())
-            held[c] = held[c] + m if c in held else m
-        b, _ = R.solve(R.balanced([held[c] for c in sorted(held)])[0], 10.0)
-        return pa.table({"feature": pa.array(range(len(b)), pa.int32()), "w_gcgr": b[:, 0], "w_glp1r": b[:, 1]})
-
-    w = _moments(spark, d).groupBy(F.lit(1).alias("all")).applyInArrow(fit, "feature int, w_gcgr double, w_glp1r double")  # moments: 3 MB a component and fold
-    return w.select((F.floor(F.col("feature") / 21) + 1).cast("int").alias("position"), F.substring(F.lit(S.ALPHABET), F.col("feature") % 21 + 1, F.lit(1)).alias("symbol"), F.round("w_gcgr", 6).alias("w_gcgr"), F.round("w_glp1r", 6).alias("w_glp1r"))
-
-
-def held_out_errors(m: DataFrame, component: str, block: int = 1024) -> DataFrame:
-    """alpha, components and score: mean absolute error over the rows and targets of a held-out component, averaged over components.
-
-    Weights for each alpha and held-out component come from the other components' moments. Rows go to
-    them in blocks dealt by hashes, so that no component is one task.
-    """
-    moments = R.component_moments(m, component).withColumn("alpha", F.explode(F.array(*map(F.lit, R.ALPHAS))))
-
-    def fit(part: pa.Table) -> pa.Table:
-        held: dict = {}
-        for c, raw in zip(part["component"].to_pylist(), part["moments"], strict=True):
-            x = R.Moments.read(raw.as_py())
-            held[c] = held[c] + x if c in held else x
-        alpha, names, out = part["alpha"][0].as_py(), sorted(held), []
-        for name in names if len(names) > 1 else []:
-            b, c = R.solve(R.balanced([held[k] for k in names if k != name])[0], alpha)
-            out.append({"component": name, "alpha": alpha, "w": b.ravel().tolist(), "c": c.tolist()})
-        return pa.Table.from_pylist(out, pa.schema([("component", pa.string()), ("alpha", pa.float64()), ("w", pa.list_(pa.float64())), ("c", pa.list_(pa.float64()))]))
-
-    w = G.cut(moments.groupBy("alpha").applyInArrow(fit, "component string, alpha double, w array<double>, c array<double>"))
-    rows = m.select(F.col(component).cast("string").alias("component"), "aligned", "y1", "y2", F.xxhash64("doc_id").alias("h"))
-    groups = max(1, -(-rows.count() // block))
-    dealt = rows.groupBy("component", F.pmod("h", F.lit(groups)).alias("g")).agg(F.collect_list(F.struct("aligned", "y1", "y2")).alias("rows"))  # about a block at most
-
-    def measure(batches):
-        for batch in batches:
-            sums, counts = [], []
-            for k in range(batch.num_rows):
-                x = batch.column(2)[k].values
-                y = np.stack([x.field(c).to_numpy(zero_copy_only=False) for c in ("y1", "y2")], 1)
-                b, c = batch.column(3)[k].values.to_numpy().reshape(-1, 2), batch.column(4)[k].values.to_numpy()
-                sums.append(float(np.abs(R.encode(x.field("aligned").to_pylist()) @ b + c - y).sum()))
-                counts.append(y.size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums), pa.array(counts, pa.int64())], ["component", "alpha", "s", "n"])
-
-    found = dealt.join(w, "component").select("component", "alpha", "rows", "w", "c").mapInArrow(measure, "component string, alpha double, s double, n long")
-    each = found.groupBy("component", "alpha").agg((F.sum("s") / F.sum("n")).alias("e"))
-    return each.groupBy("alpha").agg(F.count("*").alias("components"), F.avg("e").alias("score"))
+    """Weights by position and symbol of the final model: component-weighted ridge over all rows, at the alpha with the least left-out error."""
+    fits = R.Fits(T.measured(spark, d), "source", outer=False)
+    w = fits.models(fits.selected()).select("alpha", F.posexplode(F.arrays_zip("w1", "w2")).alias("feature", "w"))
+    return w.select((F.floor(F.col("feature") / 21) + 1).cast("int").alias("position"), F.substring(F.lit(S.ALPHABET), F.col("feature") % 21 + 1, F.lit(1)).alias("symbol"), "alpha", F.round("w.w1", 6).alias("w_gcgr"), F.round("w.w2", 6).alias("w_glp1r"))
 
 
 @query()
 def loco_alpha(spark, d) -> DataFrame:
-    """Held-out error of each alpha, leaving one component out at a time."""
-    return held_out_errors(G.cut(T.measured(spark, d)), "source").withColumn("score", F.round("score", 6))
+    """Held-out error of each alpha, leaving one component out at a time, over all rows and for each outer fold's training rows (outer_fold null: all)."""
+    s = R.Fits(T.measured(spark, d), "source").scores()
+    return s.select(F.nullif("held", F.lit(R.ALL)).alias("outer_fold"), "alpha", "components", F.round("score", 6).alias("score"))
+
+
+def _nested(spark, d) -> DataFrame:
+    """Each row predicted by the model of the other folds, whose alpha was selected within these."""
+    m = T.measured(spark, d)
+    fits = R.Fits(m, "source")
+    return R.predicted(m, fits.models(fits.selected()), F.col("fold") == F.col("held"))
 
 
 @query()
 def nested_ridge_oof(spark, d) -> DataFrame:
-    """Out-of-fold ridge predictions: weights from the other folds' moments go to each row's fold by a join."""
-    m = G.cut(_moments(spark, d))
-    others = m.withColumn("held", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).filter("held <> fold")
-
-    def fit(part: pa.Table) -> pa.Table:
-        held: dict = {}
-        for c, raw in zip(part["component"].to_pylist(), part["moments"], strict=True):
-            x = R.Moments.read(raw.as_py())
-            held[c] = held[c] + x if c in held else x
-        b, c = R.solve(R.balanced([held[k] for k in sorted(held)])[0], 10.0)
-        return pa.table({"held": part["held"][:1], "w1": [b[:, 0].tolist()], "w2": [b[:, 1].tolist()], "c1": [float(c[0])], "c2": [float(c[1])]})
-
-    w = others.groupBy("held").applyInArrow(fit, "held int, w1 array<double>, w2 array<double>, c1 double, c2 double")
-    rows = T.measured(spark, d).join(F.broadcast(w), F.col("fold") == F.col("held"))  # three rows
-    hot = S.one_hot(F.col("aligned"))
-    guess = lambda k: F.col(f"c{k}") + F.aggregate(hot, F.lit(0.0), lambda acc, f: acc + F.element_at(f"w{k}", (f + 1).cast("int")))
-    return rows.select("peptide_id", "fold", F.round(guess(1), 6).alias("ridge_gcgr"), F.round(guess(2), 6).alias("ridge_glp1r"))
+    return _nested(spark, d).select("peptide_id", "fold", F.col("alpha").alias("selected_alpha"), F.round("gcgr", 6).alias("ridge_gcgr"), F.round("glp1r", 6).alias("ridge_glp1r"))
+
+
+@query()
+def ridge_beside_nn(spark, d) -> DataFrame:
+    """Both models' out-of-fold predictions of each row."""
+    nn = tied_nn_oof(spark, d).select("peptide_id", "nn_gcgr", "nn_glp1r", "nn_selectivity", F.col("identity").alias("nearest_identity"), F.col("ties").alias("nearest_ties"), F.col("first_id").alias("nearest_donor"))
+    ridge = _nested(spark, d).select("peptide_id", "source", "fold", F.col("alpha").alias("selected_alpha"), F.round("y1", 6).alias("actual_gcgr"), F.round("y2", 6).alias("actual_glp1r"), F.round("gcgr", 6).alias("ridge_gcgr"), F.round("glp1r", 6).alias("ridge_glp1r"))
+    return ridge.join(nn, "peptide_id")
+
+
+@query()
+def seeded_component_bootstrap(spark, d) -> DataFrame:
+    """Intervals of ridge's over the nearest neighbours' mean absolute error, by 10 000 seeded draws of whole components."""
+    both = ridge_beside_nn(spark, d)
+    error = lambda m, y: F.abs(F.col(f"{m}_{y}") - F.col(f"actual_{y}"))
+    long = both.select("source", F.explode(F.array(*(F.struct(F.lit(y).alias("endpoint"), (error("ridge", y) - error("nn", y)).alias("delta")) for y in ("gcgr", "glp1r")))).alias("x")).select("source", "x.*")
+    found = M.seeded_bootstrap(long, ["endpoint"], "source", "delta")
+    return found.withColumns({c: F.round(c, 6) for c in ("mean_delta", "low", "high")})
