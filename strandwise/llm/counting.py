@@ -16,7 +16,7 @@ from strandwise.llm import common as C
 from strandwise.llm.common import U64
 
 RUN = "part long, n long, keys binary, sums binary"
-HELD = 6 << 20  # numbers that a task holds before it sums them
+HELD = 12 << 20  # numbers that a task holds before it sums them
 
 
 def bits_for(items: int, items_a_part: int) -> int:
