@@ -29,6 +29,7 @@ from strandwise.llm.common import U64
 from strandwise.llm.components import connected_components
 
 MOST_VARIANTS = 4 << 20  # that are in memory at once
+SALTS = 32
 _LANES = U64(0x0101010101010101)
 
 
@@ -175,10 +176,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     prints = C.cut(fingerprints(docs, doc_id, text, words))
     by_print = C.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(ball_links(by_print, radius))
-    rooted = by_print.join(roots, by_print["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(least, "root").select(F.col("fp").alias("of"), "component_id")
-    return prints.join(classes, prints["fp"] == classes["of"]).select("doc_id", "fp", "component_id")
+    # a component of very many fingerprints is no hot group: its minimum is taken by salts and goes back to them
+    linked = C.cut(by_print.join(roots, by_print["fp"] == roots["node"]).select("fp", "least", "root", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt")))
+    least = linked.groupBy("root", "salt").agg(F.min("least").alias("least")).groupBy("root").agg(F.min("least").alias("component_id"))
+    spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    classes = linked.join(spread, ["root", "salt"]).select(F.col("fp").alias("node"), "component_id")
+    placed = by_print.join(classes, by_print["fp"] == classes["node"], "left").select(F.col("fp").alias("of"), F.coalesce("component_id", "least").alias("component_id"))
+    return prints.join(placed, prints["fp"] == placed["of"]).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
