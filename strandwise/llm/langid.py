@@ -5,7 +5,7 @@ log-odds of trigrams in languages with the bit set against the others, with addi
 gives a margin, and the language whose codeword has the least loss, sum of ln(1 + exp(-bit * margin))
 weighted by how well each bit's classifier separates, is chosen. A margin to the runner-up below
 `ambiguous` flags the row. Up to five languages have the exhaustive code, more have the best of many
-random codes. Trigram counts come from all training rows, summed per language in each task first.
+random codes. At most `most_languages` values of lang, the most frequent ones, are learned. Trigram counts come from all training rows, summed per language in each task first.
 
 A text that is null or has no letter gets `und` and score 0; so does every text if no training row
 has a language. Texts of any length are read whole. Equal losses go to the language that sorts first.
@@ -68,12 +68,14 @@ def codewords(k: int, seed: int = 7) -> np.ndarray:
             code[row] = np.where(columns >> (k - 1 - row) & 1, 1, -1)
         return code
     rng = np.random.default_rng(seed)
-    best, score = None, -1
-    for _ in range(200):
-        code = rng.choice(np.array([-1, 1], np.int8), (k, max(15, 10 * (k - 1).bit_length())))
-        far = (code[:, None, :] != code[None, :, :]).sum(2) + 10**6 * np.eye(k, dtype=int)
-        if far.min() > score and (np.abs(code.sum(0)) < k).all():
-            best, score = code, far.min()
+    bits, best, score = max(15, 10 * (k - 1).bit_length()), None, -1
+    for _ in range(200 if k <= 64 else 20):
+        code = rng.choice(np.array([-1, 1], np.int8), (k, bits))
+        near = code.astype(np.float32) @ code.T.astype(np.float32)  # bits less twice the distance
+        near[np.arange(k), np.arange(k)] = -bits
+        far = int((bits - near.max()) // 2)
+        if far > score and (np.abs(code.sum(0)) < k).all():
+            best, score = code, far
     return best
 
 
@@ -92,8 +94,8 @@ class OutputCodes:
         self.limit = np.inf
 
     @classmethod
-    def fit(cls, docs: DataFrame, train: Column, bits: int = 13, smoothing: float = 0.5, gain: float = 12.0, ambiguous: float = 0.2) -> OutputCodes:
-        """docs: text and lang. The driver gets a line of 2**bits counts for each language and task's sum, merged by language before."""
+    def fit(cls, docs: DataFrame, train: Column, bits: int = 13, smoothing: float = 0.5, gain: float = 12.0, ambiguous: float = 0.2, most_languages: int = 1024) -> OutputCodes:
+        """docs: text and lang. The most_languages values of lang with the most rows are learned; the driver gets a line of 2**bits counts for each."""
         width = 1 << bits
         chosen = docs.filter(train & F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
 
@@ -113,6 +115,8 @@ class OutputCodes:
             total = sum(np.frombuffer(x.as_py(), "<i8") for x in rows["counts"])
             return pa.table({"lang": rows["lang"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
+        frequent = chosen.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").select(F.col("lang").alias("learned")).limit(most_languages)
+        chosen = chosen.join(F.broadcast(frequent), F.col("lang") == F.col("learned"), "left_semi")  # at most most_languages rows
         found = dict(chosen.mapInArrow(count, "lang string, counts binary").groupBy("lang").applyInArrow(add, "lang string, counts binary").collect())
         languages = sorted(found)
         code = codewords(len(languages))
@@ -138,7 +142,8 @@ class OutputCodes:
         for i, j, counts in counts_by_row(data, offs, self.bits):
             n = np.maximum(counts.sum(1, keepdims=True), 1)
             margin = self.gain * (counts.astype(np.float32) @ self.weights).astype(float) / n
-            loss = np.logaddexp(0, -margin[:, None, :] * self.code[None, :, :]) @ self.trust
+            on = self.code > 0
+            loss = (np.logaddexp(0, -margin) * self.trust) @ on.T + (np.logaddexp(0, margin) * self.trust) @ ~on.T
             least[i:j] = loss.min(1)
             p = np.exp(loss.min(1, keepdims=True) - loss)
             p /= p.sum(1, keepdims=True)

@@ -6,6 +6,8 @@ texts are covered by windows of 1.5 N shingles every N/4, so that a run as long
 in a window. Such a window that holds four fifths of the template's shingles has a resemblance of at
 least J, known for each class; bands of one MinHash row, as many as make a miss less likely than
 1 in 10000, retrieve the templates, and containment in the windows' words, counted exactly, decides.
+Templates are notices of a line and whole license texts (or any table of names and texts); one of a single
+shingle is found if the shingle is.
 
 Null and empty texts have no match; matches are counted once for each document and template (best
 containment, then first place). Copies of rows have rows of their own. Texts of any length are scanned
@@ -15,6 +17,7 @@ whole. Empty tables give empty ones, and so do no templates. Only id and text ar
 from __future__ import annotations
 
 from math import ceil, log
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from strandwise.llm import common as C
 from strandwise.llm.common import U64
 
-#: The usual wordings of license notices.
+#: The usual wordings of license notices. Whole texts are beside them.
 TEMPLATES = {
     "agpl-3": "This program is licensed under the GNU Affero General Public License, version 3.",
     "all-rights": "All rights reserved.",
@@ -41,6 +44,13 @@ TEMPLATES = {
     "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
+
+
+def whole_texts() -> dict[str, str]:
+    """Whole license texts, by name: the files of license_texts."""
+    return {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x41:0x5B] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 _NONE = U64(2**64 - 1)
@@ -125,7 +135,7 @@ class LicenseScanner:
     def __init__(self, templates: dict[str, str] | None = None, shingle: int = 5, containment: float = 0.8, miss: float = 1e-4):
         self.containment = containment
         groups: dict[tuple[int, int], list[tuple[str, np.ndarray]]] = {}
-        for name, text in sorted((TEMPLATES if templates is None else templates).items()):
+        for name, text in sorted((TEMPLATES | whole_texts() if templates is None else templates).items()):
             data = np.frombuffer((text or "").encode(), np.uint8)
             words = word_hashes(data, np.array([0, len(data)]))[3]
             if len(words):

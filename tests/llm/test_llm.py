@@ -392,9 +392,11 @@ def test_languages(spark, docs, empty):
     assert [odd[k] for k in range(3)] == ["und"] * 3 and odd[10] != "und"
     assert model.keep_known(docs).count() == docs.count() - 3 and model.identify(empty).count() == 0
     assert {r["lang_pred"] for r in rows_of(langid.OutputCodes.fit(empty, F.lit(True)).identify(docs))} == {"und"}
-    for k in range(2, 9):
+    for k in (*range(2, 9), 300):
         code = langid.codewords(k)
         assert len({tuple(x) for x in code}) == k
+    few = langid.OutputCodes.fit(df, F.lit(True), most_languages=2)
+    assert few.languages == ["aa", "bb"]
 
 
 def test_language_stage_rejects_junk_with_letters(spark):
@@ -414,14 +416,15 @@ def test_licenses(spark, docs, empty):
     rows, want = [], {}
     rng = np.random.default_rng(6)
     filler = lambda n: " ".join(rng.choice(["ba", "do", "fu", "ge", "hi"], n))
-    for i, (name, text) in enumerate(licenses.TEMPLATES.items()):
+    templates = licenses.TEMPLATES | licenses.whole_texts()
+    for i, (name, text) in enumerate(templates.items()):
         words = text.split()
         shown = text if len(words) < 30 else " ".join([*words[:-1], "changed"])
         rows.append((i, f"{filler(rng.integers(0, 50))} {shown.upper() if i % 2 else shown} {filler(rng.integers(0, 500))}"))
     rows += [(100, filler(300)), (101, None), (102, "Released under the MIT"), (103, "licensed under the apache something else version 2 0 ")]
     for i, text in rows:  # containment over all of the text, which holds one notice at most
         w = re.findall(r"[0-9a-z]+", (text or "").lower())
-        for name, t in licenses.TEMPLATES.items():
+        for name, t in templates.items():
             tw = re.findall(r"[0-9a-z]+", t.lower())
             k = min(5, len(tw))
             grams = {tuple(tw[a : a + k]) for a in range(len(tw) - k + 1)}
@@ -434,6 +437,26 @@ def test_licenses(spark, docs, empty):
     assert scanner.scan(docs).count() == 0 and scanner.scan(empty).count() == 0 and licenses.LicenseScanner({}).scan(df).count() == 0
 
 
+def test_edited_licenses_are_found(spark):
+    """Changed words, case, wrapping and comment marks; what still holds four fifths of the shingles is found."""
+    rng = np.random.default_rng(11)
+    scanner, rows, want, expected = licenses.LicenseScanner(), [], set(), 0
+    for k, (name, text) in enumerate(licenses.whole_texts().items()):
+        for share in (0.0, 0.01, 0.03):
+            words = text.split()
+            for at in rng.choice(len(words), int(share * len(words)), replace=False):
+                words[at] = f"changed{at}"
+            shown = [w.upper() if k % 2 else w for w in words]
+            lines = "\n".join(" * " + " ".join(shown[i : i + 9]) for i in range(0, len(shown), 9))
+            rows.append((len(rows), f"before {'x ' * k} {lines} {'behind ' * k}"))
+            grams = lambda t: {tuple(w[i : i + 5]) for w in [re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())] for i in range(len(w) - 4)}
+            if len(grams(text) & grams(rows[-1][1])) / len(grams(text)) >= 0.8:
+                want.add((rows[-1][0], name))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["license"]) for r in rows_of(scanner.scan(df))}
+    assert len(want) > 20 and want <= got
+
+
 def test_hilbert_shards(docs, empty):
     for law in ("rows", "bytes"):
         got = rows_of(sharding.shard_rows(docs, 7, law))
