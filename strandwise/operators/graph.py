@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Evaluates df once into the folder of spark.checkpoint.dir; a folder of its own is set only where none is."""
+    """Evaluates df once into the folder of spark.checkpoint.dir; a folder of its own is set only where none is and all tasks run on this machine."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="strandwise-"))
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="strandwise-"))
     return df.checkpoint(eager=True)
 
 
