@@ -103,12 +103,16 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.replace(text, F.lit("-"), F.lit(" "))), r"\s+", " "))
 
 
-def weight(position: Column, symbol: Column, which: int) -> Column:
-    """Stand-in coefficients of a frozen linear model, rational so that sums are comparable. Position counts from 0."""
+def weight_hundredths(position: Column, symbol: Column, which: int) -> Column:
+    """Stand-in coefficients of a frozen linear model, whole hundredths so that sums don't depend on their order. Position counts from 0."""
     a, b, m, c = ((31, 17, 101, 50), (13, 29, 97, 48))[which]
-    return ((position * a + F.ascii(symbol) * b) % m - c) / 100.0
+    return (position * a + F.ascii(symbol) * b) % m - c
+
+
+def weight(position: Column, symbol: Column, which: int) -> Column:
+    return weight_hundredths(position, symbol, which) / 100.0
 
 
 def linear(aligned: Column, which: int) -> Column:
     """The frozen model's prediction: the intercept and the active weights."""
-    return sum((weight(F.lit(i), F.substring(aligned, i + 1, 1), which) for i in range(LENGTH)), F.lit((2.0, 1.5)[which]))
+    return sum((weight_hundredths(F.lit(i), F.substring(aligned, i + 1, 1), which) for i in range(LENGTH)), F.lit(0)) / 100.0 + F.lit((2.0, 1.5)[which])

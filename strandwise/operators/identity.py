@@ -59,7 +59,7 @@ def _identities(q: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 def nearest(queries: DataFrame, donors: DataFrame, same_fold: bool = False) -> DataFrame:
-    """For each distinct query (aligned, fold): best identity, and over all donors tied at it (within 1e-12) their count, sums s1 and s2, and smallest id.
+    """For each distinct query (aligned, fold): best identity, and over all donors tied at it (within 1e-12) their count, sums s1 and s2, smallest id, and ids: first_id of each tied donor row, sorted.
 
     donors: aligned, fold, first_id, n, s1, s2. With same_fold False donors of the query's fold don't
     count (fold null: all count). Queries meet donors in blocks dealt by hashes; only each block's
@@ -87,14 +87,18 @@ def nearest(queries: DataFrame, donors: DataFrame, same_fold: bool = False) -> D
                 num = [z.to_numpy(zero_copy_only=False).astype(float) for z in (ds.field("n"), ds.field("s1"), ds.field("s2"))]
                 ids = np.array(ds.field("first_id").to_pylist(), object)
                 order = np.argsort(ids)
-                first = ids[order[tied[:, order].argmax(1)]]
+                ordered = tied[:, order]
+                first = ids[order[ordered.argmax(1)]]
                 keep = np.flatnonzero(top >= 0)
-                yield pa.RecordBatch.from_arrays([qs.field("aligned").take(pa.array(keep)), qs.field("fold").take(pa.array(keep)).cast(pa.int32()), pa.array(top[keep]), *(pa.array((tied @ v)[keep]) for v in num), pa.array(first[keep], pa.string())], ["aligned", "fold", "identity", "n", "s1", "s2", "first_id"])
+                _, which = np.nonzero(ordered[keep])
+                upto = np.concatenate(([0], np.cumsum(ordered[keep].sum(1)))).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(upto), pa.array(ids[order[which]], pa.string()))
+                yield pa.RecordBatch.from_arrays([qs.field("aligned").take(pa.array(keep)), qs.field("fold").take(pa.array(keep)).cast(pa.int32()), pa.array(top[keep]), *(pa.array((tied @ v)[keep]) for v in num), pa.array(first[keep], pa.string()), listed], ["aligned", "fold", "identity", "n", "s1", "s2", "first_id", "ids"])
 
-    local = cut(pairs.mapInArrow(best, "aligned string, fold int, identity double, n double, s1 double, s2 double, first_id string"))
+    local = cut(pairs.mapInArrow(best, "aligned string, fold int, identity double, n double, s1 double, s2 double, first_id string, ids array<string>"))
     top = local.groupBy(F.col("aligned").alias("ta"), F.col("fold").alias("tf")).agg(F.max("identity").alias("top"))
     joined = local.join(top, (F.col("aligned") == F.col("ta")) & F.col("fold").eqNullSafe(F.col("tf"))).filter(F.col("identity") >= F.col("top") - S.EPS)
-    return joined.groupBy("aligned", "fold").agg(F.max("identity").alias("identity"), F.sum("n").cast("long").alias("ties"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.min("first_id").alias("first_id"))
+    return joined.groupBy("aligned", "fold").agg(F.max("identity").alias("identity"), F.sum("n").cast("long").alias("ties"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.min("first_id").alias("first_id"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"))  # a list for each block of donors
 
 
 def hamming_nearest(queries: DataFrame, references: DataFrame) -> DataFrame:

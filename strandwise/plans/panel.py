@@ -9,6 +9,7 @@ from strandwise.functions import sequences as S
 from strandwise.operators import align as A
 from strandwise.operators import graph as G
 from strandwise.operators import identity as I
+from strandwise.operators import screening as C
 from strandwise.plans.base import CLASSES, EDGES, IDENTITY, MEASURED, PANEL, query
 from strandwise.sources import tables as T
 
@@ -209,14 +210,14 @@ def _applicability(spark, d) -> DataFrame:
     p = _valid(spark, d)
     ref = p.filter("doc_id % 8 = 0").groupBy("aligned").agg(F.min("peptide_id").alias("first_id"), F.count("*").alias("n")).withColumns({"fold": F.lit(None).cast("int"), "s1": F.lit(0.0), "s2": F.lit(0.0)})
     qry = p.filter("doc_id % 8 <> 0").select("aligned", F.lit(None).cast("int").alias("fold"))
-    return I.nearest(qry, ref).select("aligned", "identity", "ties", "first_id")
+    return I.nearest(qry, ref).select("aligned", "identity", "ties", "first_id", "ids")
 
 
 TIER = "case when {x} >= 0.85 then 'close_analogue' when {x} >= 0.70 then 'distant_analogue' else 'outside_reference_neighborhood' end"
 EVIDENCE = "case when {x} >= 1 - 1e-12 then 'training_reference_match' when {x} >= 0.85 then 'local_analogue_mixed_evidence' when {x} >= 0.70 then 'outside_ranking_scope' else 'far_outside_reference_scope' end"
 BEST = NEAREST + """,
 top as materialized (select aligned, max(identity) as identity from sc group by aligned),
-app as materialized (select top.aligned, top.identity, cast(sum(n) as bigint) as ties, min(first_id) as nearest from top join sc on sc.aligned = top.aligned and sc.identity >= top.identity - 1e-12 group by all)"""
+app as materialized (select top.aligned, top.identity, cast(sum(n) as bigint) as ties, min(first_id) as nearest, string_agg(first_id, ';' order by first_id) as ids from top join sc on sc.aligned = top.aligned and sc.identity >= top.identity - 1e-12 group by all)"""
 
 
 @query(f"with {BEST} select p.peptide_id, round(identity, 9) as identity, ties, nearest, {TIER.format(x='identity')} as tier, {EVIDENCE.format(x='identity')} as evidence from panel p join app using (aligned) where p.doc_id % 8 <> 0")
@@ -247,8 +248,8 @@ def nearest_reference_decomposition(spark, d) -> DataFrame:
     return at.withColumns({"d_gcgr": delta(0), "d_glp1r": delta(1)})
 
 
-PREDICTED = f""",
-lin as materialized (select aligned, sum({_w('k', 'substr(aligned, cast(k + 1 as integer), 1)')[0]}) + 2.0 as gcgr, sum({_w('k', 'substr(aligned, cast(k + 1 as integer), 1)')[1]}) + 1.5 as glp1r from (select distinct aligned from panel where aligned <> repeat('-', 30)), (select unnest(range(30)) as k) group by aligned)"""
+PREDICTED = """,
+lin as materialized (select aligned, cast(sum((k * 31 + ascii(substr(aligned, cast(k + 1 as integer), 1)) * 17) % 101 - 50) as double) / 100 + 2.0 as gcgr, cast(sum((k * 13 + ascii(substr(aligned, cast(k + 1 as integer), 1)) * 29) % 97 - 48) as double) / 100 + 1.5 as glp1r from (select distinct aligned from panel where aligned <> repeat('-', 30)), (select unnest(range(30)) as k) group by aligned)"""
 
 
 @query(f"with {PANEL} {PREDICTED} select peptide_id, round(gcgr, 6) as gcgr, round(glp1r, 6) as glp1r from panel join lin using (aligned)")
@@ -283,49 +284,53 @@ def candidate_ids(spark, d) -> DataFrame:
     return c.select("doc_id", S.spreadsheet_safe(F.col("candidate_id")).alias("shown"), S.candidate_id_error(F.col("candidate_id")).alias("error"))
 
 
+#: The frozen stand-in model that the screening queries name: its weights are a formula, so that SQL can score, too.
+STAND_IN = C.Model("stand-in-linear", "1", "none", {"glp1r": 1.07, "gcgr": 0.63}, warnings={"endpoint": "one assay each", "validation": "stand-in weights", "ranking": "an order to explore, no probability of success"})
+
+
 def _screen_sql(objective: str) -> str:
     score = {"glp1r": "glp1r", "gcgr": "gcgr", "dual": "greatest(gcgr, glp1r)"}[objective]
-    mae = {"glp1r": 1.07, "gcgr": 0.63, "dual": 1.07}[objective]
+    mae, w = STAND_IN.mae_of(objective), STAND_IN.warnings
+    ok, safe = "status <> 'input_error'", "case when regexp_matches({x}, '^[=+@-]') then '''' || {x} else {x} end"
+    when = lambda c, **k: ", ".join(f"case when {c} then {v} end as {n}" for n, v in k.items())
     return f"""with {BEST} {PREDICTED},
-c as (select p.doc_id, case when p.doc_id % 11 = 0 then '=' || p.peptide_id when p.doc_id % 13 = 0 then '' else p.peptide_id end as cid, p.aligned, identity, length(replace(p.aligned, '-', '')) as residues, gcgr, glp1r
+c as (select p.doc_id, case when p.doc_id % 11 = 0 then '=' || p.peptide_id when p.doc_id % 13 = 0 then '' else p.peptide_id end as cid, p.aligned, identity, ids, length(replace(p.aligned, '-', '')) as residues, gcgr, glp1r, {TIER.format(x='identity')} as tier
       from panel p left join app using (aligned) left join lin using (aligned) where p.doc_id % 8 <> 0),
-g as (select *, case when cid = '' or not regexp_matches(cid, '^[A-Za-z0-9][A-Za-z0-9_.:-]{{0,127}}$') or aligned = repeat('-', 30) then 'input_error' when identity < 0.85 or residues < 26 then 'not_ranked_out_of_scope' else 'ranked' end as status, round({score}, 9) as score from c),
-dup as (select aligned, count(*) as copies from g where status <> 'input_error' group by aligned),
-k as (select doc_id, dense_rank() over (order by score) as rank, score - min(score) over () as delta from g where status = 'ranked')
-select g.doc_id, status, concat_ws('; ', case when status = 'not_ranked_out_of_scope' and identity < 0.85 then 'identity_below_0.85' end, case when status = 'not_ranked_out_of_scope' and residues < 26 then 'fewer_than_26_residues' end) as reasons,
-  case when status <> 'input_error' then round(g.score, 6) end as score, cast(k.rank as bigint) as rank, round(delta, 6) as delta, delta <= {mae} + 1e-12 as within_mae, case when status <> 'input_error' then copies end as copies
+e as (select *, {score} as score, case when cid = '' then 'missing_id' when not regexp_matches(cid, '^[A-Za-z0-9][A-Za-z0-9_.:-]{{0,127}}$') then 'invalid_id' end as id_error,
+  concat_ws('; ', case when tier <> 'close_analogue' then 'applicability_tier=' || tier end, case when residues < 26 then 'standard_residue_count=' || residues || ' is below 26' end) as reasons from c),
+g as (select *, case when id_error is not null or identity is null then 'input_error' when reasons <> '' then 'not_ranked_out_of_scope' else 'ranked' end as status from e),
+dup as (select aligned, count(*) as copies from g where {ok} group by aligned),
+k as (select doc_id, dense_rank() over (order by round(score, 9)) as rank, score - min(score) over () as delta from g where status = 'ranked')
+select g.doc_id as input_row, {safe.format(x='cid')} as candidate_id, {safe.format(x='g.aligned')} as input_sequence, 'provided_alignment' as input_mode,
+  {when(ok, aligned_sequence=safe.format(x='g.aligned'), alignment_method="'provided_30_column_alignment'", alignment_status="'provided'", alignment_reference_ids="''", alignment_adapter_id="''", alignment_adapter_version="''", alignment_adapter_sha256="''")},
+  status, case when id_error is not null then 'invalid_candidate_id' when identity is null then 'invalid_aligned_sequence' end as error_code, case when id_error is not null then id_error when identity is null then 'no_valid_sequence' end as error_message,
+  '{objective}' as ranking_objective, '{C.OBJECTIVES[objective]}' as ranking_objective_definition, {when(ok, ranking_eligible="status = 'ranked'", ranking_exclusion_reason="reasons")},
+  cast(k.rank as bigint) as rank, {when("status = 'ranked'", ranking_score="round(score, 9)", score_delta_from_first_log10="round(delta, 9)", score_fold_ratio_from_first="round(pow(10.0, delta), 6)", development_mae_context_log10=f"cast({mae} as double)", within_one_development_mae_of_first=f"delta <= {mae} + 1e-12", ranking_context=f"case when delta <= {mae} + 1e-12 then 'within_one_development_mae_of_first' else 'more_than_one_development_mae_from_first' end")},
+  {when(ok, glp1r_log10_ec50_pm="round(glp1r, 9)", glp1r_ec50_pm="round(pow(10.0, glp1r), 6)", gcgr_log10_ec50_pm="round(gcgr, 9)", gcgr_ec50_pm="round(pow(10.0, gcgr), 6)", selectivity_log10_gcgr_over_glp1r="round(gcgr - glp1r, 9)", applicability_tier="tier", applicability_evidence_state=EVIDENCE.format(x="identity"), exact_reference_match="identity >= 1 - 1e-12", nearest_aligned_identity="round(identity, 9)", nearest_reference_ids="ids", standard_residue_count="cast(residues as integer)", duplicate_sequence_count="copies")},
+  '{STAND_IN.software_version}' as software_version, '{STAND_IN.artifact_id}' as artifact_id, '{STAND_IN.artifact_version}' as artifact_version, '{STAND_IN.artifact_sha256}' as artifact_sha256, '{w["endpoint"]}' as endpoint_warning, '{w["validation"]}' as validation_warning, '{w["ranking"]}' as ranking_warning,
+  row_number() over (order by status <> 'ranked', case when status = 'ranked' then score end, g.doc_id) as display_order
 from g left join dup using (aligned) left join k on g.doc_id = k.doc_id"""
 
 
-def screen(spark, d, objective: str) -> DataFrame:
-    """Guarded screening: ids are checked, distinct sequences scored once, gates applied, the rest ranked; rows with errors stay."""
+def _records(spark, d) -> DataFrame:
     p = T.panel(spark, d).filter("doc_id % 8 <> 0")
     cid = F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("="), "peptide_id")).when(F.col("doc_id") % 13 == 0, "").otherwise(F.col("peptide_id"))
-    scored = _applicability(spark, d).select("aligned", "identity", S.linear(F.col("aligned"), 0).alias("gcgr"), S.linear(F.col("aligned"), 1).alias("glp1r"))
-    score = {"glp1r": F.col("glp1r"), "gcgr": F.col("gcgr"), "dual": F.greatest("gcgr", "glp1r")}[objective]
-    mae = {"glp1r": 1.07, "gcgr": 0.63, "dual": 1.07}[objective]
-    rows = p.select("doc_id", cid.alias("cid"), "aligned").join(scored, "aligned", "left")
-    few, far = S.residues(F.col("aligned")) < 26, F.col("identity") < 0.85
-    status = F.when(S.candidate_id_error(F.col("cid")).isNotNull() | (F.col("aligned") == S.ALL_GAP), "input_error").when(far | few, "not_ranked_out_of_scope").otherwise("ranked")
-    out = F.col("status") == "not_ranked_out_of_scope"
-    reasons = F.concat_ws("; ", F.when(out & far, "identity_below_0.85"), F.when(out & few, "fewer_than_26_residues"))
-    rows = G.cut(rows.select("doc_id", "aligned", "identity", F.round(score, 9).alias("score"), status.alias("status")).withColumn("reasons", reasons))
-    copies = rows.filter("status <> 'input_error'").groupBy(F.col("aligned").alias("of")).agg(F.count("*").alias("copies"))
-    ranked = G.global_rank(rows.filter("status = 'ranked'").select(F.col("score").alias("s")).distinct(), [F.asc("s")])
-    least = rows.filter("status = 'ranked'").agg(F.min("score").alias("least"))
-    ok = F.col("status") != "input_error"
-    joined = rows.join(copies, F.col("aligned") == F.col("of"), "left").join(ranked, (F.col("score") == F.col("s")) & (F.col("status") == "ranked"), "left").join(F.broadcast(least))  # least is one row
-    delta = F.when(F.col("rank").isNotNull(), F.col("score") - F.col("least"))
-    return joined.select("doc_id", "status", "reasons", F.when(ok, F.round("score", 6)).alias("score"), "rank", F.round(delta, 6).alias("delta"), (delta <= mae + S.EPS).alias("within_mae"), F.when(ok, F.col("copies")).alias("copies"))
+    return p.select(F.col("doc_id").alias("input_row"), cid.alias("candidate_id"), F.col("aligned").alias("sequence"), F.lit("provided_alignment").alias("input_mode"), "aligned", F.lit("provided_30_column_alignment").alias("alignment_method"), F.lit("provided").alias("alignment_status"))
+
+
+def screen(spark, d, objective: str) -> DataFrame:
+    """Screened candidates of the panel, by the stand-in model; distinct sequences are scored once."""
+    scored = _applicability(spark, d).select("aligned", "identity", "ids", S.linear(F.col("aligned"), 0).alias("gcgr"), S.linear(F.col("aligned"), 1).alias("glp1r"))
+    return C.screen(_records(spark, d), scored, STAND_IN, objective)
 
 
 for _objective in ("glp1r", "gcgr", "dual"):
     query(_screen_sql(_objective), f"screen_{_objective}")(lambda spark, d, o=_objective: screen(spark, d, o))
 
 
-@query(f"select status, count(*) as n, count(distinct rank) as ranks, count(*) filter (within_mae) as within_mae from ({_screen_sql('dual')}) group by status")
+@query(f"select status, count(*) as n, count(distinct rank) as ranks, count(*) filter (within_one_development_mae_of_first) as within_mae from ({_screen_sql('dual')}) group by status")
 def screen_counts(spark, d) -> DataFrame:
-    return screen(spark, d, "dual").groupBy("status").agg(F.count("*").alias("n"), F.countDistinct("rank").alias("ranks"), F.count_if("within_mae").alias("within_mae"))
+    return screen(spark, d, "dual").groupBy("status").agg(F.count("*").alias("n"), F.countDistinct("rank").alias("ranks"), F.count_if("within_one_development_mae_of_first").alias("within_mae"))
 
 
 @query(f"with {PANEL} {PREDICTED} select count(*) as rows_in, count(distinct aligned) as scored from panel where aligned <> repeat('-', 30) and doc_id % 8 <> 0")
