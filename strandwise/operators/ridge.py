@@ -231,7 +231,7 @@ class Fits:
         return self.scores().groupBy("held").agg(F.min(F.struct("score", "alpha")).alias("m")).select("held", "m.alpha", "m.score")
 
     def models(self, alphas: DataFrame) -> DataFrame:
-        """held, alpha, w1, w2, c1 and c2: fits over all components, one for each row (held, alpha)."""
+        """held, alpha, w1, w2, c1, c2, mx and my (weighted means): fits over all components, one for each row (held, alpha)."""
 
         def fit(batches):
             for batch in batches:
@@ -239,9 +239,9 @@ class Fits:
                     by = batch["n"][row].as_py() / batch["components"][row].as_py()
                     m = Moments.of([p * by for p in Moments.read(batch["moments"][row].as_py()).parts])
                     b, c = solve(m, batch["alpha"][row].as_py())
-                    yield pa.RecordBatch.from_arrays([batch["held"].slice(row, 1), batch["alpha"].slice(row, 1), *(pa.array([b[:, k].tolist()], pa.list_(pa.float64())) for k in (0, 1)), *(pa.array([float(c[k])]) for k in (0, 1))], ["held", "alpha", "w1", "w2", "c1", "c2"])
+                    yield pa.RecordBatch.from_arrays([batch["held"].slice(row, 1), batch["alpha"].slice(row, 1), *(pa.array([b[:, k].tolist()], pa.list_(pa.float64())) for k in (0, 1)), *(pa.array([float(c[k])]) for k in (0, 1)), *(pa.array([(p / m.parts[0][0]).tolist()], pa.list_(pa.float64())) for p in m.parts[1:3])], ["held", "alpha", "w1", "w2", "c1", "c2", "mx", "my"])
 
-        return self.totals.join(F.broadcast(alphas.select("held", "alpha")), "held").select("held", "n", "components", "moments", "alpha").mapInArrow(fit, "held int, alpha double, w1 array<double>, w2 array<double>, c1 double, c2 double")
+        return self.totals.join(F.broadcast(alphas.select("held", "alpha")), "held").select("held", "n", "components", "moments", "alpha").mapInArrow(fit, "held int, alpha double, w1 array<double>, w2 array<double>, c1 double, c2 double, mx array<double>, my array<double>")
 
 
 def predicted(rows: DataFrame, models: DataFrame, on) -> DataFrame:
@@ -249,7 +249,7 @@ def predicted(rows: DataFrame, models: DataFrame, on) -> DataFrame:
     joined = rows.join(F.broadcast(models), on)
     hot = S.one_hot(F.col("aligned"))
     guess = lambda k: F.col(f"c{k}") + F.aggregate(hot, F.lit(0.0), lambda acc, f: acc + F.element_at(f"w{k}", (f + 1).cast("int")))
-    return joined.withColumns({"gcgr": guess(1), "glp1r": guess(2)}).drop("w1", "w2", "c1", "c2", "held")
+    return joined.withColumns({"gcgr": guess(1), "glp1r": guess(2)}).drop("w1", "w2", "c1", "c2", "mx", "my", "held")
 
 
 def leave_one_component_out(rows: list[tuple[str, np.ndarray, np.ndarray]], alphas: list[float] = ALPHAS) -> tuple[float, dict[float, float]]:

@@ -5,6 +5,9 @@ Development rows are the panel's with doc_id % 8 = 0, all others are external.
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from strandwise.operators import graph as G
 from strandwise.operators import identity as I
 from strandwise.operators import metrics as M
 from strandwise.operators import ridge as R
+from strandwise.operators import screening as C
 from strandwise.plans import panel as P
 from strandwise.plans.base import IDENTITY, MEASURED, PANEL, query
 from strandwise.sources import sinks
@@ -126,6 +130,29 @@ def locked_ridge(spark, d) -> DataFrame:
     return p.select("peptide_id", "alpha", F.round("gcgr", 6).alias("gcgr"), F.round("glp1r", 6).alias("glp1r"), F.round(F.col("gcgr") - F.col("glp1r"), 6).alias("selectivity"))
 
 
+def _fitted(spark, d) -> tuple[DataFrame, dict, dict[str, float]]:
+    """(development rows, the model fitted on all of them, mean absolute errors of the models of the outer folds)."""
+    dev = G.cut(_development(spark, d))
+    fits = R.Fits(dev, "source")
+    models = G.cut(fits.models(fits.selected()))
+    oof = R.predicted(dev, models.filter(F.col("held") != R.ALL), F.col("fold") == F.col("held"))
+    mae = oof.agg(F.avg(F.abs(F.col("gcgr") - F.col("y1"))).alias("gcgr"), F.avg(F.abs(F.col("glp1r") - F.col("y2"))).alias("glp1r")).first().asDict()
+    return dev, models.filter(F.col("held") == R.ALL).first().asDict(), mae
+
+
+@query()
+def screen_fitted(spark, d) -> DataFrame:
+    """External candidates screened by the ridge that development rows fit, with its own out-of-fold errors as context."""
+    dev, model, mae = _fitted(spark, d)
+    digest = hashlib.sha256(json.dumps({k: model[k] for k in ("alpha", "w1", "w2", "c1", "c2")}, sort_keys=True).encode()).hexdigest()
+    donors = dev.groupBy("aligned").agg(F.min("peptide_id").alias("first_id"), F.count("*").alias("n")).withColumns({"fold": F.lit(None).cast("int"), "s1": F.lit(0.0), "s2": F.lit(0.0)})
+    records = P._records(spark, d)
+    near = I.nearest(records.filter(F.col("aligned") != S.ALL_GAP).select("aligned", F.lit(None).cast("int").alias("fold")), donors).select("aligned", "identity", "ids")
+    one = spark.createDataFrame([(R.ALL, model["alpha"], model["w1"], model["w2"], model["c1"], model["c2"], [], [])], "held int, alpha double, w1 array<double>, w2 array<double>, c1 double, c2 double, mx array<double>, my array<double>")
+    scored = R.predicted(near, one, F.lit(True)).select("aligned", "identity", "ids", "gcgr", "glp1r")
+    return C.screen(records, scored, C.Model("fitted-ridge", "1", digest, mae), "dual")
+
+
 PREDICTION = f"""with {P.BEST} {P.PREDICTED} select p.peptide_id, round(gcgr, 6) as gcgr, round(glp1r, 6) as glp1r, round(gcgr - glp1r, 6) as selectivity, {P.DIRECTION.format(s='round(gcgr - glp1r, 9)')} as direction, round(identity, 9) as identity, ties, nearest,
  {P.TIER.format(x='identity')} as tier, {P.EVIDENCE.format(x='identity')} as evidence, identity >= 0.85 and length(replace(p.aligned, '-', '')) >= 26 as ranking_eligible,
  concat_ws('; ', case when identity < 0.85 then 'identity_below_0.85' end, case when length(replace(p.aligned, '-', '')) < 26 then 'fewer_than_26_residues' end) as exclusion_reasons

@@ -21,20 +21,25 @@ NN = MEASURED + f""",
 cl as materialized (select aligned, gaps, fold, count(*) as n, sum(y1) as s1, sum(y2) as s2, min(peptide_id) as first_id from m group by all),
 sc as materialized (select q.aligned, q.fold, x.n, x.s1, x.s2, x.first_id, {IDENTITY.format(a='q', b='x')} as identity from cl q join cl x on q.fold <> x.fold),
 top as (select aligned, fold, max(identity) as best from sc group by all),
-nn as materialized (select top.aligned, top.fold, best, cast(sum(n) as bigint) as ties, sum(s1) / sum(n) as nn1, sum(s2) / sum(n) as nn2, min(first_id) as first_id from top join sc on top.aligned = sc.aligned and top.fold = sc.fold and sc.identity >= best - 1e-12 group by all),
-oof as materialized (select m.*, best, ties, nn1, nn2, first_id from m join nn on m.aligned = nn.aligned and m.fold = nn.fold)"""
+nn as materialized (select top.aligned, top.fold, best, cast(sum(n) as bigint) as ties, sum(s1) / sum(n) as nn1, sum(s2) / sum(n) as nn2, min(first_id) as first_id, string_agg(first_id, ';' order by first_id) as donors from top join sc on top.aligned = sc.aligned and top.fold = sc.fold and sc.identity >= best - 1e-12 group by all),
+oof as materialized (select m.*, best, ties, nn1, nn2, first_id, donors from m join nn on m.aligned = nn.aligned and m.fold = nn.fold)"""
 
 
 def _oof(spark, d) -> DataFrame:
     m = T.measured(spark, d)
     donors = m.groupBy("aligned", "fold").agg(F.min("peptide_id").alias("first_id"), F.count("*").alias("n"), F.sum("y1").alias("s1"), F.sum("y2").alias("s2"))
-    best = I.nearest(m, donors).select("aligned", "fold", F.col("identity").alias("best"), "ties", (F.col("s1") / F.col("ties")).alias("nn1"), (F.col("s2") / F.col("ties")).alias("nn2"), "first_id")
+    best = I.nearest(m, donors).select("aligned", "fold", F.col("identity").alias("best"), "ties", (F.col("s1") / F.col("ties")).alias("nn1"), (F.col("s2") / F.col("ties")).alias("nn2"), "first_id", F.array_join("ids", ";").alias("donors"))
     return m.join(best, ["aligned", "fold"])
 
 
-@query(f"with {NN} select peptide_id, fold, round(best, 9) as identity, ties, first_id, round(nn1, 6) as nn_gcgr, round(nn2, 6) as nn_glp1r, round(nn1 - nn2, 6) as nn_selectivity from oof")
+@query(f"with {NN} select peptide_id, fold, round(best, 9) as identity, ties, first_id, donors, round(nn1, 6) as nn_gcgr, round(nn2, 6) as nn_glp1r, round(nn1 - nn2, 6) as nn_selectivity from oof")
 def tied_nn_oof(spark, d) -> DataFrame:
-    return _oof(spark, d).select("peptide_id", "fold", F.round("best", 9).alias("identity"), "ties", "first_id", F.round("nn1", 6).alias("nn_gcgr"), F.round("nn2", 6).alias("nn_glp1r"), F.round(F.col("nn1") - F.col("nn2"), 6).alias("nn_selectivity"))
+    return _oof(spark, d).select("peptide_id", "fold", F.round("best", 9).alias("identity"), "ties", "first_id", "donors", F.round("nn1", 6).alias("nn_gcgr"), F.round("nn2", 6).alias("nn_glp1r"), F.round(F.col("nn1") - F.col("nn2"), 6).alias("nn_selectivity"))
+
+
+@query(f"with {NN} select fold, count(*) as n, round(min(best), 9) as least_identity, round(max(best), 9) as greatest_identity, count(*) filter (ties > 1) as tied from oof group by fold")
+def nearest_summary(spark, d) -> DataFrame:
+    return _oof(spark, d).groupBy("fold").agg(F.count("*").alias("n"), F.round(F.min("best"), 9).alias("least_identity"), F.round(F.max("best"), 9).alias("greatest_identity"), F.count_if(F.col("ties") > 1).alias("tied"))
 
 
 @query(f"with {MEASURED} select f.fold, round(median(m.y1), 6) as median_gcgr, round(median(m.y2), 6) as median_glp1r, round(median(m.sel), 6) as median_selectivity from (select distinct fold from m) f join m on m.fold <> f.fold group by f.fold")
@@ -358,7 +363,7 @@ def nested_ridge_oof(spark, d) -> DataFrame:
 @query()
 def ridge_beside_nn(spark, d) -> DataFrame:
     """Both models' out-of-fold predictions of each row."""
-    nn = tied_nn_oof(spark, d).select("peptide_id", "nn_gcgr", "nn_glp1r", "nn_selectivity", F.col("identity").alias("nearest_identity"), F.col("ties").alias("nearest_ties"), F.col("first_id").alias("nearest_donor"))
+    nn = tied_nn_oof(spark, d).select("peptide_id", "nn_gcgr", "nn_glp1r", "nn_selectivity", F.col("identity").alias("nearest_identity"), F.col("ties").alias("nearest_ties"), F.col("donors").alias("nearest_donors"))
     ridge = _nested(spark, d).select("peptide_id", "source", "fold", F.col("alpha").alias("selected_alpha"), F.round("y1", 6).alias("actual_gcgr"), F.round("y2", 6).alias("actual_glp1r"), F.round("gcgr", 6).alias("ridge_gcgr"), F.round("glp1r", 6).alias("ridge_glp1r"))
     return ridge.join(nn, "peptide_id")
 

@@ -23,23 +23,36 @@ def panel_normalize(spark, d) -> DataFrame:
     return p.select("peptide_id", "aligned", S.residues(F.col("aligned")).alias("residues"), F.sha2("aligned", 256).alias("aligned_sha256"), error.isNull().alias("valid"))
 
 
-ISSUES = """, w as (select peptide_id, doc_id, replace(aligned, '-', '') as raw, 30 - (doc_id % 19 = 0)::int as declared, ec1, log10(ec1 * 1e-12) + case when doc_id % 17 = 0 then 0.05 else 0 end as log1 from m),
+ISSUES = """, w as (select 'seq_pep' || (doc_id - (doc_id % 31 = 0)::int) as peptide_id, doc_id, case when doc_id % 29 = 0 then 'X' else '' end || replace(aligned, '-', '') as raw, 30 - (doc_id % 19 = 0)::int as declared, ec1, log10(ec1 * 1e-12) + case when doc_id % 17 = 0 then 0.05 else 0 end as log1 from m),
+d as (select peptide_id, min(doc_id) as first from w group by peptide_id),
 i as (select peptide_id, unnest(list_filter([
+    case when doc_id > first then 'duplicate_id' end,
     case when raw = '' then 'invalid_sequence' end,
+    case when regexp_matches(upper(raw), '[^ACDEFGHIKLMNPQRSTVWY]') then 'invalid_residue' end,
     case when length(raw) <> declared then 'length_mismatch' end,
     case when ec1 is null or ec1 <= 0 then 'invalid_ec50' end,
-    case when ec1 > 0 and abs(log10(ec1 * 1e-12) - log1) > 0.011 then 'log_ec50_mismatch' end], lambda x: x is not null)) as code from w)"""
+    case when ec1 > 0 and abs(log10(ec1 * 1e-12) - log1) > 0.011 then 'log_ec50_mismatch' end], lambda x: x is not null)) as code from w join d using (peptide_id))"""
 
 
 def _issues(spark, d) -> DataFrame:
+    """What is wrong with measured rows, some of which have another row's id, a foreign residue, length or logarithm."""
     m = T.measured(spark, d)
-    raw = F.replace(F.col("aligned"), F.lit("-"), F.lit(""))
+    given = F.concat(F.lit("seq_pep"), F.col("doc_id") - (F.col("doc_id") % 31 == 0).cast("int"))
+    raw = F.concat(F.when(F.col("doc_id") % 29 == 0, "X").otherwise(""), F.replace(F.col("aligned"), F.lit("-"), F.lit("")))
     true = F.log10(F.col("ec1") * 1e-12)
-    given = true + F.when(F.col("doc_id") % 17 == 0, 0.05).otherwise(0.0)
+    said = true + F.when(F.col("doc_id") % 17 == 0, 0.05).otherwise(0.0)
     declared = 30 - (F.col("doc_id") % 19 == 0).cast("int")
     bad = F.col("ec1").isNull() | (F.col("ec1") <= 0)
-    found = F.array_compact(F.array(F.when(raw == "", "invalid_sequence"), F.when(F.length(raw) != declared, "length_mismatch"), F.when(bad, "invalid_ec50"), F.when(~bad & (F.abs(true - given) > 0.011), "log_ec50_mismatch")))
-    return m.select("peptide_id", F.explode(found).alias("code"))
+    w = m.select("doc_id", given.alias("peptide_id"), raw.alias("raw"), declared.alias("declared"), bad.alias("bad"), (~bad & (F.abs(true - said) > 0.011)).alias("other"))
+    first = w.groupBy(F.col("peptide_id").alias("of")).agg(F.min("doc_id").alias("first"))
+    raw = F.col("raw")
+    found = F.array_compact(F.array(F.when(F.col("doc_id") > F.col("first"), "duplicate_id"), F.when(raw == "", "invalid_sequence"), F.when(F.upper(raw).rlike(f"[^{S.ALPHABET[1:]}]"), "invalid_residue"), F.when(F.length(raw) != F.col("declared"), "length_mismatch"), F.when(F.col("bad"), "invalid_ec50"), F.when(F.col("other"), "log_ec50_mismatch")))
+    return w.join(first, F.col("peptide_id") == F.col("of")).select("peptide_id", F.explode(found).alias("code"))
+
+
+@query(f"with {MEASURED} {ISSUES} select count(*) as errors, count(*) = 0 as passed from i")
+def validation_passed(spark, d) -> DataFrame:
+    return _issues(spark, d).agg(F.count("*").alias("errors"), (F.count("*") == 0).alias("passed"))
 
 
 @query(f"with {MEASURED} {ISSUES} select peptide_id, code, 'error' as severity from i")
@@ -140,9 +153,9 @@ reach as (select t, rep as x, rep as y from cls, th union select r.t, r.x, e.y f
 roots as materialized (select t, x as rep, min(y) as root from reach group by t, x),
 sizes as materialized (select t, root, cast(sum(n) as bigint) as size from roots join cls using (rep) group by t, root)""" + _walk("t") + """,
 fold_sizes as (select t, fold, sum(size) as f from walk where k > 0 group by t, fold),
-spread as (select t, min(f) as smallest, max(f) as largest_fold from fold_sizes group by t),
+spread as (select t, min(f) as smallest, max(f) as largest_fold, string_agg(f, ';' order by fold) as sizes from fold_sizes group by t),
 about as (select t, count(*) as components, count(*) filter (size = 1) as singletons, max(size) as largest, sum(size) as members from sizes group by t),
-audit as (select t as threshold, (select count(*) from e where e.t = about.t) // 2 as edges, components, singletons, largest, round(largest / members, 9) as largest_fraction, round(largest_fold / smallest, 9) as fold_ratio, components >= 3 and largest_fold / smallest <= 1.5 as eligible
+audit as (select t as threshold, (select count(*) from e where e.t = about.t) // 2 as edges, components, singletons, largest, round(largest / members, 9) as largest_fraction, sizes as fold_sizes, round(largest_fold / smallest, 9) as fold_ratio, components >= 3 and largest_fold / smallest <= 1.5 as eligible
   from about join spread using (t))"""
 
 
@@ -155,9 +168,9 @@ def threshold_audit(spark, d) -> DataFrame:
     for t in THRESHOLDS:
         kept = scored.filter(F.col("identity") + S.EPS >= t).select("a", "b")
         sizes = G.cut(G.rooted(distinct, kept, "rep").groupBy("root").agg(F.sum("n").alias("size")))
-        folds = G.greedy_folds(sizes).groupBy("fold").agg(F.sum("size").alias("f")).agg(F.min("f").alias("smallest"), F.max("f").alias("largest_fold"))
+        folds = G.greedy_folds(sizes).groupBy("fold").agg(F.sum("size").alias("f")).agg(F.min("f").alias("smallest"), F.max("f").alias("largest_fold"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fold", "f"))), lambda x: x["f"].cast("string")), ";").alias("fold_sizes"))  # three folds
         about = sizes.agg(F.count("*").alias("components"), F.count_if(F.col("size") == 1).alias("singletons"), F.max("size").alias("largest"), F.sum("size").alias("rows"))
-        one = kept.agg(F.count("*").alias("edges")).join(about).join(folds).select(F.lit(t).alias("threshold"), "edges", "components", "singletons", "largest", F.round(F.col("largest") / F.col("rows"), 9).alias("largest_fraction"), F.round(F.col("largest_fold") / F.col("smallest"), 9).alias("fold_ratio"), ((F.col("components") >= 3) & (F.col("largest_fold") / F.col("smallest") <= 1.5)).alias("eligible"))  # each one row
+        one = kept.agg(F.count("*").alias("edges")).join(about).join(folds).select(F.lit(t).alias("threshold"), "edges", "components", "singletons", "largest", F.round(F.col("largest") / F.col("rows"), 9).alias("largest_fraction"), "fold_sizes", F.round(F.col("largest_fold") / F.col("smallest"), 9).alias("fold_ratio"), ((F.col("components") >= 3) & (F.col("largest_fold") / F.col("smallest") <= 1.5)).alias("eligible"))  # each one row
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -173,11 +186,50 @@ def leak_check(spark, d) -> DataFrame:
     return T.panel(spark, d).groupBy("source").agg(F.countDistinct("fold").alias("folds")).filter("folds > 1")
 
 
-@query(f"""with {CLASSES}, f as (select cls.aligned, gaps, fold, min(peptide_id) as id from panel join cls using (aligned) group by all)
-select round(max({IDENTITY.format(a='x', b='y')}), 9) as identity from f x join f y on x.fold <> y.fold""")
+@query(f"""with {CLASSES}, f as (select cls.aligned, gaps, fold, max(peptide_id) as id from panel join cls using (aligned) group by all),
+x as (select {IDENTITY.format(a='x', b='y')} as identity, least(x.id, y.id) as a, greatest(x.id, y.id) as b from f x join f y on x.fold < y.fold)
+select round(identity, 9) as identity, a as first_id, b as second_id from x order by x.identity desc, a desc, b desc limit 1""")
 def max_cross_fold_identity(spark, d) -> DataFrame:
-    p = _valid(spark, d).groupBy("aligned", "fold").agg(F.min("peptide_id").alias("first_id"), F.count("*").alias("n")).withColumns({"s1": F.lit(0.0), "s2": F.lit(0.0)})
-    return I.nearest(p, p).agg(F.round(F.max("identity"), 9).alias("identity"))
+    """The greatest identity over folds and the largest pair of ids that has it; no row if nothing crosses folds."""
+    p = G.cut(_valid(spark, d).groupBy("aligned", "fold").agg(F.max("peptide_id").alias("first_id"), F.count("*").alias("n")).withColumns({"s1": F.lit(0.0), "s2": F.lit(0.0)}))
+    best = I.nearest(p, p).select(F.col("aligned").alias("x"), F.col("fold").alias("f"), "identity", "ids")
+    pairs = p.join(best, (F.col("aligned") == F.col("x")) & (F.col("fold") == F.col("f"))).select("identity", F.col("first_id").alias("own"), F.element_at("ids", -1).alias("other"))
+    top = pairs.agg(F.max(F.struct("identity", F.least("own", "other").alias("first_id"), F.greatest("own", "other").alias("second_id"))).alias("m")).filter("m is not null")
+    return top.select(F.round("m.identity", 9).alias("identity"), "m.first_id", "m.second_id")
+
+
+@query(f"with {PANEL}, x as (select peptide_id, doc_id, aligned, min(doc_id) over (partition by aligned) as first from panel where aligned <> repeat('-', 30)) select peptide_id, 'seq_pep' || first as first_seen from x where doc_id > first")
+def first_seen_duplicates(spark, d) -> DataFrame:
+    """Every row whose sequence stands in an earlier row, with the first of these."""
+    p = _valid(spark, d).select("peptide_id", "doc_id", "aligned")
+    first = p.groupBy(F.col("aligned").alias("of")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    return p.join(first, F.col("aligned") == F.col("of")).filter("doc_id > first").select("peptide_id", F.concat(F.lit("seq_pep"), "first").alias("first_seen"))
+
+
+@query()
+def split_pipeline(spark, d) -> DataFrame:
+    """Audit, the lowest eligible threshold, components and folds at it: the rows of the split, once no pair of two folds reaches the threshold.
+
+    It is an error if no threshold is eligible, an id is in two folds, or a pair crosses folds.
+    """
+    chosen = threshold_audit(spark, d).filter("eligible").agg(F.min("threshold")).first()[0]
+    if chosen is None:
+        raise ValueError("no threshold is eligible")
+    distinct = G.cut(I.classes(T.panel(spark, d)))
+    edges = G.cut(I.edges(distinct, chosen).select("a", "b"))
+    rooted = G.cut(G.rooted(distinct, edges, "rep"))
+    clusters = G.cut(rooted.groupBy("root").agg(F.sum("n").alias("size")))
+    folds = G.cut(G.greedy_folds(clusters).select(F.col("root").alias("r"), F.col("fold").alias("outer_fold")))
+    where = rooted.join(folds, F.col("root") == F.col("r")).select("rep", "outer_fold")
+    x, y = where.select(F.col("rep").alias("a"), F.col("outer_fold").alias("fa")), where.select(F.col("rep").alias("b"), F.col("outer_fold").alias("fb"))
+    if edges.join(x, "a").join(y, "b").filter("fa <> fb").limit(1).count():
+        raise ValueError("a pair at the threshold crosses folds")
+    named = G.numbered(clusters).join(folds, F.col("root") == F.col("r")).drop("r")
+    member = T.panel(spark, d).select("peptide_id", "aligned").join(rooted.select("aligned", "root"), "aligned")
+    out = G.cut(member.join(named, "root").select("peptide_id", "cluster_id", F.col("size").alias("cluster_size"), "outer_fold", F.lit(chosen).alias("threshold")))
+    if out.groupBy("peptide_id").count().filter("count > 1").limit(1).count():
+        raise ValueError("an id is in the split twice")
+    return out
 
 
 def _valid(spark, d) -> DataFrame:
@@ -277,6 +329,14 @@ def holdout_overlap(spark, d) -> DataFrame:
     return q.groupBy(group.alias("design_group")).agg(F.count("*").alias("n"), F.count("r").alias("exact_overlap"))
 
 
+@query(f"with {NEAREST}, b as (select aligned, min(h) as h from sc group by aligned) select p.peptide_id, case p.doc_id % 3 when 0 then 'dual' when 1 then 'gcgr_selective' else 'glp1r_selective' end as design_group, b.h as distance, min(sc.first_id) as nearest, b.h = 0 as exact_overlap from panel p join b using (aligned) join sc on sc.aligned = b.aligned and sc.h = b.h where p.doc_id % 8 <> 0 group by all")
+def holdout_rows(spark, d) -> DataFrame:
+    """Each held-out row with its design group, its nearest reference by differing columns, and whether it is one."""
+    group = F.when(F.col("doc_id") % 3 == 0, "dual").when(F.col("doc_id") % 3 == 1, "gcgr_selective").otherwise("glp1r_selective")
+    rows = T.panel(spark, d).select(F.col("peptide_id").alias("of"), group.alias("design_group"))
+    return hamming_nearest(spark, d).join(rows, F.col("peptide_id") == F.col("of")).select("peptide_id", "design_group", "distance", "nearest", (F.col("distance") == 0).alias("exact_overlap"))
+
+
 @query(f"""with {PANEL} {PREDICTED}, c as (select doc_id, case when doc_id % 11 = 0 then '=' || peptide_id when doc_id % 13 = 0 then '' else peptide_id end as candidate_id from panel)
 select doc_id, case when regexp_matches(candidate_id, '^[=+@-]') then '''' || candidate_id else candidate_id end as shown, case when candidate_id = '' then 'missing_id' when not regexp_matches(candidate_id, '^[A-Za-z0-9][A-Za-z0-9_.:-]{{0,127}}$') then 'invalid_id' end as error from c""")
 def candidate_ids(spark, d) -> DataFrame:

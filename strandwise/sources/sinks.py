@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 
 import pandas as pd
@@ -18,6 +20,105 @@ def general(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if pd.isna(x) else format(x, ".15g"))
 
 
+def number(x: float) -> str:
+    """For readers: four places without trailing zeros, or an exponent where it is very large or small."""
+    if x == 0:
+        return "0"
+    return f"{x:.4e}" if abs(x) >= 10000 or abs(x) < 0.001 else f"{x:.4f}".rstrip("0").rstrip(".")
+
+
+@F.pandas_udf(T.StringType())
+def shown(values: pd.Series) -> pd.Series:
+    return values.map(lambda x: None if pd.isna(x) else number(x))
+
+
+def comparison_status(evidence: Column, ranked: Column) -> Column:
+    """Fixed wordings."""
+    return F.when(evidence == "training_reference_match", "In-sample reference · not an independent prediction").when(ranked, "Eligible for exploratory comparison").otherwise("Do not use for candidate ranking")
+
+
+def validation_evidence(evidence: Column) -> Column:
+    """Fixed wordings."""
+    return F.when(evidence == "training_reference_match", "In-sample evidence only").when(evidence == "local_analogue_mixed_evidence", "Mixed retrospective transfer").otherwise("No supported transfer evidence")
+
+
+def fold_comparison(ratio: Column, receptor: str) -> Column:
+    """Fixed wordings: a query's predicted EC50 against that of the closest development sequence."""
+    said = lambda x, way: F.concat(F.lit(f"Query {receptor} EC50 is predicted "), shown(x), F.lit(f"× {way} than the closest development sequence."))
+    return F.when(F.abs(ratio - 1) <= 1e-12, f"{receptor} EC50 is unchanged from the closest development sequence.").when(ratio > 1, said(ratio, "higher")).otherwise(said(1 / ratio, "lower"))
+
+
+def markdown(df: DataFrame, title: str, rows: int = 1000) -> str:
+    """A small result as a Markdown table, in the order of its first columns; more rows than that are an error."""
+    found = df.orderBy(*df.columns).limit(rows + 1).collect()
+    if len(found) > rows:
+        raise ValueError(f"more than {rows} rows")
+    text = lambda x: "" if x is None else number(x) if isinstance(x, float) else str(x).replace("|", "\\|")
+    lines = [df.columns, ["---"] * len(df.columns), *([text(x) for x in r] for r in found)]
+    return f"# {title}\n\n" + "\n".join("| " + " | ".join(line) + " |" for line in lines) + "\n"
+
+
+def prediction_text(predictions: DataFrame) -> DataFrame:
+    """id and a text for readers of each prediction row (peptide_id, gcgr, glp1r, identity, tier, evidence, ranking_eligible, exclusion_reasons)."""
+    line = lambda label, c: F.concat(F.lit(f"{label}: "), c, F.lit("\n"))
+    body = F.concat(line("Peptide", F.col("peptide_id")), line("GCGR log10(EC50 / 1 pM)", shown("gcgr")), line("GLP-1R log10(EC50 / 1 pM)", shown("glp1r")), line("Closest development identity", shown("identity")), line("Applicability", F.col("tier")), line("Evidence", validation_evidence(F.col("evidence"))), line("Comparison", comparison_status(F.col("evidence"), F.col("ranking_eligible"))), F.when(F.col("exclusion_reasons") != "", line("Not ranked", F.col("exclusion_reasons"))).otherwise(""))
+    return predictions.select("peptide_id", body.alias("report"))
+
+
+def write_file(spark: SparkSession, path: str, content: bytes, overwrite: bool = False) -> str:
+    """One file, whole or not at all; its SHA-256. The folder must be there, and a file only if it may be overwritten."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    to, staged = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.staged-{uuid.uuid4().hex}"))
+    fs = to.getFileSystem(conf)
+    if not fs.exists(to.getParent()):
+        raise FileNotFoundError(str(to.getParent()))
+    if fs.exists(to) and (not overwrite or not fs.getFileStatus(to).isFile()):
+        raise FileExistsError(path)
+    try:
+        out = fs.create(staged, False)
+        out.write(content)
+        out.close()
+        if fs.exists(to):
+            fs.delete(to, False)
+        if not fs.rename(staged, to):
+            raise OSError(f"{path} can't be put in place")
+    finally:
+        fs.delete(staged, False)
+    return hashlib.sha256(content).hexdigest()
+
+
+def write_artifact(spark: SparkSession, folder: str, model: dict, references: DataFrame, artifact_id: str, version: str, sources: dict[str, str], most: int = 200_000) -> dict:
+    """model.json and receipt.json of a fitted model (alpha, w1, w2, mx, my) and its references (peptide_id, aligned); the receipt.
+
+    More than `most` distinct references are an error: the artifact is one file.
+    """
+    rows = references.groupBy("aligned").agg(F.min("peptide_id").alias("peptide_id")).orderBy("peptide_id").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} references")
+    document = {
+        "artifact_id": artifact_id,
+        "artifact_version": version,
+        "input_contract": {"aligned_length": S.LENGTH, "alphabet": S.ALPHABET},
+        "model": {"selected_alpha": model["alpha"], "feature_mean": list(model["mx"]), "target_mean": list(model["my"]), "coefficients": [list(x) for x in zip(model["w1"], model["w2"], strict=True)]},
+        "applicability_reference": {"sequences": [{"peptide_id": r.peptide_id, "aligned_sequence": r.aligned} for r in rows]},
+        "provenance": sources,
+    }
+    dump = lambda x: (json.dumps(x, indent=2, sort_keys=True, allow_nan=False) + "\n").encode()
+    digest = write_file(spark, f"{folder}/model.json", dump(document))
+    receipt = {"schema_version": 1, "artifact": f"{folder}/model.json", "artifact_sha256": digest, "artifact_id": artifact_id, "artifact_version": version, "source_sha256": sources, "selected_alpha": model["alpha"], "references": len(rows)}
+    write_file(spark, f"{folder}/receipt.json", dump(receipt))
+    return receipt
+
+
+def write_screening(screened: DataFrame, folder: str, overwrite: bool = False) -> dict:
+    """candidates.csv, in display order, and receipt.csv, together or not at all; the receipt's fields."""
+    from strandwise.operators.screening import COLUMNS
+
+    found = receipt(screened)
+    write_together({f"{folder}/candidates.csv": safe(screened.orderBy("display_order").select(*COLUMNS)), f"{folder}/receipt.csv": found}, overwrite)
+    return found.first().asDict()
+
+
 def flat(df: DataFrame) -> DataFrame:
     """Fields of structs as columns (outer_inner), arrays joined by semicolons."""
 
