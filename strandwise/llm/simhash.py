@@ -30,6 +30,7 @@ from strandwise.llm.components import connected_components
 
 MOST_VARIANTS = 4 << 20  # that are in memory at once
 SALTS = 32
+HOT = 10_000
 _LANES = U64(0x0101010101010101)
 
 
@@ -174,15 +175,20 @@ def ball_links(prints: DataFrame, radius: int = 4, block_bits: int | None = None
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fp and component_id, the smallest id that is reachable over fingerprints within the radius."""
     prints = C.cut(fingerprints(docs, doc_id, text, words))
-    by_print = C.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    by_print = C.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = connected_components(ball_links(by_print, radius))
     # a component of very many fingerprints is no hot group: its minimum is taken by salts and goes back to them
     linked = C.cut(by_print.join(roots, by_print["fp"] == roots["node"]).select("fp", "least", "root", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt")))
     least = linked.groupBy("root", "salt").agg(F.min("least").alias("least")).groupBy("root").agg(F.min("least").alias("component_id"))
     spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     classes = linked.join(spread, ["root", "salt"]).select(F.col("fp").alias("node"), "component_id")
-    placed = by_print.join(classes, by_print["fp"] == classes["node"], "left").select(F.col("fp").alias("of"), F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(placed, prints["fp"] == placed["of"]).select("doc_id", "fp", "component_id")
+    placed = C.cut(by_print.join(classes, by_print["fp"] == classes["node"], "left").select(F.col("fp").alias("of"), F.coalesce("component_id", "least").alias("component_id"), "n"))
+    # fingerprints of more than a part in HOT of all rows, under HOT by number, are broadcast; the rest join by key
+    total = by_print.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = C.cut(placed.filter(F.col("n") > max(total / HOT, 1)))
+    copies = prints.join(F.broadcast(hot), prints["fp"] == hot["of"])
+    single = prints.join(F.broadcast(hot.select("of")), prints["fp"] == F.col("of"), "left_anti").join(placed, F.col("fp") == placed["of"])
+    return copies.select("doc_id", "fp", "component_id").unionByName(single.select("doc_id", "fp", "component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
