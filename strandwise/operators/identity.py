@@ -6,8 +6,6 @@ share costs as much as any other.
 
 from __future__ import annotations
 
-from math import floor
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,24 +22,31 @@ def classes(panel: DataFrame) -> DataFrame:
     return panel.filter(F.col("aligned") != S.ALL_GAP).groupBy("aligned").agg(F.min("peptide_id").alias("rep"), F.count("*").alias("n"))
 
 
+def blocks_of(threshold: float) -> list[tuple[int, int]]:
+    """Columns from and to of the fewest blocks that are each so short that (1 - threshold) of one is under a column."""
+    n = next(n for n in range(1, S.LENGTH + 1) if (1 - threshold) * -(-S.LENGTH // n) < 1 - 1e-9)
+    cuts = [S.LENGTH * k // n for k in range(n + 1)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
 def edges(distinct: DataFrame, threshold: float) -> DataFrame:
     """(a, b, identity) of distinct sequences with identity >= threshold, a < b.
 
-    At most m = (1 - t) 30 columns differ, so of m + 1 blocks of columns one is equal: rows meet on
-    (block, letters) by an equi-join and are verified. A block that is all gap in both holds no
-    evidence of its own, but then the other blocks' mismatches are fewer too, so it must be kept.
-    A pair is verified in its first equal block alone.
+    Of the columns that aren't gaps in both at most a share of 1 - t differ. Over the blocks that aren't all gap
+    in both, that is less than one column for each, so one of them is equal: rows meet on (block, letters)
+    by an equi-join and are verified. Blocks that are all gap are no key, so short sequences don't meet for
+    what they lack. A pair is verified in its first equal block alone.
     """
-    m = floor((1 - threshold) * S.LENGTH + 1e-9)
-    cuts = [S.LENGTH * k // (m + 1) for k in range(m + 2)]
-    pieces = [F.substring("aligned", a + 1, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    keyed = distinct.select("rep", "aligned", F.posexplode(F.array(*pieces)).alias("block", "piece"))
+    where = blocks_of(threshold)
+    piece = lambda c, k: F.substring(c, where[k][0] + 1, where[k][1] - where[k][0])
+    blank = lambda k: F.lit(S.GAP * (where[k][1] - where[k][0]))
+    pieces = F.array(*(F.when(piece("aligned", k) != blank(k), piece("aligned", k)) for k in range(len(where))))
+    keyed = distinct.select("rep", "aligned", F.posexplode(pieces).alias("block", "piece")).filter("piece is not null")
     x = keyed.select(F.col("rep").alias("a"), F.col("aligned").alias("sa"), "block", "piece")
     y = keyed.select(F.col("rep").alias("b"), F.col("aligned").alias("sb"), "block", "piece")
     pairs = x.join(y, ["block", "piece"]).filter("a < b")
-    earlier = [F.when(F.col("block") > k, F.substring("sa", a + 1, b - a) == F.substring("sb", a + 1, b - a)).otherwise(False) for k, (a, b) in enumerate(zip(cuts[:-2], cuts[1:-1], strict=True))]
-    for e in earlier:
-        pairs = pairs.filter(~e)
+    for k in range(len(where) - 1):
+        pairs = pairs.filter(~((F.col("block") > k) & (piece("sa", k) == piece("sb", k)) & (piece("sa", k) != blank(k))))
     return pairs.withColumn("identity", S.identity(F.col("sa"), F.col("sb"))).filter(F.col("identity") + S.EPS >= threshold).select("a", "b", "identity")
 
 
@@ -65,8 +70,8 @@ def nearest(queries: DataFrame, donors: DataFrame, same_fold: bool = False) -> D
     count (fold null: all count). Queries meet donors in blocks dealt by hashes; only each block's
     best leaves it.
     """
-    q = queries.select("aligned", "fold").distinct()
-    donors = donors.select("aligned", "fold", "first_id", "n", "s1", "s2")
+    q = cut(queries.select("aligned", "fold").distinct())
+    donors = cut(donors.select("aligned", "fold", "first_id", "n", "s1", "s2"))
     nq, nd = q.count(), donors.count()
     gq, gd = max(1, -(-nq // BLOCK)), max(1, -(-nd // (4 * BLOCK)))
     pack = lambda df, key, groups: df.withColumn(key, F.pmod(F.xxhash64("aligned", "fold"), F.lit(groups)).cast("int")).groupBy(key)
@@ -103,6 +108,7 @@ def nearest(queries: DataFrame, donors: DataFrame, same_fold: bool = False) -> D
 
 def hamming_nearest(queries: DataFrame, references: DataFrame) -> DataFrame:
     """aligned, distance and nearest: the reference (aligned, first_id) with the fewest differing columns, the smallest id on ties."""
+    queries, references = cut(queries), cut(references)
     nq, nr = queries.count(), references.count()
     gq, gr = max(1, -(-nq // BLOCK)), max(1, -(-nr // (4 * BLOCK)))
     deal = lambda groups: F.pmod(F.xxhash64("aligned"), F.lit(groups)).cast("int")

@@ -26,7 +26,7 @@ oof as materialized (select m.*, best, ties, nn1, nn2, first_id, donors from m j
 
 
 def _oof(spark, d) -> DataFrame:
-    m = T.measured(spark, d)
+    m = G.cut(T.measured(spark, d))
     donors = m.groupBy("aligned", "fold").agg(F.min("peptide_id").alias("first_id"), F.count("*").alias("n"), F.sum("y1").alias("s1"), F.sum("y2").alias("s2"))
     best = I.nearest(m, donors).select("aligned", "fold", F.col("identity").alias("best"), "ties", (F.col("s1") / F.col("ties")).alias("nn1"), (F.col("s2") / F.col("ties")).alias("nn2"), "first_id", F.array_join("ids", ";").alias("donors"))
     return m.join(best, ["aligned", "fold"])
