@@ -179,7 +179,7 @@ def _counter(order: int, level: int, above: C.HashArrays | None, bits: int):
         return keys, np.stack(sums)
 
     def count(batches):
-        held = Runs(bits) if above is None else Runs(bits, LOWER, np.float64)
+        held = Runs(bits) if above is None else Runs(bits, LOWER, 1)
         for batch in batches:
             for *_, data, offs in C.text_blocks(batch):
                 yield from held.add(*(highest if above is None else lower)(Grams(data, offs, order)))
@@ -192,7 +192,7 @@ def _writer(arrays: C.HashArrays, columns: int):
     """Writes a part and notes its counts of counts."""
 
     def write(rows: pa.Table) -> pa.Table:
-        keys, sums = merged(rows, columns, np.int64 if columns == 1 else np.float64)
+        keys, sums = merged(rows, columns, None if columns == 1 else 1)
         sums = np.rint(sums)  # sums of 1/c over all c occurrences
         part = rows["part"][0].as_py()
         arrays.write(part, keys, sums)
