@@ -6,8 +6,11 @@ Single documents (artifacts, manifests, policies) are read on the driver, after
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
+import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +82,74 @@ def candidates(spark: SparkSession, path: str, most_rows: int | None = None) ->
     return unique(capped(rows.drop("wide"), most_rows), "candidate_id")
 
 
+#: A field in quotes, in which a quote is doubled, or a bare one.
+_FIELD = re.compile(r'"((?:[^"]|"")*)"|([^",\r\n]*)')
+_LINE_END = re.compile(r"\r\n|\r|\n")
+
+
+def strict_csv(text: str, most_rows: int | None = None) -> list[list[str]]:
+    """Rows of CSV that leaves nothing to guess: quotes stand around whole fields and are closed, any line end counts, blank lines don't."""
+    rows, row, at = [], [], 0
+    while at < len(text) or row:
+        field = _FIELD.match(text, at)
+        quoted, at = field.group(1) is not None, field.end()
+        row.append(field.group(1).replace('""', '"') if quoted else field.group(2))
+        end = _LINE_END.match(text, at)
+        if text.startswith(",", at):
+            at += 1
+            if at == len(text):
+                row.append("")
+            else:
+                continue
+        elif at < len(text) and not end:
+            what = "unterminated quoted field" if not quoted and field.group(2) == "" and text[at] == '"' else "quote inside a field" if not quoted else "text after a closing quote"
+            raise InputError(f"malformed CSV: {what} at {at}")
+        if row != [""] or quoted or not rows:
+            rows.append(row)
+            if most_rows is not None and len(rows) > most_rows + 1:
+                raise InputError(f"more than {most_rows} rows")
+        row, at = [], end.end() if end else len(text)
+    return rows
+
+
+def regular(spark: SparkSession, path: str, most_bytes: int) -> bytes:
+    """The content of one regular file (no folder, no link) of limited size."""
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(to):
+        raise InputError(f"{path}: no such file")
+    status = fs.getFileLinkStatus(to)
+    linked = status.isSymlink() or fs.getScheme() == "file" and os.path.islink(to.toUri().getPath())
+    if linked or not status.isFile() or status.getLen() > most_bytes:
+        raise InputError(f"{path}: not one regular file of at most {most_bytes} bytes")
+    if not status.getLen():  # the reader passes over empty files
+        return b""
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first().content)
+
+
+def strict_candidates(spark: SparkSession, path: str, most_rows: int = 500, most_raw: int = 200, most_bytes: int = 2 << 20) -> DataFrame:
+    """As candidates(), by strict_csv() from one small file, with input_mode: columns in either order, a field too many is an error."""
+    try:
+        rows = strict_csv(regular(spark, path, most_bytes).decode("utf-8-sig"), most_rows)
+    except UnicodeDecodeError as e:
+        raise InputError(f"{path}: not UTF-8") from e
+    header = [c.strip() for c in rows[0]] if rows else []
+    name = next((c for c in ("sequence", "aligned_sequence") if sorted(header) == sorted(["candidate_id", c])), None)
+    if name is None:
+        raise InputError(f"columns are {header}")
+    raw = name == "sequence"
+    if len(rows) < 2:
+        raise InputError("no rows")
+    if raw and len(rows) - 1 > most_raw:
+        raise InputError(f"more than {most_raw} rows")
+    if wide := next((k for k, r in enumerate(rows[1:], 1) if len(r) > 2), None):
+        raise InputError(f"row {wide} has too many fields")
+    i, j = header.index("candidate_id"), header.index(name)
+    full = [[*r, ""][:2] for r in rows[1:]]
+    made = [(k, r[i].strip(), r[j], "raw_sequence" if raw else "provided_alignment") for k, r in enumerate(full, 1)]
+    return unique(spark.createDataFrame(made, f"input_row long, candidate_id string, {name} string, input_mode string"), "candidate_id")
+
+
 def fasta(spark: SparkSession, path: str, most_bytes: int = SMALL, header_required: bool = False) -> DataFrame:
     """path, header, sequence and error of each text: at most one header line, the rest joined. Texts above the limit aren't read."""
     files = spark.read.format("binaryFile").load(path)
@@ -124,15 +195,12 @@ def structure_seeds(spark: SparkSession, path: str) -> DataFrame:
 
 def document(spark: SparkSession, path: str, sha256: str | None = None, most_bytes: int = DOCUMENT) -> dict:
     """A JSON object from one file of limited size, held against its checksum if one is given."""
-    files = spark.read.format("binaryFile").load(path)
-    sizes = [r.length for r in files.select("length").limit(2).collect()]
-    if len(sizes) != 1 or sizes[0] > most_bytes:
-        raise InputError(f"{path}: not one file of at most {most_bytes} bytes")
-    row = files.select("content", F.sha2("content", 256).alias("sum")).first()
-    if sha256 and row.sum != sha256.lower():
-        raise InputError(f"{path}: checksum {row.sum}")
+    content = regular(spark, path, most_bytes)
+    found_sum = hashlib.sha256(content).hexdigest()
+    if sha256 and found_sum != sha256.lower():
+        raise InputError(f"{path}: checksum {found_sum}")
     try:
-        found = json.loads(bytes(row.content).decode("utf-8-sig"))
+        found = json.loads(content.decode("utf-8-sig"))
     except ValueError as e:
         raise InputError(f"{path}: no JSON") from e
     if not isinstance(found, dict):

@@ -153,18 +153,32 @@ def test_structures(spark):
     assert got["3ABC"].study_doi == "seed" and len(got["3ABC"]) == 17
 
 
-def test_held_out_errors(spark):
-    from strandwise.plans.outcomes import held_out_errors
-
-    rng = np.random.default_rng(3)
-    rows = [(k, "abc"[k % 3], "".join(rng.choice(list("ACDEFG"), 30)), float(rng.normal()), float(rng.normal())) for k in range(24)]
-    df = spark.createDataFrame(rows, "doc_id long, source string, aligned string, y1 double, y2 double").selectExpr("*", "cast(doc_id % 3 + 1 as int) as fold")
-    got = {r.alpha: r.score for r in held_out_errors(df, "source", block=4).collect()}
-    x, y, c = R.encode([r[2] for r in rows]), np.array([r[3:] for r in rows]), np.array([r[1] for r in rows])
-    for alpha in (0.01, 10.0):
-        errors = []
-        for name in "abc":
-            out = c == name
-            b, k = R.fit_rows(x[~out], y[~out], np.ones((~out).sum()), alpha)
-            errors.append(np.abs(x[out] @ b + k - y[out]).mean())
-        assert got[alpha] == pytest.approx(np.mean(errors), abs=1e-6)
+def test_strict_csv():
+    assert I.strict_csv('a,b\r\n"x, ""y""\nz",2\r\r\n,\n1') == [["a", "b"], ['x, "y"\nz', "2"], ["", ""], ["1"]]
+    assert I.strict_csv("") == [] and I.strict_csv("a,") == [["a", ""]] and I.strict_csv("\n\na\n") == [[""], ["a"]] and I.strict_csv('a\n""\n\n') == [["a"], [""]]
+    for bad in ('a"b', '"a"b', '"a', 'x,"a""', '"a" ,b'):
+        with pytest.raises(I.InputError, match="malformed"):
+            I.strict_csv(bad)
+    with pytest.raises(I.InputError, match="more than 2"):
+        I.strict_csv("h\n1\n2\n3\n", 2)
+
+
+def test_strict_candidates(spark, tmp_path):
+    path = _file(tmp_path, "s.csv", "sequence,candidate_id\n\nACD, a \n\"A\nC\",b\nX")
+    assert [tuple(r) for r in I.strict_candidates(spark, path).orderBy("input_row").collect()] == [(1, "a", "ACD", "raw_sequence"), (2, "b", "A\nC", "raw_sequence"), (3, "", "X", "raw_sequence")]
+    for text in ("candidate_id,other\n1,2", "candidate_id,sequence\n", "candidate_id,sequence\na,b,c", "candidate_id,sequence\na,b\na,c", ""):
+        with pytest.raises(I.InputError):
+            I.strict_candidates(spark, _file(tmp_path, "t.csv", text))
+    with pytest.raises(I.InputError, match="more than 1"):
+        I.strict_candidates(spark, path, most_raw=1)
+    with pytest.raises(I.InputError, match="regular"):
+        I.strict_candidates(spark, path, most_bytes=3)
+
+
+def test_only_regular_files_are_read(spark, tmp_path):
+    path = _file(tmp_path, "r.json", "{}")
+    assert I.document(spark, path) == {}
+    (tmp_path / "link.json").symlink_to(tmp_path / "r.json")
+    for bad in (f"file://{tmp_path}/link.json", f"file://{tmp_path}", f"file://{tmp_path}/none.json"):
+        with pytest.raises(I.InputError):
+            I.regular(spark, bad, 100)
