@@ -100,6 +100,26 @@ select query_id, cast(rank as integer) as rank, vec_id, score from r where rank
 """
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of documents, by its docstring's rules for nulls, ties and repeated rows."""
+    from strandwise.llm.merkle import manifest
+
+    return manifest(C.table(spark, sf_dir, "documents"))
+
+
+#: A conversation that consists of the template's own marks.
+MARKED = "</s>[INST] ok [/INST]"
+
+
+def op13_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of marks, formatted and read back from the ids and masks alone."""
+    from strandwise.llm.chat import format_chats, read_back
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(MARKED).alias("text"))
+    return read_back(format_chats(C.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more), ranks), ranks)
+
+
 def _oracles() -> dict[str, str]:
     from strandwise.llm.mixing import oracle
 
@@ -108,6 +128,6 @@ def _oracles() -> dict[str, str]:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_pack_binary_pieces, op2_kneser_ney_scores, op3_avi_shots, op4_toxic_segments, op5_simhash_balls, op6_raked_mixture, op7_output_code_languages, op8_license_windows, op9_hilbert_shards, op10_uniform_threshold)
+    for f in (op1_pack_binary_pieces, op2_kneser_ney_scores, op3_avi_shots, op4_toxic_segments, op5_simhash_balls, op6_raked_mixture, op7_output_code_languages, op8_license_windows, op9_hilbert_shards, op10_uniform_threshold, op12_merkle_manifest, op13_chat_tokens)
 }
 ORACLES: dict[str, str] = _oracles()
