@@ -100,6 +100,13 @@ select query_id, cast(rank as integer) as rank, vec_id, score from r where rank
 """
 
 
+def op11_byte_label_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token groups and links of documents under a byte-level and a piece tokenizer, with how common the links are."""
+    from strandwise.llm.token_alignment import link_tokens
+
+    return link_tokens(C.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of documents, by its docstring's rules for nulls, ties and repeated rows."""
     from strandwise.llm.merkle import manifest
@@ -128,6 +135,6 @@ def _oracles() -> dict[str, str]:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_pack_binary_pieces, op2_kneser_ney_scores, op3_avi_shots, op4_toxic_segments, op5_simhash_balls, op6_raked_mixture, op7_output_code_languages, op8_license_windows, op9_hilbert_shards, op10_uniform_threshold, op12_merkle_manifest, op13_chat_tokens)
+    for f in (op1_pack_binary_pieces, op2_kneser_ney_scores, op3_avi_shots, op4_toxic_segments, op5_simhash_balls, op6_raked_mixture, op7_output_code_languages, op8_license_windows, op9_hilbert_shards, op10_uniform_threshold, op11_byte_label_links, op12_merkle_manifest, op13_chat_tokens)
 }
 ORACLES: dict[str, str] = _oracles()
