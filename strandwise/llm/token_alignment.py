@@ -45,6 +45,7 @@ _SPAN = re.compile(rb"[^\x03]*\x03")
 _SPREAD = 0x9E3779B97F4A7C15
 _BACK = pow(_SPREAD, -1, 1 << 64)
 PAIRS_A_PART = 1 << 20
+PAIRS_AT_ONCE = 1 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -247,20 +248,34 @@ class LinkCounts:
         """RESULT of each document."""
         arrays, folder = self.counts, self.folder
 
+        def sums(rows: list[tuple[np.ndarray, np.ndarray]], best: np.ndarray) -> Iterator[list[int]]:
+            """n_best, then count_sum, of some documents whose pairs are looked up together."""
+            keys, times = (np.concatenate(x) for x in zip(*rows, strict=True))
+            kinds, first, inverse = C.distinct(keys * U64(_SPREAD))
+            counts = arrays.look(kinds)[1][0].astype(np.int64)
+            most = (counts == best[(keys[first] >> U64(32)).astype(np.int64)])[inverse]
+            upto = np.cumsum([len(k) for k, _ in rows])
+            for x in (times * most, times * counts[inverse]):
+                total = np.concatenate(([0], np.cumsum(x)))[np.concatenate(([0], upto))]
+                yield np.diff(total).tolist()
+
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = None
             for batch in batches:
                 if best is None:
                     best = folder.map("best").view(np.int64)
-                found = []
-                for keys, times in _links(batch, 6):
-                    spread = keys * U64(_SPREAD)
-                    order = np.argsort(spread)
-                    counts = np.empty(len(keys), np.int64)
-                    counts[order] = arrays.look(spread[order])[1][0]
-                    found.append((int(times[counts == best[(keys >> U64(32)).astype(np.int64)]].sum()), int((times * counts).sum())))
-                n_best, total = (pa.array([x[k] for x in found], pa.int64()) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:5], n_best, total, batch.column(5)], _names(RESULT))
+                found, held, size = ([], []), [], 0
+                for row in _links(batch, 6):
+                    held.append(row)
+                    size += len(row[0])
+                    if size > PAIRS_AT_ONCE:
+                        for out, x in zip(found, sums(held, best), strict=True):
+                            out += x
+                        held, size = [], 0
+                if held:
+                    for out, x in zip(found, sums(held, best), strict=True):
+                        out += x
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], *(pa.array(x, pa.int64()) for x in found), batch.column(5)], _names(RESULT))
 
         return aligned.select(*_names(ALIGNED)).mapInArrow(look, RESULT)
 
