@@ -17,7 +17,7 @@ from strandwise.llm.common import U64
 
 RUN = "part long, n long, keys binary, sums binary"
 HELD = 12 << 20  # numbers that a task holds before it sums them
-#: Fractions go out in whole parts of this: 1/2 to 1/10 are exact, and sums of up to two million runs are off by less than half.
+#: Fractions go out in whole parts of at least this many: 1/2 to 1/10 are exact.
 PARTS = 2520 << 10
 
 
@@ -26,11 +26,24 @@ def bits_for(items: int, items_a_part: int) -> int:
     return max(2, (int(items) // items_a_part).bit_length())
 
 
+def parts_for(keys: int, tasks: int, columns: int) -> int:
+    """Parts of 1 in which fractions go out, so that the rounding of all runs together is under a fourth.
+
+    keys: the most that all tasks add. Before its last run, a task gives one only when it holds over half of what it may, so
+    there are at most this many runs; each is off by half a part at most.
+    """
+    runs = tasks + keys // (HELD // (1 + columns) // 2)
+    parts = PARTS
+    while parts < 2 * runs:
+        parts *= 2
+    return parts
+
+
 class Runs:
     """Sums columns (a row of an array for each) by key and cuts the sums into sorted runs. Columns from `whole` on may be fractions."""
 
-    def __init__(self, bits: int, columns: int = 1, whole: int | None = None):
-        self.bits, self.columns, self.whole = bits, columns, columns if whole is None else whole
+    def __init__(self, bits: int, columns: int = 1, whole: int | None = None, parts: int = PARTS):
+        self.bits, self.columns, self.whole, self.parts = bits, columns, columns if whole is None else whole, parts
         self.dtype = np.int64 if whole is None else np.float64
         self.held, self.size, self.most = [], 0, HELD // (1 + columns)
 
@@ -52,7 +65,10 @@ class Runs:
 
     def _out(self, keys: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
         if self.dtype == np.float64:
-            sums = np.rint(sums * _scale(self.columns, self.whole)).astype(np.int64)
+            sums = np.rint(sums * _scale(self.columns, self.whole, self.parts))
+            if sums.max(initial=0) >= 2.0**63:
+                raise OverflowError("a task's sum of fractions is beyond 64 bits: it needs smaller tasks")
+            sums = sums.astype(np.int64)
         for part, i, j in C.parts_of(keys, self.bits):
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([j - i], pa.int64()), pa.array([C.pack_sorted(keys[i:j])], pa.binary()), pa.array([b"".join(len(x).to_bytes(4, "little") + x for x in (C.pack(column[i:j]) for column in sums))], pa.binary())], ["part", "n", "keys", "sums"])
 
@@ -60,11 +76,11 @@ class Runs:
         yield from self._out(*self._sum())
 
 
-def _scale(columns: int, whole: int) -> np.ndarray:
-    return np.where(np.arange(columns) < whole, 1.0, float(PARTS))[:, None]
+def _scale(columns: int, whole: int, parts: int) -> np.ndarray:
+    return np.where(np.arange(columns) < whole, 1.0, float(parts))[:, None]
 
 
-def merged(rows: pa.Table, columns: int = 1, whole: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def merged(rows: pa.Table, columns: int = 1, whole: int | None = None, parts: int = PARTS) -> tuple[np.ndarray, np.ndarray]:
     """The sum of a part's runs."""
     dtype = np.int64 if whole is None else np.float64
     total = sum(rows["n"].to_pylist())
@@ -78,7 +94,7 @@ def merged(rows: pa.Table, columns: int = 1, whole: int | None = None) -> tuple[
             place += 4 + size
         at += n
     if whole is not None:
-        sums /= _scale(columns, whole)
+        sums /= _scale(columns, whole, parts)
     return C.sum_by_key(keys, sums)
 
 

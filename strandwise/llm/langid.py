@@ -5,7 +5,8 @@ log-odds of trigrams in languages with the bit set against the others, with addi
 gives a margin, and the language whose codeword has the least loss, sum of ln(1 + exp(-bit * margin))
 weighted by how well each bit's classifier separates, is chosen. A margin to the runner-up below
 `ambiguous` flags the row. Up to five languages have the exhaustive code, more have the best of many
-random codes. At most `most_languages` values of lang, the most frequent ones, are learned. Trigram counts come from all training rows, summed per language in each task first.
+random codes. All values of lang are learned: trigram counts come from all training rows, summed per language in
+each task first, and stay a table; the driver gets the languages' names and a line of weights for each bit.
 
 A text that is null or has no letter gets `und` and score 0; so does every text if no training row
 has a language. Texts of any length are read whole. Equal losses go to the language that sorts first.
@@ -69,11 +70,14 @@ def codewords(k: int, seed: int = 7) -> np.ndarray:
         return code
     rng = np.random.default_rng(seed)
     bits, best, score = max(15, 10 * (k - 1).bit_length()), None, -1
-    for _ in range(200 if k <= 64 else 20):
+    for _ in range(200 if k <= 64 else 20 if k <= 1024 else 1):
         code = rng.choice(np.array([-1, 1], np.int8), (k, bits))
-        near = code.astype(np.float32) @ code.T.astype(np.float32)  # bits less twice the distance
-        near[np.arange(k), np.arange(k)] = -bits
-        far = int((bits - near.max()) // 2)
+        wide, near = code.astype(np.float32), -bits  # bits less twice the distance
+        for i in range(0, k, 1024):
+            product = wide[i : i + 1024] @ wide.T
+            product[np.arange(len(product)), np.arange(i, i + len(product))] = -bits
+            near = max(near, int(product.max()))
+        far = int((bits - near) // 2)
         if far > score and (np.abs(code.sum(0)) < k).all():
             best, score = code, far
     return best
@@ -94,8 +98,8 @@ class OutputCodes:
         self.limit = np.inf
 
     @classmethod
-    def fit(cls, docs: DataFrame, train: Column, bits: int = 13, smoothing: float = 0.5, gain: float = 12.0, ambiguous: float = 0.2, most_languages: int = 1024) -> OutputCodes:
-        """docs: text and lang. The most_languages values of lang with the most rows are learned; the driver gets a line of 2**bits counts for each."""
+    def fit(cls, docs: DataFrame, train: Column, bits: int = 13, smoothing: float = 0.5, gain: float = 12.0, ambiguous: float = 0.2) -> OutputCodes:
+        """docs: text and lang. Languages weigh the same, however many rows they have."""
         width = 1 << bits
         chosen = docs.filter(train & F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
 
@@ -115,22 +119,47 @@ class OutputCodes:
             total = sum(np.frombuffer(x.as_py(), "<i8") for x in rows["counts"])
             return pa.table({"lang": rows["lang"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-        frequent = chosen.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").select(F.col("lang").alias("learned")).limit(most_languages)
-        chosen = chosen.join(F.broadcast(frequent), F.col("lang") == F.col("learned"), "left_semi")  # at most most_languages rows
-        found = dict(chosen.mapInArrow(count, "lang string, counts binary").groupBy("lang").applyInArrow(add, "lang string, counts binary").collect())
-        languages = sorted(found)
+        found = C.cut(chosen.mapInArrow(count, "lang string, counts binary").groupBy("lang").applyInArrow(add, "lang string, counts binary"))
+        languages = sorted(r.lang for r in found.select("lang").collect())  # a name for each
         code = codewords(len(languages))
         if not languages:
             return cls([], code, np.zeros((width, 1)), np.ones(1), bits, gain, ambiguous)
-        n = np.stack([np.frombuffer(bytes(found[x]), "<i8").astype(float) for x in languages])
-        p = (n + smoothing) / (n + smoothing).sum(1, keepdims=True)  # every language weighs the same
-        weights, trust = np.zeros((width, code.shape[1])), np.ones(code.shape[1])
-        for b in range(code.shape[1]):
-            on, off = p[code[:, b] > 0], p[code[:, b] < 0]
-            if len(on) and len(off):
-                weights[:, b] = np.log(on.mean(0)) - np.log(off.mean(0))
-                # each language's mean margin has the code's sign: the smallest is what may be trusted
-                trust[b] = max((code[:, b] * (p @ weights[:, b])).min(), 0.01)
+        place, n_bits = {x: k for k, x in enumerate(languages)}, code.shape[1]
+        used = np.flatnonzero((code > 0).any(0) & (code < 0).any(0))
+
+        def shares(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Codewords and smoothed shares of trigrams, some languages at a time."""
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                n = np.stack([np.frombuffer(x, "<i8") for x in part.column(1).to_pylist()]) + smoothing
+                yield code[[place[x] for x in part.column(0).to_pylist()]], n / n.sum(1, keepdims=True)
+
+        def sums(batches):
+            total = np.zeros((2, n_bits, width))
+            for batch in batches:
+                for own, p in shares(batch):
+                    total += np.stack([(own > 0).astype(float).T @ p, (own < 0).astype(float).T @ p])
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([total[:, b].tobytes() for b in used], pa.binary())], ["bit", "sums"])
+
+        def odds(rows: pa.Table) -> pa.Table:
+            b = rows["bit"][0].as_py()
+            on, off = sum(np.frombuffer(x.as_py()).reshape(2, width) for x in rows["sums"])
+            line = np.log(on / (code[:, b] > 0).sum()) - np.log(off / (code[:, b] < 0).sum())
+            return pa.table({"bit": rows["bit"][:1], "line": pa.array([line.tobytes()], pa.binary())})
+
+        weights, trust = np.zeros((width, n_bits)), np.ones(n_bits)
+        for r in found.mapInArrow(sums, "bit long, sums binary").groupBy("bit").applyInArrow(odds, "bit long, line binary").collect():  # a row for each bit
+            weights[:, r.bit] = np.frombuffer(bytes(r.line))
+
+        def margins(batches):
+            least = np.full(n_bits, np.inf)  # each language's mean margin has the code's sign: the smallest is what may be trusted
+            for batch in batches:
+                for own, p in shares(batch):
+                    least = np.minimum(least, (own * (p @ weights)).min(0))
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(least[used])], ["bit", "least"])
+
+        for r in found.mapInArrow(margins, "bit long, least double").groupBy("bit").agg(F.min("least").alias("least")).collect():
+            trust[r.bit] = max(r.least, 0.01)
         return cls(languages, code, weights.astype(np.float32), trust / trust.mean(), bits, gain, ambiguous)
 
     def predict(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

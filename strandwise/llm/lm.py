@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from strandwise.llm import common as C
 from strandwise.llm.common import U64
-from strandwise.llm.counting import RUN, Runs, bits_for, by_part, merged
+from strandwise.llm.counting import RUN, Runs, bits_for, by_part, merged, parts_for
 
 END, START = (U64(C.hash_word(x)) for x in (b"\nend", b"\nstart"))  # no word holds white space, so no word has these bytes
 #: What a lower level keeps of a key: c and a as an n-gram; t, n1, n2 and n3 as a context.
@@ -88,14 +88,15 @@ class KneserNey:
 
     @classmethod
     def _count(cls, train: DataFrame, folder: str, order: int, keys_a_part: int) -> KneserNey:
-        tokens = (train.agg(F.sum(F.octet_length("text") + 6)).first()[0] or 0) // 6
+        octets, rows, tasks = train.select(F.octet_length("text").cast("long").alias("n"), F.spark_partition_id().alias("task")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max("task"), F.lit(0)) + 1).first()
+        tokens, parts = (octets + 6 * rows) // 6, parts_for(octets // 2 + (order + 1) * rows, tasks, LOWER)
         above, notes = None, []
         with C.shuffles_removed(train.sparkSession):
             for level in range(order, 0, -1):
                 bits = bits_for(tokens, keys_a_part if above is None else keys_a_part // 3)
                 columns = 1 if above is None else LOWER
                 arrays = C.HashArrays(folder, f"level-{level}", bits, columns)
-                seen = by_part(train.mapInArrow(_counter(order, level, above, bits), RUN), bits, _writer(arrays, columns), NOTE)
+                seen = by_part(train.mapInArrow(_counter(order, level, above, bits, parts), RUN), bits, _writer(arrays, columns, parts), NOTE)
                 # a row for each part
                 total = seen.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("kinds", "tokens", "adjusted", "ones", "twos", "threes", "fours", "more"))).first()
                 notes.append({"discounts": _discounts([total.ones, total.twos, total.threes, total.fours]), **total.asDict()})
@@ -157,7 +158,7 @@ def _less(a: np.ndarray, discounts: list[float]) -> np.ndarray:
     return np.maximum(a - np.array([0.0, *discounts])[np.minimum(a, 3).astype(np.int64)], 0)
 
 
-def _counter(order: int, level: int, above: C.HashArrays | None, bits: int):
+def _counter(order: int, level: int, above: C.HashArrays | None, bits: int, parts: int):
     """Runs of a level's keys from batches of texts."""
 
     def highest(grams: Grams):
@@ -179,7 +180,7 @@ def _counter(order: int, level: int, above: C.HashArrays | None, bits: int):
         return keys, np.stack(sums)
 
     def count(batches):
-        held = Runs(bits) if above is None else Runs(bits, LOWER, 1)
+        held = Runs(bits) if above is None else Runs(bits, LOWER, 1, parts)
         for batch in batches:
             for *_, data, offs in C.text_blocks(batch):
                 yield from held.add(*(highest if above is None else lower)(Grams(data, offs, order)))
@@ -188,11 +189,11 @@ def _counter(order: int, level: int, above: C.HashArrays | None, bits: int):
     return count
 
 
-def _writer(arrays: C.HashArrays, columns: int):
+def _writer(arrays: C.HashArrays, columns: int, parts: int):
     """Writes a part and notes its counts of counts."""
 
     def write(rows: pa.Table) -> pa.Table:
-        keys, sums = merged(rows, columns, None if columns == 1 else 1)
+        keys, sums = merged(rows, columns, None if columns == 1 else 1, parts)
         sums = np.rint(sums)  # sums of 1/c over all c occurrences
         part = rows["part"][0].as_py()
         arrays.write(part, keys, sums)

@@ -3,19 +3,22 @@
 Documents are counted into cells of source, language and topic by their tokens. The cells' shares are
 raked to the three target marginals in turn. Targets are given for the values named; what they leave of 1 is
 shared by the other values as their tokens tempered by an exponent. A document's inclusion probability
-is that of its cell, and the drawn tokens have the target marginals whatever the corpus has: no cell is
-just cut off at 1. `even` takes s * raked share / share with the largest s that leaves no cell above 1 (and no
-more than the budget); `bounded` rakes again with the bound inside and finds the largest budget for which
-that holds, so it draws at least as much. Both draw less than the budget where the targets don't allow it, with a
-warning. If no probabilities have the marginals within `tolerance` (a value's cells may be empty), it is
-an error that names the worst value, or a warning if not `strict`: then values keep what raking could
-give them. `report` lists targets and drawn shares. Whether a document is taken depends on its id alone
-(an md5 draw), so a run again takes the same ones.
+is that of its cell, min(1, a * b * c) with a multiplier for each value of each dimension, and the drawn
+tokens have the target marginals whatever the corpus has: a step sets one dimension's multipliers
+so that its values get their parts of the budget, cells at 1 included. The largest budget for which
+that holds is searched in two rounds of 16 that run side by side. If it is less than asked for,
+there is a warning. If no probabilities have the marginals within `tolerance` (a value's cells may be
+empty), it is an error that names the worst value, or a warning if not `strict`: then the shares are raked
+as far as they go. `report` lists targets and drawn shares. Whether a document is
+taken depends on its id alone (an md5 draw), so a run again takes the same ones.
+
+The law is one at any size. Only sums by value are needed for a step: up to `bound` cells are summed
+in the driver's memory, more by Spark jobs over the cells; the multipliers, one for each value, are the
+driver's in both.
 
 Null source, language or topic is a value of its own (empty text); null text is empty and has its end
-token alone. Repeated rows of an id are drawn alike. An empty table gives an empty one. Up to `bound`
-cells are raked on the driver, more by joins in Spark (`even` there). Only the named columns are read;
-all others stay with the row in sample(), whatever their names.
+token alone. Repeated rows of an id are drawn alike. An empty table gives an empty one. Only the named
+columns are read; all others stay with the row in sample(), whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from __future__ import annotations
 import warnings
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,61 +66,117 @@ def tempered(totals: np.ndarray, exponent: float) -> np.ndarray:
     return x / x.sum()
 
 
-def rake(codes: list[np.ndarray], tokens: np.ndarray, targets: list[np.ndarray], rounds: int) -> np.ndarray:
-    """Cell shares whose marginals are the targets, as near to the cells' own as can be."""
-    share = tokens / tokens.sum()
+#: Budgets that are tried at once, in each of two rounds.
+BUDGETS = 16
+
+
+class Cells:
+    """Tokens of cells and their values' numbers in each dimension, in memory."""
+
+    def __init__(self, codes: list[np.ndarray], tokens: np.ndarray, widths: list[int]):
+        self.codes, self.tokens, self.widths = codes, tokens, widths
+
+    def sums(self, d: int, multipliers: list[np.ndarray], bounded: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of cells that are whole, and tokens * product of the others, by budget and value of dimension d."""
+        return cell_sums(self.codes, self.tokens, d, multipliers, bounded, self.widths[d])
+
+
+def cell_sums(codes: list[np.ndarray], tokens: np.ndarray, d: int, multipliers: list[np.ndarray], bounded: bool, width: int) -> tuple[np.ndarray, np.ndarray]:
+    whole, part = np.zeros((2, len(multipliers[0]), width))
+    for k in range(len(whole)):
+        m = multipliers[0][k][codes[0]]
+        for x, code in zip(multipliers[1:], codes[1:], strict=True):
+            m = m * x[k][code]
+        full = m >= 1 if bounded else np.zeros(len(m), bool)
+        whole[k] = np.bincount(codes[d], tokens * full, width)
+        part[k] = np.bincount(codes[d], tokens * np.where(full, 0.0, m), width)
+    return whole, part
+
+
+class SparkCells:
+    """The same sums as jobs over a table of cells (code_0, code_1, code_2, t)."""
+
+    def __init__(self, cells: DataFrame, widths: list[int]):
+        self.cells, self.widths = cells, widths
+        self.folder, self.step = C.SharedFolder.create(cells.sparkSession, "mixture"), 0
+
+    def sums(self, d: int, multipliers: list[np.ndarray], bounded: bool) -> tuple[np.ndarray, np.ndarray]:
+        folder, n, step = self.folder.uri, len(multipliers[0]), self.step
+        for k, x in enumerate(multipliers):
+            self.folder.write(f"{step}-by-{k}", x)
+        self.step += 1
+
+        def add(batches):
+            held, found = None, {}
+            for batch in batches:
+                if held is None:
+                    held = [C.SharedFolder(folder).map(f"{step}-by-{k}").view(float).reshape(n, -1) for k in range(len(DIMS))]
+                codes = [batch.column(k).to_numpy() for k in range(len(DIMS))]
+                values, own = np.unique(codes[d], return_inverse=True)
+                local = [own if k == d else codes[k] for k in range(len(DIMS))]
+                whole, part = cell_sums(local, batch.column(3).to_numpy(), d, [x[:, values] if k == d else x for k, x in enumerate(held)], bounded, len(values))
+                for v, w, p in zip(values.tolist(), whole.T, part.T, strict=True):
+                    found[v] = found.get(v, 0) + np.concatenate([w, p])
+                if len(found) > 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.float64()))], ["v", "s"])
+                    found = {}
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.float64()))], ["v", "s"])
+
+        parts = self.cells.select(*(f"code_{k}" for k in range(len(DIMS))), "t").mapInArrow(add, "v long, s array<double>")
+        by_value = parts.groupBy("v").agg(*(F.sum(F.col("s")[k]).alias(f"s{k}") for k in range(2 * n)))
+        whole, part = np.zeros((2, n, self.widths[d]))
+        for r in by_value.collect():  # a row for each value of the dimension
+            whole[:, r.v], part[:, r.v] = r[1 : n + 1], r[n + 1 :]
+        return whole, part
+
+
+def rake(cells: Cells | SparkCells, goals: list[np.ndarray], budgets: np.ndarray, rounds: int, bounded: bool = True) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """Multipliers, a row for each budget; how far the worst value is from its goal; and the drawn tokens of each dimension's values.
+
+    A step solves whole + s * part = goal * budget for every value of a dimension: with the cells that are whole now
+    fixed, which the next steps set right, as products only grow where they were too small.
+    """
+    now = [np.ones((len(budgets), len(g))) for g in goals]
+    now[0] *= (budgets / sum(cells.sums(0, now, False)[1][0]))[:, None]
     for _ in range(rounds):
-        for code, target in zip(codes, targets, strict=True):
-            have = np.bincount(code, share, len(target))
-            share = share * np.where(have > 0, target / np.where(have > 0, have, 1), 0)[code]
-    return share
-
-
-def fill(tokens: np.ndarray, ratio: np.ndarray, budget: float) -> np.ndarray:
-    """min(1, s * ratio) with sum(tokens * it) = budget; all 1 if the budget is all there is."""
-    order = np.argsort(-ratio, kind="stable")
-    t, r = tokens[order].astype(float), ratio[order]
-    whole = np.concatenate(([0.0], np.cumsum(t)))[:-1]
-    rest = np.cumsum((t * r)[::-1])[::-1]
-    s = np.where(rest > 0, (budget - whole) / np.where(rest > 0, rest, 1), np.inf)
-    fits = np.flatnonzero(s * r <= 1)
-    return np.minimum(1, s[fits[0]] * ratio) if len(fits) else np.ones(len(t))
-
-
-def hold(codes: list[np.ndarray], tokens: np.ndarray, targets: list[np.ndarray], ratio: np.ndarray, keep: float, rounds: int) -> np.ndarray:
-    """Probabilities whose expected tokens have the target marginals, for the largest budget up to keep that allows it.
-
-    Each step scales the cells of one value until min(1, it) gives that value's part of the budget. Scaling the raked
-    ratios by one factor has their marginals too, but stops at the first cell that is whole: it is the least budget tried.
+        for d, goal in enumerate(goals):
+            whole, part = cells.sums(d, now, bounded)
+            want = goal[None, :] * budgets[:, None]
+            # a value whose whole cells are too much already has them made smaller by half its excess
+            by = np.where(part > 0, (want - whole) / np.where(part > 0, part, 1), np.where(whole > 0, want / np.where(whole > 0, whole, 1), 0.0))
+            now[d] = now[d] * np.where(by > 0, by, np.where(want > 0, np.clip(want / np.where(whole + part > 0, whole + part, 1), 0.25, 1), 0.0))
+    drawn = [sum(cells.sums(d, now, bounded)) for d in range(len(goals))]
+    error = np.max([np.abs(x / budgets[:, None] - g[None, :]).max(1) for x, g in zip(drawn, goals, strict=True)], axis=0)
+    return now, error, drawn
+
+
+def calibrated_multipliers(cells: Cells | SparkCells, goals: list[np.ndarray], totals: list[np.ndarray], keep: float, rounds: int) -> tuple[list[np.ndarray], list[np.ndarray], float]:
+    """Multipliers and drawn tokens of the largest budget whose marginals are met, and that budget's part of all tokens.
+
+    No budget is above what a value's own tokens allow. Met means as near as raking without a bound gets (a value's
+    cells may be empty): a budget that is next to nothing shows how near that is.
     """
-    total = tokens.sum()
-    even = ratio * min(keep, 1 / ratio.max())
-    groups = [[(np.flatnonzero(code == k), goal) for k, goal in enumerate(target) if goal > 0] for code, target in zip(codes, targets, strict=True)]
-
-    def bounded(budget: float) -> np.ndarray | None:
-        m = ratio.copy()
-        for _ in range(4 * rounds):
-            for parts in groups:
-                for at, goal in parts:
-                    found = fill(tokens[at], m[at], goal * budget)
-                    part = found < 1
-                    if not part.any() or not m[at][part].max() > 0:
-                        return None
-                    m[at] *= (found[part] / np.where(m[at][part] > 0, m[at][part], np.inf)).max()
-            p = np.minimum(1, m)
-            if all(np.abs(np.bincount(c, tokens * p, len(g)) / budget - g).max() < 1e-6 for c, g in zip(codes, targets, strict=True)):
-                return p
-        return None
-
-    low = (even * tokens).sum()
-    high = min([keep * total, *((np.bincount(c, tokens, len(g))[g > 0] / g[g > 0]).min() * (1 - 1e-9) for c, g in zip(codes, targets, strict=True))])
-    best, budget = even, high
-    for _ in range(12):
-        found = bounded(budget) if budget > low else None
-        low, high, best = (low, budget, best) if found is None else (budget, high, found)
-        if high - low < 1e-3 * total:
+    total = totals[0].sum()
+    high = min([keep * total, *((t[g > 0] / g[g > 0]).min() * (1 - 1e-9) for t, g in zip(totals, goals, strict=True))])
+    low, best, floor = 0.0, None, None
+    for _ in range(6):  # a sixteenth of the last range each time
+        budgets = np.concatenate(([1e-12 * total], low + (high - low) * np.arange(1, BUDGETS + 1) / BUDGETS))  # in the first one no cell is whole
+        now, error, drawn = rake(cells, goals, budgets, rounds)
+        floor = error[0] if floor is None else floor
+        met = np.flatnonzero(error[1:] < floor + 1e-5) + 1
+        if not len(met):
+            high = budgets[1] if best is None else high
+            if best is None:
+                continue
             break
-        budget = (low + high) / 2
+        k, refined = met[-1], best is not None
+        best = [x[k] for x in now], [x[k] for x in drawn], budgets[k] / total
+        if refined or k == BUDGETS:
+            break
+        low, high = budgets[k], budgets[k + 1]
+    if best is None:
+        best = [x[1] for x in now], [x[1] for x in drawn], budgets[1] / total
     return best
 
 
@@ -127,7 +187,7 @@ def _check(report: list[tuple[str, str, float, float]], drawn: float, keep: floa
         if strict:
             raise ValueError(said)
         warnings.warn(said, stacklevel=3)
-    if drawn < keep * (1 - 1e-6):
+    if drawn < keep * (1 - 1e-3):
         warnings.warn(f"the targets allow {drawn:.4f} of the tokens, not {keep}", stacklevel=3)
 
 
@@ -138,58 +198,45 @@ class Mixture:
         self.cells, self.small, self.report = cells, small, report  # report: dimension, value, target and drawn share
 
     @classmethod
-    def calibrate(cls, keyed: DataFrame, exponent: float = 0.7, keep: float = 0.8, rounds: int = 25, targets: dict[str, dict[str, float]] | None = None, bound: int = 500_000, law: str = "even", tolerance: float = 0.01, strict: bool = True) -> Mixture:
+    def calibrate(cls, keyed: DataFrame, exponent: float = 0.7, keep: float = 0.8, rounds: int = 60, targets: dict[str, dict[str, float]] | None = None, bound: int = 500_000, tolerance: float = 0.01, strict: bool = True) -> Mixture:
         """keyed: __source, __lang, __topic, __tokens. targets: shares of a dimension's values; keep is the most that is drawn of all tokens."""
-        assert law in ("even", "bounded")
-        spark, targets = keyed.sparkSession, targets or {}
-        cells = C.cut(keyed.groupBy(*(f"__{d}" for d in DIMS)).agg(F.sum("__tokens").cast("double").alias("t")))
-        if cells.count() > bound:
-            return cls._in_spark(cells, exponent, keep, rounds, targets, tolerance, strict)
-        rows = cells.collect()  # at most `bound`
-        tokens, codes, goals, names = np.array([r.t for r in rows], float), [], [], []
-        for d in DIMS if rows else ():
-            values, code = np.unique(np.array([r[f"__{d}"] for r in rows], object), return_inverse=True)
-            codes.append(code)
-            names.append(values)
-            goals.append(goals_of(values, np.bincount(code, tokens, len(values)), exponent, targets.get(d, {})))
-        prob, report = np.zeros(0), []
-        if rows:
-            ratio = rake(codes, tokens, goals, rounds) * tokens.sum() / tokens
-            prob = hold(codes, tokens, goals, ratio, keep, rounds) if law == "bounded" else ratio * min(keep, 1 / ratio.max())
-            drawn = prob * tokens
-            for d, code, goal, values in zip(DIMS, codes, goals, names, strict=True):
-                report += zip([d] * len(values), values.tolist(), goal.tolist(), (np.bincount(code, drawn, len(values)) / drawn.sum()).tolist(), strict=True)
-            _check(report, float(drawn.sum() / tokens.sum()), keep, tolerance, strict)
-        made = [(*(r[f"__{d}"] for d in DIMS), float(p)) for r, p in zip(rows, prob, strict=True)]
-        return cls(spark.createDataFrame(made, ", ".join(f"cell_{d} string" for d in DIMS) + ", prob double"), True, report)
-
-    @classmethod
-    def _in_spark(cls, cells: DataFrame, exponent: float, keep: float, rounds: int, targets: dict, tolerance: float, strict: bool) -> Mixture:
-        total = cells.agg(F.sum("t")).first()[0]
-        now = cells.withColumn("share", F.col("t") / total)
-        goals = []
-        for d in DIMS:
-            named = targets.get(d, {})
-            own = cells.groupBy(F.col(f"__{d}").alias("k")).agg(F.pow(F.sum("t"), F.lit(exponent)).alias("x")).withColumn("named", F.col("k").isin(list(named)) if named else F.lit(False))
-            rest = own.agg(F.sum(F.when(~F.col("named"), F.col("x")))).first()[0] or 1.0
-            given = F.lit(0.0)
-            for v, share in named.items():
-                given = F.when(F.col("k") == v, share).otherwise(given)
-            own = own.select("k", F.when(F.col("named"), given).otherwise(F.col("x") / rest * max(1 - sum(named.values()), 0.0)).alias("x"))
-            norm = own.agg(F.sum("x")).first()[0]
-            goals.append(C.cut(own.select("k", (F.col("x") / norm).alias("goal"))))
-        for _ in range(rounds):
-            for d, goal in zip(DIMS, goals, strict=True):
-                have = now.groupBy(F.col(f"__{d}").alias("k")).agg(F.sum("share").alias("have")).join(goal, "k").select("k", (F.col("goal") / F.col("have")).alias("by"))
-                now = C.cut(now.join(have, now[f"__{d}"] == have["k"]).withColumn("share", F.col("share") * F.coalesce("by", F.lit(0.0))).drop("k", "by"))
-        ratio = now.withColumn("ratio", F.col("share") * total / F.col("t"))
-        most, drawn = ratio.agg(F.max("ratio"), F.sum(F.col("t") * F.col("ratio")) / total).first()
-        s, report = min(keep, 1 / most), []
-        for d, goal in zip(DIMS, goals, strict=True):  # the worst value of each dimension
-            off = now.groupBy(F.col(f"__{d}").alias("k")).agg(F.sum("share").alias("have")).join(goal, "k").orderBy(F.desc(F.abs(F.col("have") / drawn - F.col("goal")))).first()
-            report.append((d, off.k, off.goal, off.have / drawn))
-        _check(report, s * drawn, keep, tolerance, strict)
-        return cls(ratio.select(*(F.col(f"__{d}").alias(f"cell_{d}") for d in DIMS), F.least(F.lit(1.0), F.col("ratio") * s).alias("prob")), False, report)
+        spark, targets, names = keyed.sparkSession, targets or {}, [f"cell_{d}" for d in DIMS]
+        cells = C.cut(keyed.groupBy(*(F.col(f"__{d}").alias(c) for d, c in zip(DIMS, names, strict=True))).agg(F.sum("__tokens").cast("double").alias("t")))
+        n = cells.count()
+        if not n:
+            return cls(spark.createDataFrame([], ", ".join(f"{c} string" for c in names) + ", prob double"), True, [])
+        values, totals, goals = [], [], []
+        for d, c in zip(DIMS, names, strict=True):
+            rows = sorted((r[c], r.t) for r in cells.groupBy(c).agg(F.sum("t").alias("t")).collect())  # a row for each value
+            values.append([v for v, _ in rows])
+            totals.append(np.array([t for _, t in rows]))
+            goals.append(goals_of(np.array(values[-1], object), totals[-1], exponent, targets.get(d, {})))
+        widths = list(map(len, values))
+        if n <= bound:
+            rows = cells.collect()  # at most `bound`
+            at = [{v: k for k, v in enumerate(x)} for x in values]
+            codes = [np.array([at[d][r[c]] for r in rows]) for d, c in enumerate(names)]
+            held = Cells(codes, np.array([r.t for r in rows]), widths)
+        else:
+            coded = cells
+            for d, c in enumerate(names):
+                lookup = spark.createDataFrame(list(enumerate(values[d])), f"code_{d} long, value_{d} string")
+                coded = coded.join(lookup, F.col(c) == F.col(f"value_{d}")).drop(f"value_{d}")
+            coded = C.cut(coded)
+            held = SparkCells(coded, widths)
+        by, drawn, part = calibrated_multipliers(held, goals, totals, keep, rounds)
+        report = [(d, v, float(g), float(x / max(have.sum(), 1e-300))) for d, own, goal, have in zip(DIMS, values, goals, drawn, strict=True) for v, g, x in zip(own, goal, have, strict=True)]
+        _check(report, float(part), keep, tolerance, strict)
+        kind = ", ".join(f"{c} string" for c in names) + ", prob double"
+        if n <= bound:
+            prob = np.minimum(1, by[0][codes[0]] * by[1][codes[1]] * by[2][codes[2]])
+            return cls(spark.createDataFrame([(*(r[c] for c in names), float(p)) for r, p in zip(rows, prob, strict=True)], kind), True, report)
+        for d, x in enumerate(by):
+            factors = spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)], f"of_{d} long, by_{d} double")
+            coded = coded.join(factors, F.col(f"code_{d}") == F.col(f"of_{d}"))
+        found = C.cut(coded.select(*names, F.least(F.lit(1.0), F.col("by_0") * F.col("by_1") * F.col("by_2")).alias("prob")))
+        held.folder.drop()
+        return cls(found, False, report)
 
     def join(self, keyed: DataFrame) -> DataFrame:
         cells = F.broadcast(self.cells) if self.small else self.cells
@@ -214,35 +261,5 @@ def calibrated(docs: DataFrame, **how) -> DataFrame:
 def sample(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs that are drawn, with all their columns; the drawn tokens have the target marginals."""
     rows = keyed(docs)
-    mixture = Mixture.calibrate(rows, **{"law": "bounded"} | how)
+    mixture = Mixture.calibrate(rows, **how)
     return C.from_struct(mixture.join(rows).filter(draw(F.col("row.doc_id")) < F.col("prob")), "row", docs)
-
-
-def oracle(exponent: float = 0.7, keep: float = 0.8, rounds: int = 25, targets: dict[str, dict[str, float]] | None = None) -> str:
-    """DuckDB SQL for calibrated(), with probabilities to nine places."""
-
-    def goal(d: str) -> str:
-        named = (targets or {}).get(d, {})
-        given = "case " + " ".join(f"when {d} = '{v}' then {x}" for v, x in named.items()) + " else {} end" if named else "{}"
-        listed = ", ".join(f"'{v}'" for v in named) or "null"
-        other = f"coalesce({d} not in ({listed}), true)"
-        rest = f"{max(1 - sum(named.values()), 0.0)} * pow(sum(t), {exponent}) / sum(case when {other} then pow(sum(t), {exponent}) end) over ()"
-        return f"g_{d} as materialized (select k, x / sum(x) over () as goal from (select {d} as k, {given.format(rest)} as x from c0 group by {d}))"
-
-    steps = [
-        """d as (select doc_id, coalesce(source, '') as source, coalesce(lang, '') as lang,
-    case when contains(lower(coalesce(text, '')), 'licen') then 'legal' when contains(coalesce(text, ''), '@') then 'contact' when contains(coalesce(text, ''), '|') then 'table' else 'prose' end as topic,
-    cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) + 1 as bigint) as tokens from documents)""",
-        "c0 as materialized (select source, lang, topic, cast(sum(tokens) as double) as t, cast(sum(tokens) as double) / (select sum(tokens) from d) as w from d group by all)",
-        *map(goal, DIMS),
-    ]
-    k = 0
-    for _ in range(rounds):
-        for d in DIMS:
-            steps.append(f"c{k + 1} as materialized (select source, lang, topic, t, w * goal / sum(w) over (partition by {d}) as w from c{k} join g_{d} on {d} = k)")
-            k += 1
-    steps += [
-        f"r as materialized (select *, w * sum(t) over () / t as ratio from c{k})",
-        f"p as (select source, lang, topic, ratio * (select least({keep}, 1 / max(ratio)) from r) as prob from r)",
-    ]
-    return "with " + ",\n".join(steps) + "\nselect doc_id, d.source, d.lang, d.topic, tokens, round(prob, 9) as prob, cast('0x' || substr(md5('mix:' || doc_id), 1, 13) as bigint) / 4503599627370496.0 < prob as sampled from d join p using (source, lang, topic)"

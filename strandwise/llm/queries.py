@@ -127,14 +127,8 @@ def op13_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(C.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more), ranks), ranks)
 
 
-def _oracles() -> dict[str, str]:
-    from strandwise.llm.mixing import oracle
-
-    return {"op6_raked_mixture": oracle(targets=TARGETS), "op10_uniform_threshold": TOP_K_SQL}
-
-
 QUERIES = {
     f.__name__: f
     for f in (op1_pack_binary_pieces, op2_kneser_ney_scores, op3_avi_shots, op4_toxic_segments, op5_simhash_balls, op6_raked_mixture, op7_output_code_languages, op8_license_windows, op9_hilbert_shards, op10_uniform_threshold, op11_byte_label_links, op12_merkle_manifest, op13_chat_tokens)
 }
-ORACLES: dict[str, str] = _oracles()
+ORACLES: dict[str, str] = {"op10_uniform_threshold": TOP_K_SQL}

@@ -11,6 +11,10 @@ forest per head, whose links keep all components. Equal fingerprints are one fro
 Null text is empty. A text without words has fingerprint zero and is linked like any other; one of
 fewer words than a shingle has that one shingle. Repeated rows have equal fingerprints and so share a
 component. A null id never is a component's id, unless all ids of it are null. Only id and text are read.
+
+Near copies with more edits than the radius allows are linked where any of several fingerprints is near:
+`prints` of them, of the same shingles under independent hashes, miss a pair that one finds with
+probability p with (1 - p) ** prints.
 """
 
 from __future__ import annotations
@@ -34,14 +38,14 @@ HOT = 10_000
 _LANES = U64(0x0101010101010101)
 
 
-def fingerprints_of(data: np.ndarray, offs: np.ndarray, words: int = 4, seed: int = 42) -> np.ndarray:
-    """Fingerprints of the rows of a block of UTF-8 text."""
+def fingerprints_of(data: np.ndarray, offs: np.ndarray, words: int = 4, seed: int = 42, prints: int = 1) -> np.ndarray:
+    """Fingerprints of the rows of a block of UTF-8 text; with several prints, a column for each, the first of them XXH64's own."""
     rows = len(offs) - 1
-    out = np.zeros(rows, U64)
+    out = np.zeros((rows, prints), U64)
     low = C.LOWER[data]
     starts, ends = C.runs(~C.SPACE[low], offs)
     if not len(starts):
-        return out
+        return out[:, 0] if prints == 1 else out
     # the words again, one space behind each
     length = ends - starts
     begin = np.cumsum(length + 1) - (length + 1)
@@ -60,12 +64,14 @@ def fingerprints_of(data: np.ndarray, offs: np.ndarray, words: int = 4, seed: in
     parts = -(-count // 255)
     part_of = np.cumsum(parts) - parts
     cuts = np.repeat(np.cumsum(count) - count - 255 * part_of, parts) + 255 * np.arange(int(parts.sum()))
-    for k in range(8):
-        lanes = np.add.reduceat((h >> U64(k)) & _LANES, cuts).view(np.uint8).reshape(-1, 8)
-        ones = np.add.reduceat(lanes.astype(np.int64), part_of, axis=0)
-        bits = (2 * ones > count[:, None]).astype(U64)
-        out[filled] |= (bits << (U64(8) * np.arange(8, dtype=U64) + U64(k))).sum(1, dtype=U64)
-    return out
+    for column in range(prints):
+        own = h if not column else C.mix(h ^ U64(column * 0x9E3779B97F4A7C15 % (1 << 64)))
+        for k in range(8):
+            lanes = np.add.reduceat((own >> U64(k)) & _LANES, cuts).view(np.uint8).reshape(-1, 8)
+            ones = np.add.reduceat(lanes.astype(np.int64), part_of, axis=0)
+            bits = (2 * ones > count[:, None]).astype(U64)
+            out[filled, column] |= (bits << (U64(8) * np.arange(8, dtype=U64) + U64(k))).sum(1, dtype=U64)
+    return out[:, 0] if prints == 1 else out
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
@@ -140,43 +146,52 @@ def _forest(pairs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def ball_links(prints: DataFrame, radius: int = 4, block_bits: int | None = None) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (fp) whose components are those of all pairs within the radius (even)."""
+def ball_links(prints: DataFrame, radius: int = 4, block_bits: int | None = None, kinds: int = 1) -> DataFrame:
+    """Links (a, b, kind) between distinct fingerprints (fp) whose components are those of all pairs within the radius (even).
+
+    With several kinds of fingerprints, prints has a column `kind` (from 0), and only those of one kind meet.
+    """
     half = radius // 2
     assert radius == 2 * half, "an even radius meets in the middle"
     if block_bits is None:  # heads grow in number with the fingerprints
-        block_bits = max(12, min(20, prints.count().bit_length() - 9))
+        block_bits = max(12, min(20, (prints.count() // kinds).bit_length() - 9))
     bits, heads = block_bits, _flips(block_bits, half)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(U64)
+            kind = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for k in range(0, len(fps), 1 << 15):
                 part = fps[k : k + (1 << 15)]
-                head = ((part >> U64(64 - bits))[:, None] ^ heads[None, :]).ravel().astype(np.int64)
+                head = (((part >> U64(64 - bits))[:, None] ^ heads[None, :]).astype(np.int64) | kind[k : k + (1 << 15)][:, None] << 32).ravel()
                 order = np.argsort(head, kind="stable")
                 head = head[order]
                 values = part[order // len(heads)]
                 first = np.flatnonzero(np.concatenate(([True], head[1:] != head[:-1])))
                 ends = [*first[1:].tolist(), len(head)]
-                yield pa.RecordBatch.from_arrays([pa.array(head[first].astype(np.int32)), pa.array([values[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)], pa.binary())], ["head", "fps"])
+                yield pa.RecordBatch.from_arrays([pa.array(head[first]), pa.array([values[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)], pa.binary())], ["head", "fps"])
 
     def meet(rows: pa.Table) -> pa.Table:
-        head = rows["head"][0].as_py()
+        kind, head = divmod(rows["head"][0].as_py(), 1 << 32)
         fps = np.unique(np.frombuffer(b"".join(rows["fps"].to_pylist()), U64))
         pairs = _collisions(fps, head, bits, half)
         pairs = pairs[np.bitwise_count(fps[pairs[:, 0]] ^ fps[pairs[:, 1]]) <= radius]
         node, root = _forest(pairs, len(fps))
-        return pa.table({"a": fps[root].view(np.int64), "b": fps[node].view(np.int64)})
+        return pa.table({"a": fps[root].view(np.int64), "b": fps[node].view(np.int64), "kind": np.full(len(node), kind, np.int32)})
 
-    return prints.select("fp").mapInArrow(emit, "head int, fps binary").groupBy("head").applyInArrow(meet, "a long, b long")
+    kind = F.col("kind").cast("int") if kinds > 1 else F.lit(0)
+    return prints.select("fp", kind.alias("kind")).mapInArrow(emit, "head long, fps binary").groupBy("head").applyInArrow(meet, "a long, b long, kind int")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fp and component_id, the smallest id that is reachable over fingerprints within the radius."""
-    prints = C.cut(fingerprints(docs, doc_id, text, words))
+    return _placed(C.cut(fingerprints(docs, doc_id, text, words)), radius)
+
+
+def _placed(prints: DataFrame, radius: int) -> DataFrame:
+    """The same for rows of doc_id and fp."""
     by_print = C.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    roots = connected_components(ball_links(by_print, radius))
+    roots = connected_components(ball_links(by_print, radius).select("a", "b"))
     # a component of very many fingerprints is no hot group: its minimum is taken by salts and goes back to them
     linked = C.cut(by_print.join(roots, by_print["fp"] == roots["node"]).select("fp", "least", "root", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt")))
     least = linked.groupBy("root", "salt").agg(F.min("least").alias("least")).groupBy("root").agg(F.min("least").alias("component_id"))
@@ -191,8 +206,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return copies.select("doc_id", "fp", "component_id").unionByName(single.select("doc_id", "fp", "component_id"))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, that with the smallest id; all columns as they were.
+def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4, prints: int = 4) -> DataFrame:
+    """doc_id and component_id of each id, the smallest id that is reachable over fingerprints of one kind within the radius. Rows of an id have one text."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.concatenate([*(fingerprints_of(data, offs, words, prints=prints).reshape(-1, prints) for *_, data, offs in C.text_blocks(batch)), np.zeros((0, prints), U64)]).view(np.int64)
+            ends = pa.array(np.arange(0, found.size + 1, prints), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(found.ravel()))], ["doc_id", "fps"])
+
+    seen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(scan, "doc_id long, fps array<long>")
+    seen = C.cut(seen.groupBy("doc_id").agg(F.first("fps").alias("fps")))
+    each = seen.select("doc_id", F.posexplode("fps").alias("kind", "fp"))
+    by_print = C.cut(each.groupBy("kind", "fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    same = each.join(by_print.filter("n > 1").withColumnsRenamed({"kind": "k", "fp": "f"}), (F.col("kind") == F.col("k")) & (F.col("fp") == F.col("f"))).filter("doc_id > least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    near = C.cut(ball_links(by_print, radius, kinds=prints))
+    of = lambda end: by_print.select(F.col("kind"), F.col("fp").alias(end), F.col("least").alias(f"least_{end}"))
+    near = near.join(of("a"), ["kind", "a"]).join(of("b"), ["kind", "b"]).select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
+    roots = connected_components(same.unionByName(near))
+    return seen.join(roots, seen["doc_id"] == roots["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prints: int = 1) -> DataFrame:
+    """One document of each component, that with the smallest id; all columns as they were. Components are those of near_components.
 
     Of different texts under that id one stays, that with the smallest hash, and a text's place is its own, whatever
     other texts have its id. Rows without an id come behind all ids below 2**62, in the order of their texts' hashes.
@@ -202,7 +238,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(content, 2))
     keyed = docs.select(C.as_struct(docs, "row"), F.col(text).cast("string").alias("words"), content.alias("content"), key.alias("key"))
     rows = C.cut(keyed.groupBy("key", "content").agg(F.count("*").alias("n")))
-    found = near_duplicates(keyed, "content", "words").groupBy(F.col("doc_id").alias("of")).agg(F.min("component_id").alias("component_id"))
+    found = near_components(keyed, "content", "words", prints=prints).withColumnRenamed("doc_id", "of")
     least = rows.groupBy("content").agg(F.min("key").alias("key"))
     # a component of many texts has partial minima first
     first = least.join(found, least["content"] == found["of"]).groupBy("component_id").agg(F.min(F.struct("key", "content")).alias("first"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from strandwise.llm import common as C
 from strandwise.llm import langid, licenses, lm, media, mixing, packing, queries, simhash, toxicity
-from tests.llm.test_llm import ODD, TOKENS, brute_print, brute_segments, rows_of
+from tests.llm.test_llm import ODD, TOKENS, brute_print, brute_prints, brute_segments, rows_of
 
 SMALL = "/root/testdata/sf0.001"
 #: The columns that each query gives first.
@@ -200,17 +200,17 @@ def test_stages_keep_what_their_operators_say(spark):
     kept = C.cut(corpus_pipeline.toxicity(spark, docs, SMALL))
     assert {r.doc_id for r in kept.collect()} == clean
     known = C.cut(corpus_pipeline.language_id(spark, kept, SMALL))
-    prints = {r.doc_id: brute_print(r.text) for r in known.collect()}
+    prints = {r.doc_id: brute_prints(r.text, corpus_pipeline.PRINTS) for r in known.collect()}
     assert set(prints) <= clean and len(prints) > 0.9 * len(clean)
     group = {i: i for i in prints}
     for i in sorted(prints):  # the least id that is reachable
         for j in sorted(prints):
-            if (prints[i] ^ prints[j]).bit_count() <= 4 and group[i] != group[j]:
+            if group[i] != group[j] and any((a ^ b).bit_count() <= 4 for a, b in zip(prints[i], prints[j])):
                 low, high = sorted((group[i], group[j]))
                 group = {k: low if g == high else g for k, g in group.items()}
     once = C.cut(corpus_pipeline.near_duplicates(spark, known, SMALL))
     assert sorted(r.doc_id for r in once.collect()) == sorted(set(group.values()))
-    mixture = mixing.Mixture.calibrate(mixing.keyed(once), targets=corpus_pipeline.TARGETS, law="bounded", strict=False)
+    mixture = mixing.Mixture.calibrate(mixing.keyed(once), targets=corpus_pipeline.TARGETS, strict=False)
     prob = {tuple(r[f"cell_{d}"] for d in mixing.DIMS): r["prob"] for r in rows_of(mixture.cells)}
     cells = {r.id: (tuple(r[f"__{d}"] for d in mixing.DIMS), r.u) for r in mixing.keyed(once).select(F.col("row.doc_id").alias("id"), *(f"__{d}" for d in mixing.DIMS), mixing.draw(F.col("row.doc_id")).alias("u")).collect()}
     drawn = {r.doc_id for r in corpus_pipeline.mixing(spark, once, SMALL).collect()}

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -117,6 +118,32 @@ def thue_morse(n, a, b):
     return "".join((a, b)[i.bit_count() & 1] for i in range(n))
 
 
+def test_fractions_of_many_runs_add_up():
+    """A key of a million occurrences, one or two a run: each fraction is under half of the least part, and the sum is whole."""
+    from strandwise.llm import counting
+
+    c = 10_000_000
+    for runs, each in ((400, c // 400), (2000, c // 2000)):
+        parts = counting.parts_for(c, 3 * c, 1)  # as if every occurrence could be a run
+        assert parts >= 2 * 3 * c
+        rows = []
+        for _ in range(runs):
+            held = counting.Runs(2, 1, 0, parts)
+            assert not list(held.add(np.array([5], np.uint64), np.array([each / c])))
+            rows += list(held.close())
+        _, sums = counting.merged(pa.Table.from_batches(rows), 1, 0, parts)
+        assert abs(sums[0, 0] - 1) < 0.25
+    one = counting.Runs(2, 1, 0, parts)
+    list(one.add(np.array([5], np.uint64), np.array([1 / c])))
+    (run,) = one.close()
+    _, sums = counting.merged(pa.Table.from_batches([run] * 1), 1, 0, parts)
+    assert 0.5 / c < sums[0, 0] < 1.5 / c  # with the least part it would be nothing
+    with pytest.raises(OverflowError):
+        big = counting.Runs(2, 1, 0, parts)
+        list(big.add(np.array([5], np.uint64), np.array([1e12])))
+        list(big.close())
+
+
 def test_words_that_a_polynomial_hash_confuses(spark):
     """Thue-Morse words and their complements have equal polynomial hashes modulo 2**64, whatever the base."""
     for n in (8, 64, 1024, 4096):
@@ -245,6 +272,47 @@ def brute_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def brute_prints(text, kinds):
+    """The fingerprint and those of the same shingles under hashes that a bijection mixes."""
+    w = words_of(text)
+    if not w:
+        return [0] * kinds
+
+    def mix(h):
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ h >> shift) * times & (1 << 64) - 1
+        return h ^ h >> 31
+
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(len(w) - 3, 1))]
+    columns = [h, *([mix(x ^ k * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for x in h] for k in range(1, kinds))]
+    return [sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in own) > len(own)) for own in columns]
+
+
+def test_components_over_several_fingerprints(spark, docs):
+    rng = np.random.default_rng(21)
+    texts = []
+    for _ in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 4000, 150)]
+        for _ in range(6):
+            copy = list(words)
+            for at in rng.integers(0, 150, rng.integers(0, 5)):
+                copy[at] = "edited"
+            texts.append(" ".join(copy))
+    texts += [r.text for r in docs.collect() if r.text]
+    texts = list(dict.fromkeys(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    prints = [brute_prints(t, 5) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and any((a ^ b).bit_count() <= 4 for a, b in zip(prints[i], prints[j])):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert {r["doc_id"]: r["component_id"] for r in rows_of(simhash.near_components(df, prints=5))} == dict(enumerate(label))
+    one = {r["doc_id"]: r["component_id"] for r in rows_of(simhash.near_components(df, prints=1))}
+    assert one == {r["doc_id"]: r["component_id"] for r in rows_of(simhash.near_duplicates(df))} and len(set(label)) < len(set(one.values()))
+
+
 def test_fingerprints_and_components(docs, empty):
     got = rows_of(simhash.near_duplicates(docs))
     prints = {r["doc_id"]: r["fp"] & (2**64 - 1) for r in got}
@@ -309,17 +377,47 @@ def test_balls_find_every_pair(monkeypatch, most):
     check_components({int(f): int(f) for f in fps}, component)
 
 
-def test_raking_meets_the_marginals(docs, empty):
+def filled(tokens, ratio, budget):
+    """min(1, s * ratio) with the budget's tokens, by trying how many of the largest are whole."""
+    order = np.argsort(-ratio)
+    for whole in range(len(order) + 1):
+        rest = order[whole:]
+        part = (tokens[rest] * ratio[rest]).sum()
+        s = (budget - tokens[order[:whole]].sum()) / part if part else np.inf
+        if not len(rest) or s * ratio[rest].max() <= 1 + 1e-12:
+            return np.minimum(1, s * ratio), s
+    raise AssertionError
+
+
+def plain_rake(codes, tokens, goals, budget, rounds=3000):
+    """Cyclic exact filling of one value after the other."""
+    m = np.ones(len(tokens))
+    for _ in range(rounds):
+        for code, goal in zip(codes, goals):
+            for v, g in enumerate(goal):
+                at = np.flatnonzero(code == v)
+                _, s = filled(tokens[at], m[at], g * budget)
+                m[at] *= s
+    return np.minimum(1, m)
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.7])
+def test_raking_with_a_bound_is_exact_filling(share):
     rng = np.random.default_rng(0)
     codes = [rng.integers(0, 3, 50), rng.integers(0, 4, 50), rng.integers(0, 2, 50)]
     tokens = rng.integers(1, 1000, 50).astype(float)
-    goals = [np.full(3, 1 / 3), np.array([0.4, 0.3, 0.2, 0.1]), np.array([0.5, 0.5])]
-    share = mixing.rake(codes, tokens, goals, 300)
-    for code, goal in zip(codes, goals):
-        assert np.allclose(np.bincount(code, share, len(goal)), goal, atol=1e-6)
+    goals = [np.array([0.35, 0.33, 0.32]), np.array([0.1, 0.35, 0.3, 0.25]), np.array([0.5, 0.5])]
+    cells, budgets = mixing.Cells(codes, tokens, [3, 4, 2]), np.array([0.1, share]) * tokens.sum()
+    by, error, drawn = mixing.rake(cells, goals, budgets, 400)
+    assert error.max() < 1e-7 and np.allclose(drawn[1].sum(1), budgets)
+    prob = np.minimum(1, by[0][1][codes[0]] * by[1][1][codes[1]] * by[2][1][codes[2]])
+    assert np.allclose(prob, plain_rake(codes, tokens, goals, budgets[1], 400), atol=1e-6)
+
+
+def test_one_law_for_any_number_of_cells(docs, empty):
+    """Sums in memory and sums by jobs give the same probabilities and draws."""
     given = {"lang": {"en": 0.5}}
-    a = {(r["doc_id"], round(r["prob"], 9), r["sampled"]) for r in rows_of(mixing.calibrated(docs, targets=given, strict=False, rounds=4))}
-    b = {(r["doc_id"], round(r["prob"], 9), r["sampled"]) for r in rows_of(mixing.calibrated(docs, targets=given, bound=1, strict=False, rounds=4))}
+    a, b = ({r["doc_id"]: (round(r["prob"], 9), r["sampled"]) for r in rows_of(mixing.calibrated(docs, targets=given, strict=False, rounds=4, bound=bound))} for bound in (500_000, 1))
     assert a == b and len(a) >= 60
     assert mixing.calibrated(empty).count() == 0 and mixing.sample(docs, strict=False).columns == docs.columns
 
@@ -335,19 +433,21 @@ def test_drawn_tokens_have_the_target_marginals(spark, bound):
     rows = [(s, l, t, n) for s, a in (("x", 1), ("y", 9)) for l, b in (("en", 8), ("de", 2)) for t, c in (("prose", 50), ("legal", 1)) for n in [a * b * c + (s == "x") * 3]]
     df = spark.createDataFrame(rows, "__source string, __lang string, __topic string, __tokens long")
     goals = {"source": {"x": 0.5, "y": 0.5}, "lang": {"en": 0.6, "de": 0.4}, "topic": {"prose": 0.8, "legal": 0.2}}
-    drawn = []
-    for law in ("even", "bounded"):
-        with pytest.warns(UserWarning, match="targets allow"):
-            mixture = mixing.Mixture.calibrate(df, targets=goals, rounds=6, bound=bound, law=law)
-        assert all(abs(goal - have) < 1e-4 for *_, goal, have in mixture.report)
-        got = rows_of(mixture.join(df))
-        total = sum(r["prob"] * r["__tokens"] for r in got)
-        for d, goal in goals.items():
-            for value, share in goal.items():
-                assert abs(sum(r["prob"] * r["__tokens"] for r in got if r[f"__{d}"] == value) / total - share) < 1e-4
-        assert max(r["prob"] for r in got) <= 1 + 1e-12
-        drawn.append(total)
-    assert drawn[1] >= drawn[0] * (1 - 1e-6)
+    with pytest.warns(UserWarning, match="targets allow"):
+        mixture = mixing.Mixture.calibrate(df, targets=goals, rounds=12, bound=bound)
+    assert all(abs(goal - have) < 1e-4 for *_, goal, have in mixture.report)
+    got = rows_of(mixture.join(df))
+    total = sum(r["prob"] * r["__tokens"] for r in got)
+    for d, goal in goals.items():
+        for value, share in goal.items():
+            assert abs(sum(r["prob"] * r["__tokens"] for r in got if r[f"__{d}"] == value) / total - share) < 1e-4
+    assert max(r["prob"] for r in got) <= 1 + 1e-12
+    # no cell can be above 1: raked shares scaled evenly draw less
+    names = [sorted({r[k] for r in rows}) for k in range(3)]
+    codes, tokens = [np.array([names[k].index(r[k]) for r in rows]) for k in range(3)], np.array([r[3] for r in rows], float)
+    by, _, _ = mixing.rake(mixing.Cells(codes, tokens, [2, 2, 2]), [np.array([goals[d][v] for v in x]) for d, x in zip(goals, names)], np.array([1.0]), 300, bounded=False)
+    ratio = by[0][0][codes[0]] * by[1][0][codes[1]] * by[2][0][codes[2]]
+    assert total > 1.05 / ratio.max()
 
 
 @pytest.mark.parametrize("bound", [500_000, 1])
@@ -395,8 +495,17 @@ def test_languages(spark, docs, empty):
     for k in (*range(2, 9), 300):
         code = langid.codewords(k)
         assert len({tuple(x) for x in code}) == k
-    few = langid.OutputCodes.fit(df, F.lit(True), most_languages=2)
-    assert few.languages == ["aa", "bb"]
+    assert langid.OutputCodes.fit(df, F.lit(True)).languages == ["aa", "bb", "cc"]
+
+
+def test_more_languages_than_a_block(spark):
+    """No language is left out, however many there are: each of 1500 has a word of its own."""
+    word = lambda k: "".join(chr(97 + (k // 26**j * 7 + 3 * j) % 26) for j in range(6))
+    df = spark.createDataFrame([(k, f"{word(k)} " * 30, f"l{k:04d}") for k in range(1500)], "doc_id long, text string, lang string").repartition(6)
+    model = langid.OutputCodes.fit(df, F.lit(True))
+    assert len(model.languages) == len({tuple(x) for x in model.code}) == 1500
+    got = rows_of(model.identify(df))
+    assert np.mean([r["lang_pred"] == f"l{r['doc_id']:04d}" for r in got]) > 0.95
 
 
 def test_language_stage_rejects_junk_with_letters(spark):
