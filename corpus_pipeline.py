@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from strandwise.llm import common as C
 
 
+#: Fingerprints of a text; near copies that one of them misses are found by another.
+PRINTS = 12
 #: What the mixture is asked for; sources share by their tempered tokens, as do the values that aren't named.
 TARGETS = {"lang": {"en": 0.6}, "topic": {"legal": 0.03, "table": 0.04}}
 
@@ -39,10 +41,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id; rows that repeat it go too."""
+    """One document of each group of near-duplicates, that with the smallest id; rows that repeat it go too.
+
+    Texts are linked where one of several fingerprints differs by four bits at most.
+    """
     from strandwise.llm.simhash import keep_one
 
-    return keep_one(docs)
+    return keep_one(docs, prints=PRINTS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
