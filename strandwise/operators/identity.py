@@ -1,4 +1,4 @@
-"""Sequence identity joins: thresholded by a lossless block filter, nearest by blocked products.
+"""Sequence identity joins: thresholded by lossless seeds, nearest by seeds at falling thresholds and products for the rest.
 
 Both work on distinct sequences; copies ride along as counts, so a sequence that a third of all rows
 share costs as much as any other.
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.functions import sequences as S
+from strandwise.operators import seeds as P
 from strandwise.operators.graph import cut
 
 BLOCK = 1024
@@ -22,32 +23,20 @@ def classes(panel: DataFrame) -> DataFrame:
     return panel.filter(F.col("aligned") != S.ALL_GAP).groupBy("aligned").agg(F.min("peptide_id").alias("rep"), F.count("*").alias("n"))
 
 
-def blocks_of(threshold: float) -> list[tuple[int, int]]:
-    """Columns from and to of the fewest blocks that are each so short that (1 - threshold) of one is under a column."""
-    n = next(n for n in range(1, S.LENGTH + 1) if (1 - threshold) * -(-S.LENGTH // n) < 1 - 1e-9)
-    cuts = [S.LENGTH * k // n for k in range(n + 1)]
-    return list(zip(cuts[:-1], cuts[1:], strict=True))
-
-
 def edges(distinct: DataFrame, threshold: float) -> DataFrame:
     """(a, b, identity) of distinct sequences with identity >= threshold, a < b.
 
-    Of the columns that aren't gaps in both at most a share of 1 - t differ. Over the blocks that aren't all gap
-    in both, that is less than one column for each, so one of them is equal: rows meet on (block, letters)
-    by an equi-join and are verified. Blocks that are all gap are no key, so short sequences don't meet for
-    what they lack. A pair is verified in its first equal block alone.
+    Rows meet where they hold the same letters at one of the seeds' sets of columns, common keys in cells, and each
+    pair is verified; pairs that meet at several sets are made one after that.
     """
-    where = blocks_of(threshold)
-    piece = lambda c, k: F.substring(c, where[k][0] + 1, where[k][1] - where[k][0])
-    blank = lambda k: F.lit(S.GAP * (where[k][1] - where[k][0]))
-    pieces = F.array(*(F.when(piece("aligned", k) != blank(k), piece("aligned", k)) for k in range(len(where))))
-    keyed = distinct.select("rep", "aligned", F.posexplode(pieces).alias("block", "piece")).filter("piece is not null")
-    x = keyed.select(F.col("rep").alias("a"), F.col("aligned").alias("sa"), "block", "piece")
-    y = keyed.select(F.col("rep").alias("b"), F.col("aligned").alias("sb"), "block", "piece")
-    pairs = x.join(y, ["block", "piece"]).filter("a < b")
-    for k in range(len(where) - 1):
-        pairs = pairs.filter(~((F.col("block") > k) & (piece("sa", k) == piece("sb", k)) & (piece("sa", k) != blank(k))))
-    return pairs.withColumn("identity", S.identity(F.col("sa"), F.col("sb"))).filter(F.col("identity") + S.EPS >= threshold).select("a", "b", "identity")
+    rows = cut(distinct.select("rep", "aligned", *P.pack(F.col("aligned"))))
+    n = rows.count()
+    plan = P.Plan.best(threshold, n, n * n / 2, P.agreement(rows))
+    x, y = P.cells(plan.keyed(rows.drop("aligned")))
+    packed = lambda side, name: side.select("key", "i", "j", F.struct("rep", *P.PACKED).alias(name))
+    pairs = packed(x, "x").join(packed(y, "y"), ["key", "i", "j"]).filter("i < j or x.rep < y.rep")
+    pairs = pairs.withColumn("identity", P.share("x", "y")).filter(F.col("identity") + S.EPS >= threshold)
+    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), "identity").distinct()
 
 
 def _codes(sequences: list[str]) -> np.ndarray:
@@ -63,16 +52,54 @@ def _identities(q: np.ndarray, d: np.ndarray) -> np.ndarray:
     return (hot(q) @ hot(d).T).astype(float) / np.maximum(used, 1)
 
 
-def nearest(queries: DataFrame, donors: DataFrame, same_fold: bool = False) -> DataFrame:
+#: Thresholds at which nearest() looks for donors, one after the other; what has none at the last meets all donors.
+LEVELS = (0.7, 0.4)
+
+
+def nearest(queries: DataFrame, donors: DataFrame, same_fold: bool = False, levels: tuple[float, ...] = LEVELS) -> DataFrame:
     """For each distinct query (aligned, fold): best identity, and over all donors tied at it (within 1e-12) their count, sums s1 and s2, smallest id, and ids: first_id of each tied donor row, sorted.
 
     donors: aligned, fold, first_id, n, s1, s2. With same_fold False donors of the query's fold don't
-    count (fold null: all count). Queries meet donors in blocks dealt by hashes; only each block's
-    best leaves it.
+    count (fold null: all count). At each threshold the queries that are left meet donors by seeds, which finds all
+    donors at or above it: a query with one has its best and all ties and is done. Queries without any go on to
+    the next one, and those without one at the last meet donors in blocks dealt by hashes.
     """
-    q = cut(queries.select("aligned", "fold").distinct())
-    donors = cut(donors.select("aligned", "fold", "first_id", "n", "s1", "s2"))
-    nq, nd = q.count(), donors.count()
+    packed = P.pack(F.col("aligned"))
+    left = cut(queries.select("aligned", "fold").distinct().select("*", F.monotonically_increasing_id().alias("qid"), *packed))
+    donors = cut(donors.select("aligned", "fold", "first_id", "n", "s1", "s2", *packed))
+    n, agree, found = donors.count(), P.agreement(donors), []
+    for threshold in levels:
+        q = left.count()
+        if not q or not n:
+            break
+        plan = P.Plan.best(threshold, q + n, q * n, agree)
+        x, y = P.cells(plan.keyed(left.drop("aligned")), plan.keyed(donors.select(F.xxhash64("first_id").alias("qid"), "fold", "first_id", *P.PACKED)), by="qid")
+        x = x.select("key", "i", "j", F.struct("qid", "fold", *P.PACKED).alias("x"))
+        y = y.select("key", "i", "j", F.struct("fold", "first_id", *P.PACKED).alias("y"))
+        pairs = x.join(y, ["key", "i", "j"])
+        if not same_fold:
+            pairs = pairs.filter("x.fold is null or y.fold is null or x.fold <> y.fold")
+        near = pairs.withColumn("identity", P.share("x", "y")).filter(F.col("identity") + S.EPS >= threshold)
+        near = cut(near.select(F.col("x.qid").alias("of"), F.col("y.fold").alias("df"), F.col("y.first_id").alias("donor"), "identity").distinct())
+        top = near.groupBy("of").agg(F.max("identity").alias("top"))
+        best = near.join(top, "of").filter(F.col("identity") >= F.col("top") - S.EPS)
+        rows = donors.select(F.col("fold").alias("f"), F.col("first_id").alias("d"), "n", "s1", "s2")
+        best = best.join(rows, (F.col("donor") == F.col("d")) & F.col("df").eqNullSafe(F.col("f")))
+        best = best.groupBy("of").agg(F.max("identity").alias("identity"), F.sum("n").cast("long").alias("ties"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.min("donor").alias("first_id"), F.array_sort(F.collect_list("donor")).alias("ids"))
+        found.append(left.join(best, left["qid"] == best["of"]).select("aligned", "fold", *RESULT))
+        left = cut(left.join(top, left["qid"] == top["of"], "left_anti"))
+    rest = _by_blocks(left, donors, same_fold).select("aligned", "fold", *RESULT)
+    for part in found:
+        rest = rest.unionByName(part)
+    return rest
+
+
+RESULT = ["identity", "ties", "s1", "s2", "first_id", "ids"]
+
+
+def _by_blocks(queries: DataFrame, donors: DataFrame, same_fold: bool) -> DataFrame:
+    """nearest() by products of blocks: only a block's best leaves it."""
+    q, nq, nd = queries.select("aligned", "fold"), queries.count(), donors.count()
     gq, gd = max(1, -(-nq // BLOCK)), max(1, -(-nd // (4 * BLOCK)))
     pack = lambda df, key, groups: df.withColumn(key, F.pmod(F.xxhash64("aligned", "fold"), F.lit(groups)).cast("int")).groupBy(key)
     qb = pack(q, "g", gq).agg(F.collect_list(F.struct("aligned", "fold")).alias("qs"))  # about a block each

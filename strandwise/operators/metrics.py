@@ -7,6 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandwise.operators.graph import cut
+from strandwise.operators.selection import grouped_ranks
+
 
 def pearson(a: str, b: str) -> Column:
     """Correlation; null for fewer than two rows or a constant."""
@@ -30,18 +33,27 @@ def point_metrics(rows: DataFrame, by: list[str], actual: str = "actual", guess:
 
 
 def average_ranks(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """rows with the average rank of value within its group: ranks come from counts of distinct values, so copies are cheap."""
+    """rows with the average rank of value within its group: ranks come from counts of distinct values over range partitions."""
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn("__r", F.coalesce(F.sum("__n").over(w), F.lit(0)) + (F.col("__n") + 1) / 2.0)
-    ranks = ranks.select(*(F.col(b).alias(f"__{b}") for b in by), F.col(value).alias("__v"), F.col("__r").alias(name))
-    on = [F.col(b) == F.col(f"__{b}") for b in by] + [F.col(value) == F.col("__v")]
+    ranks = grouped_ranks(counts, by, value, "__n", name).select(*(F.col(b).alias(f"__{b}") for b in by), F.col(value).alias("__v"), name)
+    on = [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by] + [F.col(value).eqNullSafe(F.col("__v"))]
     return rows.join(ranks, on).drop("__v", *(f"__{b}" for b in by))
 
 
 def spearman(rows: DataFrame, by: list[str], actual: str = "actual", guess: str = "guess") -> DataFrame:
-    ranked = average_ranks(average_ranks(rows, by, actual, "ra"), by, guess, "rg")
-    return ranked.groupBy(*by).agg(pearson("ra", "rg").alias("spearman"))
+    """Correlation of average ranks; null for fewer than two rows or a constant. Rows are counted by pairs of values first, so copies are cheap."""
+    pairs = cut(rows.filter(F.col(actual).isNotNull() & F.col(guess).isNotNull()).groupBy(*by, F.col(actual).alias("__a"), F.col(guess).alias("__g")).agg(F.count("*").alias("__n")))
+    ranked = pairs
+    for value, name in (("__a", "ra"), ("__g", "rg")):
+        counts = pairs.groupBy(*by, value).agg(F.sum("__n").alias("__m"))
+        ranks = grouped_ranks(counts, by, value, "__m", name).select(*(F.col(b).alias(f"__{b}") for b in by), F.col(value).alias("__v"), name)
+        on = [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by] + [F.col(value) == F.col("__v")]
+        ranked = ranked.join(ranks, on).drop("__v", *(f"__{b}" for b in by))
+    n, mean = F.sum("__n"), lambda x: F.sum(F.col("__n") * x) / F.sum("__n")
+    flat = (F.min("ra") == F.max("ra")) | (F.min("rg") == F.max("rg"))
+    moments = ranked.groupBy(*by).agg(n.alias("n"), flat.alias("flat"), mean(F.col("ra")).alias("a"), mean(F.col("rg")).alias("g"), mean(F.col("ra") * F.col("ra")).alias("aa"), mean(F.col("rg") * F.col("rg")).alias("gg"), mean(F.col("ra") * F.col("rg")).alias("ag"))
+    spread = F.sqrt((F.col("aa") - F.col("a") * F.col("a")) * (F.col("gg") - F.col("g") * F.col("g")))
+    return moments.select(*by, F.when(~F.col("flat"), (F.col("ag") - F.col("a") * F.col("g")) / F.nullif(spread, F.lit(0.0))).alias("spearman"))
 
 
 def component_weights(rows: DataFrame, component: str) -> DataFrame:

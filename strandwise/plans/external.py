@@ -17,6 +17,7 @@ from strandwise.operators import identity as I
 from strandwise.operators import metrics as M
 from strandwise.operators import ridge as R
 from strandwise.operators import screening as C
+from strandwise.operators.selection import exact_quantiles
 from strandwise.plans import panel as P
 from strandwise.plans.base import IDENTITY, MEASURED, PANEL, query
 from strandwise.sources import sinks
@@ -113,7 +114,8 @@ def locked_baselines(spark, d) -> DataFrame:
     donors = dev.groupBy("aligned").agg(F.min("peptide_id").alias("first_id"), F.count("*").alias("n"), F.sum("y1").alias("s1"), F.sum("y2").alias("s2")).withColumn("fold", F.lit(None).cast("int"))
     ext = T.panel(spark, d).filter((F.col("doc_id") % 8 != 0) & (F.col("aligned") != S.ALL_GAP)).select("peptide_id", "aligned")
     nn = I.nearest(ext.withColumn("fold", F.lit(None).cast("int")), donors).select("aligned", F.lit("nn").alias("model"), (F.col("s1") / F.col("ties")).alias("a"), (F.col("s2") / F.col("ties")).alias("b"))
-    median = dev.agg(F.median("y1").alias("a"), F.median("y2").alias("b")).withColumn("model", F.lit("median"))
+    medians = exact_quantiles(dev, ["y1", "y2"], [0.5]).get(None, [[None], [None]])
+    median = spark.createDataFrame([(*(x[0] for x in medians), "median")], "a double, b double, model string")
     mean = M.balanced_mean(dev, "source", ["y1", "y2"]).select(F.col("y1").alias("a"), F.col("y2").alias("b"), F.lit("component_mean").alias("model"))
     fixed = ext.join(F.broadcast(median.unionByName(mean))).select("peptide_id", "model", "a", "b")  # two rows
     both = ext.join(nn, "aligned").select("peptide_id", "model", "a", "b").unionByName(fixed)

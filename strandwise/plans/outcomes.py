@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.functions import sequences as S
@@ -12,6 +10,8 @@ from strandwise.operators import graph as G
 from strandwise.operators import identity as I
 from strandwise.operators import metrics as M
 from strandwise.operators import ridge as R
+from strandwise.operators.resample import intervals, resampled
+from strandwise.operators.selection import exact_quantiles
 from strandwise.plans.base import IDENTITY, MEASURED, query
 from strandwise.sources import tables as T
 
@@ -44,11 +44,11 @@ def nearest_summary(spark, d) -> DataFrame:
 
 @query(f"with {MEASURED} select f.fold, round(median(m.y1), 6) as median_gcgr, round(median(m.y2), 6) as median_glp1r, round(median(m.sel), 6) as median_selectivity from (select distinct fold from m) f join m on m.fold <> f.fold group by f.fold")
 def fold_median_oof(spark, d) -> DataFrame:
-    """Exact medians of each fold's complement, from counts of distinct values."""
-    m = T.measured(spark, d)
-    other = m.withColumn("of", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).filter("of <> fold")
-    present = m.select(F.col("fold").alias("of")).distinct()
-    return other.join(F.broadcast(present), "of").groupBy(F.col("of").alias("fold")).agg(*(F.round(F.median(c), 6).alias(f"median_{n}") for c, n in (("y1", "gcgr"), ("y2", "glp1r"), ("sel", "selectivity"))))  # three rows
+    """Exact medians of each fold's complement, by order statistics of the other folds' counts."""
+    found = exact_quantiles(T.measured(spark, d), ["y1", "y2", "sel"], [0.5], by="fold", complements=True)
+    rows = [(int(fold), *(x[0] for x in lines)) for fold, lines in found.items() if lines[0][0] is not None]
+    medians = spark.createDataFrame(rows, "fold int, y1 double, y2 double, sel double")  # a row for each fold
+    return medians.select("fold", *(F.round(c, 6).alias(f"median_{n}") for c, n in (("y1", "gcgr"), ("y2", "glp1r"), ("sel", "selectivity"))))
 
 
 LONG = NN + """,
@@ -238,59 +238,30 @@ def direction_stability(spark, d) -> DataFrame:
 
 # ------------------------------------------------------------------ resampling
 
-RESAMPLES = 400
+RESAMPLES = 10_000
+
 
+def _intervals(means: DataFrame) -> DataFrame:
+    found = intervals(means, ["endpoint", "baseline"], "delta")
+    return found.select("endpoint", "baseline", *(F.round(c, 6).alias(n) for c, n in (("mean", "mean_delta"), ("low", "low"), ("high", "high"))))
 
-@query(f"""with {DELTAS}, g0 as (select endpoint, baseline, component, sum(delta) as s, count(*) as n from delta group by endpoint, baseline, component),
-g as materialized (select *, row_number() over (partition by endpoint, baseline order by component) - 1 as slot, count(*) over (partition by endpoint, baseline) as k from g0),
-draws as (select endpoint, baseline, r, (r * 7919 + j * 104729 + (r * j) % 97) % k as slot from (select distinct endpoint, baseline, k from g), (select unnest(range({RESAMPLES})) as r), lateral (select unnest(range(k)) as j)),
-t as (select d.endpoint, d.baseline, r, sum(s) / sum(n) as delta from draws d join g on g.endpoint = d.endpoint and g.baseline = d.baseline and g.slot = d.slot group by all)
-select endpoint, baseline, round(avg(delta), 6) as mean_delta, round(quantile_cont(delta, 0.025), 6) as low, round(quantile_cont(delta, 0.975), 6) as high from t group by all""")
+
+@query()
 def component_bootstrap(spark, d) -> DataFrame:
-    """Paired bootstrap of whole components: sums and sizes first, then draws of slots by a hash that SQL can repeat."""
+    """Paired bootstrap of whole components, as many draws as there are: sums and sizes first, then the mean of each resample's rows."""
     by = ["endpoint", "baseline"]
-    g = G.cut(_deltas(spark, d).groupBy(*by, "component").agg(F.sum("delta").alias("s"), F.count("*").alias("n")))
-    w = Window.partitionBy(*by)
-    g = g.withColumns({"slot": F.row_number().over(w.orderBy("component")).cast("long") - 1, "k": F.count("*").over(w)})
-    draws = g.select(*by, "k").distinct().withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(RESAMPLES - 1)))).withColumn("j", F.explode(F.expr("sequence(0L, k - 1)")))
-    draws = draws.select(*by, "r", ((F.col("r") * 7919 + F.col("j") * 104729 + (F.col("r") * F.col("j")) % 97) % F.col("k")).alias("slot"))
-    t = draws.join(g.drop("k"), [*by, "slot"]).groupBy(*by, "r").agg((F.sum("s") / F.sum("n")).alias("delta"))
-    return t.groupBy(*by).agg(F.round(F.avg("delta"), 6).alias("mean_delta"), F.round(F.percentile("delta", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("delta", F.lit(0.975)), 6).alias("high"))
-
-
-WEIGHTED = 200
-#: The distribution of Poisson counts with mean 1, up to 7.
-POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
-PRIME = 2147483647
-
-
-@query(f"""with {DELTAS}, x as (select endpoint, baseline, design_group, delta, id, r, (id * 48271 + r * 69621 + 12345) % {PRIME} as h from delta, (select unnest(range({WEIGHTED})) as r)),
-y as (select *, (h * h + 40692 * h + r) % {PRIME} as i from x), z as (select *, ((i * i + 16807 * r + h) % {PRIME}) / cast({PRIME} as double) as u from y),
-w as (select *, {" + ".join(f"(u >= {t})::int" for t in POISSON)} as w from z),
-s as (select endpoint, baseline, design_group, r, count(*) as n, sum(w) as sw, sum(w * delta) as sd from w group by all),
-t as (select endpoint, baseline, r, sum(n * sd / sw) / sum(n) as delta from s where sw > 0 group by all)
-select endpoint, baseline, round(avg(delta), 6) as mean_delta, round(quantile_cont(delta, 0.025), 6) as low, round(quantile_cont(delta, 0.975), 6) as high from t group by all""")
+    g = _deltas(spark, d).groupBy(*by, "component").agg(F.sum("delta").alias("s"), F.count("*").alias("n"))
+    drawn = resampled(g, by, "component", ["s", "n"], RESAMPLES)
+    return _intervals(drawn.withColumn("delta", F.col("s") / F.col("n")))
+
+
+@query()
 def stratified_bootstrap(spark, d) -> DataFrame:
-    """Rows are resampled within each design group by Poisson weights, which each row draws from its own id: no task numbers or repeats rows."""
-    by, strata = ["endpoint", "baseline"], ["endpoint", "baseline", "design_group"]
-
-    def weigh(batches):
-        r = np.arange(WEIGHTED)
-        for batch in batches:
-            ids = batch["id"].to_numpy()[:, None]
-            h = (ids * 48271 + r * 69621 + 12345) % PRIME
-            i = (h * h + 40692 * h + r) % PRIME
-            w = np.searchsorted(POISSON, (i * i + 16807 * r + h) % PRIME / PRIME, "right").astype(float)
-            keys = list(zip(*(batch[c].to_pylist() for c in strata), strict=True))
-            delta = batch["delta"].to_numpy()
-            for key in sorted(set(keys)):
-                here = np.array([k == key for k in keys])
-                yield pa.RecordBatch.from_arrays([*(pa.array([x] * WEIGHTED) for x in key), pa.array(r), pa.array(np.full(WEIGHTED, here.sum())), pa.array(w[here].sum(0)), pa.array(delta[here] @ w[here])], [*strata, "r", "n", "sw", "sd"])
-
-    s = _deltas(spark, d).select(*strata, "id", "delta").mapInArrow(weigh, "endpoint string, baseline string, design_group string, r long, n long, sw double, sd double")
-    s = s.groupBy(*strata, "r").agg(F.sum("n").alias("n"), F.sum("sw").alias("sw"), F.sum("sd").alias("sd")).filter("sw > 0")
-    t = s.groupBy(*by, "r").agg((F.sum(F.col("n") * F.col("sd") / F.col("sw")) / F.sum("n")).alias("delta"))
-    return t.groupBy(*by).agg(F.round(F.avg("delta"), 6).alias("mean_delta"), F.round(F.percentile("delta", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("delta", F.lit(0.975)), 6).alias("high"))
+    """Rows are resampled within each design group, as many as it has; the mean is over all of an endpoint's rows."""
+    strata = ["endpoint", "baseline", "design_group"]
+    drawn = resampled(_deltas(spark, d).select(*strata, "id", "delta", F.lit(1.0).alias("n")), strata, "id", ["delta", "n"], RESAMPLES)
+    pooled = drawn.groupBy("endpoint", "baseline", "resample").agg((F.sum("delta") / F.sum("n")).alias("delta"))
+    return _intervals(pooled)
 
 
 @query(f"with {LOSSES}, a as (select 'metric' as kind, model, cast(null as varchar) as baseline, endpoint, round(avg(loss), 6) as value from loss group by model, endpoint), {DELTAS[len(LOSSES) + 2:]} select * from a union all select 'delta', 'ridge', baseline, endpoint, round(avg(delta), 6) from delta group by baseline, endpoint")
