@@ -19,6 +19,7 @@ their own, an empty table gives none. Other columns are neither read nor returne
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -38,6 +39,10 @@ _PLAIN = "!-~À-ÖØ-öø-ÿ"
 #: A space that isn't between plain characters, and where a text can be cut.
 _ODD_SPACE = re.compile(f" (?:(?![{_PLAIN}])|(?<![{_PLAIN}] ))")
 _CUT = re.compile(f"(?<=[{_PLAIN}])(?= [{_PLAIN}])")
+_ALL_PLAIN = re.compile(f"[{_PLAIN}]+")
+_ALL_PLAIN_WORDS = re.compile(f"[ {_PLAIN}]*")
+#: Plain chunks that are encoded together.
+_TOGETHER = 512
 #: Labels of bytes: 0 none, 1 A ends, 2 B ends, 3 both.
 _SPAN = re.compile(rb"[^\x03]*\x03")
 
@@ -69,7 +74,7 @@ def token_groups(a_bytes: np.ndarray, b_bytes: np.ndarray) -> tuple[np.ndarray,
     labels = np.zeros(int(a_bytes.sum()), np.uint8)
     labels[np.cumsum(a_bytes) - 1] = 1
     labels[np.cumsum(b_bytes) - 1] += 2
-    ends = np.fromiter((m.end() for m in _SPAN.finditer(labels.tobytes())), np.int64) - 1
+    ends = np.cumsum(np.fromiter(map(len, _SPAN.findall(labels.tobytes())), np.int64)) - 1
     a_upto, b_upto = np.cumsum(labels & 1, dtype=np.int64), np.cumsum(labels >> 1, dtype=np.int64)
     at = np.flatnonzero(labels)
     return np.diff(a_upto[ends], prepend=0), np.diff(b_upto[ends], prepend=0), a_upto[at] - (labels[at] & 1), b_upto[at] - (labels[at] >> 1), at + 1
@@ -78,7 +83,7 @@ def token_groups(a_bytes: np.ndarray, b_bytes: np.ndarray) -> tuple[np.ndarray,
 class Aligner:
     """What the tokens of two tokenizers give for chunks of text, with a cache of chunks."""
 
-    MOST, MOST_CHARS = 1 << 17, 1 << 24  # cached; beyond, the cache starts anew
+    MOST, MOST_CHARS = 3 << 16, 1 << 24  # cached; beyond, the cache starts anew
 
     def __init__(self, byte_path: str, piece_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -87,11 +92,13 @@ class Aligner:
 
         self.a = Tokenizer.from_file(byte_path)
         self.a.encode_special_tokens = True
+        self._byte_ids = lambda text: self.a.encode(text, add_special_tokens=False).ids
         alphabet = byte_alphabet()
         vocab = self.a.get_vocab()
         self.a_bytes = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.a_bytes[i] = bytes(alphabet[c] for c in token)
+        self._faster_merges(byte_path)
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(pieces)]
@@ -104,6 +111,21 @@ class Aligner:
         self.wide = np.array([len(str(i)) for i in range(most)])
         self.clear()
 
+    def _faster_merges(self, byte_path: str) -> None:
+        """The same merges by another library where the file's ids are its merges' ranks and no character of a text is beyond Latin-1's printable ones."""
+        import public_tokenizers
+        import tiktoken
+
+        with open(byte_path, encoding="utf-8") as f:
+            model = json.load(f)
+        vocab, merges = model["model"]["vocab"], [x if isinstance(x, str) else " ".join(x) for x in model["model"]["merges"]]
+        alphabet = byte_alphabet()
+        if any(vocab.get(x.replace(" ", "")) != 256 + k for k, x in enumerate(merges)) or {vocab.get(c, -1) for c in alphabet} != set(range(256)) or model["normalizer"] is not None:
+            return
+        ranks = {self.a_bytes[i]: i for i in range(256 + len(merges))}
+        fast, slow = tiktoken.Encoding("byte", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), self._byte_ids
+        self._byte_ids = lambda text: fast.encode_ordinary(text) if _ALL_PLAIN_WORDS.fullmatch(text) else slow(text)
+
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.chars = 0
@@ -112,28 +134,47 @@ class Aligner:
         self.counts = np.zeros((5, 0), np.int64)
         self.link_at, self.links = np.zeros(0, np.int64), np.zeros(0, U64)
 
+    def _encoded(self, texts: list[str]) -> tuple[list[int], list[int], bool]:
+        """Ids of both sides for " " + " ".join(texts), and whether both give its bytes."""
+        text = " ".join(texts)
+        a, b = self._byte_ids(" " + text), self.b.encode(text)
+        raw = b" " + text.encode()
+        return a, b, b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
+
     def learn(self, new: list[str]) -> None:
-        a = [x.ids for x in self.a.encode_batch_fast([" " + x for x in new], add_special_tokens=False)]
-        b = self.b.encode(new, num_threads=1)
-        raw = [b" " + x.encode() for x in new]
-        good = [b"".join(map(self.a_bytes.__getitem__, x)) == z == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, z in zip(a, b, raw, strict=True)]
-        kept = np.array([len(z) if ok else 0 for z, ok in zip(raw, good, strict=True)], np.int64)
-        n_a, n_b = (np.array([len(x) if ok else 0 for x, ok in zip(side, good, strict=True)], np.int64) for side in (a, b))
-        a, b = (np.fromiter(chain.from_iterable(x for x, ok in zip(side, good, strict=True) if ok), np.int64, int(n.sum())) for side, n in ((a, n_a), (b, n_b)))
+        """Plain chunks are encoded many together, as their borders are ones of tokens; any other alone."""
+        odd = [x for x in new if not _ALL_PLAIN.fullmatch(x)]
+        plain = [x for x in new if _ALL_PLAIN.fullmatch(x)] if self.cuts else []
+        odd = odd if self.cuts else new
+        runs = [plain[k : k + _TOGETHER] for k in range(0, len(plain), _TOGETHER)] + [[x] for x in odd]
+        lists, order, good = [], [], []
+        while runs:
+            run = runs.pop()
+            a, b, ok = self._encoded(run)
+            if not ok and len(run) > 1:
+                runs += [[x] for x in run]
+                continue
+            order += run
+            good += [ok] * len(run)
+            if ok:
+                lists.append((a, b))
+        a, b = (np.fromiter(chain.from_iterable(x[k] for x in lists), np.int64) for k in (0, 1))
+        good = np.array(good)
+        ends = np.cumsum(np.where(good, [len(x.encode()) + 1 for x in order], 0))
+        of = lambda at: np.diff(np.searchsorted(at, ends, "right"), prepend=0)  # noqa: E731  how many of these ends lie in each chunk
+        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        n_a, n_b = of(a_ends), of(b_ends)
         group_a, group_b, link_a, link_b, link_end = token_groups(self.a_size[a], self.b_size[b])
-        upto = np.cumsum(kept)
-        links = np.diff(np.searchsorted(link_end, upto, "right"), prepend=0)
-        group_of = np.cumsum(group_a)
-        groups = np.diff(np.searchsorted(group_of, np.cumsum(n_a), "right"), prepend=0)
+        links, groups = of(link_end), of(a_ends[np.cumsum(group_a) - 1])
         text, text_at = self._written(a, b, group_a, group_b)
-        ends = text_at[np.cumsum(groups)]
-        begins = np.concatenate(([0], ends[:-1]))
-        self.texts += [text[i : j - 1] if j > i else b"" for i, j in zip(begins.tolist(), ends.tolist(), strict=True)]
+        until = text_at[np.cumsum(groups)]
+        begins = np.concatenate(([0], until[:-1]))
+        self.texts += [text[i : j - 1] if j > i else b"" for i, j in zip(begins.tolist(), until.tolist(), strict=True)]
         self.link_at = np.concatenate([self.link_at, len(self.links) + np.cumsum(links) - links])
         self.links = np.concatenate([self.links, (a[link_a] << 32 | b[link_b]).astype(U64)])
-        self.counts = np.concatenate([self.counts, np.stack([n_a, n_b, groups, links, np.array(good, np.int64)])], axis=1)
-        self.index |= {x: len(self.index) + k for k, x in enumerate(new)}
-        self.chars += sum(map(len, new))
+        self.counts = np.concatenate([self.counts, np.stack([n_a, n_b, groups, links, good.astype(np.int64)])], axis=1)
+        self.index.update(zip(order, range(len(self.index), len(self.index) + len(order)), strict=True))
+        self.chars += sum(map(len, order))
 
     def _written(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> tuple[bytes, np.ndarray]:
         """`a1,a2|b1;` of all groups, and where each of them ends (0 first)."""
