@@ -52,27 +52,34 @@ def _identities(q: np.ndarray, d: np.ndarray) -> np.ndarray:
     return (hot(q) @ hot(d).T).astype(float) / np.maximum(used, 1)
 
 
-#: Thresholds at which nearest() looks for donors, one after the other; what has none at the last meets all donors.
-LEVELS = (0.7, 0.4)
+#: Thresholds at which nearest() may look for donors by seeds, one after the other; what has none at the last meets all donors.
+LEVELS = (0.85, 0.7, 0.6, 0.5, 0.4)
+#: A pair of a product of blocks, beside a pair that meets by a seed, and what a level costs in such pairs whatever it finds.
+PRODUCT_COST, LEVEL_COST = 0.05, 4e6
 
 
-def nearest(queries: DataFrame, donors: DataFrame, same_fold: bool = False, levels: tuple[float, ...] = LEVELS) -> DataFrame:
+def nearest(queries: DataFrame, donors: DataFrame, same_fold: bool = False, levels: tuple[float, ...] = LEVELS, level_cost: float = LEVEL_COST) -> DataFrame:
     """For each distinct query (aligned, fold): best identity, and over all donors tied at it (within 1e-12) their count, sums s1 and s2, smallest id, and ids: first_id of each tied donor row, sorted.
 
     donors: aligned, fold, first_id, n, s1, s2. With same_fold False donors of the query's fold don't
     count (fold null: all count). At each threshold the queries that are left meet donors by seeds, which finds all
     donors at or above it: a query with one has its best and all ties and is done. Queries without any go on to
-    the next one, and those without one at the last meet donors in blocks dealt by hashes.
+    the next one, and those without one at the last meet donors in blocks dealt by hashes. A level is passed over
+    if, by the letters' frequencies, its keys and pairs cost over a fourth of what the products would for the
+    queries that are left; rows are the same.
     """
     packed = P.pack(F.col("aligned"))
     left = cut(queries.select("aligned", "fold").distinct().select("*", F.monotonically_increasing_id().alias("qid"), *packed))
     donors = cut(donors.select("aligned", "fold", "first_id", "n", "s1", "s2", *packed))
-    n, agree, found = donors.count(), P.agreement(donors), []
+    q, n, agree, found = left.count(), donors.count(), None, []
     for threshold in levels:
-        q = left.count()
-        if not q or not n:
+        products = PRODUCT_COST * q * n
+        if products < 4 * level_cost or not n:
             break
+        agree = agree or P.agreement(donors)
         plan = P.Plan.best(threshold, q + n, q * n, agree)
+        if 4 * (level_cost + plan.cost(q + n, q * n, agree)) > products:
+            continue
         x, y = P.cells(plan.keyed(left.drop("aligned")), plan.keyed(donors.select(F.xxhash64("first_id").alias("qid"), "fold", "first_id", *P.PACKED)), by="qid")
         x = x.select("key", "i", "j", F.struct("qid", "fold", *P.PACKED).alias("x"))
         y = y.select("key", "i", "j", F.struct("fold", "first_id", *P.PACKED).alias("y"))
@@ -88,6 +95,7 @@ def nearest(queries: DataFrame, donors: DataFrame, same_fold: bool = False, leve
         best = best.groupBy("of").agg(F.max("identity").alias("identity"), F.sum("n").cast("long").alias("ties"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.min("donor").alias("first_id"), F.array_sort(F.collect_list("donor")).alias("ids"))
         found.append(left.join(best, left["qid"] == best["of"]).select("aligned", "fold", *RESULT))
         left = cut(left.join(top, left["qid"] == top["of"], "left_anti"))
+        q = left.count()
     rest = _by_blocks(left, donors, same_fold).select("aligned", "fold", *RESULT)
     for part in found:
         rest = rest.unionByName(part)
@@ -110,22 +118,20 @@ def _by_blocks(queries: DataFrame, donors: DataFrame, same_fold: bool) -> DataFr
         for batch in batches:
             for row in range(batch.num_rows):
                 qs, ds = batch["qs"][row].values, batch["ds"][row].values
+                ids = np.array(ds.field("first_id").to_pylist(), object)
+                order = np.argsort(ids)
+                ids, ds = ids[order], ds.take(pa.array(order))
                 x = _identities(_codes(qs.field("aligned").to_pylist()), _codes(ds.field("aligned").to_pylist()))
                 if not same_fold:
                     fq, fd = (np.array([-1 - k if v is None else v for v in z.field("fold").to_pylist()]) for k, z in enumerate((qs, ds)))
                     x[fq[:, None] == fd[None, :]] = -1
                 top = x.max(1)
-                tied = (x >= top[:, None] - S.EPS) & (x >= 0)
-                num = [z.to_numpy(zero_copy_only=False).astype(float) for z in (ds.field("n"), ds.field("s1"), ds.field("s2"))]
-                ids = np.array(ds.field("first_id").to_pylist(), object)
-                order = np.argsort(ids)
-                ordered = tied[:, order]
-                first = ids[order[ordered.argmax(1)]]
+                of, donor = np.nonzero(x >= np.where(top >= 0, top - S.EPS, np.inf)[:, None])  # of a query's donors the smallest id first
                 keep = np.flatnonzero(top >= 0)
-                _, which = np.nonzero(ordered[keep])
-                upto = np.concatenate(([0], np.cumsum(ordered[keep].sum(1)))).astype(np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(upto), pa.array(ids[order[which]], pa.string()))
-                yield pa.RecordBatch.from_arrays([qs.field("aligned").take(pa.array(keep)), qs.field("fold").take(pa.array(keep)).cast(pa.int32()), pa.array(top[keep]), *(pa.array((tied @ v)[keep]) for v in num), pa.array(first[keep], pa.string()), listed], ["aligned", "fold", "identity", "n", "s1", "s2", "first_id", "ids"])
+                num = [np.bincount(of, z.to_numpy(zero_copy_only=False).astype(float)[donor], len(top)) for z in (ds.field("n"), ds.field("s1"), ds.field("s2"))]
+                upto = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(top))[keep]))).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(upto), pa.array(ids[donor], pa.string()))
+                yield pa.RecordBatch.from_arrays([qs.field("aligned").take(pa.array(keep)), qs.field("fold").take(pa.array(keep)).cast(pa.int32()), pa.array(top[keep]), *(pa.array(v[keep]) for v in num), pa.array(ids[donor[upto[:-1]]], pa.string()), listed], ["aligned", "fold", "identity", "n", "s1", "s2", "first_id", "ids"])
 
     local = cut(pairs.mapInArrow(best, "aligned string, fold int, identity double, n double, s1 double, s2 double, first_id string, ids array<string>"))
     top = local.groupBy(F.col("aligned").alias("ta"), F.col("fold").alias("tf")).agg(F.max("identity").alias("top"))

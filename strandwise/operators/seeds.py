@@ -29,8 +29,8 @@ LANES, BITS = 12, 5
 WORDS = -(-S.LENGTH // LANES)
 ONES = sum(1 << BITS * i for i in range(LANES))
 PACKED = [f"p{w}" for w in range(WORDS)]
-#: Keys that a sequence emits at most, and what one costs beside a pair that is looked at.
-MOST_KEYS, KEY_COST = 700, 2.0
+#: Keys that a sequence emits at most (twice as many sets are held against it), and what one costs beside a pair that is looked at.
+MOST_KEYS, KEY_COST = 700, 4.0
 #: Rows of a key that meet in one cell.
 CELL = 1024
 
@@ -79,6 +79,13 @@ class Plan:
         """Sets of a sequence without gaps."""
         return sum(math.comb(len(g), self.least(len(g))) for g in self.groups)
 
+    def sizes(self, group: range) -> list[int]:
+        """Sizes of the sets that rows emit for a group, by how many residues they and their partners have there."""
+        return [size for size in range(1, self.least(len(group)) + 1) if any(self.least(r) <= size <= r for r in range(1, len(group) + 1))]
+
+    def all_sets(self) -> int:
+        return sum(math.comb(len(g), size) for g in self.groups for size in self.sizes(g))
+
     def rate(self, agree: list[float]) -> float:
         """Expected sets that two unrelated sequences share, from each column's chance that two agree."""
         total = 0.0
@@ -89,15 +96,19 @@ class Plan:
             total += ways[self.least(len(g))]
         return total
 
+    def cost(self, rows: int, pairs: float, agree: list[float]) -> float:
+        """In pairs that are looked at."""
+        return KEY_COST * rows * self.keys() + pairs * self.rate(agree)
+
     @classmethod
     def best(cls, threshold: float, rows: int, pairs: float, agree: list[float]) -> Plan:
         """The cheapest for so many rows of keys and so many possible pairs."""
-        found = [p for n in range(1, S.LENGTH + 1) if (p := cls(threshold, n)).keys() <= MOST_KEYS]
-        return min(found, key=lambda p: KEY_COST * rows * p.keys() + pairs * p.rate(agree))
+        found = [p for n in range(1, S.LENGTH + 1) if (p := cls(threshold, n)).all_sets() <= 2 * MOST_KEYS]
+        return min(found, key=lambda p: p.cost(rows, pairs, agree))
 
     def sets(self) -> list[tuple[int, int, tuple[int, ...]]]:
         """Group, size and columns of every set that some row may emit."""
-        return [(number, size, c) for number, g in enumerate(self.groups) for size in range(1, self.least(len(g)) + 1) if any(self.least(r) <= size <= r for r in range(1, len(g) + 1)) for c in combinations(g, size)]
+        return [(number, size, c) for number, g in enumerate(self.groups) for size in self.sizes(g) for c in combinations(g, size)]
 
     def keyed(self, rows: DataFrame) -> DataFrame:
         """rows (packed) once for each of their keys, hashes of a set and the letters there (a collision adds a pair to look at)."""
@@ -149,14 +160,15 @@ def agreement(rows: DataFrame) -> list[float]:
     return [sum((r["count"] / total) ** 2 for r in letters if r.i == i and r.x != S.GAP) for i in range(S.LENGTH)]
 
 
-def cells(keyed: DataFrame, other: DataFrame | None = None, by: str = "rep", cell: int = CELL) -> tuple[DataFrame, DataFrame]:
+def cells(keyed: DataFrame, other: DataFrame | None = None, by: str = "rep", cell: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Both sides of a join on (key, i, j) in which no cell has many rows of a key, however common it is.
 
     A key with more rows than `cell` on a side has its rows dealt by a hash into so many lines (or columns) of a grid; each row goes
     to all cells of its line, so every pair meets in exactly one. With one table (other None) only cells with i <= j
     are used: rows are the first of a pair in line i and the second in column i.
     """
-    sides = [keyed, keyed if other is None else other]
+    cell, keyed = cell or CELL, cut(keyed)
+    sides = [keyed, keyed if other is None else cut(other)]
     counts = None
     for k, side in enumerate(sides[: 1 if other is None else 2]):
         own = side.groupBy("key").agg(F.count("*").alias(f"n{k}"))
