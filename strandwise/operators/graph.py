@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,29 @@ def cut(df: DataFrame) -> DataFrame:
         if not root and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="strandwise-"))
-    return df.checkpoint(eager=True)
+    return kept_until_end(df.checkpoint(eager=True))
+
+
+_kept: list[str] = []
+
+
+def kept_until_end(checkpointed: DataFrame) -> DataFrame:
+    """A checkpointed table, whose files go when the driver ends."""
+    try:
+        place = checkpointed._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    except Exception:  # another kind of plan or session: its files are that one's to clean
+        return checkpointed
+    if place.isDefined():
+        _kept.append(str(place.get()))
+    return checkpointed
+
+
+@atexit.register
+def _drop_kept() -> None:
+    for place in _kept:
+        fs, path = FileSystem.from_uri(place if "://" in place else "file://" + place.removeprefix("file:"))
+        if fs.get_file_info(path).type.name == "Directory":
+            fs.delete_dir(path)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

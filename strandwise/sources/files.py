@@ -11,11 +11,16 @@ import json
 import math
 import os
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.functions import sequences as S
+from strandwise.operators.graph import cut
 
 SMALL = 65_536
 DOCUMENT = 64 << 20
@@ -62,24 +67,77 @@ def same_ids(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.join(b, key)
 
 
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """record (from 1) and text of the CSV records of one file, in any number of tasks; blank lines are none.
+
+    A line ends a record if the quotes up to it are even. Tasks read ranges of the file and count quotes and records under both
+    guesses of the state that these begin in; the counts of the ranges, one row each, say which guess is right and how
+    many records were before. Only records of several lines are put together by a shuffle.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.input_file_block_start().alias("part"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = None  # a range of the file, named by its first byte
+        for batch in batches:
+            places = batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(places[1:] != places[:-1]) + 1).tolist(), len(places)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i == j:
+                    continue
+                if places[i] != part:
+                    part, row, odd, upto = places[i], 0, 0, np.zeros(2, np.int64)
+                text, n = batch.column(0).slice(i, j - i), j - i
+                quotes = pc.count_substring(text, '"').to_numpy(zero_copy_only=False).astype(np.int64)
+                state = (odd + np.cumsum(quotes) - quotes) % 2  # before each line, from the range's first
+                blank = pc.is_in(text, pa.array(["", "\r"])).to_numpy(zero_copy_only=False)
+                seen = upto[:, None] + np.cumsum([(state == g) & ~blank for g in (0, 1)], axis=1)  # under the guess g, a record starts where nothing is open
+                yield pa.RecordBatch.from_arrays([text, pa.array(np.full(n, part)), pa.array(np.arange(row, row + n)), pa.array(state), pa.array(quotes % 2), pa.array(seen[0]), pa.array(seen[1])], [x.split()[0] for x in LINES.split(", ")])
+                row, odd, upto = row + n, (odd + int(quotes.sum())) % 2, seen[:, -1]
+
+    found = cut(lines.mapInArrow(count, LINES))
+    ends = found.groupBy("part").agg((F.sum("turns") % 2).alias("odd"), F.max("seen_0").alias("n0"), F.max("seen_1").alias("n1")).orderBy("part").collect()  # a row for each range
+    guesses, guess, before = [], 0, 0
+    for p in ends:
+        guesses.append((p.part, guess, before))
+        before += p.n1 if guess else p.n0
+        guess = (guess + p.odd) % 2
+    if guess:
+        raise InputError("a quote is never closed")
+    known = spark.createDataFrame(guesses, "of long, guess int, before long")
+    placed = found.join(F.broadcast(known), F.col("part") == F.col("of"))
+    opened = (F.col("state") + F.col("guess")) % 2 == 1  # a record goes on from the line before
+    placed = placed.select("text", "part", "row", (F.col("before") + F.when(F.col("guess") == 0, F.col("seen_0")).otherwise(F.col("seen_1"))).alias("record"), opened.alias("opened"), ((F.col("turns") == 1) != opened).alias("goes_on"))
+    bare = F.regexp_replace("text", "\r$", "")
+    single = placed.filter("not opened and not goes_on").filter(bare != "").select("record", bare.alias("text"))
+    several = placed.filter("opened or goes_on").groupBy("record").agg(F.array_sort(F.collect_list(F.struct("part", "row", "text"))).alias("lines"))  # the lines of one record
+    return single.unionByName(several.select("record", F.regexp_replace(F.array_join(F.transform("lines", lambda x: x["text"]), "\n"), "\r$", "").alias("text")))
+
+
+LINES = "text string, part long, row long, state long, turns long, seen_0 long, seen_1 long"
+#: A field in quotes, in which a quote is doubled, or a bare one; as one group.
+_CELL = r'("[^"]*+(?:""[^"]*+)*+"|[^",\r\n]*+)'
+
+
 def candidates(spark: SparkSession, path: str, most_rows: int | None = None) -> DataFrame:
-    """input_row, candidate_id and sequence or aligned_sequence of CSV with a header.
+    """input_row (from 1), candidate_id and sequence or aligned_sequence of CSV with a header.
 
     Quoted fields may hold line ends. The header is trimmed and may start with a byte order mark; a field
-    too many is an error, one too few is an empty one; ids are trimmed, sequences aren't, and ids that
-    aren't blank are unique.
+    too many, or a quote where none can be, is an error, a field too few is an empty one; ids are trimmed, sequences
+    aren't, and ids that aren't blank are unique.
     """
-    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    header = [c.strip().lstrip("﻿").strip() for c in spark.read.options(**options).csv(path).columns]
+    records = cut(csv_records(spark, path))
+    head = records.filter("record = 1").first()
+    header = [c.strip().strip('"').strip() for c in (head.text if head else "").lstrip("\ufeff").split(",")]
     if header not in (["candidate_id", "sequence"], ["candidate_id", "aligned_sequence"]):
         raise InputError(f"columns are {header}")
-    raw = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad").schema(f"candidate_id string, {header[1]} string, _bad string").csv(path)
-    wide = F.col("_bad").isNotNull() & F.regexp_replace("_bad", '"[^"]*"', "").contains(",")
-    rows = raw.select(F.monotonically_increasing_id().alias("input_row"), F.trim(F.coalesce("candidate_id", F.lit(""))).alias("candidate_id"), F.coalesce(header[1], F.lit("")).alias(header[1]), wide.alias("wide"))
-    # all columns are read, for the parser to see every field
-    if rows.agg(F.bool_or("wide"), F.max("candidate_id"), F.max(header[1])).first()[0]:
-        raise InputError("a row has too many fields")
-    return unique(capped(rows.drop("wide"), most_rows), "candidate_id")
+    shape = f"(?s)^{_CELL}(?:,{_CELL})?$"
+    rows = records.filter("record > 1").withColumns({f"c{k}": F.regexp_extract("text", shape, k) for k in (1, 2)})
+    cell = lambda c: F.when(F.col(c).startswith('"'), F.replace(F.expr(f"substring({c}, 2, length({c}) - 2)"), F.lit('""'), F.lit('"'))).otherwise(F.col(c))
+    wrong = rows.filter(~F.col("text").rlike(shape)).select("record", F.col("text").rlike(f"(?s)^{_CELL}(?:,{_CELL}){{2,}}$").alias("wide")).orderBy("record").first()
+    if wrong:
+        raise InputError(f"row {wrong.record - 1}: {'too many fields' if wrong.wide else 'a quote or line end where none can be'}")
+    named = rows.select((F.col("record") - 1).alias("input_row"), F.trim(cell("c1")).alias("candidate_id"), cell("c2").alias(header[1]))
+    return unique(capped(named, most_rows), "candidate_id")
 
 
 #: A field in quotes, in which a quote is doubled, or a bare one.
@@ -181,7 +239,8 @@ def locked_predictions(spark: SparkSession, path: str, columns: list[str], forbi
     if told := [c for c in columns if any(f in c for f in forbidden)]:
         raise InputError(f"columns that tell outcomes: {told}")
     typed = df.select("peptide_id", *(F.col(c).cast("double").alias(c) if c.endswith(("_log10_pm", "_ratio", "_identity")) else F.col(c) for c in columns if c != "peptide_id"))
-    return unique(typed, "peptide_id").orderBy(F.regexp_extract("peptide_id", "([0-9]+)$", 1).cast("int"))
+    number = F.regexp_replace(F.regexp_extract("peptide_id", "([0-9]+)$", 1), "^0+(?=.)", "")  # of any length: more digits are more
+    return unique(typed, "peptide_id").orderBy(F.length(number), number, "peptide_id")
 
 
 def structure_seeds(spark: SparkSession, path: str) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 from typing import BinaryIO
 from urllib.request import urlopen
 
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,36 +29,59 @@ def open_url(url: str, seconds: float = 60) -> BinaryIO:
     return urlopen(url, timeout=seconds)
 
 
-def install(source: dict, folder: str, roles: set[str] | None = None, opener: Opener = open_url) -> list[dict[str, str]]:
-    """Files of a manifest's source (path, download_url, sha256, role) below a driver's folder, each there only once its checksum is right.
+def listed_files(sources: DataFrame, source_id: str | None = None, roles: list[str] | None = None) -> DataFrame:
+    """source, role, name, url and sha256 of the files in a manifest's documents (id, document)."""
+    kind = "struct<files:array<struct<path:string,download_url:string,sha256:string,role:string>>>"
+    files = sources.filter(F.lit(True) if source_id is None else F.col("id") == source_id).select("id", F.explode(F.from_json("document", kind)["files"]).alias("f"))
+    chosen = files.filter(F.lit(True) if roles is None else F.col("f.role").isin(roles))
+    return chosen.select(F.col("id").alias("source"), F.col("f.role").alias("role"), F.element_at(F.split("f.path", "/"), -1).alias("name"), F.col("f.download_url").alias("url"), F.lower(F.trim("f.sha256")).alias("sha256"))
 
-    A stream goes to a file beside its place and is hashed on its way; a file that fails leaves what was there.
+
+def fetched(files: DataFrame, folder: str, opener: Opener = open_url) -> DataFrame:
+    """files (with name, url and sha256) with `bytes`, `found_sha256` and `error`; a file is in the shared folder under its name if it has no error.
+
+    Tasks fetch, some megabytes at a time, into a name of their own beside the file's; only what has the right checksum takes its
+    place, by one rename, so a failed or repeated fetch leaves what was there. Rows of one name with other contents are errors,
+    as are rows that lack a field.
     """
-    wanted = [f for f in source.get("files") or [] if roles is None or f.get("role") in roles]
-    if not wanted:
-        raise InputError(f"no files of {source.get('id')} to install")
-    for f in wanted:
-        if lacking := [k for k in ("path", "download_url", "sha256") if not f.get(k)]:
-            raise InputError(f"a file of {source.get('id')} lacks {', '.join(lacking)}")
-    to = Path(folder)
-    to.mkdir(parents=True, exist_ok=True)
-    done = []
-    for f in wanted:
-        place, digest = to / Path(f["path"]).name, hashlib.sha256()
-        handle, part = tempfile.mkstemp(dir=to)
+    from strandwise.operators.graph import cut
+
+    names = ["__name", "__url", "__sha256"]
+    asked = files.select(*(F.col(c).alias(f"__{c}") for c in ("name", "url", "sha256"))).distinct()
+    taken = asked.groupBy(F.col("__name").alias("__of")).agg(F.count("*").alias("__n"))
+    asked = asked.join(taken, F.col("__name").eqNullSafe(F.col("__of"))).select(*names, "__n")
+
+    def one(fs, root: str, name: str, url: str, expected: str) -> tuple[int | None, str | None, str | None]:
+        own, digest, size = f"{root}/.{name}.{uuid.uuid4().hex}", hashlib.sha256(), 0
         try:
-            with os.fdopen(handle, "wb") as out, opener(f["download_url"]) as stream:
-                while block := stream.read(1 << 20):
+            with opener(url) as stream, fs.open_output_stream(own) as out:
+                while block := stream.read(4 << 20):
                     digest.update(block)
                     out.write(block)
-            if digest.hexdigest() != f["sha256"].strip().lower():
-                raise InputError(f"{f['download_url']}: checksum {digest.hexdigest()}")
-            os.replace(part, place)
-        except BaseException:
-            Path(part).unlink(missing_ok=True)
-            raise
-        done.append({"role": f.get("role", ""), "path": str(place), "sha256": f["sha256"], "status": "verified"})
-    return done
+                    size += len(block)
+            if digest.hexdigest() != expected:
+                return size, digest.hexdigest(), "another checksum"
+            fs.move(own, f"{root}/{name}")
+            return size, expected, None
+        except (OSError, ValueError) as e:
+            return None, None, f"error: {e}"
+        finally:
+            if fs.get_file_info(own).type.name == "File":
+                fs.delete_file(own)
+
+    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, root = FileSystem.from_uri(folder if "://" in folder else f"file://{os.path.abspath(folder)}")
+        for batch in batches:
+            out = []
+            for *row, n in batch.itertuples(index=False):
+                lacks = [c[2:] for c, v in zip(names, row, strict=True) if not v]
+                error = f"lacks {', '.join(lacks)}" if lacks else "several files have this name" if n > 1 else None
+                out.append((*row, *((None, None, error) if error else one(fs, root, *row))))
+            yield pd.DataFrame(out, columns=[*names, "bytes", "found_sha256", "error"])
+
+    found = cut(asked.mapInPandas(fetch, "__name string, __url string, __sha256 string, bytes long, found_sha256 string, error string"))
+    same = [F.col(c[2:]).eqNullSafe(F.col(c)) for c in names]
+    return files.join(found, same).drop(*names)
 
 
 def json_documents(urls: DataFrame, opener: Opener = open_url, most_bytes: int = 16 << 20) -> DataFrame:

@@ -65,6 +65,22 @@ def prediction_text(predictions: DataFrame) -> DataFrame:
     return predictions.select("peptide_id", body.alias("report"))
 
 
+def _rename_over(spark: SparkSession, fs, staged, to) -> None:
+    """Puts a file in another's place by one rename, so that there is no moment with neither."""
+    jvm = spark._jvm
+    if fs.getScheme() == "file":
+        for p in (to, staged):  # checksums beside local files; one without is just not checked
+            jvm.java.nio.file.Files.deleteIfExists(jvm.java.io.File(f"{p.getParent().toUri().getPath()}/.{p.getName()}.crc").toPath())
+        option = spark.sparkContext._gateway.new_array(jvm.java.nio.file.CopyOption, 1)
+        option[0] = jvm.java.nio.file.StandardCopyOption.ATOMIC_MOVE
+        at = [jvm.java.io.File(p.toUri().getPath()).toPath() for p in (staged, to)]
+        jvm.java.nio.file.Files.move(*at, option)
+    else:
+        over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), spark._jsc.hadoopConfiguration()).rename(staged, to, over)
+
+
 def write_file(spark: SparkSession, path: str, content: bytes, overwrite: bool = False) -> str:
     """One file, whole or not at all; its SHA-256. The folder must be there, and a file only if it may be overwritten."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -78,10 +94,7 @@ def write_file(spark: SparkSession, path: str, content: bytes, overwrite: bool =
         out = fs.create(staged, False)
         out.write(content)
         out.close()
-        if fs.exists(to):
-            fs.delete(to, False)
-        if not fs.rename(staged, to):
-            raise OSError(f"{path} can't be put in place")
+        _rename_over(spark, fs, staged, to)
     finally:
         fs.delete(staged, False)
     return hashlib.sha256(content).hexdigest()
@@ -166,39 +179,69 @@ def receipt(screened: DataFrame) -> DataFrame:
 
 
 def write_together(outputs: dict[str, DataFrame], overwrite: bool = False) -> None:
-    """Writes each table as CSV beside its path, then moves all in place; on a failure what was there comes back."""
-    spark = SparkSession.active()
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    tag = uuid.uuid4().hex
-    places = {}
-    for p in outputs:
-        to = jvm.org.apache.hadoop.fs.Path(p)
-        places[p] = (to.getFileSystem(conf), to, jvm.org.apache.hadoop.fs.Path(f"{p}.staged-{tag}"), jvm.org.apache.hadoop.fs.Path(f"{p}.before-{tag}"))
-    for p, (fs, to, *_) in places.items():
-        if fs.exists(to) and not overwrite:
-            raise FileExistsError(p)
-        if not fs.exists(to.getParent()):
+    """Writes each table as CSV beside its path, then moves all in place: all are the new ones or all the old ones, whatever fails.
+
+    The commit is one file, a journal of the moves, that appears once everything is written. Before it nothing that was there has
+    been touched; after it the moves can be made again until they are done, which recover() does, as does the next call for these paths.
+    """
+    spark, tag = SparkSession.active(), uuid.uuid4().hex
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    places = {p: path(p) for p in outputs}
+    for p, to in places.items():
+        if not to.getFileSystem(conf).exists(to.getParent()):
             raise FileNotFoundError(str(to.getParent()))
-    done: list[str] = []
+        recover(spark, str(to.getParent()))
+    for p, to in places.items():
+        if to.getFileSystem(conf).exists(to) and not overwrite:
+            raise FileExistsError(p)
+    journal = f"{next(iter(places.values())).getParent()}/{JOURNAL}{tag}"
     try:
         for p, df in outputs.items():
             write_csv(df, f"{p}.staged-{tag}", overwrite=True)
-        for p, (fs, to, staged, before) in places.items():
-            done.append(p)
-            if fs.exists(to) and not fs.rename(to, before):
-                raise OSError(f"{p} can't be moved aside")
-            if not fs.rename(staged, to):
-                raise OSError(f"{p} can't be put in place")
+        write_file(spark, journal, json.dumps({"tag": tag, "paths": list(outputs)}).encode())
     except BaseException:
-        for p in reversed(done):
-            fs, to, staged, before = places[p]
-            if not fs.exists(staged):  # it was put in place
-                fs.delete(to, True)
-            if fs.exists(before):
-                fs.rename(before, to)
+        for p in outputs:
+            staged = path(f"{p}.staged-{tag}")
+            staged.getFileSystem(conf).delete(staged, True)
         raise
-    finally:
-        for fs, to, staged, before in places.values():
-            fs.delete(staged, True)
-            if fs.exists(to):  # else what was there waits under its other name
-                fs.delete(before, True)
+    _finish(spark, journal)
+
+
+#: How the names of journals begin.
+JOURNAL = ".moves-"
+
+
+def recover(spark: SparkSession, folder: str) -> int:
+    """Makes the moves of all journals in a folder that were not finished; how many there were."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = [str(s.getPath()) for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at) if s.getPath().getName().startswith(JOURNAL) and ".staged-" not in s.getPath().getName()]
+    for journal in found:
+        _finish(spark, journal)
+    return len(found)
+
+
+def _finish(spark: SparkSession, journal: str) -> None:
+    """The moves of a journal, each of which may have been made already; the journal goes last."""
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    at = path(journal)
+    fs = at.getFileSystem(conf)
+    stream = fs.open(at)
+    content = json.loads(bytes(stream.readAllBytes()))
+    stream.close()
+    for p in content["paths"]:
+        to, staged, before = path(p), path(f"{p}.staged-{content['tag']}"), path(f"{p}.before-{content['tag']}")
+        own = to.getFileSystem(conf)
+        if own.exists(staged):
+            if own.exists(to):
+                _move(own, to, before)
+            _move(own, staged, to)
+    for p in content["paths"]:
+        before = path(f"{p}.before-{content['tag']}")
+        before.getFileSystem(conf).delete(before, True)
+    fs.delete(at, False)
+
+
+def _move(fs, a, b) -> None:
+    if not fs.rename(a, b):
+        raise OSError(f"{a} can't be moved to {b}")

@@ -4,7 +4,7 @@ import hashlib
 import io
 import json
 
-import pytest
+from pyspark.sql import functions as F
 
 from strandwise.operators import structures
 from strandwise.sources import remote
@@ -13,23 +13,28 @@ from strandwise.sources.files import InputError
 BODY = b"peptide,value\n"
 
 
-def _file(**change):
-    return {"role": "data", "path": "a/b.csv", "download_url": "https://x/b", "sha256": hashlib.sha256(BODY).hexdigest()} | change
-
-
-def test_install(tmp_path):
-    source = {"id": "s", "files": [_file(), _file(path="c.csv", role="other")]}
-    got = remote.install(source, str(tmp_path), {"data"}, lambda url: io.BytesIO(BODY))
-    assert [(r["role"], r["status"]) for r in got] == [("data", "verified")] and [p.name for p in tmp_path.iterdir()] == ["b.csv"]
-    with pytest.raises(InputError, match="checksum"):
-        remote.install({"files": [_file()]}, str(tmp_path), opener=lambda url: io.BytesIO(b"other"))
-    with pytest.raises(InputError, match="lacks sha256"):
-        remote.install({"files": [_file(sha256="")]}, str(tmp_path))
-    with pytest.raises(InputError, match="no files"):
-        remote.install(source, str(tmp_path), {"none"})
-    with pytest.raises(InputError, match="no https"):
-        remote.install({"files": [_file(download_url="http://x")]}, str(tmp_path))
-    assert (tmp_path / "b.csv").read_bytes() == BODY and len(list(tmp_path.iterdir())) == 1
+def _memory(url):
+    if url.endswith("gone"):
+        raise OSError("not found")
+    if not url.startswith("https://"):
+        raise InputError("no https address")
+    return io.BytesIO(BODY if url.endswith("b") else b"other")
+
+
+def test_fetched_files(spark, tmp_path):
+    right = hashlib.sha256(BODY).hexdigest()
+    manifest = [{"id": "s", "files": [{"path": "a/b.csv", "download_url": "https://x/b", "sha256": f" {right.upper()}", "role": "data"}, {"path": "c.csv", "download_url": "https://x/c", "sha256": right, "role": "other"}]}, {"id": "none"}]
+    sources = spark.createDataFrame([(m["id"], json.dumps(m)) for m in manifest], "id string, document string")
+    assert [tuple(r) for r in remote.listed_files(sources, "s", ["data"]).collect()] == [("s", "data", "b.csv", "https://x/b", right)]
+    assert remote.listed_files(sources).count() == 2 and remote.listed_files(sources, "none").count() == 0
+    (tmp_path / "c.csv").write_bytes(b"before")
+    more = spark.createDataFrame([("d.csv", "https://x/gone", right), ("e.csv", "http://x/b", right), ("f.csv", None, right), ("g.csv", "https://x/b", right), ("g.csv", "https://x/2b", right), ("b.csv", "https://x/b", right)], "name string, url string, sha256 string")
+    files = remote.listed_files(sources).select("name", "url", "sha256").unionByName(more).withColumn("__n", F.lit(1))
+    got = remote.fetched(files, str(tmp_path), _memory).collect()
+    errors = {r.name: r.error for r in got}
+    assert len(got) == 8 and [r["bytes"] for r in got if r.name == "b.csv"] == [len(BODY)] * 2
+    assert errors == {"b.csv": None, "c.csv": "another checksum", "d.csv": "error: not found", "e.csv": "error: no https address", "f.csv": "lacks url", "g.csv": "several files have this name"}
+    assert {p.name: p.read_bytes() for p in tmp_path.iterdir()} == {"b.csv": BODY, "c.csv": b"before"}
 
 
 def _opened(url):

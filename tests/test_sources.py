@@ -5,6 +5,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandwise.operators import ridge as R
 from strandwise.operators import structures
@@ -182,3 +183,94 @@ def test_only_regular_files_are_read(spark, tmp_path):
     for bad in (f"file://{tmp_path}/link.json", f"file://{tmp_path}", f"file://{tmp_path}/none.json"):
         with pytest.raises(I.InputError):
             I.regular(spark, bad, 100)
+
+
+def test_candidates_over_many_tasks(spark, tmp_path):
+    """Fields with line ends, commas and doubled quotes, across the borders of tasks; rows are numbered from 1, blank lines aren't counted."""
+    import csv
+    import random
+
+    draw = random.Random(5)
+    rows = [(f"c{k}", "".join(draw.choice(["A", "C", "\n", ",", '"', " ", "é", "\r\n"]) for _ in range(draw.randrange(0, 9)))) for k in range(4000)]
+    path = tmp_path / "many.csv"
+    with open(path, "w", newline="", encoding="utf-8") as f:
+        out = csv.writer(f)
+        out.writerow(["candidate_id", "sequence"])
+        for k, r in enumerate(rows):
+            out.writerow(r)
+            if k % 50 == 0:
+                f.write("\r\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert spark.read.text(str(path)).rdd.getNumPartitions() > 20
+        got = {r.input_row: (r.candidate_id, r.sequence) for r in I.candidates(spark, str(path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {k: r for k, r in enumerate(rows, 1)}
+
+
+@pytest.mark.parametrize("text, said", [("a,A\nb,C,D\n", "row 2: too many"), ('a,A\nb,C"D"\nc,"E"\n', "row 2"), ('a,"A"x\n', "row 1"), ('a,"A\n', "never closed")])
+def test_malformed_candidates_name_their_row(spark, tmp_path, text, said):
+    with pytest.raises(I.InputError, match=said):
+        I.candidates(spark, _file(tmp_path, "a.csv", "candidate_id,sequence\n" + text))
+
+
+def test_locked_predictions_go_by_numbers_of_any_length(spark, tmp_path):
+    ids = ["p10", "p9", "p123456789012345", "p0011", "p"]
+    path = _file(tmp_path, "a.csv", "peptide_id,tier\n" + "".join(f"{i},x\n" for i in ids))
+    assert [r.peptide_id for r in I.locked_predictions(spark, path, ["peptide_id", "tier"]).collect()] == ["p", "p9", "p10", "p0011", "p123456789012345"]
+
+
+@pytest.mark.parametrize("step", range(6))
+def test_a_crash_leaves_old_or_new(spark, tmp_path, monkeypatch, step):
+    """The process ends before any of the moves; the next call, or recover(), leaves all old or all new, and nothing else."""
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    one, two = spark.range(1).withColumn("x", F.lit("old")), spark.range(1).withColumn("x", F.lit("new"))
+    O.write_together({a: one, b: one})
+    moves, move, finish = [], O._move, O._finish
+
+    class Ended(BaseException):
+        pass
+
+    def counted(fs, x, y):
+        if len(moves) == step:
+            raise Ended
+        moves.append(1)
+        move(fs, x, y)
+
+    def ended(*_):
+        raise Ended
+
+    if step == 5:  # before the journal is read at all
+        monkeypatch.setattr(O, "_finish", ended)
+    else:
+        monkeypatch.setattr(O, "_move", counted)
+    if step == 4:
+        O.write_together({a: two, b: two}, overwrite=True)
+    else:
+        with pytest.raises(Ended):
+            O.write_together({a: two, b: two}, overwrite=True)
+    monkeypatch.setattr(O, "_move", move)
+    monkeypatch.setattr(O, "_finish", finish)
+    assert O.recover(spark, str(tmp_path)) == (0 if step == 4 else 1)
+    assert [spark.read.csv(p, header=True).first().x for p in (a, b)] == ["new", "new"]
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["a", "b"]
+
+
+def test_one_file_is_replaced_by_one_rename(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "f")
+    O.write_file(spark, path, b"old")
+
+    def ended(*_):
+        raise OSError("ended")
+
+    monkeypatch.setattr(O, "_rename_over", ended)
+    with pytest.raises(OSError, match="ended"):
+        O.write_file(spark, path, b"new", overwrite=True)
+    assert (tmp_path / "f").read_bytes() == b"old" and not [p for p in tmp_path.iterdir() if "staged" in p.name]
+    monkeypatch.undo()
+    O.write_file(spark, path, b"new", overwrite=True)
+    assert (tmp_path / "f").read_bytes() == b"new"
