@@ -206,8 +206,12 @@ def _placed(prints: DataFrame, radius: int) -> DataFrame:
     return copies.select("doc_id", "fp", "component_id").unionByName(single.select("doc_id", "fp", "component_id"))
 
 
-def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4, prints: int = 4) -> DataFrame:
-    """doc_id and component_id of each id, the smallest id that is reachable over fingerprints of one kind within the radius. Rows of an id have one text."""
+def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4, prints: int = 4, at_once: int = 2) -> DataFrame:
+    """doc_id and component_id of each id, the smallest id that is reachable over fingerprints of one kind within the radius. Rows of an id have one text.
+
+    Some kinds are linked at a time, so that no more is on disk than they need, and their links are taken between the components so
+    far: what is one already adds none.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,14 +221,33 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     seen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(scan, "doc_id long, fps array<long>")
     seen = C.cut(seen.groupBy("doc_id").agg(F.first("fps").alias("fps")))
-    each = seen.select("doc_id", F.posexplode("fps").alias("kind", "fp"))
+    labels = None
+    for first in range(0, prints, at_once):
+        some = range(first, min(first + at_once, prints))
+        with C.shuffles_removed(docs.sparkSession):
+            links = C.cut(_links_of(seen.select("doc_id", F.explode(F.array(*(F.struct(F.lit(k - first).alias("kind"), F.col("fps")[k].alias("fp")) for k in some))).alias("p")).select("doc_id", "p.*"), radius, len(some), labels))
+            roots = connected_components(links)
+            if labels is not None:
+                roots = roots.withColumnsRenamed({"node": "label", "root": "to"})
+                moved = labels.join(roots, labels["root"] == roots["label"], "left").select("node", F.coalesce("to", "root").alias("root"))
+                roots = moved.unionByName(roots.select(F.col("label").alias("node"), F.col("to").alias("root")).join(labels.select("node"), "node", "left_anti"))
+            labels = C.cut(roots)
+    return seen.join(labels, seen["doc_id"] == labels["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+
+
+def _links_of(each: DataFrame, radius: int, kinds: int, labels: DataFrame | None) -> DataFrame:
+    """Links (a, b) of documents (doc_id, kind, fp) with equal or near fingerprints, or of the components that labels (node, root) put them in."""
     by_print = C.cut(each.groupBy("kind", "fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     same = each.join(by_print.filter("n > 1").withColumnsRenamed({"kind": "k", "fp": "f"}), (F.col("kind") == F.col("k")) & (F.col("fp") == F.col("f"))).filter("doc_id > least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
-    near = C.cut(ball_links(by_print, radius, kinds=prints))
+    near = C.cut(ball_links(by_print, radius, kinds=kinds))
     of = lambda end: by_print.select(F.col("kind"), F.col("fp").alias(end), F.col("least").alias(f"least_{end}"))
     near = near.join(of("a"), ["kind", "a"]).join(of("b"), ["kind", "b"]).select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
-    roots = connected_components(same.unionByName(near))
-    return seen.join(roots, seen["doc_id"] == roots["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+    links = same.unionByName(near).distinct()
+    if labels is None:
+        return links
+    for end in ("a", "b"):
+        links = links.join(labels.select(F.col("node").alias("of"), F.col("root").alias("to")), F.col(end) == F.col("of"), "left").withColumn(end, F.coalesce("to", end)).drop("of", "to")
+    return links.filter("a <> b").distinct()
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prints: int = 1) -> DataFrame:
