@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.functions import sequences as S
+from strandwise.operators import align as A
 from strandwise.operators import graph as G
 from strandwise.operators import identity as I
 from strandwise.operators import metrics as M
+from strandwise.operators import predict as D
 from strandwise.operators import ridge as R
 from strandwise.operators import screening as C
 from strandwise.operators.selection import exact_quantiles
@@ -155,6 +157,38 @@ def screen_fitted(spark, d) -> DataFrame:
     return C.screen(records, scored, C.Model("fitted-ridge", "1", digest, mae), "dual")
 
 
+def _artifact(spark, d) -> D.Predictor:
+    """The fitted ridge, written as an artifact into the shared folder and read again by its checksum."""
+    dev, model, mae = _fitted(spark, d)
+    folder = G.shared_folder(spark, "artifact")
+    receipt = sinks.write_artifact(spark, folder, model, dev.select("peptide_id", "aligned"), "component-ridge", "1", {})
+    aligner = hashlib.sha256(json.dumps({"references": receipt["artifact_sha256"], "least": A.LEAST, "identity": SAME}, sort_keys=True).encode()).hexdigest()
+    return D.load(spark, f"{folder}/model.json", mae, receipt["artifact_sha256"], adapter=("reference-projection", "1", aligner), endpoint_warning="cell-based potency estimate", validation_warning="out-of-fold errors of development rows")
+
+
+def _requests(spark, d) -> DataFrame:
+    """External rows as requests: two of three are raw, and cut by up to four residues at the end."""
+    p = T.panel(spark, d).filter("doc_id % 8 <> 0")
+    bare = F.replace("aligned", F.lit(S.GAP), F.lit(""))
+    raw = F.col("doc_id") % 3 != 0
+    cut_off = F.expr("substring(bare, 1, greatest(length(bare) - cast(doc_id % 5 as int), 0))")
+    p = p.withColumn("bare", bare)
+    return p.select((F.col("doc_id") + 1).alias("input_row"), F.col("peptide_id").alias("candidate_id"), F.when(raw, cut_off).otherwise(F.col("aligned")).alias("sequence"), F.when(raw, "raw_sequence").otherwise("aligned_sequence").alias("input_mode"))
+
+
+@query()
+def artifact_predictions(spark, d) -> DataFrame:
+    """All fields of the flat prediction of every external row, raw or aligned, by an artifact that was written and read again."""
+    found = _artifact(spark, d).predictions(_requests(spark, d), "candidate_id")
+    return found.select(*(F.round(f.name, 9).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in found.schema.fields))
+
+
+@query()
+def artifact_screening(spark, d) -> DataFrame:
+    """External rows, raw or aligned, through alignment, prediction and screening by an artifact that was written and read again."""
+    return _artifact(spark, d).screened(_requests(spark, d), "dual")
+
+
 PREDICTION = f"""with {P.BEST} {P.PREDICTED} select p.peptide_id, round(gcgr, 6) as gcgr, round(glp1r, 6) as glp1r, round(gcgr - glp1r, 6) as selectivity, {P.DIRECTION.format(s='round(gcgr - glp1r, 9)')} as direction, round(identity, 9) as identity, ties, nearest,
  {P.TIER.format(x='identity')} as tier, {P.EVIDENCE.format(x='identity')} as evidence, identity >= 0.85 and length(replace(p.aligned, '-', '')) >= 26 as ranking_eligible,
  concat_ws('; ', case when identity < 0.85 then 'identity_below_0.85' end, case when length(replace(p.aligned, '-', '')) < 26 then 'fewer_than_26_residues' end) as exclusion_reasons
