@@ -9,6 +9,7 @@ from strandwise.functions import sequences as S
 from strandwise.operators import align as A
 from strandwise.operators import graph as G
 from strandwise.operators import identity as I
+from strandwise.operators import rules as V
 from strandwise.operators import screening as C
 from strandwise.plans.base import CLASSES, EDGES, IDENTITY, MEASURED, PANEL, query
 from strandwise.sources import tables as T
@@ -65,6 +66,48 @@ def validate_report(spark, d) -> DataFrame:
     return _issues(spark, d).groupBy("code").agg(F.count("*").alias("issues"), F.countDistinct("peptide_id").alias("peptides"))
 
 
+def _sheets(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Measured rows as a dataset and an alignment sheet, in order of doc_id, some of them broken in every way that rules know."""
+    m = G.global_rank(T.measured(spark, d), [F.asc("doc_id")], "k").withColumn("row", F.col("k") + 1)
+    every = lambda n: F.col("doc_id") % n == 0
+    bare = F.replace("aligned", F.lit("-"), F.lit(""))
+    log = lambda c: F.log10(F.col(c) * 1e-12)
+    dataset = m.select(
+        "row",
+        F.when(every(37), "").when(every(31), F.concat(F.lit("seq_pep"), F.col("doc_id") - 1)).otherwise(F.col("peptide_id")).alias("peptide_id"),
+        F.when(every(59), "").otherwise(F.concat(F.when(every(29), "X").otherwise(""), bare)).alias("sequence"),
+        (F.length(bare) + every(19).cast("int")).alias("declared"),
+        "ec1",
+        (log("ec1") + F.when(every(17), 0.05).otherwise(0.0)).alias("log1"),
+        F.when(every(41), -1.0).otherwise(F.col("ec2")).alias("ec2"),
+        F.when(~every(23), log("ec2") - F.when(every(13), 0.05).otherwise(0.0)).alias("log2"),
+    )
+    kept = G.global_rank(m.filter(~every(43)).drop("k", "row"), [F.asc("doc_id")], "k")
+    short = F.when(every(53), "").when(every(47), F.substring("aligned", 1, 29)).when(every(61), F.concat(F.lit("*"), F.substring("aligned", 2, 29))).otherwise(F.col("aligned"))
+    return dataset, kept.select((F.col("k") + 1).alias("row"), "peptide_id", short.alias("sequence"), F.when(~every(67), 30).alias("declared"))
+
+
+EXPECTED = 100
+
+
+@query(f"""with {MEASURED}, d as materialized (select row_number() over (order by doc_id) + 1 as row, case when doc_id % 37 = 0 then '' when doc_id % 31 = 0 then 'seq_pep' || (doc_id - 1) else peptide_id end as id,
+ case when doc_id % 59 = 0 then '' else case when doc_id % 29 = 0 then 'X' else '' end || replace(aligned, '-', '') end as s, length(replace(aligned, '-', '')) + (doc_id % 19 = 0)::int as declared,
+ ec1, log10(ec1 * 1e-12) + case when doc_id % 17 = 0 then 0.05 else 0 end as log1, case when doc_id % 41 = 0 then -1.0 else ec2 end as ec2, case when doc_id % 23 <> 0 then log10(ec2 * 1e-12) - case when doc_id % 13 = 0 then 0.05 else 0 end end as log2 from m),
+a as materialized (select row_number() over (order by doc_id) + 1 as row, peptide_id as id, case when doc_id % 53 = 0 then '' when doc_id % 47 = 0 then substr(aligned, 1, 29) when doc_id % 61 = 0 then '*' || substr(aligned, 2, 29) else aligned end as s, case when doc_id % 67 <> 0 then 30 end as declared from m where doc_id % 43 <> 0),
+f as (select id, min(row) as first from d where id <> '' group by id), x as (select d.*, first from d left join f using (id)),
+i as (select row, 'dataset' as sheet, unnest(list_filter([case when id = '' then 'missing_id' when row > first then 'duplicate_id' end, case when s = '' then 'invalid_sequence' when regexp_matches(upper(s), '[^ACDEFGHIKLMNPQRSTVWY]') then 'invalid_residue' end, case when s <> '' and length(s) <> declared then 'length_mismatch' end,
+  case when not ec1 > 0 then 'invalid_ec50' when log1 is null then 'invalid_log_ec50' when abs(log10(ec1 * 1e-12) - log1) > 0.011 then 'log_ec50_mismatch' end, case when not ec2 > 0 then 'invalid_ec50' when log2 is null then 'invalid_log_ec50' when abs(log10(nullif(greatest(ec2, 0), 0) * 1e-12) - log2) > 0.011 then 'log_ec50_mismatch' end], lambda v: v is not null)) as code, first from x
+ union all select row, 'alignment', unnest(list_filter([case when s = '' then 'invalid_sequence' when regexp_matches(s, '[^-ACDEFGHIKLMNPQRSTVWY]') then 'invalid_residue' end, case when s <> '' and (length(s) <> 30 or declared is distinct from 30) then 'aligned_length_mismatch' end], lambda v: v is not null)), null from a
+ union all select null, 'dataset', 'record_count', null from (select count(*) as n from d) where n <> {EXPECTED} union all select null, 'alignment', 'record_count', null from (select count(*) as n from a) where n <> {EXPECTED}
+ union all select null, 'alignment', 'id_set_mismatch', null from (select (select count(*) from (select id from d where id <> '' except select id from a)) + (select count(*) from (select id from a except select id from d where id <> '')) as n) where n > 0)
+select code, sheet, row, case when code = 'duplicate_id' then first end as first_row from i""")
+def validation_places(spark, d) -> DataFrame:
+    """Every issue of the two sheets with its place: both targets, and of an id that is taken the row that has it."""
+    dataset, alignment = _sheets(spark, d)
+    found = V.dataset_issues(G.cut(dataset), G.cut(alignment), [("gcgr", "ec1", "log1"), ("glp1r", "ec2", "log2")], EXPECTED)
+    return found.select("code", "sheet", "row", "first_row")
+
+
 @query("select (select count(*) from (select doc_id from documents except select doc_id from labels)) as only_left, (select count(*) from (select doc_id from labels except select doc_id from documents)) as only_right")
 def idset_difference(spark, d) -> DataFrame:
     a = T.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit(1).alias("s"))

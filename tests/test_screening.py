@@ -153,3 +153,26 @@ def test_fitted_screening_and_split(spark):
     t = split.first().threshold
     assert split.groupBy("cluster_id").agg(F.countDistinct("outer_fold").alias("n")).filter("n > 1").count() == 0
     assert 0.7 <= t <= 0.95 and split.select("outer_fold").distinct().count() == 3
+
+
+def test_rules_name_every_issue_and_its_place(spark):
+    from strandwise.operators import rules
+
+    inf, nan = float("inf"), float("nan")
+    dataset = spark.createDataFrame(
+        [(2, "a", "ACD", 3, 1.0, -12.0), (3, "a", "acd", 3, 0.0, None), (4, None, "", 9, None, 1.0), (5, "", None, None, inf, 1.0), (6, "a", "AZB", 4, 1.0, nan), (7, "b", "AC", None, 10.0, -10.9)],
+        "row long, peptide_id string, sequence string, declared int, v double, l double",
+    )
+    alignment = spark.createDataFrame([(2, "a", "A-C", 3), (3, "c", "A*", 3), (4, "c", "", 3), (5, "d", "ACD", None)], "row long, peptide_id string, sequence string, declared int")
+    got = sorted((r.sheet, -1 if r.row is None else r.row, r.code, r.first_row) for r in rules.dataset_issues(dataset, alignment, [("x", "v", "l")], 6, length=3).collect())
+    assert got == sorted([
+        ("dataset", 3, "duplicate_id", 2), ("dataset", 3, "invalid_ec50", None), ("dataset", 4, "missing_id", None), ("dataset", 4, "invalid_sequence", None), ("dataset", 4, "invalid_ec50", None),
+        ("dataset", 5, "missing_id", None), ("dataset", 5, "invalid_sequence", None), ("dataset", 5, "invalid_ec50", None), ("dataset", 6, "duplicate_id", 2), ("dataset", 6, "invalid_residue", None),
+        ("dataset", 6, "length_mismatch", None), ("dataset", 6, "invalid_log_ec50", None), ("dataset", 7, "length_mismatch", None), ("dataset", 7, "log_ec50_mismatch", None),
+        ("alignment", 3, "invalid_residue", None), ("alignment", 3, "aligned_length_mismatch", None), ("alignment", 4, "duplicate_id", 3), ("alignment", 4, "invalid_sequence", None),
+        ("alignment", 5, "aligned_length_mismatch", None), ("alignment", -1, "record_count", None), ("alignment", -1, "id_set_mismatch", None),
+    ])
+    clean = spark.createDataFrame([(2, "a", "ACD", 3, 1.0, -12.0)], "row long, peptide_id string, sequence string, declared int, v double, l double")
+    assert rules.dataset_issues(clean, clean.select("row", "peptide_id", "sequence", "declared"), [("x", "v", "l")], 1, length=3).count() == 0
+    none = clean.limit(0)
+    assert [r.code for r in rules.dataset_issues(none, none.select("row", "peptide_id", "sequence", "declared"), [("x", "v", "l")], 1).collect()] == ["record_count"] * 2
