@@ -3,9 +3,17 @@
 Rows are reduced to per-component moments (a Gram block of 631 x 631, sums with the targets) in the
 tasks that read them, and only moments move. In a fit every component weighs the same, so a fit
 without one component is the sum of all components' normalised moments less its own: the sum is added up by
-partitions, is one small file for each outer fold in the shared folder, and every task that has a
-component's moments makes that component's fits, for all alphas from one decomposition. No task has the
-moments of all components.
+partitions, one for each outer fold.
+
+A component of few rows (up to SMALL) has no moments of its own: its rows stay together, and its fits
+are downdates. The sum of an outer fold is decomposed once, C = V diag(l) V'; without a component, C loses U'U, where
+U are the component's centred rows, scaled, and the distance of its mean from all means. Then
+
+    (C - U'U + a I)^-1 r = q + A^-1 U' (I - U A^-1 U')^-1 U q,  q = A^-1 r,  A = C + a I
+
+takes a system of as many unknowns as the component has rows (and one) for each alpha. What moves is rows, not
+3 MB of moments for each component and fold. A larger component's moments are decomposed by the task that has them, for
+all alphas at once. No task has the rows or moments of all components.
 """
 
 from __future__ import annotations
@@ -22,6 +30,7 @@ from strandwise.operators.graph import cut
 
 FEATURES = S.LENGTH * len(S.ALPHABET)
 ALPHAS = [10.0**k for k in range(-4, 6)]
+SMALL = 512  # rows of a component whose fits are downdates
 HELD = 32  # moments that a task holds before it gives them on
 ALL = 0  # the outer fold that no row is in: its fits are over all rows
 
@@ -152,20 +161,79 @@ def _added(keys: list[str]):
     return add
 
 
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[str | None, np.ndarray, np.ndarray, np.ndarray]]:
+    """Component, folds, one-hot rows and targets of each row of `small`."""
+    for component, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        own = rows.values
+        yield component, own.field("fold").to_numpy(zero_copy_only=False), encode(own.field("aligned").to_pylist()), np.stack([own.field(c).to_numpy(zero_copy_only=False) for c in ("y1", "y2")], 1)
+
+
+class Whole:
+    """The sum of all components' normalised moments, decomposed."""
+
+    def __init__(self, m: Moments, rows: float, components: int):
+        _, sx, sy, xx, xy = m.parts
+        self.rows, self.components, self.mx, self.my = rows, components, sx / components, sy / components
+        values, self.vectors = np.linalg.eigh(xx - np.outer(sx, self.mx))
+        self.values = np.maximum(values, 0)
+        self.right = self.vectors.T @ (xy - np.outer(sx, self.my))
+
+    def without(self, x: np.ndarray, y: np.ndarray, alphas: list[float]) -> list[float]:
+        """For each alpha the sum of absolute errors of a component's rows by the fit without it; none if it is the only one."""
+        k, n = self.components, len(x)
+        if k < 2:
+            return []
+        mx, my, root = x.mean(0), y.mean(0), (k / (k - 1)) ** 0.5
+        u = np.vstack([(x - mx) / n**0.5, root * (mx - self.mx)]) @ self.vectors
+        t = np.vstack([(y - my) / n**0.5, root * (my - self.my)])
+        right = self.right - u.T @ t
+        mean_x, mean_y = (k * self.mx - mx) / (k - 1), (k * self.my - my) / (k - 1)
+        seen, scale, out = (x - mean_x) @ self.vectors, (self.rows - n) / (k - 1), []
+        for alpha in alphas:
+            d = 1 / (self.values + alpha / scale)
+            ud = u * d
+            q = d[:, None] * right
+            q = q + ud.T @ np.linalg.solve(np.eye(len(u)) - ud @ u.T, u @ q)
+            out.append(float(np.abs(seen @ q + mean_y - y).sum()))
+        return out
+
+
 class Fits:
     """Fits with and without components, for each outer fold and for all rows (fold ALL)."""
 
     def __init__(self, rows: DataFrame, component: str, alphas: list[float] = ALPHAS, x: str = "aligned", y: tuple[str, str] = ("y1", "y2"), fold: str = "fold", outer: bool = True):
-        self.rows = cut(rows.select(F.col(component).cast("string").alias("component"), F.col(fold).cast("int").alias("fold"), F.col(x).alias("aligned"), F.col(y[0]).alias("y1"), F.col(y[1]).alias("y2")))
+        self.rows = cut(rows.select(F.col(component).cast("string").alias("component"), F.col(fold).cast("int").alias("fold"), F.col(x).alias("aligned"), F.col(y[0]).alias("y1"), F.col(y[1]).alias("y2")).filter("fold is not null"))
         self.alphas = sorted(alphas)
         assert self.alphas and self.alphas[0] > 0, "alphas must be positive"
-        folds = [ALL, *sorted(r.fold for r in self.rows.select("fold").distinct().collect())] if outer else [ALL]
-        moments = component_moments(self.rows, "component")
+        self.folds = folds = [ALL, *sorted(r.fold for r in self.rows.select("fold").distinct().collect())] if outer else [ALL]
+        sizes = self.rows.groupBy(F.col("component").alias("__c")).agg(F.count("*").alias("__n"))
+        large = cut(sizes.filter(F.col("__n") > SMALL).select("__c"))
+        self.has_large = large.limit(1).count() > 0
+        same = F.col("component").eqNullSafe(F.col("__c"))
+        self.large_rows = self.rows.join(large, same, "left_semi")
+        few = self.rows.join(large, same, "left_anti") if self.has_large else self.rows
+        #: rows of each small component, together
+        self.small = cut(few.groupBy("component").agg(F.collect_list(F.struct("fold", "aligned", "y1", "y2")).alias("rows")))  # at most SMALL each
+        moments = component_moments(self.large_rows, "component")
         held = moments.withColumn("held", F.explode(F.array(*map(F.lit, folds)))).filter("held <> fold")
         keys = ["held", "component"]
-        #: moments of each component without the held fold
+        #: moments of each large component without the held fold
         self.moments = cut(held.groupBy(*keys).applyInArrow(_added(keys), "held int, component string, moments binary"))
 
+        def small_sums(batches):
+            sums: dict[int, tuple[Moments, float, int]] = {}
+            for batch in batches:
+                for _, fold, x, y in _unpacked(batch):
+                    for f in folds:
+                        own = fold != f
+                        n = int(own.sum())
+                        if n:
+                            m = Moments.of([p / n for p in Moments(x[own], y[own]).parts])
+                            t, rows_, count = sums.get(f, (None, 0.0, 0))
+                            sums[f] = m if t is None else t + m, rows_ + n, count + 1
+            for f, (m, n, count) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([float(n)]), pa.array([count], pa.int64()), pa.array([m.bytes()], pa.binary())], ["held", "n", "components", "moments"])
+
         def normalised(batches):
             sums: dict[int, tuple[Moments, float, int]] = {}
             for batch in batches:
@@ -182,13 +250,37 @@ class Fits:
             return pa.Table.from_arrays([part["held"][:1], pa.array([sum(part["n"].to_pylist())]), pa.array([sum(part["components"].to_pylist())], pa.int64()), pa.array([_sum(part["moments"]).bytes()], pa.binary())], ["held", "n", "components", "moments"])
 
         schema = "held int, n double, components long, moments binary"
-        parts = self.moments.select("held", "moments").mapInArrow(normalised, schema)
+        parts = self.small.mapInArrow(small_sums, schema)
+        if self.has_large:
+            parts = parts.unionByName(self.moments.select("held", "moments").mapInArrow(normalised, schema))
         salted = parts.withColumn("salt", F.spark_partition_id() % 16).groupBy("held", "salt").applyInArrow(total, schema)
         #: one row for each outer fold: the sum of normalised moments, rows and components
         self.totals = cut(salted.groupBy("held").applyInArrow(total, schema))
 
     def scores(self) -> DataFrame:
         """held, alpha, components and score: the mean absolute error over rows and targets of a left-out component, averaged over components."""
+        found = self._downdated()
+        if self.has_large:
+            found = found.unionByName(self._refitted())
+        each = found.groupBy("held", "component", "alpha").agg((F.sum("s") / F.sum("n")).alias("e"))
+        return each.groupBy("held", "alpha").agg(F.count("*").alias("components"), F.avg("e").alias("score"))
+
+    def _downdated(self) -> DataFrame:
+        """held, component, alpha, and sums and counts of the left-out errors of small components."""
+        alphas, folds = self.alphas, self.folds
+        wholes = {r.held: Whole(Moments.read(bytes(r.moments)), r.n, r.components) for r in self.totals.collect()}  # a row for each outer fold
+        shared = self.rows.sparkSession.sparkContext.broadcast(wholes)
+
+        def fit(batches):
+            for batch in batches:
+                out = [(f, c, a, s, 2 * int((fold != f).sum())) for c, fold, x, y in _unpacked(batch) for f in folds if f in shared.value and (fold != f).any() for a, s in zip(alphas, shared.value[f].without(x[fold != f], y[fold != f], alphas), strict=False)]
+                columns = list(zip(*out, strict=True)) if out else [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.int64()), strict=True)], ["held", "component", "alpha", "s", "n"])
+
+        return self.small.mapInArrow(fit, "held int, component string, alpha double, s double, n long")
+
+    def _refitted(self) -> DataFrame:
+        """The same of large components."""
         alphas = self.alphas
 
         def fit(batches):
@@ -220,11 +312,9 @@ class Fits:
                 yield pa.RecordBatch.from_arrays([batch["of"], batch["component"], batch["alpha"], pa.array(sums), pa.array(counts, pa.int64())], ["held", "component", "alpha", "s", "n"])
 
         # rows go to their component's weights in blocks, so that no component is one task
-        groups = max(1, -(-self.rows.count() // 1024))
-        dealt = self.rows.withColumn("g", F.pmod(F.xxhash64("aligned", "y1", "y2"), F.lit(groups))).groupBy("component", "fold", "g").agg(F.collect_list(F.struct("aligned", "y1", "y2")).alias("rows"))
-        found = dealt.join(weights, "component").filter("of <> fold").select("of", "component", "alpha", "rows", "w", "c").mapInArrow(measure, "held int, component string, alpha double, s double, n long")
-        each = found.groupBy("held", "component", "alpha").agg((F.sum("s") / F.sum("n")).alias("e"))
-        return each.groupBy("held", "alpha").agg(F.count("*").alias("components"), F.avg("e").alias("score"))
+        groups = max(1, -(-self.large_rows.count() // 1024))
+        dealt = self.large_rows.withColumn("g", F.pmod(F.xxhash64("aligned", "y1", "y2"), F.lit(groups))).groupBy("component", "fold", "g").agg(F.collect_list(F.struct("aligned", "y1", "y2")).alias("rows"))
+        return dealt.join(weights, "component").filter("of <> fold").select("of", "component", "alpha", "rows", "w", "c").mapInArrow(measure, "held int, component string, alpha double, s double, n long")
 
     def selected(self) -> DataFrame:
         """held, alpha and score: the alpha with the least score, the smaller one on ties."""

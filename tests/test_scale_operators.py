@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandwise.functions import sequences as S
-from strandwise.operators import align, identity, metrics, resample, seeds, selection
+from strandwise.operators import align, identity, metrics, resample, ridge, seeds, selection
 
 
 def peptides(rng, n, letters="ACDEFGHIK"):
@@ -202,3 +202,65 @@ def test_resampled_groups_against_numpy(spark):
     low, high = (resample.intervals(got, ["e"], "d").first()[c] for c in ("low", "high"))
     plain = metrics.drawn_means(sums, sizes, 10_000, 5)
     assert np.allclose([low, high], np.quantile(plain, [0.025, 0.975]), atol=0.06 * plain.std())
+
+
+# ------------------------------------------------------------------ ridge without a component
+
+
+def components_of(rng, sizes):
+    base = ["".join(rng.choice(list("ACDEFGHIK"), 30)) for _ in range(3)]
+    rows = []
+    for c, n in enumerate(sizes):
+        for _ in range(n):
+            x = list(base[c % 3])
+            for p in rng.integers(0, 30, 8):
+                x[p] = rng.choice(list("ACDEFGHIK-"))
+            rows.append((f"c{c}", int(rng.integers(1, 4)), "".join(x), float(rng.normal(c % 3)), float(rng.normal())))
+    return rows
+
+
+def left_out(rows, component, held, alpha):
+    """The error sum of a component's rows by a fit of all other rows, every component with the same weight."""
+    there = [r for r in rows if r[1] != held]
+    own, rest = [r for r in there if r[0] == component], [r for r in there if r[0] != component]
+    size = {c: sum(r[0] == c for r in rest) for c, *_ in rest}
+    w = np.array([len(rest) / len(size) / size[r[0]] for r in rest])
+    y = lambda z: np.array([r[3:] for r in z])
+    b, c = ridge.fit_rows(ridge.encode([r[2] for r in rest]), y(rest), w, alpha)
+    return float(np.abs(ridge.encode([r[2] for r in own]) @ b + c - y(own)).sum())
+
+
+@pytest.mark.parametrize("sizes", [[5, 1, 40, 3, 12], [700, 2], [30, 30, 30, 1]])
+def test_downdated_fits_are_fits_of_the_other_rows(sizes):
+    rows = components_of(np.random.default_rng(sum(sizes)), sizes)
+    for held in (0, 2):
+        there = [r for r in rows if r[1] != held]
+        names = sorted({r[0] for r in there})
+        parts = {c: [r for r in there if r[0] == c] for c in names}
+        arrays = {c: (ridge.encode([r[2] for r in own]), np.array([r[3:] for r in own])) for c, own in parts.items()}
+        total = None
+        for x, y in arrays.values():
+            m = ridge.Moments.of([p / len(x) for p in ridge.Moments(x, y).parts])
+            total = m if total is None else total + m
+        whole = ridge.Whole(total, float(len(there)), len(names))
+        for c in names:
+            alphas = [1e-4, 0.1, 1.0, 1000.0]
+            assert whole.without(*arrays[c], alphas) == pytest.approx([left_out(rows, c, held, a) for a in alphas], rel=1e-8)
+    assert ridge.Whole(total, 1.0, 1).without(*arrays[names[0]], [1.0]) == []
+
+
+def test_scores_of_small_and_of_large_components(spark, monkeypatch):
+    rows = components_of(np.random.default_rng(11), [6, 1, 25, 9])
+    df = spark.createDataFrame(rows, "c string, fold int, aligned string, y1 double, y2 double").repartition(3)
+    alphas, found = [0.1, 10.0], []
+    for small in (512, 8, 0):
+        monkeypatch.setattr(ridge, "SMALL", small)
+        fits = ridge.Fits(df, "c", alphas)
+        assert fits.has_large == (small < 25)
+        found.append({(r.held, r.alpha): (r.components, r.score) for r in fits.scores().collect()})
+    for held in range(4):
+        for a in alphas:
+            there = sorted({r[0] for r in rows if r[1] != held})
+            errors = [left_out(rows, c, held, a) / (2 * sum(r[0] == c and r[1] != held for r in rows)) for c in there]
+            for got in found:
+                assert got[held, a] == (len(there), pytest.approx(np.mean(errors), rel=1e-7))
