@@ -11,26 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _root(spark: SparkSession) -> str:
+def root(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; one of its own is set only where none is and all tasks run on this machine."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root and not context.master.startswith("local"):
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="strandwise-"))
+        context.setCheckpointDir(given or "file://" + tempfile.mkdtemp(prefix="strandwise-"))
     return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Evaluates df once into the shared folder."""
-    _root(df.sparkSession)
+    root(df.sparkSession)
     return kept_until_end(df.checkpoint(eager=True))
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share; it goes when the driver ends."""
-    place = f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+    place = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(place)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
     _kept.append(place)
