@@ -9,7 +9,6 @@ from __future__ import annotations
 import atexit
 import mmap
 import os
-import tempfile
 import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -24,6 +23,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandwise.operators import graph
+
 BLOCK_BYTES = 2 << 20
 U64 = np.uint64
 
@@ -47,20 +48,10 @@ def id_mod(column: str, modulus: int) -> Column:
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share. An own one is set only where none is and all tasks run on this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="strandwise-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Evaluates df once into the shared folder, so that later reads don't depend on executors."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return graph.root(spark).rstrip("/")
+
+
+cut = graph.cut
 
 
 def as_struct(df: DataFrame, name: str) -> Column:

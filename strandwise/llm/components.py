@@ -1,34 +1,5 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components of an edge table, as the library's other operators find them."""
 
-from __future__ import annotations
+from strandwise.operators.graph import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from strandwise.llm import common as C
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root): for every node of edges (a, b) the smallest node that it reaches.
-
-    Minima are aggregated before they are joined back, so a node with many neighbours is no hot
-    group. Each round's edges go to the shared folder. Null ends and loops are left out; an empty
-    table gives an empty one.
-    """
-    now = C.cut(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u < v").distinct())
-    seen = _digest(now)
-    while seen[0]:
-        both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy(F.col("u").alias("c")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, both["u"] == least["c"]).filter("v > u").select("v", F.col("m").alias("u")).distinct()
-        low = large.groupBy(F.col("v").alias("c")).agg(F.min("u").alias("m"))
-        small = large.join(low, large["v"] == low["c"]).select(F.col("u").alias("v"), F.col("m").alias("u"))
-        now = C.cut(small.unionByName(low.select(F.col("c").alias("v"), F.col("m").alias("u"))).filter("u < v").distinct())
-        before, seen = seen, _digest(now)
-        if before == seen:
-            break
-    return now.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
-
-
-def _digest(edges: DataFrame) -> tuple[int, int]:
-    return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+__all__ = ["connected_components"]

@@ -10,12 +10,14 @@ from strandwise.llm import common as C
 
 
 def op1_pack_binary_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of binary length of all documents; an empty or null text has its end id alone, repeated rows have pieces of their own."""
     from strandwise.llm.packing import pack_pieces
 
     return pack_pieces(C.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op2_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all whole texts under trigrams of the training documents; repeated rows count as often as they occur, null text is empty."""
     from strandwise.llm.lm import KneserNey
 
     docs = C.table(spark, sf_dir, "documents")
@@ -28,6 +30,7 @@ def op2_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_avi_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as motion-JPEG, read back with its shots; null text is one padded frame, equal texts have equal values."""
     from strandwise.llm.media import read_media, store_media
 
     read = read_media(store_media(C.table(spark, sf_dir, "documents")))
@@ -37,6 +40,7 @@ def op3_avi_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents; texts without words have fingerprint zero and are linked like others."""
     from strandwise.llm.simhash import near_duplicates
 
     found = near_duplicates(C.table(spark, sf_dir, "documents"))
@@ -44,6 +48,7 @@ def op5_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxic passages and scores of all documents; a label without a document, or with a null, isn't learned from; empty texts have a score, too."""
     from strandwise.llm.toxicity import ToxicPassages
 
     docs, fold = C.table(spark, sf_dir, "documents"), C.id_mod("doc_id", 5)
@@ -55,6 +60,7 @@ def op4_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_output_code_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents; null texts and those without a letter are `und`, equal losses go to the language that sorts first."""
     from strandwise.llm.langid import OutputCodes
 
     docs, fold = C.table(spark, sf_dir, "documents"), C.id_mod("doc_id", 3)
@@ -66,18 +72,21 @@ TARGETS = {"lang": {"en": 0.6}, "topic": {"legal": 0.03, "table": 0.04}}
 
 
 def op6_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inclusion probabilities of all documents by the bounded law; null source, language or topic is a value of its own, repeated rows are drawn alike."""
     from strandwise.llm.mixing import calibrated
 
     return calibrated(C.table(spark, sf_dir, "documents"), targets=TARGETS, strict=False).withColumn("prob", F.round("prob", 9))
 
 
 def op8_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License texts and notices in all documents; null and empty texts have none."""
     from strandwise.llm.licenses import LicenseScanner
 
     return LicenseScanner().scan(C.table(spark, sf_dir, "documents"))
 
 
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 shards of equal rows along a Hilbert curve; nulls have code 0, ties go by checksum and id."""
     from strandwise.llm.sharding import shard_rows
 
     rows = shard_rows(C.table(spark, sf_dir, "documents"), 40, "rows")
@@ -85,6 +94,7 @@ def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_uniform_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best candidates of each query vector; vectors with nulls or no finite numbers take no part, ties go to the smaller id, repeated ids are rows of their own."""
     from strandwise.llm.topk import exact_top_k, integers
 
     return exact_top_k(integers(C.table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
