@@ -32,7 +32,7 @@ from strandwise.llm import common as C
 SIDE, FRAME, FPS = 24, 576, 10
 #: Fixed values of the formats: AVI index flags, JPEG markers.
 HAS_INDEX, KEY_FRAME = 0x10, 0x10
-SOI, SOF3, DHT, SOS, EOI = 0xD8, 0xC3, 0xC4, 0xDA, 0xD9
+SOI, SOF3, DHT, SOS, EOI, DRI = 0xD8, 0xC3, 0xC4, 0xDA, 0xD9, 0xDD
 
 INDEX = np.dtype([("id", "S4"), ("flags", "<u4"), ("offset", "<u4"), ("size", "<u4")])
 
@@ -146,6 +146,8 @@ def decode_lossless(jpeg: bytes) -> np.ndarray:
         body = jpeg[at + 4 : at + 2 + size]
         at += 2 + size
         if marker == DHT:
+            if table or len(body) != 17 + sum(body[1:17]):
+                raise ValueError("more than one Huffman table")
             code, k = 0, 17
             for length in range(1, 17):
                 for _ in range(body[length]):
@@ -157,6 +159,8 @@ def decode_lossless(jpeg: bytes) -> np.ndarray:
             if parts != 1:
                 raise ValueError("more than one component")
             shape = h, w
+        elif marker == DRI and any(body):
+            raise ValueError("restart intervals")
         elif 0xC0 <= marker <= 0xCF:
             raise ValueError("not a lossless frame")
         elif marker == SOS:
@@ -164,6 +168,8 @@ def decode_lossless(jpeg: bytes) -> np.ndarray:
             break
     if shape is None:
         raise ValueError("no frame header")
+    if not 0 < shape[0] * shape[1] <= 8 * (len(jpeg) - at):  # a sample has a bit at least, so what is allocated is bounded by what is there
+        raise ValueError("a frame without samples, or with more than its scan can hold")
     bits = "".join(f"{x:08b}" for x in jpeg[at : jpeg.rindex(bytes([0xFF, EOI]))].replace(b"\xff\0", b"\xff"))
     out, p = np.zeros(shape, np.int64), 0
     for y in range(shape[0]):

@@ -191,6 +191,15 @@ def test_foreign_frames_and_broken_files(spark):
     jpegs = [media.HEAD + scans.tobytes()[a:b] + media.TAIL for a, b in zip(ends - n, ends)]
     for j, frame in zip(jpegs, x):
         assert np.array_equal(media.decode_lossless(j), frame)
+    at = jpegs[0].index(bytes([0xFF, media.SOF3])) + 5  # height and width
+    for size, said in ((b"\xff\xff\xff\xff", "more than its scan"), (b"\0\0\0\x18", "without samples")):
+        with pytest.raises(ValueError, match=said):
+            media.decode_lossless(jpegs[0][:at] + size + jpegs[0][at + 4 :])
+    with pytest.raises(ValueError, match="restart"):
+        media.decode_lossless(jpegs[0][:2] + media._segment(media.DRI, b"\0\4") + jpegs[0][2:])
+    table = media._segment(media.DHT, bytes([0, 1, *[0] * 15, 5]))
+    with pytest.raises(ValueError, match="Huffman"):
+        media.decode_lossless(jpegs[0][:2] + table + jpegs[0][2:])
     dark, light = np.full((24, 24), 10, np.uint8), np.full((24, 24), 200, np.uint8)
     assert media.shots([dark] * 4 + [light] * 4)[0] == [(0, 4), (4, 8)]
     df = spark.createDataFrame([(1, 0, bytearray(b"no avi")), (2, 0, None)], "doc_id long, n_bytes long, media binary")
