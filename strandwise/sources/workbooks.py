@@ -59,33 +59,55 @@ def parse(content: bytes, only: set[str] | None = None, unpacked: int = UNPACKED
     with book:
         if sum(i.file_size for i in book.infolist()) > unpacked:
             raise InputError(f"a workbook of more than {unpacked} bytes")
-        names = set(book.namelist())
-        if "xl/workbook.xml" not in names:
+        if "xl/workbook.xml" not in book.namelist():
             raise InputError("no workbook")
-        targets = {}
-        if "xl/_rels/workbook.xml.rels" in names:
-            for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels")):
-                target = r.get("Target", "")
-                targets[r.get("Id")] = target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"xl/{target}")
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            with book.open("xl/sharedStrings.xml") as part:
-                for _, e in ElementTree.iterparse(part):
-                    if _local(e.tag) == "si":
-                        shared.append(_text(e))
-                        e.clear()
-        for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter():
-            if _local(sheet.tag) != "sheet":
-                continue
-            name = sheet.get("name", "")
+        targets, shared = _targets(book), _shared(book)
+        for name, target in targets:
             yield name, 0, 0, "sheet", None
-            target = targets.get(next((v for k, v in sheet.attrib.items() if _local(k) == "id"), None))
-            if (only is None or name in only) and target in names:
+            if target and (only is None or name in only):
                 with book.open(target) as part:
                     for cell in _cells(part, shared):
                         yield name, *cell
 
 
+def _targets(book: zipfile.ZipFile) -> list[tuple[str, str | None]]:
+    """Names of the sheets and the parts that hold them."""
+    names, targets, out = set(book.namelist()), {}, []
+    if "xl/_rels/workbook.xml.rels" in names:
+        for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels")):
+            target = r.get("Target", "")
+            targets[r.get("Id")] = target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"xl/{target}")
+    for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter():
+        if _local(sheet.tag) == "sheet":
+            target = targets.get(next((v for k, v in sheet.attrib.items() if _local(k) == "id"), None))
+            out.append((sheet.get("name", ""), target if target in names else None))
+    return out
+
+
+def _shared(book: zipfile.ZipFile) -> list[str]:
+    shared = []
+    if "xl/sharedStrings.xml" in book.namelist():
+        with book.open("xl/sharedStrings.xml") as part:
+            for _, e in ElementTree.iterparse(part):
+                if _local(e.tag) == "si":
+                    shared.append(_text(e))
+                    e.clear()
+    return shared
+
+
+def sheet_cells(book: zipfile.ZipFile, name: str, last_row: float) -> Iterator[tuple[int, int, str, str | None]]:
+    """(0, 0, "sheet", None), then row, column, kind and value of one sheet's cells up to a row; what is behind it isn't parsed."""
+    yield 0, 0, "sheet", None
+    target = dict(_targets(book)).get(name)
+    if target and last_row > 0:
+        shared = _shared(book)
+        with book.open(target) as part:
+            for cell in _cells(part, shared):
+                if cell[0] > last_row:
+                    return
+                yield cell
+
+
 def _cells(part, shared: list[str]) -> Iterator[tuple[int, int, str, str]]:
     row = 0
     for _, e in ElementTree.iterparse(part):

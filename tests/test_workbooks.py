@@ -113,3 +113,29 @@ def test_what_is_no_workbook(spark, tmp_path):
         W.cells(spark, str(tmp_path / "t.xlsx")).count()
     with pytest.raises(InputError, match="more than"):
         list(W.parse(open(book(tmp_path / "b.xlsx", {"s": [["a"]]}), "rb").read(), unpacked=10))
+
+
+def test_workbooks_as_a_source(spark, tmp_path):
+    """Sheets are partitions; filters on sheet, row and column leave other sheets closed and end a sheet's stream."""
+    from strandwise.sources import workbook_source as B
+
+    rows = [[f"r{k}c{c}" for c in range(4)] for k in range(200)]
+    for k in range(2):
+        book(tmp_path / f"b{k}.xlsx", {"P1": rows, "P2": rows, "other": [["x", 1.5]]})
+    (tmp_path / "notes.txt").write_text("no workbook")
+    B.register(spark)
+    read = lambda: spark.read.format("workbook").load(str(tmp_path))
+    plain = W.cells(spark, str(tmp_path / "*.xlsx"))
+    bare = lambda df: sorted((r.path.rpartition("/")[2], *r[1:]) for r in df.collect())
+    where = "sheet = 'P1' and row = 2 and col <= 3"
+    for condition in ("true", where, "sheet in ('P2', 'other') and row > 198 and value is not null", "row < 1", "sheet = 'none'", "kind = 'number'"):
+        assert bare(read().filter(condition)) == bare(plain.filter(condition)), condition
+    assert read().rdd.getNumPartitions() == 6 and read().filter(where).rdd.getNumPartitions() == 2
+    reader = B.WorkbookReader(str(tmp_path / "b0.xlsx"))
+    kept = list(reader.pushFilters([B.DS.EqualTo(("sheet",), "P1"), B.DS.EqualTo(("row",), 2), B.DS.StringContains(("value",), "c")]))
+    (part,) = reader.partitions()
+    assert len(kept) == 1 and len(list(reader.read(part))) == 4 and reader.parsed == 8  # rows 1 and 2 of one sheet
+    with pytest.raises(InputError, match="no such file"):
+        B.WorkbookReader(str(tmp_path / "none")).partitions()
+    with pytest.raises(InputError, match="no workbook"):
+        B.WorkbookReader(str(tmp_path / "notes.txt")).partitions()
