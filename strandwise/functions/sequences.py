@@ -17,9 +17,14 @@ _BLANK = r"(?U)[\s\u001c-\u001f]+"
 
 
 def aligned_from_text(text: Column) -> Column:
-    """The first 30 standard residues of the ASCII letters, padded by gaps; null text is all gap."""
-    letters = F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z]", ""))
-    return F.rpad(F.substring(F.regexp_replace(letters, "[BJOUXZ]", ""), 1, LENGTH), LENGTH, GAP)
+    """The first 30 standard residues of the ASCII letters, padded by gaps; null text is all gap. Texts whose start has 30 aren't scanned to their ends."""
+
+    def residues_of(part: Column) -> Column:
+        return F.regexp_replace(F.upper(F.regexp_replace(part, "[^A-Za-z]+", "")), "[BJOUXZ]+", "")
+
+    text = F.coalesce(text, F.lit(""))
+    start = residues_of(F.substring(text, 1, 4 * LENGTH))
+    return F.when(F.length(start) >= LENGTH, F.substring(start, 1, LENGTH)).otherwise(F.rpad(F.substring(residues_of(text), 1, LENGTH), LENGTH, GAP))
 
 
 def normalise(raw: Column, aligned: bool = True) -> tuple[Column, Column]:

@@ -6,56 +6,47 @@ share costs as much as any other.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.functions import sequences as S
+from strandwise.operators import blocks as B
 from strandwise.operators import seeds as P
 from strandwise.operators.graph import cut
 
-BLOCK = 1024
-
 
 def classes(panel: DataFrame) -> DataFrame:
     """aligned, rep (smallest id) and n of each distinct sequence but the all-gap one."""
     return panel.filter(F.col("aligned") != S.ALL_GAP).groupBy("aligned").agg(F.min("peptide_id").alias("rep"), F.count("*").alias("n"))
 
 
-def edges(distinct: DataFrame, threshold: float) -> DataFrame:
+#: A pair of two blocks, beside a pair that meets by a seed, and what seeds cost in such pairs whatever they find.
+PRODUCT_COST, LEVEL_COST = 0.001, 4e6
+
+
+def edges(distinct: DataFrame, threshold: float, level_cost: float = LEVEL_COST) -> DataFrame:
     """(a, b, identity) of distinct sequences with identity >= threshold, a < b.
 
-    Rows meet where they hold the same letters at one of the seeds' sets of columns, common keys in cells, and each
-    pair is verified; pairs that meet at several sets are made one after that.
+    Blocks meet all of each other unless seeds cost under a fourth of that. Otherwise rows meet where they hold the same letters at one of the seeds' sets
+    of columns, common keys in cells, and each pair is verified; pairs that meet at several sets are made one after that. What the seeds'
+    pairs would be is guessed from single columns first, and then counted, as words make many more.
     """
     rows = cut(distinct.select("rep", "aligned", *P.pack(F.col("aligned"))))
-    n = rows.count()
-    plan = P.Plan.best(threshold, n, n * n / 2, P.agreement(rows))
-    x, y = P.cells(plan.keyed(rows.drop("aligned")))
+    n, agree = rows.count(), P.agreement(rows)
+    products = PRODUCT_COST * n * n / 2
+    plan = P.Plan.best(threshold, n, n * n / 2, agree)
+    keyed = None if products < 4 * (level_cost + plan.cost(n, n * n / 2, agree)) else cut(plan.keyed(rows.drop("aligned")))
+    if keyed is None or products < 4 * (level_cost + P.meetings(keyed) / 2):
+        return B.near_pairs(rows, "rep", threshold)
+    x, y = P.cells(keyed)
     packed = lambda side, name: side.select("key", "i", "j", F.struct("rep", *P.PACKED).alias(name))
     pairs = packed(x, "x").join(packed(y, "y"), ["key", "i", "j"]).filter("i < j or x.rep < y.rep")
     pairs = pairs.withColumn("identity", P.share("x", "y")).filter(F.col("identity") + S.EPS >= threshold)
     return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), "identity").distinct()
 
 
-def _codes(sequences: list[str]) -> np.ndarray:
-    return np.frombuffer("".join(sequences).encode("ascii"), np.uint8).reshape(-1, S.LENGTH) if sequences else np.zeros((0, S.LENGTH), np.uint8)
-
-
-def _identities(q: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """All identities of two blocks, by one-hot products of the residue columns and of the gaps."""
-    symbols = np.frombuffer(S.ALPHABET[1:].encode(), np.uint8)
-    hot = lambda x: (x[:, :, None] == symbols).reshape(len(x), -1).astype(np.float32)
-    gap = lambda x: (x == ord(S.GAP)).astype(np.float32)
-    used = S.LENGTH - (gap(q) @ gap(d).T).astype(float)
-    return (hot(q) @ hot(d).T).astype(float) / np.maximum(used, 1)
-
-
 #: Thresholds at which nearest() may look for donors by seeds, one after the other; what has none at the last meets all donors.
 LEVELS = (0.85, 0.7, 0.6, 0.5, 0.4)
-#: A pair of a product of blocks, beside a pair that meets by a seed, and what a level costs in such pairs whatever it finds.
-PRODUCT_COST, LEVEL_COST = 0.05, 4e6
 
 
 def nearest(queries: DataFrame, donors: DataFrame, same_fold: bool = False, levels: tuple[float, ...] = LEVELS, level_cost: float = LEVEL_COST) -> DataFrame:
@@ -80,7 +71,10 @@ def nearest(queries: DataFrame, donors: DataFrame, same_fold: bool = False, leve
         plan = P.Plan.best(threshold, q + n, q * n, agree)
         if 4 * (level_cost + plan.cost(q + n, q * n, agree)) > products:
             continue
-        x, y = P.cells(plan.keyed(left.drop("aligned")), plan.keyed(donors.select(F.xxhash64("first_id").alias("qid"), "fold", "first_id", *P.PACKED)), by="qid")
+        sides = cut(plan.keyed(left.drop("aligned"))), cut(plan.keyed(donors.select(F.xxhash64("first_id").alias("qid"), "fold", "first_id", *P.PACKED)))
+        if 4 * (level_cost + P.meetings(*sides)) > products:
+            continue
+        x, y = P.cells(*sides, by="qid")
         x = x.select("key", "i", "j", F.struct("qid", "fold", *P.PACKED).alias("x"))
         y = y.select("key", "i", "j", F.struct("fold", "first_id", *P.PACKED).alias("y"))
         pairs = x.join(y, ["key", "i", "j"])
@@ -106,60 +100,17 @@ RESULT = ["identity", "ties", "s1", "s2", "first_id", "ids"]
 
 
 def _by_blocks(queries: DataFrame, donors: DataFrame, same_fold: bool) -> DataFrame:
-    """nearest() by products of blocks: only a block's best leaves it."""
-    q, nq, nd = queries.select("aligned", "fold"), queries.count(), donors.count()
-    gq, gd = max(1, -(-nq // BLOCK)), max(1, -(-nd // (4 * BLOCK)))
-    pack = lambda df, key, groups: df.withColumn(key, F.pmod(F.xxhash64("aligned", "fold"), F.lit(groups)).cast("int")).groupBy(key)
-    qb = pack(q, "g", gq).agg(F.collect_list(F.struct("aligned", "fold")).alias("qs"))  # about a block each
-    db = pack(donors, "d", gd).agg(F.collect_list(F.struct("aligned", "fold", "first_id", "n", "s1", "s2")).alias("ds"))
-    pairs = qb.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(gd - 1)))).join(db.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(gq - 1)))), ["g", "d"]).select("qs", "ds")
-
-    def best(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                qs, ds = batch["qs"][row].values, batch["ds"][row].values
-                ids = np.array(ds.field("first_id").to_pylist(), object)
-                order = np.argsort(ids)
-                ids, ds = ids[order], ds.take(pa.array(order))
-                x = _identities(_codes(qs.field("aligned").to_pylist()), _codes(ds.field("aligned").to_pylist()))
-                if not same_fold:
-                    fq, fd = (np.array([-1 - k if v is None else v for v in z.field("fold").to_pylist()]) for k, z in enumerate((qs, ds)))
-                    x[fq[:, None] == fd[None, :]] = -1
-                top = x.max(1)
-                of, donor = np.nonzero(x >= np.where(top >= 0, top - S.EPS, np.inf)[:, None])  # of a query's donors the smallest id first
-                keep = np.flatnonzero(top >= 0)
-                num = [np.bincount(of, z.to_numpy(zero_copy_only=False).astype(float)[donor], len(top)) for z in (ds.field("n"), ds.field("s1"), ds.field("s2"))]
-                upto = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(top))[keep]))).astype(np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(upto), pa.array(ids[donor], pa.string()))
-                yield pa.RecordBatch.from_arrays([qs.field("aligned").take(pa.array(keep)), qs.field("fold").take(pa.array(keep)).cast(pa.int32()), pa.array(top[keep]), *(pa.array(v[keep]) for v in num), pa.array(ids[donor[upto[:-1]]], pa.string()), listed], ["aligned", "fold", "identity", "n", "s1", "s2", "first_id", "ids"])
-
-    local = cut(pairs.mapInArrow(best, "aligned string, fold int, identity double, n double, s1 double, s2 double, first_id string, ids array<string>"))
-    top = local.groupBy(F.col("aligned").alias("ta"), F.col("fold").alias("tf")).agg(F.max("identity").alias("top"))
-    joined = local.join(top, (F.col("aligned") == F.col("ta")) & F.col("fold").eqNullSafe(F.col("tf"))).filter(F.col("identity") >= F.col("top") - S.EPS)
-    return joined.groupBy("aligned", "fold").agg(F.max("identity").alias("identity"), F.sum("n").cast("long").alias("ties"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.min("first_id").alias("first_id"), F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"))  # a list for each block of donors
+    """nearest() by blocks that meet all of each other: only a block's best leaves it, a row for each block of donors."""
+    local = B.best(queries, donors, same_fold).groupBy(F.col("qid").alias("of")).agg(F.collect_list(F.struct("identity", "n", "s1", "s2", "ids")).alias("all"))
+    top = F.array_max(F.transform("all", lambda x: x["identity"]))
+    tied = local.select("of", top.alias("identity"), F.filter("all", lambda x: x["identity"] >= top - S.EPS).alias("t"))
+    total = lambda name: F.aggregate("t", F.lit(0.0), lambda s, x: s + x[name])
+    ids = tied.select("of", "identity", total("n").cast("long").alias("ties"), total("s1").alias("s1"), total("s2").alias("s2"), F.array_sort(F.flatten(F.transform("t", lambda x: x["ids"]))).alias("ids"))
+    return queries.join(ids, queries["qid"] == ids["of"]).select("aligned", "fold", "identity", "ties", "s1", "s2", F.col("ids")[0].alias("first_id"), "ids")
 
 
 def hamming_nearest(queries: DataFrame, references: DataFrame) -> DataFrame:
     """aligned, distance and nearest: the reference (aligned, first_id) with the fewest differing columns, the smallest id on ties."""
-    queries, references = cut(queries), cut(references)
-    nq, nr = queries.count(), references.count()
-    gq, gr = max(1, -(-nq // BLOCK)), max(1, -(-nr // (4 * BLOCK)))
-    deal = lambda groups: F.pmod(F.xxhash64("aligned"), F.lit(groups)).cast("int")
-    qb = queries.withColumn("g", deal(gq)).groupBy("g").agg(F.collect_list("aligned").alias("qs"))  # about a block each
-    rb = references.withColumn("d", deal(gr)).groupBy("d").agg(F.collect_list(F.struct("aligned", "first_id")).alias("rs"))
-    pairs = qb.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(gr - 1)))).join(rb.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(gq - 1)))), ["g", "d"]).select("qs", "rs")
-
-    def best(batches):
-        symbols = np.frombuffer(S.ALPHABET.encode(), np.uint8)
-        hot = lambda x: (x[:, :, None] == symbols).reshape(len(x), -1).astype(np.float32)
-        for batch in batches:
-            for row in range(batch.num_rows):
-                qs, rs = batch["qs"][row].values, batch["rs"][row].values
-                ids = np.array(rs.field("first_id").to_pylist(), object)
-                order = np.argsort(ids)
-                same = hot(_codes(qs.to_pylist())) @ hot(_codes(rs.field("aligned").to_pylist()))[order].T
-                at = same.argmax(1)
-                yield pa.RecordBatch.from_arrays([qs, pa.array((S.LENGTH - same[np.arange(len(at)), at]).astype(np.int64)), pa.array(ids[order][at], pa.string())], ["aligned", "distance", "nearest"])
-
-    local = pairs.mapInArrow(best, "aligned string, distance long, nearest string")
-    return local.groupBy("aligned").agg(F.min(F.struct("distance", "nearest")).alias("m")).select("aligned", "m.distance", "m.nearest")
+    queries = cut(queries.select("aligned", F.monotonically_increasing_id().alias("qid")))
+    local = B.fewest(queries, cut(references)).groupBy(F.col("qid").alias("of")).agg(F.min(F.struct("distance", "nearest")).alias("m"))
+    return queries.join(local, queries["qid"] == local["of"]).select("aligned", "m.distance", "m.nearest")

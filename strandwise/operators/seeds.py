@@ -30,7 +30,7 @@ WORDS = -(-S.LENGTH // LANES)
 ONES = sum(1 << BITS * i for i in range(LANES))
 PACKED = [f"p{w}" for w in range(WORDS)]
 #: Keys that a sequence emits at most (twice as many sets are held against it), and what one costs beside a pair that is looked at.
-MOST_KEYS, KEY_COST = 700, 4.0
+MOST_KEYS, KEY_COST = 700, 40.0
 #: Rows of a key that meet in one cell.
 CELL = 1024
 
@@ -160,15 +160,24 @@ def agreement(rows: DataFrame) -> list[float]:
     return [sum((r["count"] / total) ** 2 for r in letters if r.i == i and r.x != S.GAP) for i in range(S.LENGTH)]
 
 
+def meetings(keyed: DataFrame, other: DataFrame | None = None) -> float:
+    """How many pairs of rows have a key in common: ordered ones of one table."""
+    counts = keyed.groupBy("key").agg(F.count("*").cast("double").alias("n"))
+    if other is None:
+        return counts.filter("n > 1").agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0.0))).first()[0]
+    more = other.groupBy("key").agg(F.count("*").cast("double").alias("m"))
+    return counts.join(more, "key").agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0.0))).first()[0]
+
+
 def cells(keyed: DataFrame, other: DataFrame | None = None, by: str = "rep", cell: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Both sides of a join on (key, i, j) in which no cell has many rows of a key, however common it is.
 
     A key with more rows than `cell` on a side has its rows dealt by a hash into so many lines (or columns) of a grid; each row goes
     to all cells of its line, so every pair meets in exactly one. With one table (other None) only cells with i <= j
-    are used: rows are the first of a pair in line i and the second in column i.
+    are used: rows are the first of a pair in line i and the second in column i. Tables are read several times, so they should be checkpointed.
     """
-    cell, keyed = cell or CELL, cut(keyed)
-    sides = [keyed, keyed if other is None else cut(other)]
+    cell = cell or CELL
+    sides = [keyed, keyed if other is None else other]
     counts = None
     for k, side in enumerate(sides[: 1 if other is None else 2]):
         own = side.groupBy("key").agg(F.count("*").alias(f"n{k}"))
