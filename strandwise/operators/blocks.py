@@ -21,6 +21,8 @@ from strandwise.operators.graph import cut
 BITS = 5
 #: Rows of a block, at least and at most, how many blocks a table has in between, and tasks at most.
 LEAST, MOST, BLOCKS, TASKS = 1 << 12, 1 << 16, 24, 4000
+#: Parts of the donors that a block of queries meets in tasks of their own.
+SLABS = 8
 _NUMBERS = np.zeros(256, np.uint8)
 _NUMBERS[np.frombuffer(S.ALPHABET.encode(), np.uint8)] = np.arange(len(S.ALPHABET))
 _COLUMNS = np.uint32(1) << np.arange(S.LENGTH, dtype=np.uint32)
@@ -161,41 +163,103 @@ def fewest(queries: DataFrame, references: DataFrame) -> DataFrame:
 
 
 def best(queries: DataFrame, donors: DataFrame, same_fold: bool) -> DataFrame:
-    """qid, identity, n, s1, s2 and ids for each query (aligned, fold, qid) and block of donors that count for it: the best identity there and what ties at it."""
+    """qid, identity and dids for each query (aligned, fold, qid) and slab of donors (aligned, fold, did) with one that counts for it: the best identity there and what ties at it.
 
-    def found(x: Block, y: Block, one: bool) -> pa.RecordBatch | None:
-        folds = [np.array([-1 - k if v is None else v for v in z["fold"].to_pylist()], np.int64) for k, z in enumerate((x, y))]
-        gx, gy = gaps(x.words), gaps(y.words)
-        numbers = [y.numbers(c).astype(float) for c in ("n", "s1", "s2")]
-        rows, tops, ends, tied = [], [], [], []
-        for fold in [None] if same_fold else np.unique(folds[0]):
-            own = np.arange(x.words.shape[1]) if fold is None else np.flatnonzero(folds[0] == fold)
-            others = np.arange(y.words.shape[1]) if fold is None else np.flatnonzero(folds[1] != fold)
+    A task takes a block of queries past the donors' blocks of a slab, one after the other, and keeps what is best so far: at the identities of unrelated
+    sequences each block has ties of its own, which are not to leave the task for every block.
+    """
+    nx, ny = queries.count(), donors.count()
+    gx, gy = (max(1, -(-n // size_of(n))) for n in (nx, ny))
+    slabs = min(SLABS, gy)
+    xs, ys = _packed(queries.select("aligned", "qid", "fold"), "x", gx, ["qid", "fold"]), _packed(donors.select("aligned", "did", "fold"), "y", gy, ["did", "fold"])
+    left = xs.withColumn("unit", F.explode(F.sequence(F.col("x") * slabs, F.col("x") * slabs + (slabs - 1))))
+    right = ys.withColumn("__x", F.explode(F.sequence(F.lit(0), F.lit(gx - 1)))).withColumn("unit", F.col("__x") * slabs + F.col("y") % slabs).drop("__x")
+    tasks = min(TASKS, gx * slabs)
+    left, right = left.repartition(tasks, "unit").hint("shuffle_hash"), right.repartition(tasks, "unit")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units: dict[int, Leaders] = {}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                unit = batch["unit"][row].as_py()
+                if unit not in units:
+                    units[unit] = Leaders(Block(batch, "x", row, ["qid", "fold"]))
+                units[unit].meet(Block(batch, "y", row, ["did", "fold"]), same_fold)
+        for leaders in units.values():
+            yield from leaders.found()
+
+    return left.join(right, "unit").select("unit", *xs.columns, *ys.columns).mapInArrow(run, "qid long, identity double, dids array<long>")
+
+
+class Leaders:
+    """The best identity of each query of a block among the donors that it has met, and the donors at it."""
+
+    def __init__(self, x: Block):
+        # a batch's memory is used again, so what stays is copied
+        self.words, self.qid, self.folds = x.words.copy(), np.array(x.numbers("qid")), _folds(x, -1)
+        self.gaps = gaps(self.words)
+        self.top = np.full(len(self.qid), -1.0)
+        self.tied: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held, self.limit = 0, 1 << 20
+
+    def meet(self, y: Block, same_fold: bool) -> None:
+        folds, gy, did = _folds(y, -2), gaps(y.words), y.numbers("did")
+        rows, shares, ends, tied = [], [], [], []
+        for fold in [None] if same_fold else np.unique(self.folds):
+            own = np.arange(len(self.qid)) if fold is None else np.flatnonzero(self.folds == fold)
+            others = np.arange(len(did)) if fold is None else np.flatnonzero(folds != fold)
             if not len(others):
                 continue
             near = Differing(y.words[:, others])
-            for gap in np.unique(gx[own]):
-                used = None if not gap else np.maximum((S.LENGTH - np.bitwise_count(gap & gy[others])).astype(float), 1)
-                blank = None if not gap else np.bitwise_count(gap & gy[others]).astype(float)
-                for i in own[gx[own] == gap]:
-                    count = near.of(x.words[:, i])
+            for gap in np.unique(self.gaps[own]):
+                blank = np.bitwise_count(gap & gy[others]).astype(float) if gap else None
+                used = np.maximum(S.LENGTH - blank, 1) if gap else None
+                for i in own[self.gaps[own] == gap]:
+                    count, least = near.of(self.words[:, i]), self.top[i] - S.EPS
                     if used is None:  # no column is a gap in both
-                        least = count.min()
-                        top, at = (S.LENGTH - int(least)) / S.LENGTH, np.flatnonzero(count == least)
+                        few = count.min()
+                        top = (S.LENGTH - int(few)) / S.LENGTH
+                        if top < least:
+                            continue
+                        at = np.flatnonzero(count == few)
                     else:
                         share = (S.LENGTH - blank - count) / used
                         top = share.max()
+                        if top < least:
+                            continue
                         at = np.flatnonzero(share >= top - S.EPS)
+                    self.top[i] = max(top, self.top[i])
                     rows.append(i)
-                    tops.append(top)
+                    shares.append(top)
                     ends.append(len(at))
-                    tied.append(others[at])
-        if not rows:
-            return None
-        tied, upto = np.concatenate(tied), np.concatenate(([0], np.cumsum(ends)))
-        sums = [np.add.reduceat(z[tied], upto[:-1]) for z in numbers]
-        ids = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), y["first_id"].take(pa.array(tied)))
-        return pa.RecordBatch.from_arrays([x["qid"].take(pa.array(rows)), pa.array(tops), *(pa.array(z) for z in sums), ids], ["qid", "identity", "n", "s1", "s2", "ids"])
-
-    keep = ["first_id", "fold", "n", "s1", "s2"]
-    return meet(queries.select("aligned", "qid", "fold"), ["qid", "fold"], donors.select("aligned", *keep), keep, found, "qid long, identity double, n double, s1 double, s2 double, ids array<string>")
+                    tied.append(did[others[at]])
+        if rows:
+            self.tied.append((np.repeat(rows, ends), np.repeat(shares, ends), np.concatenate(tied)))
+            self.held += len(self.tied[-1][0])
+            if self.held > self.limit:  # what was best for a while goes
+                self.tied = [self._leading()]
+                self.held = len(self.tied[0][0])
+                self.limit = max(self.limit, 2 * self.held)
+
+    def _leading(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, share, did = (np.concatenate(z) for z in zip(*self.tied, strict=True))
+        keep = share >= self.top[row] - S.EPS
+        return row[keep], share[keep], did[keep]
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        if not self.tied:
+            return
+        row, _, did = self._leading()
+        order = np.argsort(row, kind="stable")
+        row, did = row[order], did[order]
+        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        upto = np.concatenate((first, [len(row)]))
+        for k in range(0, len(first), 1 << 12):
+            part = upto[k : k + (1 << 12) + 1]
+            lists = pa.LargeListArray.from_arrays(pa.array(part - part[0], pa.int64()), pa.array(did[part[0] : part[-1]])).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(self.qid[row[part[:-1]]]), pa.array(self.top[row[part[:-1]]]), lists], ["qid", "identity", "dids"])
+
+
+def _folds(block: Block, null: int) -> np.ndarray:
+    """Folds of a block's rows, with a number of its own for null."""
+    return np.array(block["fold"].fill_null(null))

@@ -100,13 +100,13 @@ RESULT = ["identity", "ties", "s1", "s2", "first_id", "ids"]
 
 
 def _by_blocks(queries: DataFrame, donors: DataFrame, same_fold: bool) -> DataFrame:
-    """nearest() by blocks that meet all of each other: only a block's best leaves it, a row for each block of donors."""
-    local = B.best(queries, donors, same_fold).groupBy(F.col("qid").alias("of")).agg(F.collect_list(F.struct("identity", "n", "s1", "s2", "ids")).alias("all"))
-    top = F.array_max(F.transform("all", lambda x: x["identity"]))
-    tied = local.select("of", top.alias("identity"), F.filter("all", lambda x: x["identity"] >= top - S.EPS).alias("t"))
-    total = lambda name: F.aggregate("t", F.lit(0.0), lambda s, x: s + x[name])
-    ids = tied.select("of", "identity", total("n").cast("long").alias("ties"), total("s1").alias("s1"), total("s2").alias("s2"), F.array_sort(F.flatten(F.transform("t", lambda x: x["ids"]))).alias("ids"))
-    return queries.join(ids, queries["qid"] == ids["of"]).select("aligned", "fold", "identity", "ties", "s1", "s2", F.col("ids")[0].alias("first_id"), "ids")
+    """nearest() by blocks that meet all of each other: only numbers of a slab's best leave it, and the donors' columns join what is best of all."""
+    donors = cut(donors.withColumn("did", F.monotonically_increasing_id()))
+    local = cut(B.best(queries, donors, same_fold).withColumnRenamed("qid", "of"))
+    top = local.groupBy(F.col("of").alias("q")).agg(F.max("identity").alias("top"))
+    tied = local.join(top, F.col("of") == F.col("q")).filter(F.col("identity") >= F.col("top") - S.EPS).select("of", "top", F.explode("dids").alias("d"))
+    of = tied.join(donors.select("did", "first_id", "n", "s1", "s2"), F.col("d") == F.col("did")).groupBy("of").agg(F.max("top").alias("identity"), F.sum("n").cast("long").alias("ties"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.array_sort(F.collect_list("first_id")).alias("ids"))
+    return queries.join(of, queries["qid"] == of["of"]).select("aligned", "fold", "identity", "ties", "s1", "s2", F.col("ids")[0].alias("first_id"), "ids")
 
 
 def hamming_nearest(queries: DataFrame, references: DataFrame) -> DataFrame:

@@ -42,6 +42,22 @@ def test_nearest_by_several_blocks(spark, monkeypatch):
     assert sorted(tuple(r) for r in found) == sorted((s, *min((far(s, d[0]), d[2]) for d in rows[::3])) for s in seqs)
 
 
+def test_what_is_best_leaves_a_slab_once(spark, monkeypatch):
+    """A query has a row for each slab of donors at most, not one with ties for each block; with copies of all donors held in between, and without."""
+    monkeypatch.setattr(blocks, "LEAST", 6)
+    monkeypatch.setattr(blocks, "BLOCKS", 12)
+    monkeypatch.setattr(blocks, "SLABS", 2)
+    seqs = peptides(np.random.default_rng(9), 72, "AC")
+    rows = [(k, s, k % 3) for k, s in enumerate(seqs)]
+    queries, donors = (spark.createDataFrame(rows, f"{name} long, aligned string, fold int") for name in ("qid", "did"))
+    got = blocks.best(queries, donors, False).collect()
+    assert len(got) <= 2 * len(rows) and {r.qid for r in got} == set(range(len(rows)))
+    plain = {k: max((align.identity(s, t), []) for _, t, g in rows if g != f)[0] for k, s, f in rows}
+    for k, s, f in rows:
+        best = {d for r in got if r.qid == k and r.identity >= plain[k] - 1e-12 for d in r.dids}
+        assert best == {j for j, t, g in rows if g != f and align.identity(s, t) >= plain[k] - 1e-12}
+
+
 def test_blocks_are_packed_once_and_never_broadcast(spark):
     """Copies of a block that go to other blocks are dealt by number: a broadcast would hold them all on the driver."""
     df = spark.createDataFrame([(s, f"p{k}") for k, s in enumerate(peptides(np.random.default_rng(8), 20))], "aligned string, first_id string")
