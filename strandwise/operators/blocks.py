@@ -119,35 +119,109 @@ class Block:
         return self.columns[name].to_numpy(zero_copy_only=False)
 
 
+def _near(x: Block, y: Block, one: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Rows of x and y (of unordered pairs, if both are one block) at the threshold, and their identities."""
+    most = int((1 - threshold) * S.LENGTH + 1e-9)
+    near, row_of, col_of = Differing(y.words), [], []
+    for i in range(x.words.shape[1]):
+        first = i + 1 if one else 0
+        hit = np.flatnonzero(near.of(x.words[:, i], first, 2) <= most)  # two planes tell most pairs apart
+        if len(hit):
+            hit = hit[np.bitwise_count(np.bitwise_or.reduce(x.words[:, i, None] ^ y.words[:, first + hit], axis=0)) <= most]
+            row_of.append(np.full(len(hit), i, np.int32))
+            col_of.append((first + hit).astype(np.int32))
+    if not row_of:
+        return None
+    i, j = np.concatenate(row_of), np.concatenate(col_of)
+    gx, gy = gaps(x.words), gaps(y.words)
+    used = (S.LENGTH - np.bitwise_count(gx[i] & gy[j])).astype(float)
+    differ = np.bitwise_count(np.bitwise_or.reduce(x.words[:, i] ^ y.words[:, j], axis=0))
+    identity = (used - differ) / np.maximum(used, 1)
+    keep = identity + S.EPS >= threshold
+    return i[keep], j[keep], identity[keep]
+
+
 def near_pairs(rows: DataFrame, name: str, threshold: float) -> DataFrame:
     """(a, b, identity) of distinct sequences at the threshold; a < b are values of the column `name`."""
-    most = int((1 - threshold) * S.LENGTH + 1e-9)
 
     def found(x: Block, y: Block, one: bool) -> pa.RecordBatch | None:
-        near, row_of, col_of = Differing(y.words), [], []
-        for i in range(x.words.shape[1]):
-            first = i + 1 if one else 0
-            hit = np.flatnonzero(near.of(x.words[:, i], first, 2) <= most)  # two planes tell most pairs apart
-            if len(hit):
-                hit = hit[np.bitwise_count(np.bitwise_or.reduce(x.words[:, i, None] ^ y.words[:, first + hit], axis=0)) <= most]
-                row_of.append(np.full(len(hit), i, np.int32))
-                col_of.append((first + hit).astype(np.int32))
-        if not row_of:
+        pairs = _near(x, y, one, threshold)
+        if pairs is None:
             return None
-        i, j = np.concatenate(row_of), np.concatenate(col_of)
-        gx, gy = gaps(x.words), gaps(y.words)
-        used = (S.LENGTH - np.bitwise_count(gx[i] & gy[j])).astype(float)
-        differ = np.bitwise_count(np.bitwise_or.reduce(x.words[:, i] ^ y.words[:, j], axis=0))
-        identity = (used - differ) / np.maximum(used, 1)
-        keep = identity + S.EPS >= threshold
-        i, j = pa.array(i[keep]), pa.array(j[keep])
-        return pa.RecordBatch.from_arrays([x[name].take(i), y[name].take(j), pa.array(identity[keep])], ["a", "b", "identity"])
+        i, j, identity = pairs
+        return pa.RecordBatch.from_arrays([x[name].take(pa.array(i)), y[name].take(pa.array(j)), pa.array(identity)], ["a", "b", "identity"])
 
     kind = rows.schema[name].dataType.simpleString()
     pairs = meet(rows.select("aligned", name), [name], None, [name], found, f"a {kind}, b {kind}, identity double")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "identity")
 
 
+def near_forest(rows: DataFrame, name: str, thresholds: list[float]) -> DataFrame:
+    """Links (a, b, level) whose components at each of the rising thresholds, by links of its level and higher ones, are those of all pairs at it; edges 0.
+
+    Two blocks give no more links than they have rows, however many pairs there are. Rows without a and b give the
+    pairs (edges) that reach the threshold of a level and not the next one.
+    """
+    kind = rows.schema[name].dataType.simpleString()
+
+    def found(x: Block, y: Block, one: bool) -> pa.RecordBatch | None:
+        pairs = _near(x, y, one, thresholds[0])
+        if pairs is None:
+            return None
+        i, j, identity = pairs
+        shift = 0 if one else x.words.shape[1]
+        j = j + shift
+        level = np.searchsorted(np.array(thresholds), identity + S.EPS, "right") - 1
+        label = np.arange(shift + y.words.shape[1])
+        a, b, of = [], [], []
+        for k in range(len(thresholds) - 1, -1, -1):
+            here = level == k
+            new = merged(label, i[here], j[here])
+            moved = np.flatnonzero((label == np.arange(len(label))) & (new != label))
+            a.append(new[moved])
+            b.append(moved)
+            of.append(np.full(len(moved), k, np.int32))
+            label = new
+        counts = np.bincount(level, minlength=len(thresholds))
+        names = x[name] if one else pa.concat_arrays([x[name], y[name]])
+        none = pa.nulls(len(thresholds), names.type)
+        ends = [pa.concat_arrays([names.take(pa.array(np.concatenate(z))), none]) for z in (a, b)]
+        links = sum(map(len, a))
+        return pa.RecordBatch.from_arrays([*ends, pa.array(np.concatenate([*of, np.arange(len(thresholds), dtype=np.int32)])), pa.array(np.concatenate([np.zeros(links, np.int64), counts]))], ["a", "b", "level", "edges"])
+
+    return meet(rows.select("aligned", name), [name], None, [name], found, f"a {kind}, b {kind}, level int, edges long")
+
+
+def merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels (each row's least member) after rows i and j are linked, too."""
+    now = label.copy()
+    while True:
+        a, b = now[i], now[j]
+        apart = a != b
+        if not apart.any():
+            return now
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(now, np.maximum(a, b), np.minimum(a, b))
+        while (now != now[now]).any():
+            now = now[now]
+
+
+def reached(x: DataFrame, y: DataFrame, threshold: float) -> DataFrame:
+    """(rep, group) of rows of x (aligned, rep) with a row of y (aligned, group) at the threshold: once for each two blocks, however many rows of the group there are."""
+    kind, group = x.schema["rep"].dataType.simpleString(), y.schema["group"].dataType.simpleString()
+
+    def found(one: Block, two: Block, same: bool) -> pa.RecordBatch | None:
+        pairs = _near(one, two, False, threshold)
+        if pairs is None:
+            return None
+        code = two["group"].dictionary_encode()
+        both = np.unique(pairs[0].astype(np.int64) * len(code.dictionary) + code.indices.to_numpy()[pairs[1]])
+        i, g = np.divmod(both, len(code.dictionary))
+        return pa.RecordBatch.from_arrays([one["rep"].take(pa.array(i)), code.dictionary.take(pa.array(g))], ["rep", "group"])
+
+    return meet(x, ["rep"], y, ["group"], found, f"rep {kind}, group {group}").distinct()
+
+
 def fewest(queries: DataFrame, references: DataFrame) -> DataFrame:
     """aligned, distance and nearest: for each block of references that with the fewest differing columns, the smallest first_id on ties."""
 

@@ -142,6 +142,18 @@ def _fold_plan(histogram: list[tuple[int, int]], folds: int) -> list[tuple[int,
     return plan
 
 
+def fold_loads(histogram: list[tuple[int, int]], folds: int = 3) -> list[int]:
+    """Rows of each fold by the rule of greedy_folds, from (size, clusters)."""
+    counts, loads = dict(histogram), [0] * folds
+    for size, _, segments in _fold_plan(histogram, folds):
+        ends = [first for first, _ in segments[1:]] + [counts[size]]
+        for (first, turn), end in zip(segments, ends, strict=True):
+            rounds, rest = divmod(end - first, len(turn))
+            for k, fold in enumerate(turn):
+                loads[fold - 1] += size * (rounds + (k < rest))
+    return loads
+
+
 def greedy_folds(clusters: DataFrame, folds: int = 3) -> DataFrame:
     """root, size and fold: largest cluster first (then by root), always to the fold with the fewest rows (lowest number on ties).
 

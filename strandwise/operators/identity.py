@@ -45,6 +45,11 @@ def edges(distinct: DataFrame, threshold: float, level_cost: float = LEVEL_COST)
     return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), "identity").distinct()
 
 
+def forest(distinct: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(a, b, level, edges): links with the components of edges() at each of the rising thresholds, and the numbers of its pairs; see blocks.near_forest."""
+    return cut(B.near_forest(cut(distinct.select("aligned", "rep")), "rep", thresholds))
+
+
 #: Thresholds at which nearest() may look for donors by seeds, one after the other; what has none at the last meets all donors.
 LEVELS = (0.85, 0.7, 0.6, 0.5, 0.4)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strandwise.functions import sequences as S
 from strandwise.operators import align as A
+from strandwise.operators import blocks as B
 from strandwise.operators import graph as G
 from strandwise.operators import identity as I
 from strandwise.operators import metrics as M
@@ -56,14 +57,11 @@ def _classes(spark, d) -> DataFrame:
 def _members(spark, d) -> tuple[DataFrame, DataFrame]:
     """(external rows with the roots of their components and linked components, links of external classes to development components)."""
     cls = _classes(spark, d)
-    flags = lambda k: cls.select(F.col("rep").alias(f"{k}_"), F.col("ext").alias(f"e{k}"), F.col("dev").alias(f"d{k}"))
-    near = I.edges(cls.select("aligned", "rep"), NEAR)
-    near = G.cut(near.join(flags("a"), near["a"] == F.col("a_")).join(flags("b"), near["b"] == F.col("b_")).select("a", "b", "identity", "ea", "da", "eb", "db"))
-    same = near.filter(F.col("identity") + S.EPS >= SAME)
-    ec = G.cut(G.rooted(cls.filter("ext").select("rep"), same.filter("ea and eb").select("a", "b"), "rep").withColumnRenamed("root", "ec"))
-    dc = G.cut(G.rooted(cls.filter("dev").select("rep"), same.filter("da and db").select("a", "b"), "rep").select(F.col("rep").alias("of"), F.col("root").alias("dc")))
-    reach = near.filter("ea and db").select(F.col("a").alias("rep"), F.col("b").alias("of")).unionByName(near.filter("eb and da").select(F.col("b").alias("rep"), F.col("a").alias("of"))).unionByName(cls.filter("ext and dev").select("rep", F.col("rep").alias("of")))
-    touch = G.cut(reach.join(dc, "of").select("rep", "dc").distinct())
+    ext, dev = G.cut(cls.filter("ext").select("aligned", "rep")), G.cut(cls.filter("dev").select("aligned", "rep"))
+    same = lambda side: I.forest(side, [SAME]).filter("a is not null").select("a", "b")
+    ec = G.cut(G.rooted(ext.select("rep"), same(ext), "rep").withColumnRenamed("root", "ec"))
+    dc = G.cut(G.rooted(dev, same(dev), "rep").select("aligned", F.col("root").alias("group")))
+    touch = G.cut(B.reached(ext, dc, NEAR).withColumnRenamed("group", "dc"))
     # a group's node stands between its members, so that no pair of them is made
     links = ec.select(F.col("rep").alias("a"), F.concat(F.lit("EC:"), "ec").alias("b")).unionByName(touch.select(F.col("rep").alias("a"), F.concat(F.lit("DC:"), "dc").alias("b")))
     linked = G.rooted(ec, links, "rep")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandwise.functions import sequences as S
 from strandwise.operators import align as A
+from strandwise.operators import blocks as B
 from strandwise.operators import graph as G
 from strandwise.operators import identity as I
 from strandwise.operators import rules as V
@@ -129,15 +130,15 @@ def identity_edges_085(spark, d) -> DataFrame:
 
 @query(f"with {EDGES} select cast(t as double) as threshold, count(*) filter (identity + 1e-12 >= t) as edges from pairs, (select unnest({THRESHOLDS}) as t) group by t")
 def identity_threshold_counts(spark, d) -> DataFrame:
-    found = I.edges(I.classes(T.panel(spark, d)), min(THRESHOLDS)).select("identity")
-    counts = found.agg(*(F.count_if(F.col("identity") + S.EPS >= t).alias(f"t{k}") for k, t in enumerate(THRESHOLDS)))
+    found = I.forest(I.classes(T.panel(spark, d)), THRESHOLDS)
+    counts = found.agg(*(F.coalesce(F.sum(F.when(F.col("level") >= k, F.col("edges"))), F.lit(0)).alias(f"t{k}") for k in range(len(THRESHOLDS))))
     return counts.select(F.explode(F.array(*(F.struct(F.lit(t).alias("threshold"), F.col(f"t{k}").alias("edges")) for k, t in enumerate(THRESHOLDS)))).alias("x")).select("x.*")
 
 
 def _rooted(spark, d) -> DataFrame:
     """aligned, rep, n and root of every distinct sequence, at 0.85."""
     distinct = G.cut(I.classes(T.panel(spark, d)))
-    return G.rooted(distinct, I.edges(distinct, 0.85).select("a", "b"), "rep")
+    return G.rooted(distinct, I.forest(distinct, [0.85]).filter("a is not null").select("a", "b"), "rep")
 
 
 COMPONENTS = EDGES + """,
@@ -202,20 +203,36 @@ audit as (select t as threshold, (select count(*) from e where e.t = about.t) //
   from about join spread using (t))"""
 
 
+def _audit(spark, d) -> tuple[DataFrame, list[tuple]]:
+    """(rep, aligned, n and root of each distinct sequence and number k of a threshold, rows of the audit).
+
+    Sequences meet once, at the lowest threshold, and one run of components takes all thresholds, whose nodes have the threshold's
+    number before their ids. The driver gets clusters by threshold and size (N rows have at most sqrt(2 N) sizes).
+    """
+    distinct = G.cut(I.classes(T.panel(spark, d)))
+    found = I.forest(distinct, THRESHOLDS)
+    numbers = F.array(*(F.lit(k) for k in range(len(THRESHOLDS))))
+    of = lambda k, c: F.concat(k.cast("string"), F.lit(":"), c)
+    links = found.filter("a is not null").select("a", "b", F.explode(F.sequence(F.lit(0), F.col("level"))).alias("k")).select(of(F.col("k"), F.col("a")).alias("a"), of(F.col("k"), F.col("b")).alias("b"))
+    nodes = distinct.withColumn("k", F.explode(numbers)).withColumn("node_id", of(F.col("k"), F.col("rep")))
+    rooted = G.cut(G.rooted(nodes, links, "node_id").select("k", "rep", "aligned", "n", F.expr("substring(root, instr(root, ':') + 1)").alias("root")))
+    sizes = rooted.groupBy("k", "root").agg(F.sum("n").alias("size")).groupBy("k", "size").count().collect()
+    edges = found.agg(*(F.coalesce(F.sum(F.when(F.col("level") >= k, F.col("edges"))), F.lit(0)) for k in range(len(THRESHOLDS)))).first()
+    rows = []
+    for k, t in enumerate(THRESHOLDS):
+        histogram = [(r["size"], r["count"]) for r in sizes if r.k == k]
+        if histogram:
+            loads = [x for x in G.fold_loads(histogram) if x]  # three folds, fewer with fewer clusters
+            components, members, largest = sum(n for _, n in histogram), sum(size * n for size, n in histogram), max(size for size, _ in histogram)
+            rows.append((t, edges[k], components, dict(histogram).get(1, 0), largest, largest / members, ";".join(map(str, loads)), max(loads) / min(loads), components >= 3 and max(loads) / min(loads) <= 1.5))
+    return rooted, rows
+
+
 @query(f"with recursive {AUDIT} select * from audit")
 def threshold_audit(spark, d) -> DataFrame:
-    """Edges, components, fold sizes and eligibility at each threshold; edges are scored once, at the lowest."""
-    distinct = G.cut(I.classes(T.panel(spark, d)))
-    scored = G.cut(I.edges(distinct, min(THRESHOLDS)))
-    out = None
-    for t in THRESHOLDS:
-        kept = scored.filter(F.col("identity") + S.EPS >= t).select("a", "b")
-        sizes = G.cut(G.rooted(distinct, kept, "rep").groupBy("root").agg(F.sum("n").alias("size")))
-        folds = G.greedy_folds(sizes).groupBy("fold").agg(F.sum("size").alias("f")).agg(F.min("f").alias("smallest"), F.max("f").alias("largest_fold"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fold", "f"))), lambda x: x["f"].cast("string")), ";").alias("fold_sizes"))  # three folds
-        about = sizes.agg(F.count("*").alias("components"), F.count_if(F.col("size") == 1).alias("singletons"), F.max("size").alias("largest"), F.sum("size").alias("rows"))
-        one = kept.agg(F.count("*").alias("edges")).join(about).join(folds).select(F.lit(t).alias("threshold"), "edges", "components", "singletons", "largest", F.round(F.col("largest") / F.col("rows"), 9).alias("largest_fraction"), "fold_sizes", F.round(F.col("largest_fold") / F.col("smallest"), 9).alias("fold_ratio"), ((F.col("components") >= 3) & (F.col("largest_fold") / F.col("smallest") <= 1.5)).alias("eligible"))  # each one row
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Edges, components, fold sizes and eligibility at each threshold."""
+    out = spark.createDataFrame(_audit(spark, d)[1], "threshold double, edges long, components long, singletons long, largest long, largest_fraction double, fold_sizes string, fold_ratio double, eligible boolean")
+    return out.withColumns({c: F.round(c, 9) for c in ("largest_fraction", "fold_ratio")})
 
 
 @query(f"with recursive {AUDIT} select * from audit where eligible order by threshold limit 1")
@@ -255,17 +272,16 @@ def split_pipeline(spark, d) -> DataFrame:
 
     It is an error if no threshold is eligible, an id is in two folds, or a pair crosses folds.
     """
-    chosen = threshold_audit(spark, d).filter("eligible").agg(F.min("threshold")).first()[0]
+    rooted, audit = _audit(spark, d)
+    chosen = min((r[0] for r in audit if r[-1]), default=None)
     if chosen is None:
         raise ValueError("no threshold is eligible")
-    distinct = G.cut(I.classes(T.panel(spark, d)))
-    edges = G.cut(I.edges(distinct, chosen).select("a", "b"))
-    rooted = G.cut(G.rooted(distinct, edges, "rep"))
+    rooted = rooted.filter(F.col("k") == THRESHOLDS.index(chosen)).drop("k")
     clusters = G.cut(rooted.groupBy("root").agg(F.sum("n").alias("size")))
     folds = G.cut(G.greedy_folds(clusters).select(F.col("root").alias("r"), F.col("fold").alias("outer_fold")))
-    where = rooted.join(folds, F.col("root") == F.col("r")).select("rep", "outer_fold")
-    x, y = where.select(F.col("rep").alias("a"), F.col("outer_fold").alias("fa")), where.select(F.col("rep").alias("b"), F.col("outer_fold").alias("fb"))
-    if edges.join(x, "a").join(y, "b").filter("fa <> fb").limit(1).count():
+    where = rooted.join(folds, F.col("root") == F.col("r")).select("aligned", "rep", F.col("outer_fold").alias("group"))
+    # the sequences meet once more: each with the folds that it reaches
+    if B.reached(where.select("aligned", "rep"), where.select("aligned", "group"), chosen).join(where.select(F.col("rep").alias("own"), F.col("group").alias("fold")), F.col("rep") == F.col("own")).filter("group <> fold").limit(1).count():
         raise ValueError("a pair at the threshold crosses folds")
     named = G.numbered(clusters).join(folds, F.col("root") == F.col("r")).drop("r")
     member = T.panel(spark, d).select("peptide_id", "aligned").join(rooted.select("aligned", "root"), "aligned")

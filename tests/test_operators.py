@@ -166,3 +166,23 @@ def test_contract_violations(spark):
     assert graph.violations(a, a, "id", ["g"]).count() == 0
     b = spark.createDataFrame([("p1", "EC1"), ("p2", "EC2"), ("p4", "EC3")], "id string, g string")
     assert sorted(r.id for r in graph.violations(a, b, "id", ["g"]).collect()) == ["p2", "p3", "p4"]
+
+
+def test_fold_loads_are_those_of_the_folds(spark):
+    rng = np.random.default_rng(5)
+    for folds in (2, 3, 5):
+        sizes = [int(x) for x in rng.integers(1, 30, 90) ** 2]
+        loads = [0] * folds
+        for size in sorted(sizes, reverse=True):
+            loads[loads.index(min(loads))] += size
+        assert graph.fold_loads([(x, sizes.count(x)) for x in set(sizes)], folds) == loads
+    assert graph.fold_loads([(4, 1)]) == [4, 0, 0]
+
+
+def test_components_of_all_thresholds_are_one_run(spark, monkeypatch):
+    """An audit whose time grows with the thresholds' rounds, one after the other, did six runs."""
+    from strandwise.plans import panel
+
+    runs, own = [], graph.connected_components
+    monkeypatch.setattr(graph, "connected_components", lambda edges: runs.append(1) or own(edges))
+    assert panel.threshold_audit(spark, "/root/testdata/sf0.001").count() == 6 and len(runs) == 1
