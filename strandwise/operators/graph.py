@@ -51,29 +51,57 @@ def kept_until_end(checkpointed: DataFrame) -> DataFrame:
     return checkpointed
 
 
+def _drop(place: str) -> None:
+    fs, path = FileSystem.from_uri(place if "://" in place else "file://" + place.removeprefix("file:"))
+    if fs.get_file_info(path).type.name == "Directory":
+        fs.delete_dir(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """The files of tables that cut() gave go now; what was cut after them stays."""
+    for table in tables:
+        place = table._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if place.isDefined() and str(place.get()) in _kept:
+            _drop(str(place.get()))
+            _kept.remove(str(place.get()))
+
+
 @atexit.register
 def _drop_kept() -> None:
     for place in _kept:
-        fs, path = FileSystem.from_uri(place if "://" in place else "file://" + place.removeprefix("file:"))
-        if fs.get_file_info(path).type.name == "Directory":
-            fs.delete_dir(path)
+        _drop(place)
+
+
+#: Neighbours of a node that joins by a broadcast, and how many such nodes there are at most for each end of the edges.
+HOT, MOST_HOT = 100_000, 10_000
+
+
+def _with_minimum(edges: DataFrame, end: str, minima: DataFrame, hot: int) -> DataFrame:
+    """edges with the minimum m of one end's neighbours (c, m, and n of them); no task gets all edges of a node with more than `hot`."""
+    many = F.broadcast(minima.filter(F.col("n") > hot).select("c", "m"))
+    some = edges.join(many, edges[end] == many["c"]).select("u", "v", "m")
+    rest = edges.join(many.select("c"), edges[end] == many["c"], "left_anti")
+    few = minima.filter(F.col("n") <= hot).select(F.col("c").alias("e"), "m")
+    return some.unionByName(rest.join(few, rest[end] == few["e"]).select("u", "v", "m"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of edges (a, b): the smallest node that each reaches.
 
-    Alternating large-star and small-star steps; minima are aggregated before they are joined back,
-    so a node with many neighbours is no hot group, and rounds grow with the logarithm of the size.
+    Alternating large-star and small-star steps; minima are aggregated before they are joined back, those of nodes with
+    more than HOT neighbours by a broadcast, so that none is a hot group. Rounds grow with the logarithm of the size, and each one's files go after the next.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u < v").distinct())
     seen = _digest(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy(F.col("u").alias("c")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, both["u"] == least["c"]).filter("v > u").select("v", F.col("m").alias("u")).distinct()
-        low = large.groupBy(F.col("v").alias("c")).agg(F.min("u").alias("m"))
-        small = large.join(low, large["v"] == low["c"]).select(F.col("u").alias("v"), F.col("m").alias("u"))
-        now = cut(small.unionByName(low.select(F.col("c").alias("v"), F.col("m").alias("u"))).filter("u < v").distinct())
+        hot = max(HOT, 2 * seen[0] // MOST_HOT)
+        least = both.groupBy(F.col("u").alias("c")).agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = _with_minimum(both, "u", least, hot).filter("v > u").select("v", F.col("m").alias("u")).distinct()
+        low = large.groupBy(F.col("v").alias("c")).agg(F.min("u").alias("m"), F.count("*").alias("n"))
+        small = _with_minimum(large, "v", low, hot).select(F.col("u").alias("v"), F.col("m").alias("u"))
+        last, now = now, cut(small.unionByName(low.select(F.col("c").alias("v"), F.col("m").alias("u"))).filter("u < v").distinct())
+        drop(last)
         before, seen = seen, _digest(now)
         if before == seen:
             break

@@ -186,3 +186,14 @@ def test_components_of_all_thresholds_are_one_run(spark, monkeypatch):
     runs, own = [], graph.connected_components
     monkeypatch.setattr(graph, "connected_components", lambda edges: runs.append(1) or own(edges))
     assert panel.threshold_audit(spark, "/root/testdata/sf0.001").count() == 6 and len(runs) == 1
+
+
+def test_components_with_hot_nodes_leave_one_table(spark, monkeypatch):
+    """Nodes with many neighbours join by a broadcast, and the files of a round go after the next one."""
+    monkeypatch.setattr(graph, "HOT", 5)
+    monkeypatch.setattr(graph, "MOST_HOT", 10**9)
+    edges = [(1000 + k % 3, k) for k in range(60)] + [(5000, k) for k in range(60, 100)] + [(k, k + 1) for k in range(200, 230)]
+    kept = len(graph._kept)
+    got = {r.node: r.root for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    true = {k: k % 3 for k in range(60)} | {1000 + k: k for k in range(3)} | {k: 60 for k in [*range(60, 100), 5000]} | {k: 200 for k in range(200, 231)}
+    assert got == true and len(graph._kept) == kept + 1
