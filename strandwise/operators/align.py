@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.functions import sequences as S
+from strandwise.operators import blocks as B
 from strandwise.operators.graph import cut
 
 LEAST = 26  # residues that can be aligned
-REFERENCES, RAWS = 1024, 256  # of a block
 
 
 def project(raw: str, reference: str, keep: int = 2) -> tuple[int, list[str]]:
@@ -68,79 +70,153 @@ def identity(a: str, b: str) -> float:
     return sum(x == y for x, y in used) / len(used)
 
 
-def _codes(sequences: list[str], width: int) -> np.ndarray:
-    return np.frombuffer("".join(sequences).encode("ascii"), np.uint8).reshape(-1, width)
+def _numbers(words: np.ndarray) -> np.ndarray:
+    """(columns, rows) numbers of letters, from planes."""
+    columns = np.arange(S.LENGTH, dtype=np.uint32)[:, None]
+    return sum(((words[k] >> columns & 1) << k for k in range(B.BITS))).astype(np.uint8)
 
 
-def costs(raws: list[str], references: np.ndarray) -> np.ndarray:
-    """The least mismatches of each raw sequence (all of one length) with each reference (rows of codes), over all placements of gaps."""
-    x = _codes(raws, len(raws[0]))
-    gaps = S.LENGTH - x.shape[1]
-    far = np.int16(S.LENGTH + 1)
-    now = np.full((gaps + 1, len(x), len(references)), far, np.int16)  # by gaps placed so far
+def costs(x: np.ndarray, references: np.ndarray) -> np.ndarray:
+    """The least mismatches of pairs over all placements of gaps: residues (columns, pairs) of one length and references, by letters' numbers."""
+    n, far = len(x), np.int8(S.LENGTH + 1)
+    gaps = S.LENGTH - n
+    now = np.full((gaps + 1, x.shape[1]), far, np.int8)  # by gaps placed so far
     now[0] = 0
     for j in range(S.LENGTH):
-        column, new = references[:, j], np.full_like(now, far)
-        for g in range(max(0, j + 1 - x.shape[1]), min(gaps, j + 1) + 1):
-            if j - g >= 0 and j - g < x.shape[1]:
-                new[g] = now[g] + (x[:, j - g][:, None] != column[None, :])
+        filled = (references[j] != 0).view(np.int8)
+        for g in range(min(gaps, j + 1), max(0, j + 1 - n) - 1, -1):  # falling, as a state needs that of the column before
+            here = now[g] + (x[j - g] != references[j]) if j >= g else None
             if g:
-                np.minimum(new[g], now[g - 1] + (column != ord(S.GAP)), out=new[g])
-        now = new
+                there = now[g - 1] + filled
+                here = there if here is None else np.minimum(here, there)
+            now[g] = here
+        now[: max(0, j + 1 - n)] = far
     return now[gaps]
 
 
-def _block(raws: list[str], references: list[str]) -> list[tuple[int, list[str]]]:
-    """For each raw sequence against a block of references: the least mismatches, and up to two strings that reach it."""
-    out: list = [(S.LENGTH + 1, [])] * len(raws)
-    codes = _codes(references, S.LENGTH)
-    for size in sorted({len(r) for r in raws}):
-        at = [k for k, r in enumerate(raws) if len(r) == size]
-        cost = costs([raws[k] for k in at], codes)
-        for k, row in zip(at, cost, strict=True):
-            least, strings = int(row.min()), set()
-            for r in np.flatnonzero(row == least):
-                strings = set(sorted(strings | set(project(raws[k], references[r])[1]))[:2])
-                if len(strings) > 1:
-                    break  # two are as many as matter
-            out[k] = least, sorted(strings)
-    return out
+def places(x: np.ndarray, references: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs as in costs(): whether several placements of gaps reach the least mismatches, and the gaps' columns (bits) of one that does."""
+    n, far = len(x), np.int8(S.LENGTH + 1)
+    gaps, pairs = S.LENGTH - n, x.shape[1]
+    now, many, at = np.full((gaps + 1, pairs), far, np.int8), np.zeros((gaps + 1, pairs), bool), np.zeros((gaps + 1, pairs), np.uint32)
+    now[0] = 0
+    for j in range(S.LENGTH):
+        filled = (references[j] != 0).view(np.int8)
+        for g in range(min(gaps, j + 1), max(0, j + 1 - n) - 1, -1):
+            keep = now[g] + (x[j - g] != references[j]) if j >= g else np.full(pairs, far, np.int8)
+            skip = now[g - 1] + filled if g else np.full(pairs, far, np.int8)
+            if g:
+                fewer = skip < keep
+                many[g] = np.where(fewer, many[g - 1], many[g] | ((skip == keep) & (keep < far)))
+                at[g] = np.where(fewer, at[g - 1] | np.uint32(1 << j), at[g])
+            now[g] = np.minimum(np.minimum(keep, skip), far)
+        now[: max(0, j + 1 - n)] = far
+    return many[gaps], at[gaps]
+
+
+class Placed:
+    """For each raw sequence of a block the least mismatches with the references that it met, and how its gaps lie there.
+
+    Strings of a raw sequence differ if and only if their gaps' columns do, so these bits stand for strings. Pairs are told apart by
+    a bound first: a residue that differs from the reference at all places that the gaps leave it costs one, and so
+    do gaps beyond the reference's own. Only pairs whose bound is no more than what is best so far are placed.
+    """
+
+    CELLS, PAIRS = 1 << 22, 1 << 16
+
+    def __init__(self, x: B.Block):
+        self.words, self.rid = x.words.copy(), np.array(x.numbers("rid"))
+        self.length = S.LENGTH - np.bitwise_count(B.gaps(self.words)).astype(int)
+        rows = len(self.rid)
+        self.cost, self.used = np.full(rows, S.LENGTH + 1, np.int8), np.zeros(rows, np.int8)
+        self.many, self.at = np.zeros(rows, bool), np.zeros(rows, np.uint32)
+
+    def meet(self, y: B.Block) -> None:
+        blank, references = B.gaps(y.words), _numbers(y.words)
+        own_gaps = np.bitwise_count(blank).astype(int)
+        step = max(1, self.CELLS // len(blank))
+        shifted: list[np.ndarray] = []
+        for n in np.unique(self.length)[::-1].tolist():
+            gaps = S.LENGTH - n
+            while len(shifted) <= gaps:
+                shifted.append(np.ascontiguousarray(y.words >> np.uint32(len(shifted))))
+            beyond = np.maximum(gaps - own_gaps, 0).astype(np.uint8)
+            rows = np.flatnonzero(self.length == n)
+            for k in range(0, len(rows), step):
+                self._meet(rows[k : k + step], n, shifted[: gaps + 1], beyond, blank, references)
+
+    def _meet(self, rows: np.ndarray, n: int, shifted: list[np.ndarray], beyond: np.ndarray, blank: np.ndarray, references: np.ndarray) -> None:
+        bound = np.empty((len(rows), len(blank)), np.uint8)
+        apart, one, always = np.empty((3, len(blank)), np.uint32)
+        residues = np.uint32((1 << n) - 1)
+        for k, row in enumerate(rows):
+            own = self.words[:, row]
+            for shift, words in enumerate(shifted):
+                into = apart if shift else always
+                np.bitwise_xor(words[0], own[0], out=into)
+                for b in range(1, B.BITS):
+                    np.bitwise_xor(words[b], own[b], out=one)
+                    np.bitwise_or(into, one, out=into)
+                if shift:
+                    np.bitwise_and(always, apart, out=always)
+            np.bitwise_and(always, residues, out=always)
+            np.bitwise_count(always, out=bound[k])
+        x = _numbers(self.words[:, rows])[:n]
+        if len(shifted) == 1:  # nothing to place: the bound is the cost
+            least = bound.min(1)
+            i, r = np.nonzero(bound == np.where(least <= self.cost[rows], least, 255).astype(np.uint8)[:, None])
+            self._keep(rows, i, least[i].astype(np.int8), np.zeros(len(i), bool), np.zeros(len(i), np.uint32), blank[r])
+            return
+        bound += beyond
+        first = bound.argmin(1)
+        best = np.minimum(self.cost[rows], costs(x, references[:, first]))
+        i, r = np.nonzero(bound <= best.astype(np.uint8)[:, None])
+        for k in range(0, len(i), self.PAIRS):
+            pi, pr = i[k : k + self.PAIRS], r[k : k + self.PAIRS]
+            cost = costs(x[:, pi], references[:, pr])
+            least = best.copy()
+            np.minimum.at(least, pi, cost)
+            best = least
+            tied = np.flatnonzero(cost == best[pi])
+            pi, pr = pi[tied], pr[tied]
+            many, at = places(x[:, pi], references[:, pr])
+            self._keep(rows, pi, cost[tied], many, at, blank[pr])
+
+    def _keep(self, rows: np.ndarray, i: np.ndarray, cost: np.ndarray, many: np.ndarray, at: np.ndarray, blank: np.ndarray) -> None:
+        """Takes in placements of the rows' i-th sequences, all of one sequence at one cost, which is no more than its own."""
+        row = rows[i]
+        better = cost < self.cost[row]
+        fresh = row[better]
+        self.cost[fresh], self.many[fresh], self.used[fresh], self.at[fresh] = cost[better], False, 0, at[better]
+        self.many[row[many | (at != self.at[row])]] = True
+        np.maximum.at(self.used, row, (S.LENGTH - np.bitwise_count(at & blank)).astype(np.int8))
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        there = np.flatnonzero(self.used)
+        yield pa.RecordBatch.from_arrays([pa.array(self.rid[there]), pa.array(self.cost[there].astype(np.int32)), pa.array(self.many[there]), pa.array(self.at[there].astype(np.int64)), pa.array(self.used[there].astype(np.int32))], ["rid", "cost", "many", "at", "used"])
 
 
 def prepared(raws: DataFrame, references: DataFrame) -> DataFrame:
-    """raw, aligned and status of distinct sequences: direct or mapped_unambiguously with the aligned string, or invalid, ambiguous or too_far."""
+    """raw, aligned and status of distinct sequences: direct or mapped_unambiguously with the aligned string, or invalid, ambiguous or too_far.
+
+    A string of identity 0.85 with any reference differs from it in four columns at most (of 26 to 30 that count), so the
+    references with the least mismatches tell whether there is one.
+    """
     valid = (F.length("raw").between(LEAST, S.LENGTH)) & ~F.col("raw").rlike(f"[^{S.ALPHABET[1:]}]")
-    rows = raws.select("raw", valid.alias("valid"))
-    chosen, references = cut(rows.filter("valid").select("raw")), cut(references.select("aligned"))
-    groups, blocks = max(1, -(-chosen.count() // RAWS)), max(1, -(-references.count() // REFERENCES))
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    qs = chosen.groupBy(deal("raw", groups).alias("g")).agg(F.sort_array(F.collect_list("raw")).alias("raws"))  # about a block each
-    rs = references.groupBy(deal("aligned", blocks).alias("r")).agg(F.sort_array(F.collect_list("aligned")).alias("refs"))
-    pairs = qs.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(rs, "r").select("raws", "refs")
-
-    def place(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                own = batch["raws"][row].as_py()
-                found = _block(own, batch["refs"][row].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.list_(pa.string()))], ["raw", "cost", "strings"])
-
-    each = cut(pairs.mapInArrow(place, "raw string, cost int, strings array<string>"))
-    least = each.groupBy(F.col("raw").alias("of")).agg(F.min("cost").alias("least"))
-    best = each.join(least, (F.col("raw") == F.col("of")) & (F.col("cost") == F.col("least"))).select("raw", F.explode("strings").alias("s")).groupBy("raw").agg(F.count_distinct("s").alias("n"), F.min("s").alias("aligned"))
-    single = best.filter("n = 1").groupBy(deal("aligned", groups).alias("g")).agg(F.sort_array(F.collect_set("aligned")).alias("xs"))
-    again = single.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(rs, "r").select("xs", "refs")
-
-    def near(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                own = batch["xs"][row].as_py()
-                x, r = _codes(own, S.LENGTH)[:, None, :], _codes(batch["refs"][row].as_py(), S.LENGTH)[None]
-                used = (x != ord(S.GAP)) | (r != ord(S.GAP))
-                top = (((x == r) & used).sum(2) / np.maximum(used.sum(2), 1)).max(1)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(top)], ["s", "identity"])
-
-    top = again.mapInArrow(near, "s string, identity double").groupBy("s").agg(F.max("identity").alias("identity"))
-    fate = best.join(top, F.col("aligned") == F.col("s"), "left").select(F.col("raw").alias("of"), "aligned", F.when(F.col("n") > 1, "ambiguous").when(F.coalesce("identity", F.lit(0.0)) < 0.85, "too_far").when(F.length("raw") == S.LENGTH, "direct").otherwise("mapped_unambiguously").alias("fate"))
-    status = F.when(~F.col("valid"), "invalid").otherwise(F.coalesce("fate", F.lit("too_far")))
-    return rows.join(fate, F.col("raw") == F.col("of"), "left").select("raw", status.alias("status"), "aligned").select("raw", F.when(F.col("status").isin("direct", "mapped_unambiguously"), F.col("aligned")).alias("aligned"), "status")
+    rows = cut(raws.select("raw", valid.alias("valid"), F.monotonically_increasing_id().alias("rid")))
+    chosen = rows.filter("valid").select(F.rpad("raw", S.LENGTH, S.GAP).alias("aligned"), "rid")
+    donors = cut(references.select("aligned").distinct().withColumn("did", F.monotonically_increasing_id()))
+    each = B.streamed(chosen, ["rid"], donors, ["did"], Placed, Placed.meet, "rid long, cost int, many boolean, at long, used int")
+    level = each.groupBy("rid", "cost").agg((F.bool_or("many") | (F.min("at") < F.max("at"))).alias("many"), F.min("at").alias("at"), F.max("used").alias("used"))
+    best = level.groupBy(F.col("rid").alias("of")).agg(F.min(F.struct("cost", "many", "at", "used")).alias("m")).select("of", "m.*")
+    fate = best.select("of", "at", F.when(F.col("many"), "ambiguous").when((F.col("used") - F.col("cost")) / F.col("used") < 0.85, "too_far").alias("fate"))
+    both = rows.join(fate, F.col("rid") == F.col("of"), "left")
+    mapped = F.when(F.length("raw") == S.LENGTH, "direct").otherwise("mapped_unambiguously")
+    status = F.when(~F.col("valid"), "invalid").when(F.col("of").isNull(), "too_far").otherwise(F.coalesce("fate", mapped))
+    return both.select("raw", status.alias("status"), "at").select("raw", F.when(F.col("status").isin("direct", "mapped_unambiguously"), _with_gaps(F.col("raw"), F.col("at"))).alias("aligned"), "status")
+
+
+def _with_gaps(raw: Column, at: Column) -> Column:
+    """raw with gaps at the columns whose bits are set."""
+    step = lambda out, j: F.when(F.getbit(at, j) == 1, F.concat(out, F.lit(S.GAP))).otherwise(F.concat(out, F.substr(raw, j + 1 - (F.length(out) - F.length(F.replace(out, F.lit(S.GAP), F.lit("")))), F.lit(1))))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(S.LENGTH - 1)), F.lit(""), step)

@@ -242,27 +242,32 @@ def best(queries: DataFrame, donors: DataFrame, same_fold: bool) -> DataFrame:
     A task takes a block of queries past the donors' blocks of a slab, one after the other, and keeps what is best so far: at the identities of unrelated
     sequences each block has ties of its own, which are not to leave the task for every block.
     """
+    return streamed(queries, ["qid", "fold"], donors, ["did", "fold"], Leaders, lambda leaders, y: leaders.meet(y, same_fold), "qid long, identity double, dids array<long>")
+
+
+def streamed(queries: DataFrame, keep_x: list[str], donors: DataFrame, keep_y: list[str], begin: Callable[[Block], object], go: Callable[[object, Block], None], schema: str) -> DataFrame:
+    """What found() of begin(x) gives after it met (go) the donors' blocks of a slab, for each block x of queries and each slab."""
     nx, ny = queries.count(), donors.count()
     gx, gy = (max(1, -(-n // size_of(n))) for n in (nx, ny))
     slabs = min(SLABS, gy)
-    xs, ys = _packed(queries.select("aligned", "qid", "fold"), "x", gx, ["qid", "fold"]), _packed(donors.select("aligned", "did", "fold"), "y", gy, ["did", "fold"])
+    xs, ys = _packed(queries.select("aligned", *keep_x), "x", gx, keep_x), _packed(donors.select("aligned", *keep_y), "y", gy, keep_y)
     left = xs.withColumn("unit", F.explode(F.sequence(F.col("x") * slabs, F.col("x") * slabs + (slabs - 1))))
     right = ys.withColumn("__x", F.explode(F.sequence(F.lit(0), F.lit(gx - 1)))).withColumn("unit", F.col("__x") * slabs + F.col("y") % slabs).drop("__x")
     tasks = min(TASKS, gx * slabs)
     left, right = left.repartition(tasks, "unit").hint("shuffle_hash"), right.repartition(tasks, "unit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units: dict[int, Leaders] = {}
+        units: dict = {}
         for batch in batches:
             for row in range(batch.num_rows):
                 unit = batch["unit"][row].as_py()
                 if unit not in units:
-                    units[unit] = Leaders(Block(batch, "x", row, ["qid", "fold"]))
-                units[unit].meet(Block(batch, "y", row, ["did", "fold"]), same_fold)
+                    units[unit] = begin(Block(batch, "x", row, keep_x))
+                go(units[unit], Block(batch, "y", row, keep_y))
         for leaders in units.values():
             yield from leaders.found()
 
-    return left.join(right, "unit").select("unit", *xs.columns, *ys.columns).mapInArrow(run, "qid long, identity double, dids array<long>")
+    return left.join(right, "unit").select("unit", *xs.columns, *ys.columns).mapInArrow(run, schema)
 
 
 class Leaders:
