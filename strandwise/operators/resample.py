@@ -20,7 +20,8 @@ from strandwise.operators.graph import cut
 
 #: Units of a block, and the most blocks of all strata together (their sizes go to every task).
 BLOCK_UNITS, MOST_BLOCKS = 1 << 14, 1 << 18
-_AT_ONCE = 1 << 21
+#: Draws at once, few enough for a core's cache.
+_AT_ONCE = 1 << 18
 
 
 def generator(seed: int, *at: object) -> np.random.Generator:
@@ -44,14 +45,21 @@ def share(sizes: np.ndarray, block: int, resamples: int, seed: int, *stratum: ob
 
 def drawn_sums(values: np.ndarray, draws: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """For each resample the sums of so many units (rows of values) drawn uniformly; a column for each of values."""
-    out, k = np.zeros((len(draws), values.shape[1])), 0
-    while k < len(draws):
-        end = k + max(1, int(np.searchsorted(np.cumsum(draws[k:]), _AT_ONCE, "right")))
+    out, k, upto = np.zeros((len(draws), values.shape[1])), 0, np.cumsum(draws)
+    kind = np.uint16 if len(values) <= 1 << 16 else np.int64
+    varies = [c for c in range(values.shape[1]) if values[:, c].min() != values[:, c].max()]
+    for c in set(range(values.shape[1])) - set(varies):
+        out[:, c] = draws * values[0, c]
+    columns = [np.ascontiguousarray(values[:, c]) for c in varies]
+    while k < len(draws) and varies:
+        end = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + _AT_ONCE, "right")))
         own = draws[k:end]
-        picked = values[rng.integers(0, len(values), int(own.sum()))]
+        picked = rng.integers(0, len(values), int(own.sum()), dtype=kind).astype(np.intp)
         some = np.flatnonzero(own)
         if len(some):
-            out[k + some] = np.add.reduceat(picked, (np.cumsum(own) - own)[some], axis=0)
+            first = (np.cumsum(own) - own)[some]
+            for c, column in zip(varies, columns, strict=True):
+                out[k + some, c] = np.add.reduceat(column.take(picked), first)
         k = end
     return out
 

@@ -258,9 +258,16 @@ def component_bootstrap(spark, d) -> DataFrame:
 @query()
 def stratified_bootstrap(spark, d) -> DataFrame:
     """Rows are resampled within each design group, as many as it has; the mean is over all of an endpoint's rows."""
-    strata = ["endpoint", "baseline", "design_group"]
-    drawn = resampled(_deltas(spark, d).select(*strata, "id", "delta", F.lit(1.0).alias("n")), strata, "id", ["delta", "n"], RESAMPLES)
-    pooled = drawn.groupBy("endpoint", "baseline", "resample").agg((F.sum("delta") / F.sum("n")).alias("delta"))
+    others = [m for m in T.MODELS if m != "ridge"]
+    of = lambda m: F.max(F.when(F.col("model") == m, F.col("loss")))
+    w = _losses(spark, d).filter("loss is not null").groupBy("id", "design_group", "endpoint").agg(*(of(m).alias(m) for m in T.MODELS))
+    # an endpoint's baselines share the draws of its rows
+    delta = {m: F.col("ridge") - F.col(m) for m in others}
+    w = w.select("id", "design_group", "endpoint", *(x.alias(f"delta_{m}") for m, x in delta.items()), *(x.isNotNull().cast("double").alias(f"n_{m}") for m, x in delta.items()))
+    values = [f"{c}_{m}" for c in ("delta", "n") for m in others]
+    drawn = resampled(w, ["endpoint", "design_group"], "id", values, RESAMPLES).groupBy("endpoint", "resample").agg(*(F.sum(v).alias(v) for v in values))
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("baseline"), F.col(f"delta_{m}").alias("s"), F.col(f"n_{m}").alias("n")) for m in others)))
+    pooled = drawn.select("endpoint", "resample", each.alias("x")).select("endpoint", "resample", "x.*").filter("n > 0").withColumn("delta", F.col("s") / F.col("n"))
     return _intervals(pooled)
 
 

@@ -264,3 +264,14 @@ def test_scores_of_small_and_of_large_components(spark, monkeypatch):
             errors = [left_out(rows, c, held, a) / (2 * sum(r[0] == c and r[1] != held for r in rows)) for c in there]
             for got in found:
                 assert got[held, a] == (len(there), pytest.approx(np.mean(errors), rel=1e-7))
+
+
+def test_draws_of_a_block_share_rows_between_columns():
+    """Columns of a row are drawn together, a constant one without being looked up; a block's sums are those of its draws."""
+    values = np.stack([np.arange(50.0), 3 * np.arange(50.0), np.full(50, 2.0)], 1)
+    draws = np.array([0, 7, 100_000, 1, 0, 300_000, 5])
+    sums = resample.drawn_sums(values, draws, resample.generator(1, "x"))
+    assert np.array_equal(sums[:, 2], 2.0 * draws) and np.array_equal(sums[:, 1], 3 * sums[:, 0])
+    big = draws > 1000
+    assert np.allclose(sums[big, 0] / draws[big], 24.5, atol=0.3) and not sums[draws == 0].any() and 0 <= sums[3, 0] <= 49
+    assert np.array_equal(sums, resample.drawn_sums(values, draws, resample.generator(1, "x")))
