@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from strandwise.llm import common as C
 from strandwise.llm.common import U64
 from strandwise.llm.components import connected_components
+from strandwise.operators import graph
 
 MOST_VARIANTS = 4 << 20  # that are in memory at once
 SALTS = 32
@@ -221,7 +222,7 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     seen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(scan, "doc_id long, fps array<long>")
     seen = C.cut(seen.groupBy("doc_id").agg(F.first("fps").alias("fps")))
-    labels = None
+    labels, before = None, graph.kept_places()
     for first in range(0, prints, at_once):
         some = range(first, min(first + at_once, prints))
         with C.shuffles_removed(docs.sparkSession):
@@ -232,6 +233,7 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 moved = labels.join(roots, labels["root"] == roots["label"], "left").select("node", F.coalesce("to", "root").alias("root"))
                 roots = moved.unionByName(roots.select(F.col("label").alias("node"), F.col("to").alias("root")).join(labels.select("node"), "node", "left_anti"))
             labels = C.cut(roots)
+        graph.drop_but(before | graph.kept_places(labels))  # what the kinds so far needed goes
     return seen.join(labels, seen["doc_id"] == labels["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
 
 

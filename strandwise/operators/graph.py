@@ -66,6 +66,21 @@ def drop(*tables: DataFrame) -> None:
             _kept.remove(str(place.get()))
 
 
+def kept_places(*tables: DataFrame) -> set[str]:
+    """The folders of tables that cut() gave; without any, of all that are there."""
+    if not tables:
+        return set(_kept)
+    found = (table._jdf.queryExecution().logical().rdd().getCheckpointFile() for table in tables)
+    return {str(place.get()) for place in found if place.isDefined()}
+
+
+def drop_but(stay: set[str]) -> None:
+    """All files of tables go now but those of the folders that stay."""
+    for place in [p for p in _kept if p not in stay]:
+        _drop(place)
+        _kept.remove(place)
+
+
 @atexit.register
 def _drop_kept() -> None:
     for place in _kept:
@@ -76,8 +91,11 @@ def _drop_kept() -> None:
 HOT, MOST_HOT = 100_000, 10_000
 
 
-def _with_minimum(edges: DataFrame, end: str, minima: DataFrame, hot: int) -> DataFrame:
-    """edges with the minimum m of one end's neighbours (c, m, and n of them); no task gets all edges of a node with more than `hot`."""
+def _with_minimum(edges: DataFrame, end: str, minima: DataFrame, hot: int | None) -> DataFrame:
+    """edges with the minimum m of one end's neighbours (c, m, and n of them); no task gets all edges of a node with more than `hot` (None: there is none)."""
+    if hot is None:
+        low = minima.select(F.col("c").alias("e"), "m")
+        return edges.join(low, edges[end] == low["e"]).select("u", "v", "m")
     many = F.broadcast(minima.filter(F.col("n") > hot).select("c", "m"))
     some = edges.join(many, edges[end] == many["c"]).select("u", "v", "m")
     rest = edges.join(many.select("c"), edges[end] == many["c"], "left_anti")
@@ -96,6 +114,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
         hot = max(HOT, 2 * seen[0] // MOST_HOT)
+        hot = hot if seen[0] > hot else None  # a node has no more neighbours than there are edges
         least = both.groupBy(F.col("u").alias("c")).agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
         large = _with_minimum(both, "u", least, hot).filter("v > u").select("v", F.col("m").alias("u")).distinct()
         low = large.groupBy(F.col("v").alias("c")).agg(F.min("u").alias("m"), F.count("*").alias("n"))

@@ -659,3 +659,18 @@ def test_pipeline(spark):
     pieces = C.cut(corpus_pipeline.packing(spark, docs, sf))
     assert pieces.select("doc_id").distinct().count() == docs.count()
     assert corpus_pipeline.run(spark, sf).count() == pieces.count()
+
+
+def test_near_components_leave_two_tables(spark):
+    """What kinds of fingerprints needed goes after them, and components of few edges need no broadcast."""
+    from strandwise.llm import simhash
+    from strandwise.operators import graph
+
+    rows = [(k, " ".join(f"w{(k // 2 * 31 + j) % 97}" for j in range(40))) for k in range(40)]
+    before = graph.kept_places()
+    got = {r.doc_id: r.component_id for r in simhash.near_components(spark.createDataFrame(rows, "doc_id long, text string"), prints=4, at_once=2).collect()}
+    assert len(graph.kept_places() - before) == 2
+    assert len(got) == 40 and all(got[k] == got[k + 1] for k in range(0, 40, 2))
+    edges = spark.createDataFrame([(1, 2), (2, 3)], "u long, v long")
+    minima = spark.createDataFrame([(1, 1, 1), (2, 1, 2)], "c long, m long, n long")
+    assert "broadcast" not in graph._with_minimum(edges, "u", minima, None)._jdf.queryExecution().optimizedPlan().toString()
