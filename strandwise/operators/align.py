@@ -70,12 +70,6 @@ def identity(a: str, b: str) -> float:
     return sum(x == y for x, y in used) / len(used)
 
 
-def _numbers(words: np.ndarray) -> np.ndarray:
-    """(columns, rows) numbers of letters, from planes."""
-    columns = np.arange(S.LENGTH, dtype=np.uint32)[:, None]
-    return sum(((words[k] >> columns & 1) << k for k in range(B.BITS))).astype(np.uint8)
-
-
 def costs(x: np.ndarray, references: np.ndarray) -> np.ndarray:
     """The least mismatches of pairs over all placements of gaps: residues (columns, pairs) of one length and references, by letters' numbers."""
     n, far = len(x), np.int8(S.LENGTH + 1)
@@ -132,7 +126,7 @@ class Placed:
         self.many, self.at = np.zeros(rows, bool), np.zeros(rows, np.uint32)
 
     def meet(self, y: B.Block) -> None:
-        blank, references = B.gaps(y.words), _numbers(y.words)
+        blank, references = B.gaps(y.words), B.letters(y.words)
         own_gaps = np.bitwise_count(blank).astype(int)
         step = max(1, self.CELLS // len(blank))
         shifted: list[np.ndarray] = []
@@ -161,7 +155,7 @@ class Placed:
                     np.bitwise_and(always, apart, out=always)
             np.bitwise_and(always, residues, out=always)
             np.bitwise_count(always, out=bound[k])
-        x = _numbers(self.words[:, rows])[:n]
+        x = B.letters(self.words[:, rows])[:n]
         if len(shifted) == 1:  # nothing to place: the bound is the cost
             least = bound.min(1)
             i, r = np.nonzero(bound == np.where(least <= self.cost[rows], least, 255).astype(np.uint8)[:, None])

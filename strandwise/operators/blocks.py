@@ -40,6 +40,12 @@ def gaps(words: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(words, axis=0) ^ np.uint32((1 << S.LENGTH) - 1)
 
 
+def letters(words: np.ndarray) -> np.ndarray:
+    """(columns, rows) numbers of letters, from planes."""
+    columns = np.arange(S.LENGTH, dtype=np.uint32)[:, None]
+    return sum(((words[k] >> columns & 1) << k for k in range(BITS))).astype(np.uint8)
+
+
 class Differing:
     """Counts of differing columns of one sequence against many, into buffers that are used again."""
 
@@ -58,6 +64,85 @@ class Differing:
         return np.bitwise_count(total, out=count)
 
 
+class Equal:
+    """The most columns that sequences have in common with a block's rows, and the rows that reach it, 64 rows in a word.
+
+    Each letter of a column has a bit for each row that holds it. The bits of a sequence's thirty letters are added up by full adders, on
+    whole vectors of words, into five planes of the binary counts; from the highest plane down, rows that have a bit leave behind those without it.
+    A fold's rows begin at a word of their own, so that a sequence passes over its fold.
+    """
+
+    WORDS = 1 << 13  # of a buffer: sequences times words
+
+    def __init__(self, words: np.ndarray, folds: np.ndarray):
+        kinds, of = np.unique(folds, return_inverse=True)
+        sizes = np.bincount(of, minlength=len(kinds))
+        room = -(-sizes // 64)
+        order = np.argsort(of, kind="stable")
+        place = np.repeat(64 * (np.cumsum(room) - room) - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(order))
+        self.row = np.full(64 * int(room.sum()), -1)
+        self.row[place] = order
+        spread = np.full((S.LENGTH, len(self.row)), 255, np.uint8)
+        spread[:, place] = letters(words)[:, order]
+        bits = lambda z: np.packbits(z, axis=-1, bitorder="little").view(np.uint64)
+        self.held = np.stack([bits(column == np.arange(len(S.ALPHABET), dtype=np.uint8)[:, None]) for column in spread])
+        self.there, self.fold = bits(self.row >= 0), np.repeat(kinds, room)
+
+    def most(self, x: np.ndarray, rows: np.ndarray, fold: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]]]:
+        """For some of the rows (sequences by letters, x, without gaps) at a time: these, their most equal columns, and what gives for places in these the pairs (place, row of the block) that reach it."""
+        use = np.flatnonzero(self.fold != fold) if fold is not None else np.arange(len(self.fold))
+        held, there, at = np.ascontiguousarray(self.held[:, :, use]), self.there[use], self.row.reshape(-1, 64)[use]
+        step = max(1, self.WORDS // max(1, len(use)))
+        for k in range(0, len(rows), step):
+            part = rows[k : k + step]
+            most, left, spare = np.zeros(len(part), np.int64), np.repeat(there[None], len(part), 0), np.empty((len(part), len(use)), np.uint64)
+            for bit, plane in reversed(list(enumerate(_counts(held, x[:, part])))):
+                np.bitwise_and(left, plane, out=spare)
+                some = spare.any(1)
+                most += some.astype(np.int64) << bit
+                np.copyto(left, spare, where=some[:, None])
+
+            def reach(places: np.ndarray, left: np.ndarray = left) -> tuple[np.ndarray, np.ndarray]:
+                i, word = np.nonzero(left[places])
+                hit, bit = np.nonzero(np.unpackbits(left[places[i], word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+                return places[i[hit]], at[word[hit], bit]
+
+            yield part, most, reach
+
+
+def _counts(held: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
+    """Planes of the binary numbers of columns in which sequences (by letters) equal the rows of `held`, lowest first."""
+    free: list[np.ndarray] = []
+    waiting: list[list[np.ndarray]] = [[] for _ in range(S.LENGTH.bit_length())]
+
+    def new() -> np.ndarray:
+        return free.pop() if free else np.empty((x.shape[1], held.shape[2]), np.uint64)
+
+    def add(k: int, c: np.ndarray) -> None:
+        here = waiting[k]
+        here.append(c)
+        if len(here) == 3:
+            a, b, _ = here
+            either = new()
+            np.bitwise_xor(a, b, out=either)
+            np.bitwise_and(a, b, out=a)
+            np.bitwise_and(either, c, out=b)
+            np.bitwise_or(a, b, out=a)
+            np.bitwise_xor(either, c, out=either)
+            free.extend((b, c))
+            here[:] = [either]
+            add(k + 1, a)
+
+    for column in range(S.LENGTH):
+        add(0, np.take(held[column], x[column], axis=0, out=new(), mode="clip"))
+    for k, here in enumerate(waiting):
+        if len(here) == 2:
+            a, b = here
+            here[:] = [a ^ b]
+            add(k + 1, np.bitwise_and(a, b, out=a))
+    return [here[0] if here else np.zeros((x.shape[1], held.shape[2]), np.uint64) for here in waiting]
+
+
 def _packed(rows: DataFrame, name: str, number: int, keep: list[str]) -> DataFrame:
     """A row for each block: its number, the planes as bytes and the kept columns as lists, in the order of these."""
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
@@ -276,44 +361,40 @@ class Leaders:
     def __init__(self, x: Block):
         # a batch's memory is used again, so what stays is copied
         self.words, self.qid, self.folds = x.words.copy(), np.array(x.numbers("qid")), _folds(x, -1)
-        self.gaps = gaps(self.words)
+        self.gaps, self.letters = gaps(self.words), letters(self.words)
         self.top = np.full(len(self.qid), -1.0)
         self.tied: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.held, self.limit = 0, 1 << 20
 
     def meet(self, y: Block, same_fold: bool) -> None:
         folds, gy, did = _folds(y, -2), gaps(y.words), y.numbers("did")
-        rows, shares, ends, tied = [], [], [], []
+        equal, found = Equal(y.words, folds), []
         for fold in [None] if same_fold else np.unique(self.folds):
             own = np.arange(len(self.qid)) if fold is None else np.flatnonzero(self.folds == fold)
             others = np.arange(len(did)) if fold is None else np.flatnonzero(folds != fold)
             if not len(others):
                 continue
-            near = Differing(y.words[:, others])
-            for gap in np.unique(self.gaps[own]):
-                blank = np.bitwise_count(gap & gy[others]).astype(float) if gap else None
-                used = np.maximum(S.LENGTH - blank, 1) if gap else None
-                for i in own[self.gaps[own] == gap]:
-                    count, least = near.of(self.words[:, i]), self.top[i] - S.EPS
-                    if used is None:  # no column is a gap in both
-                        few = count.min()
-                        top = (S.LENGTH - int(few)) / S.LENGTH
-                        if top < least:
-                            continue
-                        at = np.flatnonzero(count == few)
-                    else:
-                        share = (S.LENGTH - blank - count) / used
-                        top = share.max()
-                        if top < least:
-                            continue
-                        at = np.flatnonzero(share >= top - S.EPS)
+            for rows, most, held in equal.most(self.letters, own[self.gaps[own] == 0], fold):
+                share = most / S.LENGTH  # no column is a gap in both
+                keep = np.flatnonzero(share >= self.top[rows] - S.EPS)
+                self.top[rows[keep]] = np.maximum(share[keep], self.top[rows[keep]])
+                row, at = held(keep)
+                found.append((rows[row], share[row], did[at]))
+            gapped = own[self.gaps[own] != 0]
+            near = Differing(y.words[:, others]) if len(gapped) else None
+            for gap in np.unique(self.gaps[gapped]):
+                blank = np.bitwise_count(gap & gy[others]).astype(float)
+                used = np.maximum(S.LENGTH - blank, 1)
+                for i in gapped[self.gaps[gapped] == gap]:
+                    share = (S.LENGTH - blank - near.of(self.words[:, i])) / used
+                    top = share.max()
+                    if top < self.top[i] - S.EPS:
+                        continue
+                    at = np.flatnonzero(share >= top - S.EPS)
                     self.top[i] = max(top, self.top[i])
-                    rows.append(i)
-                    shares.append(top)
-                    ends.append(len(at))
-                    tied.append(did[others[at]])
-        if rows:
-            self.tied.append((np.repeat(rows, ends), np.repeat(shares, ends), np.concatenate(tied)))
+                    found.append((np.full(len(at), i), np.full(len(at), top), did[others[at]]))
+        if found:
+            self.tied.append(tuple(np.concatenate(z) for z in zip(*found, strict=True)))
             self.held += len(self.tied[-1][0])
             if self.held > self.limit:  # what was best for a while goes
                 self.tied = [self._leading()]

@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +59,26 @@ def test_what_is_best_leaves_a_slab_once(spark, monkeypatch):
         assert best == {j for j, t, g in rows if g != f and align.identity(s, t) >= plain[k] - 1e-12}
 
 
+def test_most_equal_rows_of_a_block():
+    """Counts by full adders against plain ones: ties and copies, gaps in the block's rows, folds at words of their own, one that no other has."""
+    rng = np.random.default_rng(11)
+    seqs = peptides(rng, 150, "ACDE")
+    own = [s.replace(S.GAP, "W") for s in seqs[:20]] + seqs[-1:] * (S.GAP not in seqs[-1])
+    seqs += own[:5] * 20
+    folds = rng.integers(1, 4, len(seqs))
+    equal = blocks.Equal(blocks.planes(pa.array(seqs)), folds)
+    x = blocks.letters(blocks.planes(pa.array(own)))
+    for fold in (None, 1, 2, 3, 9):
+        seen = []
+        for rows, most, reach in equal.most(x, np.arange(len(own)), fold):
+            i, at = reach(np.arange(len(rows)))
+            for k, row in enumerate(rows):
+                same = [sum(a == b for a, b in zip(own[row], t, strict=True)) if g != fold else -1 for t, g in zip(seqs, folds, strict=True)]
+                assert most[k] == max(same) and sorted(at[i == k]) == [j for j, v in enumerate(same) if v == max(same)]
+                seen.append(row)
+        assert seen == list(range(len(own)))
+
+
 def test_blocks_are_packed_once_and_never_broadcast(spark):
     """Copies of a block that go to other blocks are dealt by number: a broadcast would hold them all on the driver."""
     df = spark.createDataFrame([(s, f"p{k}") for k, s in enumerate(peptides(np.random.default_rng(8), 20))], "aligned string, first_id string")
