@@ -20,6 +20,7 @@ probability p with (1 - p) ** prints.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -184,6 +185,16 @@ def ball_links(prints: DataFrame, radius: int = 4, block_bits: int | None = None
     return prints.select("fp", kind.alias("kind")).mapInArrow(emit, "head long, fps binary").groupBy("head").applyInArrow(meet, "a long, b long, kind int")
 
 
+def _thinned(links: DataFrame) -> DataFrame:
+    """Distinct links (a, b, kind) with the same components: each b is linked to the least of its a's alone, and the others of these to that one.
+
+    A group of near copies meets at many heads, each of which has a forest of it: together they have a link for each fingerprint
+    and head, but few roots. A fingerprint has a link of each of its heads at most.
+    """
+    least = links.groupBy("kind", "b").agg(F.sort_array(F.collect_set("a")).alias("all"))
+    return least.select(F.col("all")[0].alias("a"), F.explode(F.concat(F.array("b"), F.slice("all", F.lit(2), F.size("all")))).alias("b"), "kind").distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fp and component_id, the smallest id that is reachable over fingerprints within the radius."""
     return _placed(C.cut(fingerprints(docs, doc_id, text, words)), radius)
@@ -210,8 +221,8 @@ def _placed(prints: DataFrame, radius: int) -> DataFrame:
 def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4, prints: int = 4, at_once: int = 2) -> DataFrame:
     """doc_id and component_id of each id, the smallest id that is reachable over fingerprints of one kind within the radius. Rows of an id have one text.
 
-    Some kinds are linked at a time, so that no more is on disk than they need, and their links are taken between the components so
-    far: what is one already adds none.
+    Some kinds are linked at a time, so that no more is on disk than they need. What stays of them is their links, of which a document has one for
+    each kind at most but for those between roots, and the components of all of these are one run.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,34 +233,26 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     seen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(scan, "doc_id long, fps array<long>")
     seen = C.cut(seen.groupBy("doc_id").agg(F.first("fps").alias("fps")))
-    labels, before = None, graph.kept_places()
-    for first in range(0, prints, at_once):
-        some = range(first, min(first + at_once, prints))
-        with C.shuffles_removed(docs.sparkSession):
-            links = C.cut(_links_of(seen.select("doc_id", F.explode(F.array(*(F.struct(F.lit(k - first).alias("kind"), F.col("fps")[k].alias("fp")) for k in some))).alias("p")).select("doc_id", "p.*"), radius, len(some), labels))
-            roots = connected_components(links)
-            if labels is not None:
-                roots = roots.withColumnsRenamed({"node": "label", "root": "to"})
-                moved = labels.join(roots, labels["root"] == roots["label"], "left").select("node", F.coalesce("to", "root").alias("root"))
-                roots = moved.unionByName(roots.select(F.col("label").alias("node"), F.col("to").alias("root")).join(labels.select("node"), "node", "left_anti"))
-            labels = C.cut(roots)
-        graph.drop_but(before | graph.kept_places(labels))  # what the kinds so far needed goes
+    tables, before = [], graph.kept_places()
+    with C.shuffles_removed(docs.sparkSession):
+        for first in range(0, prints, at_once):
+            some = range(first, min(first + at_once, prints))
+            each = seen.select("doc_id", F.explode(F.array(*(F.struct(F.lit(k - first).alias("kind"), F.col("fps")[k].alias("fp")) for k in some))).alias("p"))
+            tables.append(C.cut(_links_of(each.select("doc_id", "p.*"), radius, len(some))))
+            graph.drop_but(before | graph.kept_places(*tables))  # what the kinds needed goes
+        labels = C.cut(connected_components(reduce(DataFrame.unionByName, tables)))
+    graph.drop_but(before | graph.kept_places(labels))
     return seen.join(labels, seen["doc_id"] == labels["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
 
 
-def _links_of(each: DataFrame, radius: int, kinds: int, labels: DataFrame | None) -> DataFrame:
-    """Links (a, b) of documents (doc_id, kind, fp) with equal or near fingerprints, or of the components that labels (node, root) put them in."""
+def _links_of(each: DataFrame, radius: int, kinds: int) -> DataFrame:
+    """Links (a, b) of documents (doc_id, kind, fp) with equal or near fingerprints."""
     by_print = C.cut(each.groupBy("kind", "fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     same = each.join(by_print.filter("n > 1").withColumnsRenamed({"kind": "k", "fp": "f"}), (F.col("kind") == F.col("k")) & (F.col("fp") == F.col("f"))).filter("doc_id > least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
-    near = C.cut(ball_links(by_print, radius, kinds=kinds))
+    near = C.cut(_thinned(ball_links(by_print, radius, kinds=kinds)))
     of = lambda end: by_print.select(F.col("kind"), F.col("fp").alias(end), F.col("least").alias(f"least_{end}"))
     near = near.join(of("a"), ["kind", "a"]).join(of("b"), ["kind", "b"]).select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
-    links = same.unionByName(near).distinct()
-    if labels is None:
-        return links
-    for end in ("a", "b"):
-        links = links.join(labels.select(F.col("node").alias("of"), F.col("root").alias("to")), F.col(end) == F.col("of"), "left").withColumn(end, F.coalesce("to", end)).drop("of", "to")
-    return links.filter("a <> b").distinct()
+    return same.unionByName(near).filter("a <> b").distinct()
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prints: int = 1) -> DataFrame:

@@ -674,3 +674,36 @@ def test_near_components_leave_two_tables(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3)], "u long, v long")
     minima = spark.createDataFrame([(1, 1, 1), (2, 1, 2)], "c long, m long, n long")
     assert "broadcast" not in graph._with_minimum(edges, "u", minima, None)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_links_of_many_heads_are_few(spark, monkeypatch):
+    """A group of near copies that meets at many heads leaves a link for each fingerprint and for roots, and kinds share one run of components."""
+    from strandwise.llm import simhash
+
+    rng = np.random.default_rng(5)
+    base = int(rng.integers(1 << 62))
+    fps = sorted({base ^ sum(1 << int(b) for b in rng.choice(62, 2, replace=False)) for _ in range(120)} | {int(x) for x in rng.integers(1 << 62, size=30)})
+    prints = spark.createDataFrame([(x, k) for x in fps for k in (0, 1)], "fp long, kind int")
+    links = [tuple(r) for r in simhash.ball_links(prints, kinds=2).collect()]
+    thin = [tuple(r) for r in simhash._thinned(spark.createDataFrame(links, "a long, b long, kind int")).collect()]
+    assert len(links) > 5 * len(thin) and len(thin) < 4 * len(fps)
+
+    def parts(pairs):
+        up = {(k, x): (k, x) for k in (0, 1) for x in fps}
+
+        def top(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b, k in pairs:
+            x, y = sorted((top((k, a)), top((k, b))))
+            up[y] = x
+        return {x: top(x) for x in up}
+
+    assert parts(thin) == parts(links)
+    runs, own = [], simhash.connected_components
+    monkeypatch.setattr(simhash, "connected_components", lambda edges: runs.append(1) or own(edges))
+    rows = [(k, " ".join(f"w{(k // 2 * 31 + j) % 97}" for j in range(40))) for k in range(12)]
+    got = {r.doc_id: r.component_id for r in simhash.near_components(spark.createDataFrame(rows, "doc_id long, text string"), prints=4, at_once=2).collect()}
+    assert len(runs) == 1 and all(got[k] == got[k + 1] for k in range(0, 12, 2))
