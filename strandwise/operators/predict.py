@@ -43,13 +43,16 @@ class Predictor:
     software_version: str = "0.2"
     endpoint_warning: str = ""
     validation_warning: str = ""
+    path: str = ""  # of the artifact, whose references may lie in files beside it
 
     def said(self) -> C.Model:
         return C.Model(self.artifact["artifact_id"], self.artifact["artifact_version"], self.sha256, self.mae, self.software_version, {"endpoint": self.endpoint_warning, "validation": self.validation_warning}, self.adapter)
 
     def references(self, spark: SparkSession) -> DataFrame:
-        """peptide_id and aligned; the artifact is one file, so they are no more than that holds."""
-        return spark.createDataFrame([(r["peptide_id"], r["aligned_sequence"]) for r in self.artifact["applicability_reference"]["sequences"]], "peptide_id string, aligned string")
+        """peptide_id and aligned."""
+        from strandwise.sources import files
+
+        return files.artifact_references(spark, self.artifact, self.path)
 
     def scored(self, distinct: DataFrame) -> DataFrame:
         """aligned, gcgr and glp1r."""
@@ -146,4 +149,4 @@ def load(spark: SparkSession, path: str, mae: dict[str, float], sha256: str | No
 
     artifact = files.model_artifact(spark, path, sha256)
     found = sha256 or hashlib.sha256(files.regular(spark, path, files.DOCUMENT)).hexdigest()
-    return Predictor(artifact, found.lower(), mae, **said)
+    return Predictor(artifact, found.lower(), mae, path=path, **said)

@@ -27,6 +27,8 @@ from strandwise.sources import sinks
 from strandwise.sources import tables as T
 
 NEAR, SAME = 0.70, 0.85
+#: References that an artifact holds itself; more of them lie in files beside it.
+INSIDE = 20_000
 
 _EDGES = "select a as x, b as y from near where identity + 1e-12 >= 0.85 and {a} and {b} union all select b, a from near where identity + 1e-12 >= 0.85 and {a} and {b}"
 GROUPS = f"""with recursive {PANEL}, px as (select * from panel where aligned <> repeat('-', 30)),
@@ -159,7 +161,7 @@ def _artifact(spark, d) -> D.Predictor:
     """The fitted ridge, written as an artifact into the shared folder and read again by its checksum."""
     dev, model, mae = _fitted(spark, d)
     folder = G.shared_folder(spark, "artifact")
-    receipt = sinks.write_artifact(spark, folder, model, dev.select("peptide_id", "aligned"), "component-ridge", "1", {})
+    receipt = sinks.write_artifact(spark, folder, model, dev.select("peptide_id", "aligned"), "component-ridge", "1", {}, beside=INSIDE)
     aligner = hashlib.sha256(json.dumps({"references": receipt["artifact_sha256"], "least": A.LEAST, "identity": SAME}, sort_keys=True).encode()).hexdigest()
     return D.load(spark, f"{folder}/model.json", mae, receipt["artifact_sha256"], adapter=("reference-projection", "1", aligner), endpoint_warning="cell-based potency estimate", validation_warning="out-of-fold errors of development rows")
 

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from strandwise.operators.graph import cut
 
 SMALL = 65_536
 DOCUMENT = 64 << 20
+#: The folder beside an artifact that has the references which aren't in it.
+REFERENCES = "references"
 #: Fixed columns of the structure seeds.
 SEED_COLUMNS = ["pdb_id", "receptor", "receptor_match", "ligand", "ligand_match", "benchmark_role", "study_doi", "modification_note"]
 
@@ -288,12 +291,45 @@ def checksums(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
     return expected.select("name", F.lower("sha256").alias("sha256")).join(found, "name", "full_outer").select("name", "found", F.coalesce(F.col("found") == F.col("sha256"), F.lit(False)).alias("verified"))
 
 
+def sums(spark: SparkSession, place: str) -> list[str]:
+    """The checksums of a folder's files, sorted."""
+    return sorted(r.sum for r in spark.read.format("binaryFile").load(place).select(F.sha2("content", 256).alias("sum")).collect())
+
+
+def _beside(path: str) -> str:
+    return f"{path.rpartition('/')[0] or '.'}/{REFERENCES}"
+
+
+def artifact_references(spark: SparkSession, artifact: dict, path: str) -> DataFrame:
+    """peptide_id and aligned of the references of model_artifact(path), which are in it or in files beside it."""
+    listed = artifact["applicability_reference"]
+    if "sequences" in listed:
+        return spark.createDataFrame([(r["peptide_id"], r["aligned_sequence"]) for r in listed["sequences"]], "peptide_id string, aligned string")
+    return spark.read.schema("peptide_id string, aligned_sequence string").json(_beside(path)).select("peptide_id", F.col("aligned_sequence").alias("aligned"))
+
+
+def _whole_beside(spark: SparkSession, artifact: dict, path: str) -> bool:
+    """Whether the files beside an artifact are those of its checksums, and their references unique and of full length; nothing of them is collected."""
+    listed = artifact["applicability_reference"]
+    try:
+        there = sums(spark, _beside(path))
+    except AnalysisException as e:
+        raise InputError(f"{path}: no files of references beside it") from e
+    if not there or there != listed["sha256"]:
+        raise InputError(f"{path}: other files of references than its checksums say")
+    found = artifact_references(spark, artifact, path)
+    n, ids, aligned, full = found.agg(F.count("*"), F.countDistinct("peptide_id"), F.countDistinct("aligned"), F.count_if(F.length("aligned") == S.LENGTH)).first()
+    return n == ids == aligned == full == listed.get("rows")
+
+
 def model_artifact(spark: SparkSession, path: str, sha256: str | None = None) -> dict:
     """A frozen model whose shapes, numbers and references are whole."""
     a = document(spark, path, sha256)
     wide = S.LENGTH * len(S.ALPHABET)
     try:
-        contract, model, references = a["input_contract"], a["model"], a["applicability_reference"]["sequences"]
+        contract, model, listed = a["input_contract"], a["model"], a["applicability_reference"]
+        beside = "sequences" not in listed and "sha256" in listed
+        references = [] if beside else listed["sequences"]
         shapes = len(model["feature_mean"]) == wide and len(model["target_mean"]) == 2 and len(model["coefficients"]) == wide and all(len(r) == 2 for r in model["coefficients"])
         numbers = [model["selected_alpha"], *model["feature_mean"], *model["target_mean"], *(x for r in model["coefficients"] for x in r)]
         ids, aligned = [r["peptide_id"] for r in references], [r["aligned_sequence"] for r in references]
@@ -303,6 +339,6 @@ def model_artifact(spark: SparkSession, path: str, sha256: str | None = None) ->
         raise InputError("another input contract")
     if not shapes or not all(isinstance(x, (int, float)) and not isinstance(x, bool) and math.isfinite(x) for x in numbers) or model["selected_alpha"] <= 0:
         raise InputError("coefficients of another shape, or not finite")
-    if not ids or len(set(ids)) != len(ids) or len(set(aligned)) != len(aligned) or any(len(s) != S.LENGTH for s in aligned):
+    if not (_whole_beside(spark, a, path) if beside else ids and len(set(ids)) == len(ids) and len(set(aligned)) == len(aligned) and all(len(s) == S.LENGTH for s in aligned)):
         raise InputError("references must be unique and of full length")
     return a

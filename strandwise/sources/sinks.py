@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandwise.functions import sequences as S
+from strandwise.sources import files
+
+#: References of a file beside an artifact.
+PART = 50_000
 
 
 @F.pandas_udf(T.StringType())
@@ -100,29 +104,43 @@ def write_file(spark: SparkSession, path: str, content: bytes, overwrite: bool =
     return hashlib.sha256(content).hexdigest()
 
 
-def write_artifact(spark: SparkSession, folder: str, model: dict, references: DataFrame, artifact_id: str, version: str, sources: dict[str, str], most: int = 200_000) -> dict:
+def write_artifact(spark: SparkSession, folder: str, model: dict, references: DataFrame, artifact_id: str, version: str, sources: dict[str, str], most: int = 200_000, beside: int | None = None) -> dict:
     """model.json and receipt.json of a fitted model (alpha, w1, w2, mx, my) and its references (peptide_id, aligned); the receipt.
 
-    More than `most` distinct references are an error: the artifact is one file.
+    More than `most` distinct references are an error, as the artifact is one file, unless `beside` is given: then
+    more than that many lie in files beside it, which tasks write, and the artifact has their checksums.
     """
-    rows = references.groupBy("aligned").agg(F.min("peptide_id").alias("peptide_id")).orderBy("peptide_id").limit(most + 1).collect()
-    if len(rows) > most:
+    distinct, inside = references.groupBy("aligned").agg(F.min("peptide_id").alias("peptide_id")), most if beside is None else beside
+    rows = distinct.orderBy("peptide_id").limit(inside + 1).collect()
+    if len(rows) <= inside:
+        listed, number = {"sequences": [{"peptide_id": r.peptide_id, "aligned_sequence": r.aligned} for r in rows]}, len(rows)
+    elif beside is None:
         raise ValueError(f"more than {most} references")
+    else:
+        number = distinct.count()
+        listed = {"rows": number, "sha256": _write_references(distinct, f"{folder}/{files.REFERENCES}", number)}
     document = {
         "artifact_id": artifact_id,
         "artifact_version": version,
         "input_contract": {"aligned_length": S.LENGTH, "alphabet": S.ALPHABET},
         "model": {"selected_alpha": model["alpha"], "feature_mean": list(model["mx"]), "target_mean": list(model["my"]), "coefficients": [list(x) for x in zip(model["w1"], model["w2"], strict=True)]},
-        "applicability_reference": {"sequences": [{"peptide_id": r.peptide_id, "aligned_sequence": r.aligned} for r in rows]},
+        "applicability_reference": listed,
         "provenance": sources,
     }
     dump = lambda x: (json.dumps(x, indent=2, sort_keys=True, allow_nan=False) + "\n").encode()
     digest = write_file(spark, f"{folder}/model.json", dump(document))
-    receipt = {"schema_version": 1, "artifact": f"{folder}/model.json", "artifact_sha256": digest, "artifact_id": artifact_id, "artifact_version": version, "source_sha256": sources, "selected_alpha": model["alpha"], "references": len(rows)}
+    receipt = {"schema_version": 1, "artifact": f"{folder}/model.json", "artifact_sha256": digest, "artifact_id": artifact_id, "artifact_version": version, "source_sha256": sources, "selected_alpha": model["alpha"], "references": number}
     write_file(spark, f"{folder}/receipt.json", dump(receipt))
     return receipt
 
 
+def _write_references(distinct: DataFrame, place: str, number: int) -> list[str]:
+    """JSON lines of references, dealt by their ids into files of about PART rows; the files' checksums, sorted."""
+    dealt = distinct.select("peptide_id", F.col("aligned").alias("aligned_sequence")).repartition(-(-number // PART), "peptide_id")
+    dealt.sortWithinPartitions("peptide_id").write.json(place)
+    return files.sums(distinct.sparkSession, place)
+
+
 def write_screening(screened: DataFrame, folder: str, overwrite: bool = False) -> dict:
     """candidates.csv, in display order, and receipt.csv, together or not at all; the receipt's fields."""
     from strandwise.operators.screening import COLUMNS

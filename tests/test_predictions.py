@@ -73,6 +73,45 @@ def test_an_artifact_that_was_changed_is_an_error(spark, made):
     assert predict.load(spark, path, {}).sha256 == predictor.sha256
 
 
+def _same(both):
+    """Equal rows by id, but for the artifact's checksum and the last digits of doubles."""
+    one, two = both
+    assert set(one) == set(two)
+    for key, row in one.items():
+        for name, value in row.items():
+            if not name.endswith("sha256"):
+                assert value == (pytest.approx(two[key][name], rel=1e-6, abs=1e-6) if isinstance(value, float) else two[key][name])
+
+
+def test_references_beside_an_artifact(spark, made, tmp_path):
+    """More references than an artifact may hold lie in files that tasks write; predictions are the same, and files that were changed or are gone an error."""
+    model, predictor, _ = made
+    folder, references = f"file://{tmp_path}", spark.createDataFrame(list(REFERENCES.items()), "peptide_id string, aligned string")
+    receipt = sinks.write_artifact(spark, folder, model, references.union(references), "a", "1", {}, most=2, beside=2)
+    assert receipt["references"] == len(REFERENCES) and "sequences" not in files.document(spark, f"{folder}/model.json")["applicability_reference"]
+    load = lambda: predict.load(spark, f"{folder}/model.json", predictor.mae, receipt["artifact_sha256"], adapter=predictor.adapter, endpoint_warning="e", validation_warning="v")
+    beside = load()
+    assert {(r.peptide_id, r.aligned) for r in beside.references(spark).collect()} == set(REFERENCES.items())
+    _same({r.candidate_id: r.asDict() for r in p.predictions(rows_of(spark), "candidate_id").collect()} for p in (beside, predictor))
+    (part,) = (tmp_path / "references").glob("part-*.json")
+    text = part.read_text()
+    for other in (text.replace("p9", "p8"), text + text, ""):
+        part.write_text(other)
+        (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+        with pytest.raises(files.InputError, match="references"):
+            load()
+    part.unlink()
+    with pytest.raises(files.InputError, match="references"):
+        load()
+
+
+def test_artifact_queries_with_references_beside(spark, monkeypatch):
+    inside = {r.candidate_id: r.asDict() for r in QUERIES["artifact_screening"](spark, SMALL).collect()}
+    monkeypatch.setattr(external, "INSIDE", 1)
+    beside = {r.candidate_id: r.asDict() for r in QUERIES["artifact_screening"](spark, SMALL).collect()}
+    _same((inside, beside))
+
+
 def test_artifact_queries(spark):
     """Written, read, aligned, predicted and screened over the smallest tables: the two queries agree with each other and with the fit."""
     predictions = {r.candidate_id: r for r in QUERIES["artifact_predictions"](spark, SMALL).collect()}
