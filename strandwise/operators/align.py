@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strandwise.functions import sequences as S
 from strandwise.operators import blocks as B
+from strandwise.operators import seeds as P
 from strandwise.operators.graph import cut
 
 LEAST = 26  # residues that can be aligned
@@ -190,17 +192,95 @@ class Placed:
         yield pa.RecordBatch.from_arrays([pa.array(self.rid[there]), pa.array(self.cost[there].astype(np.int32)), pa.array(self.many[there]), pa.array(self.at[there].astype(np.int64)), pa.array(self.used[there].astype(np.int32))], ["rid", "cost", "many", "at", "used"])
 
 
-def prepared(raws: DataFrame, references: DataFrame) -> DataFrame:
+#: Mismatches of a string that isn't too far: it differs from a reference in four columns at most (of 26 to 30 that count).
+MOST = 4
+#: A pair of two blocks, beside a pair that meets by a seed, and what seeds cost in such pairs whatever they find and for each key.
+PRODUCT_COST, LEVEL_COST, KEY_COST = 0.02, 4e6, 0.5
+#: Rows of a task that emits keys and pairs of one that places them, about.
+ROWS, PAIRS = 1 << 14, 1 << 18
+
+
+def _pieces(n: int) -> list[tuple[int, int]]:
+    """First residue and length of the MOST + 1 pieces of a raw sequence."""
+    ends = [n * k // (MOST + 1) for k in range(MOST + 2)]
+    return [(a, b - a) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _seeds(chosen: DataFrame, donors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """key, qid and aligned of both sides, once for each key: every pair with MOST mismatches or fewer has a key in common.
+
+    A mismatch is in one piece of the raw sequence, and so is a gap at a residue of the reference, if it lies within a piece at all. One
+    of MOST + 1 pieces has none. It equals consecutive residues of the reference, and begins in a column that is
+    as far from its own place as there are gaps before it. So keys are a column and the residues from there on.
+    """
+    of, key = {n: _pieces(n) for n in range(LEAST, S.LENGTH + 1)}, lambda column, text: F.xxhash64(column.cast("int"), text)
+    keys = F.lit(None).cast("array<bigint>")
+    for n, pieces in of.items():
+        here = F.array(*(key(F.lit(i + g), F.substring("aligned", i + 1, m)) for i, m in pieces for g in range(S.LENGTH - n + 1)))
+        keys = F.when(F.length(F.rtrim("aligned", F.lit(S.GAP))) == n, here).otherwise(keys)
+    x = chosen.select(F.explode(keys).alias("key"), F.col("rid").alias("qid"), "aligned")
+    bare, before = F.replace("aligned", F.lit(S.GAP), F.lit("")), lambda c: F.replace(F.substring("aligned", 1, c), F.lit(S.GAP), F.lit(""))
+    found = []
+    for c in range(S.LENGTH):
+        for m in sorted({m for pieces in of.values() for _, m in pieces}):
+            text = F.substr(bare, F.length(before(c)) + 1, F.lit(m))
+            found.append(F.when((F.substring("aligned", c + 1, 1) != S.GAP) & (F.length(text) == m), key(F.lit(c), text)))
+    y = donors.select(F.explode(F.array_compact(F.array(*found))).alias("key"), F.col("did").alias("qid"), "aligned")
+    return x, y
+
+
+def _by_seeds(chosen: DataFrame, donors: DataFrame, level_cost: float) -> DataFrame | None:
+    """What Placed finds with MOST mismatches or fewer, from pairs that meet by seeds, some of them more than once; None if blocks cost less. The pairs are counted before they are made."""
+    counts = chosen.count(), donors.count()
+    products = PRODUCT_COST * counts[0] * counts[1]
+    if products < 4 * level_cost:
+        return None
+    chosen, donors = (side.repartition(max(1, -(-n // ROWS)), name) for side, n, name in zip((chosen, donors), counts, ("rid", "did"), strict=True))
+    sides = tuple(map(cut, _seeds(chosen, donors)))
+    meetings = P.meetings(*sides)
+    if products < 4 * (level_cost + KEY_COST * sum(side.count() for side in sides) + meetings):
+        return None
+    tasks = min(B.TASKS, max(1, math.ceil(meetings / PAIRS)))  # keys are small, what meets by them isn't
+    x, y = (side.repartition(tasks, "key", "i", "j") for side in P.cells(*sides, by="qid"))
+    pairs = x.select("key", "i", "j", F.col("qid").alias("rid"), F.col("aligned").alias("of")).join(y.select("key", "i", "j", F.col("aligned").alias("reference")), ["key", "i", "j"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.uint32(1) << np.arange(S.LENGTH, dtype=np.uint32)[:, None]
+        for batch in batches:
+            rid, x, y = batch.column(0).to_numpy(), *(np.ascontiguousarray(B.numbers(batch.column(k)).T) for k in (1, 2))
+            length = (x != 0).sum(0)
+            for n in np.unique(length).tolist():
+                own = np.flatnonzero(length == n)
+                cost = costs(x[:n, own], y[:, own])
+                near = cost <= MOST
+                own, cost = own[near], cost[near]
+                many, at = places(x[:n, own], y[:, own])
+                blank = ((y[:, own] == 0) * bits).sum(0, dtype=np.uint32)
+                used = S.LENGTH - np.bitwise_count(at & blank)
+                yield pa.RecordBatch.from_arrays([pa.array(rid[own]), pa.array(cost.astype(np.int32)), pa.array(many), pa.array(at.astype(np.int64)), pa.array(used.astype(np.int32))], ["rid", "cost", "many", "at", "used"])
+
+    return pairs.select("rid", "of", "reference").mapInArrow(place, PLACED)
+
+
+PLACED = "rid long, cost int, many boolean, at long, used int"
+
+
+def prepared(raws: DataFrame, references: DataFrame, near: bool = False, level_cost: float = LEVEL_COST) -> DataFrame:
     """raw, aligned and status of distinct sequences: direct or mapped_unambiguously with the aligned string, or invalid, ambiguous or too_far.
 
-    A string of identity 0.85 with any reference differs from it in four columns at most (of 26 to 30 that count), so the
-    references with the least mismatches tell whether there is one.
+    A string of identity 0.85 with any reference has MOST mismatches at most, so the references with the least mismatches tell
+    whether there is one. With near, sequences that no reference comes as near to are too_far, ambiguous or not, and the
+    pairs meet by seeds where these cost under a fourth of what all pairs do.
     """
     valid = (F.length("raw").between(LEAST, S.LENGTH)) & ~F.col("raw").rlike(f"[^{S.ALPHABET[1:]}]")
     rows = cut(raws.select("raw", valid.alias("valid"), F.monotonically_increasing_id().alias("rid")))
     chosen = rows.filter("valid").select(F.rpad("raw", S.LENGTH, S.GAP).alias("aligned"), "rid")
     donors = cut(references.select("aligned").distinct().withColumn("did", F.monotonically_increasing_id()))
-    each = B.streamed(chosen, ["rid"], donors, ["did"], Placed, Placed.meet, "rid long, cost int, many boolean, at long, used int")
+    each = _by_seeds(chosen, donors, level_cost) if near else None
+    if each is None:
+        each = B.streamed(chosen, ["rid"], donors, ["did"], Placed, Placed.meet, PLACED)
+    if near:
+        each = each.filter(F.col("cost") <= MOST)
     level = each.groupBy("rid", "cost").agg((F.bool_or("many") | (F.min("at") < F.max("at"))).alias("many"), F.min("at").alias("at"), F.max("used").alias("used"))
     best = level.groupBy(F.col("rid").alias("of")).agg(F.min(F.struct("cost", "many", "at", "used")).alias("m")).select("of", "m.*")
     fate = best.select("of", "at", F.when(F.col("many"), "ambiguous").when((F.col("used") - F.col("cost")) / F.col("used") < 0.85, "too_far").alias("fate"))

@@ -28,11 +28,16 @@ _NUMBERS[np.frombuffer(S.ALPHABET.encode(), np.uint8)] = np.arange(len(S.ALPHABE
 _COLUMNS = np.uint32(1) << np.arange(S.LENGTH, dtype=np.uint32)
 
 
+def numbers(aligned: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """(rows, columns) numbers of aligned sequences' letters; a gap is 0."""
+    joined = "".join(aligned.to_pylist()).encode("ascii")
+    return _NUMBERS[np.frombuffer(joined, np.uint8)].reshape(-1, S.LENGTH)
+
+
 def planes(aligned: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """(BITS, rows) words of aligned sequences."""
-    joined = "".join(aligned.to_pylist()).encode("ascii")
-    numbers = _NUMBERS[np.frombuffer(joined, np.uint8)].reshape(-1, S.LENGTH)
-    return np.stack([((numbers >> k & 1) * _COLUMNS).sum(1, dtype=np.uint32) for k in range(BITS)])
+    of = numbers(aligned)
+    return np.stack([((of >> k & 1) * _COLUMNS).sum(1, dtype=np.uint32) for k in range(BITS)])
 
 
 def gaps(words: np.ndarray) -> np.ndarray:

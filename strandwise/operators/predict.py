@@ -66,17 +66,18 @@ class Predictor:
 
         return distinct.select("aligned").mapInArrow(score, "aligned string, gcgr double, glp1r double")
 
-    def prepared(self, rows: DataFrame) -> DataFrame:
+    def prepared(self, rows: DataFrame, near: bool = False) -> DataFrame:
         """rows (sequence, input_mode) with aligned (null if there is none), alignment_method and alignment_status.
 
-        input_mode is raw_sequence or aligned_sequence; the status of a row that has no aligned sequence says why.
+        input_mode is raw_sequence or aligned_sequence; the status of a row that has no aligned sequence says why: with near,
+        which costs less, that of one that no reference comes near to is too_far, ambiguous or not.
         """
         raw = F.col("input_mode") == "raw_sequence"
         (plain, plain_error), (fixed, fixed_error) = S.normalise(F.col("sequence"), aligned=False), S.normalise(F.col("sequence"))
         checked = rows.withColumns({"__raw": F.when(raw, plain), "__fixed": F.when(~raw, fixed), "__error": F.when(raw, plain_error).otherwise(fixed_error)})
         bare = F.replace("__raw", F.lit(S.GAP), F.lit(""))
         checked = cut(checked.withColumn("__raw", F.when(F.col("__raw") == bare, bare)))  # a gap is no residue of a raw sequence
-        placed = A.prepared(checked.filter("__raw is not null").select(F.col("__raw").alias("raw")).distinct(), self.references(rows.sparkSession).select("aligned"))
+        placed = A.prepared(checked.filter("__raw is not null").select(F.col("__raw").alias("raw")).distinct(), self.references(rows.sparkSession).select("aligned"), near)
         placed = placed.select(F.col("raw").alias("__of"), F.col("aligned").alias("__placed"), F.col("status").alias("__fate"))
         both = checked.join(placed, F.col("__raw") == F.col("__of"), "left")
         fate = F.when(raw, F.coalesce("__fate", F.lit("invalid"))).otherwise(F.when(F.col("__error").isNull(), "supplied").otherwise("invalid"))
@@ -94,7 +95,7 @@ class Predictor:
 
     def predictions(self, rows: DataFrame, key: str) -> DataFrame:
         """key and FIELDS of every row (sequence, input_mode) that has an aligned sequence; rows of others aren't there, prepared() says why."""
-        ready = cut(self.prepared(rows).filter(F.col("aligned").isNotNull()))
+        ready = cut(self.prepared(rows, near=True).filter(F.col("aligned").isNotNull()))
         found = ready.join(self.assessed(ready.select("aligned").distinct()), "aligned")
         return found.select(key, *(c.alias(f) for f, c in self._fields().items()))
 
@@ -136,7 +137,7 @@ class Predictor:
 
     def screened(self, records: DataFrame, objective: str) -> DataFrame:
         """A guarded screening of records (input_row, candidate_id, sequence, input_mode), raw ones included."""
-        ready = cut(self.prepared(records))
+        ready = cut(self.prepared(records, near=True))
         assessed = self.assessed(ready.filter(F.col("aligned").isNotNull()).select("aligned").distinct())
         return C.screen(ready, assessed.select("aligned", "identity", "ids", "gcgr", "glp1r"), self.said(), objective)
 

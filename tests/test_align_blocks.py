@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandwise.functions import sequences as S
 from strandwise.operators import align, blocks
@@ -52,3 +53,33 @@ def test_statuses_over_several_blocks(spark, monkeypatch, letters):
     got = {r.raw: (r.aligned, r.status) for r in align.prepared(df, spark.createDataFrame([(r,) for r in references + references[:9]], "aligned string")).collect()}
     assert got == {r: align.prepare(r, references) for r in raws}
     assert len({status for _, status in got.values()}) >= 3
+
+
+@pytest.mark.parametrize("level_cost", [0.0, 1e9])
+@pytest.mark.parametrize("letters", ["AC", "ACDEFGHIKLMNPQRSTVWY"])
+def test_near_placements_meet_by_seeds(spark, monkeypatch, letters, level_cost):
+    """By seeds (keys in cells) or by blocks: the plain rule's strings, and too_far for all that no reference comes near to."""
+    monkeypatch.setattr(align, "PRODUCT_COST", 1e6 if level_cost == 0.0 else 0.0)
+    monkeypatch.setattr(align.P, "CELL", 3)
+    rng = np.random.default_rng(6)
+    references = sorted({*peptides(rng, 50, letters), *("".join(rng.choice(list(letters + "-"), 30)) for _ in range(10)), *("".join(rng.choice(list(letters), 30)) for _ in range(40))})
+    raws = {"", "A", "X" * 28}
+    for k in range(300):
+        raw = list(references[k % len(references)].replace("-", ""))
+        for _ in range(k % 6 if raw else 0):
+            raw[rng.integers(len(raw))] = rng.choice(list(letters))
+        for _ in range(min(k % 5, len(raw))):
+            del raw[rng.integers(len(raw))]
+        raws.add("".join(raw))
+    frame = lambda rows, name: spark.createDataFrame([(r,) for r in rows], f"{name} string").repartition(3)
+    df = frame(sorted(raws), "raw")
+    if level_cost == 0.0:
+        assert align._by_seeds(df.select(F.rpad("raw", 30, "-").alias("aligned"), F.lit(1).cast("long").alias("rid")), frame(references, "aligned").withColumn("did", F.lit(1).cast("long")), level_cost) is not None
+    got = {r.raw: (r.aligned, r.status) for r in align.prepared(df, frame(references + references[:9], "aligned"), near=True, level_cost=level_cost).collect()}
+    want = {}
+    for r in raws:
+        aligned, status = align.prepare(r, references)
+        far = status == "ambiguous" and min(align.project(r, x)[0] for x in references) > align.MOST
+        want[r] = (aligned, "too_far" if far else status)
+    assert got == want
+    assert len({status for _, status in got.values()}) >= 4
